@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ceil_div, saved, short_batches
 from .cuckoo import CuckooFilter
@@ -145,23 +146,44 @@ def _probe(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[CuckooFilter.from_bytes(filters["blob"].iloc[0]).contains(rows["hi"].to_numpy()), ["hi", "lo", "doc_id"]]
 
 
-def _rewrite(batches):
-    for batch in batches:
-        texts, n_lines, n_dropped = [], [], []
-        for text, drop in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = (text or "").split("\n")
-            gone = {(d["hi"], d["lo"]) for d in drop or ()}
-            kept = [x for x in lines if line_key(x) not in gone] if gone else lines
-            texts.append("\n".join(kept))
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
+def _rewriter(text: str):
+    def rows(batches):
+        for batch in batches:
+            texts, n_lines, n_dropped = [], [], []
+            for value, drop in zip(batch.column(text).to_pylist(), batch.column(DROP).to_pylist(), strict=True):
+                lines = (value or "").split("\n")
+                gone = {(d["hi"], d["lo"]) for d in drop or ()}
+                kept = [x for x in lines if line_key(x) not in gone] if gone else lines
+                texts.append("\n".join(kept))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+            at = batch.schema.get_field_index(DROP)
+            others = [c for i, c in enumerate(batch.columns) if i != at]
+            names = [n for i, n in enumerate(batch.schema.names) if i != at]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, *MADE])
 
+    return rows
 
-def dedup_lines(docs: DataFrame, index: LineIndex | None = None, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, kept, n_lines, n_dropped), one row for each row of docs; index must hold docs."""
+
+DROP, MADE = "__drop", ("__kept", "__n_lines", "__n_dropped")
+
+
+def rewritten(docs: DataFrame, index: LineIndex | None = None, doc_id="doc_id", text="text") -> DataFrame:
+    """All columns of docs with __kept, __n_lines and __n_dropped, one row for each row; index must hold docs."""
     index = index or build(docs, doc_id, text)
-    by_doc = index.drops().groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct(*KEY)).alias("drop"))
+    by_doc = index.drops().groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct(*KEY)).alias(DROP))
+    joined = docs.hint("merge").join(by_doc, F.col(doc_id).cast("long") == F.col("__d"), "left").drop("__d")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.StringType()), *(T.StructField(n, T.LongType()) for n in MADE[1:])])
+    short_batches(docs.sparkSession)
+    return joined.mapInArrow(_rewriter(text), schema)
+
+
+def dedup_lines(docs: DataFrame, index: LineIndex | None = None, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, kept, n_lines, n_dropped), one row for each row of docs."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = rows.hint("merge").join(by_doc, F.col("doc_id") == F.col("__d"), "left")
-    return joined.select("doc_id", "text", "drop").mapInArrow(_rewrite, "doc_id long, kept string, n_lines long, n_dropped long")
+    return rewritten(rows, index).select("doc_id", *(F.col(n).alias(n[2:]) for n in MADE))
+
+
+def without_repeated_lines(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """docs, all columns, with each text cut to its kept lines."""
+    return rewritten(docs, None, doc_id, text).withColumn(text, F.col("__kept")).select(*docs.columns)

@@ -22,6 +22,9 @@ import numpy as np
 
 LANES, RUN, SCALE = 4096, 64, 24
 NONE = 0xFFFFF
+#: Predictions get seven eighths of the interval at most; an id has so much of the order-0 interval at least, which leaves
+#: every id at least 1 of the rest.
+MOST, LEAST = 7 << (SCALE - 3), 8
 _HEAD = struct.Struct("<4sIIIII")
 MAGIC = b"CMR1"
 
@@ -42,14 +45,14 @@ class _Mixer:
         self._fresh()
 
     def _weigh(self) -> None:
-        self.share = np.minimum((self.hits << 22) // self.tries, 1 << 22)
+        self.share = np.minimum((self.hits << SCALE) // self.tries, MOST)
 
     def _fresh(self) -> None:
         for ids in self.waiting:
             self.seen += np.bincount(ids, minlength=self.vocab)
         self.waiting = []
         total = max(1, int(self.seen.sum()))
-        freq = 2 + self.seen * ((1 << SCALE) - 2 * self.vocab) // total
+        freq = LEAST + self.seen * ((1 << SCALE) - LEAST * self.vocab) // total
         self.cum = np.zeros(self.vocab + 1, dtype=np.int64)
         np.cumsum(freq, out=self.cum[1:])
         self.cum[-1] = 1 << SCALE
@@ -62,7 +65,7 @@ class _Mixer:
         w2, w1 = self.share[1][self.c2], self.share[0][self.c1]
         w2[self.p2 == NONE] = 0
         w1[(self.p1 == NONE) | (self.p1 == self.p2)] = 0
-        return w2, w1
+        return w2, np.minimum(w1, MOST - w2)
 
     def learn(self, ids: np.ndarray) -> None:
         for k, (tab, at, p, c) in enumerate(((self.one, self.at1, self.p1, self.c1), (self.two, self.at2, self.p2, self.c2))):
