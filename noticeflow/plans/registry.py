@@ -1,4 +1,4 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import extraction, notices, streams, workflow  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
