@@ -2,41 +2,45 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that become several letters or digits; those that become one are found by rule in _folding().
-EXPANDING = "ﬀﬁﬂﬃﬄﬅﬆ™½¼¾№℡ĳĲǆǅǄǉǈǇǌǋǊǳǲǱ"
-
-
 def plain(text: str | None) -> str:
     """normalize() of a Python string; for terms."""
     kept = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).lower()
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in kept).split())
 
 
-def _folding() -> tuple[str, str]:
-    """Characters of the basic plane that lose their marks or form to one ASCII letter or digit, and what they become."""
-    source, target = [], []
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Characters of the basic plane that lose their marks or form: those that become one ASCII letter or digit and what
+    they become, and those that become several characters with a letter or digit among them (ligatures, fractions, units)."""
+    source, target, longer = [], [], {}
     for code in range(0x80, 0xFFFF):
         bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+        if not any(c.isascii() and c.isalnum() for c in bare):
+            continue
+        if len(bare) == 1:
             source.append(chr(code))
             target.append(bare)
-    return "".join(source), "".join(target)
+        else:
+            longer[chr(code)] = "".join(c if c.isascii() and c.isalnum() else " " for c in bare)
+    return "".join(source), "".join(target), longer
 
 
-_FROM, _TO = _folding()
+_FROM, _TO, _LONGER = _folding()
 
 
 def normalize(text: Column) -> Column:
     """Compatibility decomposition without marks, lower case, all but a-z and 0-9 to single spaces; null is ''."""
     text = F.coalesce(text, F.lit(""))
     folded = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), _FROM, _TO)
-    folded = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(unicodedata.normalize("NFKD", x).replace("⁄", " "))), EXPANDING, folded)
+    # Rare, so one by one where there is any.
+    pairs = F.map_entries(F.from_json(F.lit(json.dumps(_LONGER)), "map<string,string>"))
+    folded = F.when(folded.rlike("[" + "".join(_LONGER) + "]"), F.aggregate(pairs, folded, lambda acc, p: F.replace(acc, p["key"], p["value"]))).otherwise(folded)
     folded = F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
 

@@ -287,12 +287,18 @@ def followup_title(spark, d):
     return fixture(spark, d, N).select("id", text.normalize(F.col("title")).alias("t")).select("id", classify.followup_title(F.col("t")).alias("hit"))
 
 
-@query("title_supports", f"SELECT id, {PSY_SQL} OR ({has_sql('t', rules.MULTI_PROFILE)} AND {RELEVANT_SQL.replace('(t,', '(c,').replace('contains(t', 'contains(c')}) AS hit FROM (SELECT id, {norm('title')} AS t, {TEXT} AS c FROM fx_notices)", N)
+TITLE_SQL = f"SELECT id, {PSY_SQL} OR ({has_sql('t', rules.MULTI_PROFILE)} AND {RELEVANT_SQL.replace('(t,', '(c,').replace('contains(t', 'contains(c')}) AS hit FROM (SELECT id, {norm('title')} AS t, {TEXT} AS c FROM fx_notices)"
+
+
+@query("title_supports", TITLE_SQL, N)
 def title_supports(spark, d):
     worded = _worded(spark, d).withColumn("title", text.normalize(F.col("title")))
     return worded.select("id", classify.title_supports(F.col("title"), F.col("t")).alias("hit"))
 
 
+query("focused_match", TITLE_SQL, N)(title_supports)
+
+
 @query("any_string_field_match", f"SELECT id, {DIRECT_SQL} AS hit FROM (SELECT id, {norm("concat_ws(' ', external_id, title, description, organization, entity_type, region, province, category)")} AS t FROM fx_notices)", N)
 def any_string_field_match(spark, d):
     fields = ("external_id", "title", "description", "organization", "entity_type", "region", "province", "category")
