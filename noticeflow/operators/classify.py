@@ -127,9 +127,8 @@ def entity_type(source_type: Column, organization: Column) -> Column:
     )
 
 
-def link_score(text: Column, href: Column) -> Column:
-    """Additive score of a link's label and target; 0 is no candidate."""
-    both = normalize(F.concat_ws(" ", text, href))
+def link_score(both: Column, href: Column) -> Column:
+    """Additive score of a link: both is its label and target, normalised into a column; 0 is no candidate."""
     points = lambda c, n: F.when(c, n).otherwise(0)
     score = points(has_substring(both, rules.LINK_TERMS), 4) + points(any_of(F.lower(href).rlike(p) for p in rules.DETAIL_PATHS), 5) + points(has_substring(both, rules.SEARCH_TERMS), 5) + points(has_substring(both, ("dettaglio", "scheda", "visualizza")), 1)
     low = has_substring(both, rules.LOW_SIGNAL_TERMS)

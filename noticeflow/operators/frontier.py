@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.text import normalize
 from .classify import link_score
 from .snapshot import scratch
 
@@ -15,7 +16,8 @@ MOST_DEPTH, MOST_PAGES = 2, 24
 def scored_links(links: DataFrame) -> DataFrame:
     """Adds url and score to links (page_id, page_url, idx, href, text); other schemes are dropped."""
     kept = links.where(~F.col("href").rlike("^(mailto|tel|javascript):"))
-    return kept.withColumns({"url": urls.urljoin(F.col("page_url"), F.col("href")), "score": link_score(F.col("text"), F.col("href"))})
+    worded = kept.withColumns({"url": urls.urljoin(F.col("page_url"), F.col("href")), "__both": normalize(F.concat_ws(" ", "text", "href"))})
+    return worded.withColumn("score", link_score(F.col("__both"), F.col("href"))).drop("__both")
 
 
 def top_links(links: DataFrame, k: int) -> DataFrame:

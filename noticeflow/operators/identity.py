@@ -35,8 +35,8 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def probable_duplicates(notices: DataFrame) -> DataFrame:
     """(id, duplicate_of): for each notice the smallest id among smaller ids of other sources, approved and not closed, with the
-    same deadline day and similar title and organisation. An undated notice is compared with undated ones and with dated
-    ones of its own organisation.
+    same deadline day and similar title and organisation. An undated notice is compared with those of its own organisation
+    only: all undated ones against each other and against all days would be all pairs.
 
     Equal (title, organisation, day, source) rows are one class; classes are joined, not notices, within a day and by bands of
     the title's length, which cannot lose a pair: a ratio of 0.88 needs lengths within 0.88 / 1.12 of each other. What the
@@ -47,8 +47,8 @@ def probable_duplicates(notices: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.greatest(lt, F.lit(1))) / F.log(F.lit(1.12 / 0.88))).cast("int")
     mine = classes.select("t", "o", "day", "source_id", "last", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
     targets = classes.where("first is not null").select(F.col("t").alias("tb"), F.col("o").alias("ob"), F.col("day").alias("day_b"), F.col("source_id").alias("source_b"), "first", band.alias("band"))
-    same_day = mine.hint("merge").join(targets.withColumn("day", F.col("day_b")), ["day", "band"])
-    undated = mine.hint("merge").join(targets.withColumn("o", F.col("ob")), ["o", "band"]).where("(day = '') <> (day_b = '')")
+    same_day = mine.where("day <> ''").hint("merge").join(targets.withColumn("day", F.col("day_b")), ["day", "band"])
+    undated = mine.hint("merge").join(targets.withColumn("o", F.col("ob")), ["o", "band"]).where("day = '' or day_b = ''")
     pairs = same_day.unionByName(undated).where("source_id <> source_b and first < last").drop("band")
     # A ratio counts matched characters twice over both lengths, so the shorter text bounds it.
     possible = lambda a, b, least: 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import classify, frontier
+from ..operators import frontier
 from ..operators.snapshot import scratch
 from ..sources import pages as html
 from ..sources import payloads
@@ -67,7 +67,7 @@ def _links(spark, d) -> DataFrame:
 
 @query("link_score", "WITH l AS (SELECT page_id, i - 1 AS idx, regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS href FROM (SELECT page_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>') AS x FROM pages))) SELECT page_id, CAST(idx AS INT) AS idx, CAST(CASE idx % 3 WHEN 0 THEN 4 WHEN 1 THEN 9 ELSE 0 END AS INT) AS score FROM l")
 def link_score(spark, d):
-    return _links(spark, d).select("page_id", "idx", classify.link_score(F.col("text"), F.col("href")).alias("score"))
+    return frontier.scored_links(_links(spark, d)).select("page_id", "idx", "score")
 
 
 @query("top_links", "WITH l AS (SELECT page_id, url AS page_url, i - 1 AS idx, regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS href FROM (SELECT page_id, url, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>') AS x FROM pages))), s AS (SELECT page_id, idx, regexp_extract(page_url, '^([a-z]+://[^/?#]*)', 1) || href AS url, CASE idx % 3 WHEN 0 THEN 4 WHEN 1 THEN 9 ELSE 0 END AS score FROM l), f AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY idx) = 1) SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS rank FROM f QUALIFY rank <= 3")
