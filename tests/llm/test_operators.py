@@ -116,11 +116,12 @@ def test_html(spark):
         return f'<html><head><title>t</title><style>p{{}}</style></head><body><nav><ul><li>menu</ul></nav><!-- <p>no --><div class="ad">buy</div>{extra}<article><h1>T{i} &amp; é</h1>' + "".join(f"<p><b>{b}<br>" for b in blocks) + '</article><aside>side</aside><div id="comments"><p>first!</div><form>f</form><footer>foot</footer></body></html>'
 
     rows = [(i, f"http://a.example/{i}", page(i, [f"para  {i}\n {k}" for k in range(i % 4)])) for i in range(12)]
+    rows.append((13, "http://c.example/m", '<main><p>beside</p><article class="post"><header><h1>Head</h1></header><p>in</p><article class="comment"><p>me too</p></article></article></main>'))
     rows += [(20, "http://b.example/x", "<div><p>only &lt;text&gt; here</p><nav>menu</nav></div>"), (21, None, None), (22, "::bad", ""), (23, "http://a.example/1", page(1, ["x"], '<div class="cookie-notice">ok?</div>')), (23, "http://a.example/1", page(1, ["x"])), (None, "http://[", "plain")]
     pages = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, text string, host long")
     got = {(r.page_id, r.url, r.text, r.n_chars) for r in html_wrappers.extract(pages).collect()}
     expected = {(i, u, (t := "\n".join([f"T{i} & é", *(f"para {i} {k}" for k in range(i % 4))])), len(t)) for i, u, _ in rows[:12]}
-    expected |= {(20, "http://b.example/x", "only <text> here", 16), (21, None, "", 0), (22, "::bad", "", 0), (23, "http://a.example/1", "T1 & é\nx", 8), (None, "http://[", "plain", 5)}
+    expected |= {(13, "http://c.example/m", "Head\nin", 7), (20, "http://b.example/x", "only <text> here", 16), (21, None, "", 0), (22, "::bad", "", 0), (23, "http://a.example/1", "T1 & é\nx", 8), (None, "http://[", "plain", 5)}
     assert got == expected
     assert html_wrappers.extract(pages.limit(0)).count() == 0
     a = html_wrappers.folded_tree(html_wrappers.parsed("<div><h1>a</h1><p>b<p>c</div>")[0])
