@@ -90,12 +90,12 @@ def alert_report(spark, d):
     return alerts.report(enriched(spark, d), _subscriptions(spark, d), as_of()).drop("body")
 
 
-@query("email_outbox_sink", REPORT_SQL.replace("SELECT u.id AS subscription_id, u.email,", "SELECT u.email AS recipient, concat('Alert bandi psicologi: ', coalesce(n, 0), ' risultato/i') AS subject,").replace("coalesce(n, 0) AS matched_count, concat(", "md5(concat(").replace("AS body FROM", "AS body_md5 FROM").replace("ai filtri salvati.'))", "ai filtri salvati.')))"), N, U)
+@query("email_outbox_sink", REPORT_SQL.replace("SELECT u.id AS subscription_id, u.email,", "SELECT u.email AS recipient, concat('Alert bandi: ', coalesce(n, 0), ' risultato/i') AS subject,").replace("coalesce(n, 0) AS matched_count, concat(", "md5(concat(").replace("AS body FROM", "AS body_md5 FROM").replace("ai filtri salvati.'))", "ai filtri salvati.')))"), N, U)
 def email_outbox_sink(spark, d):
     """Rendered messages as JSON lines in the shared folder, read back."""
     made = alerts.report(enriched(spark, d), _subscriptions(spark, d), as_of())
     out = snapshot.scratch(spark, "outbox")
-    made.select(F.col("email").alias("recipient"), F.concat(F.lit("Alert bandi psicologi: "), "matched_count", F.lit(" risultato/i")).alias("subject"), "body").write.json(out)
+    made.select(F.col("email").alias("recipient"), F.concat(F.lit("Alert bandi: "), "matched_count", F.lit(" risultato/i")).alias("subject"), "body").write.json(out)
     return spark.read.schema("recipient string, subject string, body string").json(out).select("recipient", "subject", F.md5("body").alias("body_md5"))
 
 
