@@ -45,3 +45,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b)
+
+
+#: Tables of at most so many narrow rows (about 50 bytes each) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def with_side(left: DataFrame, side: DataFrame, on, how: str = "inner", name: str = "side") -> DataFrame:
+    """Join with a side table that is written out and counted first: broadcast if it is small, else by a shuffle."""
+    side = saved(side, name)
+    return left.join(side.hint("broadcast" if side.count() <= BROADCAST_ROWS else "merge"), on, how)

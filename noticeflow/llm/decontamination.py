@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import BROADCAST_ROWS, saved
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
-#: Tables of at most so many narrow rows (about 50 bytes each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
