@@ -29,6 +29,11 @@ _HEAD = struct.Struct("<4sIIIII")
 MAGIC = b"CMR1"
 
 
+#: Confidence after a miss (first eight) and after a hit.
+_NEXT = np.array([0, 0, 1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6, 7, 7], dtype=np.int32)
+_BUCKET = 8  # the search table has an entry for 2**_BUCKET of the interval
+
+
 class _Mixer:
     """The models of one block; encoder and decoder make the same calls."""
 
@@ -37,7 +42,6 @@ class _Mixer:
         self.two = np.full(1 << 18, NONE << 3, dtype=np.int32)
         self.one = np.full(1 << 16, NONE << 3, dtype=np.int32)
         self.hits, self.tries = np.ones((2, 8), dtype=np.int64), np.full((2, 8), 4, dtype=np.int64)
-        self.share = np.zeros((2, 8), dtype=np.int64)
         self.seen = np.zeros(vocab, dtype=np.int64)
         self.waiting: list[np.ndarray] = []
         self.steps, self.next_fresh = 0, 1
@@ -48,35 +52,50 @@ class _Mixer:
         self.share = np.minimum((self.hits << SCALE) // self.tries, MOST)
 
     def _fresh(self) -> None:
-        for ids in self.waiting:
-            self.seen += np.bincount(ids, minlength=self.vocab)
+        if self.waiting:
+            self.seen += np.bincount(np.concatenate(self.waiting), minlength=self.vocab)
         self.waiting = []
         total = max(1, int(self.seen.sum()))
         freq = LEAST + self.seen * ((1 << SCALE) - LEAST * self.vocab) // total
         self.cum = np.zeros(self.vocab + 1, dtype=np.int64)
         np.cumsum(freq, out=self.cum[1:])
         self.cum[-1] = 1 << SCALE
+        self.table = None
+
+    def find(self, places: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the places: from a table by a place's high bits, then by halving."""
+        if self.table is None:
+            per = np.bincount((self.cum + (1 << _BUCKET) - 1) >> _BUCKET, minlength=(1 << (SCALE - _BUCKET)) + 2)
+            upto = np.cumsum(per)  # how many bounds are at most the bucket's begin
+            self.table = upto - 1, np.concatenate([upto[1:], upto[-1:]]) - 1
+            self.halvings = int((self.table[1] - self.table[0]).max()).bit_length()
+        at = places >> _BUCKET
+        low, high = self.table[0][at], self.table[1][at]
+        for _ in range(self.halvings):
+            middle = (low + high + 1) >> 1
+            fits = self.cum[middle] <= places
+            low = np.where(fits, middle, low)
+            high = np.where(fits, high, middle - 1)
+        return low
 
     def predict(self, last2: np.ndarray, last: np.ndarray):
-        self.at2 = ((last2 * 40503 + last * 2654435 + (last2 >> 5)) & 0x3FFFF).astype(np.int32)
-        self.at1 = (last & 0xFFFF).astype(np.int32)
+        self.at2 = (last2 * 40503 + last * 2654435 + (last2 >> 5)) & 0x3FFFF
+        self.at1 = last & 0xFFFF
         a, b = self.two[self.at2], self.one[self.at1]
         self.p2, self.c2, self.p1, self.c1 = a >> 3, a & 7, b >> 3, b & 7
         w2, w1 = self.share[1][self.c2], self.share[0][self.c1]
-        w2[self.p2 == NONE] = 0
-        w1[(self.p1 == NONE) | (self.p1 == self.p2)] = 0
+        w2 *= self.p2 != NONE
+        w1 *= (self.p1 != NONE) & (self.p1 != self.p2)
         return w2, np.minimum(w1, MOST - w2)
 
     def learn(self, ids: np.ndarray) -> None:
         for k, (tab, at, p, c) in enumerate(((self.one, self.at1, self.p1, self.c1), (self.two, self.at2, self.p2, self.c2))):
             hit = p == ids
             if self.steps & 3 == 0:
-                known = p != NONE
-                self.tries[k] += np.bincount(c[known], minlength=8)
+                self.tries[k] += np.bincount(c[p != NONE], minlength=8)
                 self.hits[k] += np.bincount(c[hit], minlength=8)
-            swap = ~hit & (c == 0)
-            c = np.where(hit, np.minimum(c + 1, 7), np.maximum(c - 1, 0))
-            tab[at] = (np.where(swap, ids, p) << 3) | c
+            kept = np.where((c == 0) & ~hit, ids, p)
+            tab[at] = (kept << 3) | _NEXT[c + (hit << 3)]
         self.waiting.append(ids)
         self.steps += 1
         if self.steps & 3 == 1:
@@ -93,10 +112,10 @@ def _lanes(n: int) -> tuple[int, int]:
 
 def encode(ids: np.ndarray, vocab: int) -> bytes:
     """A block of all ids, which are below vocab (at most 2**20)."""
-    ids = np.ascontiguousarray(ids, dtype=np.int32)
+    ids = np.asarray(ids)
     n = len(ids)
     lanes, steps = _lanes(n)
-    grid = np.zeros(lanes * steps, dtype=np.int32)
+    grid = np.zeros(lanes * steps, dtype=np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     first = np.arange(lanes) * steps
@@ -104,7 +123,7 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
     low, rng = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << 56, dtype=np.int64)
     words, ptr = np.zeros((steps + 2, lanes), dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     column = np.arange(lanes)
-    last2, last = np.full(lanes, NONE, dtype=np.int32), np.full(lanes, NONE, dtype=np.int32)
+    last2, last = np.full(lanes, NONE, dtype=np.int64), np.full(lanes, NONE, dtype=np.int64)
 
     def emit(at: np.ndarray) -> None:
         words[ptr[at], at] = low[at] >> 28
@@ -121,9 +140,9 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
         lo = (mix.cum[s] * rest) >> SCALE
         size = ((mix.cum[s + 1] * rest) >> SCALE) - lo
         lo += w2 + w1
-        is2, is1 = (mix.p2 == s) & (w2 > 0), (mix.p1 == s) & (w1 > 0)
-        lo = np.where(is2, 0, np.where(is1, w2, lo))
-        size = np.where(is2, w2, np.where(is1, w1, size))
+        one, two = np.flatnonzero((mix.p1 == s) & (w1 > 0)), np.flatnonzero((mix.p2 == s) & (w2 > 0))
+        lo[one], size[one] = w2[one], w1[one]
+        lo[two], size[two] = 0, w2[two]
         r = rng[:k] >> SCALE
         low[:k] += lo * r
         rng[:k] = size * r
@@ -172,7 +191,7 @@ def decode(block: bytes) -> np.ndarray:
     mix = _Mixer(vocab)
     off, rng, at = (words[0] << 28) | words[1], np.full(lanes, 1 << 56, dtype=np.int64), np.full(lanes, 2, dtype=np.int64)
     out = np.zeros((steps, lanes), dtype=np.int32)
-    last2, last = np.full(lanes, NONE, dtype=np.int32), np.full(lanes, NONE, dtype=np.int32)
+    last2, last = np.full(lanes, NONE, dtype=np.int64), np.full(lanes, NONE, dtype=np.int64)
     top = len(words) - 1
     for t in range(steps):
         k = int(np.searchsorted(first, n - t))
@@ -183,15 +202,13 @@ def decode(block: bytes) -> np.ndarray:
         v = np.minimum(off[:k] // r, (1 << SCALE) - 1)
         rest = (1 << SCALE) - w2 - w1
         u = np.maximum(v - w2 - w1, 0)
-        s = np.searchsorted(mix.cum, (((u + 1) << SCALE) - 1) // rest, side="right").astype(np.int32) - 1
+        s = mix.find((((u + 1) << SCALE) - 1) // rest)
         lo = (mix.cum[s] * rest) >> SCALE
         size = ((mix.cum[s + 1] * rest) >> SCALE) - lo
         lo += w2 + w1
-        is2 = v < w2
-        is1 = ~is2 & (v < w2 + w1)
-        s = np.where(is2, mix.p2, np.where(is1, mix.p1, s))
-        lo = np.where(is2, 0, np.where(is1, w2, lo))
-        size = np.where(is2, w2, np.where(is1, w1, size))
+        one, two = np.flatnonzero(v < w2 + w1), np.flatnonzero(v < w2)
+        s[one], lo[one], size[one] = mix.p1[one], w2[one], w1[one]
+        s[two], lo[two], size[two] = mix.p2[two], 0, w2[two]
         off[:k] -= lo * r
         rng[:k] = size * r
         small = np.flatnonzero(rng[:k] < 1 << 28)

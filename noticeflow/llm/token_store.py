@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import short_batches, shared_path, shuffle_partitions
 
-BLOCK_IDS, CACHE_WORDS, NULL_ID = 1 << 19, 600_000, -(1 << 63)
+BLOCK_IDS, CACHE_WORDS, NULL_ID = 1 << 19, 1_000_000, -(1 << 63)
+MARKS = ".,;:!?"
 _SCHEMA = "part int, ids_before long, n_ids long, docs binary, coded binary, crc long"
 
 
 class WordEncoder:
-    """The tokenizers library's ids, word by word: the tokenizer never joins text across white space, so words
-    that came before need not be encoded again. The library encodes every new word; the memory is bounded."""
+    """The tokenizers library's ids, word by word: the tokenizer lower-cases and never joins text across white space, so
+    words that came before need not be encoded again. The library encodes every new word, many in one call; a letter word
+    with a punctuation mark after it is the word and the mark. The memory is bounded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,15 +43,45 @@ class WordEncoder:
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        new = list({w for w in words if w not in self.known})
-        if new:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        words = (data if b"<|" in data else data.lower()).split()  # special tokens are in lower case already
+        found = list(map(self.known.get, words))
+        if not all(found):
+            new = [i for i, x in enumerate(found) if x is None]
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+            self._learn({words[i] for i in new})
+            for i in new:
+                found[i] = self.known[words[i]]
+        return b"".join(found)
+
+    def _learn(self, new: set[bytes]) -> None:
+        marked: dict[bytes, tuple[bytes, bytes]] = {}
+        letters, others = set(), []
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            if s.isalpha():
+                letters.add(w)
+            elif s[-1] in MARKS and s[:-1].isalpha() and s[:-1].lower().isalpha() and "Σ" not in s:
+                marked[w] = base, mark = w[:-1], w[-1:]
+                if base not in self.known:
+                    letters.add(base)
+                if mark not in self.known:
+                    others.append(mark)
+            else:
+                others.append(w)
+        for w, e in zip(others, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in others], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if letters:
+            spelled = [w.decode("utf-8", "replace") for w in letters]
+            found = self.tokenizer.encode(" ".join(spelled), add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            begins = np.cumsum([0, *(len(s) + 1 for s in spelled)])
+            cuts = np.searchsorted([o[0] for o in found.offsets], begins).tolist()
+            for w, x, y in zip(letters, cuts, cuts[1:], strict=False):
+                self.known[w] = ids[x:y].tobytes()
+        for w, (base, mark) in marked.items():
+            self.known[w] = self.known[base] + self.known[mark]
 
 
 @functools.lru_cache(maxsize=1)
