@@ -17,6 +17,8 @@ from .notices import N
 S = "fx_sources"
 #: Records on a made page.
 PER_PAGE = 40
+#: Start pages of a source: with three links a page, two levels make 3 + 9 + 27 pages, above the bound of 24.
+SEEDS = 3
 
 
 def _pages(spark, d) -> DataFrame:
@@ -85,7 +87,8 @@ def _edges(spark, d) -> DataFrame:
 
 @query("expand_frontier")
 def expand_frontier(spark, d):
-    seeds = _pages(spark, d).where("page_id % 10 = 0").select((F.col("page_id") % 5).alias("source_id"), "url")
+    """Every page is a start page; neighbours by number share a source, so sources grow with the pages."""
+    seeds = _pages(spark, d).select(F.floor(F.col("page_id") / SEEDS).alias("source_id"), "url")
     return frontier.expand_frontier(seeds, _edges(spark, d))
 
 
