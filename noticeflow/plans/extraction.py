@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, text, urls
+from ..functions import dates, urls
 from ..operators import frontier
 from ..operators.snapshot import scratch
 from ..sources import pages as html
@@ -55,8 +55,7 @@ def html_detail(spark, d):
 @query("context_links")
 def context_links(spark, d):
     """Links whose surroundings have a word, whatever their own label."""
-    links = html.elements(_pages(spark, d)).where("kind = 'link'")
-    return links.where(text.normalize(F.col("ancestor_text")).contains("the")).select("page_id", "idx", "href", "text")
+    return html.context_links(_pages(spark, d), ["the"])
 
 
 def _links(spark, d) -> DataFrame:

@@ -8,20 +8,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain
+
 # Elements whose text isn't read, that hold records, that name them, and that have no end tag.
 DROPPED = ("script", "style", "noscript", "nav", "footer")
 CONTAINERS = ("article", "li", "tr", "section", "dl")
 HEADINGS = ("h1", "h2", "h3", "h4", "strong", "a")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr")
-DEPTH, ANCESTOR_CHARS = 64, 400
+DEPTH = 64
+#: The surroundings of a link: so many ancestors, up to the one that brings the text above so many characters.
+ANCESTORS, CONTEXT_CHARS = 4, 2500
 BATCH_ROWS = 256
 
 
 class _Reader(HTMLParser):
     """Elements in page order: [tag, class, href, rel, parent, text parts]."""
 
-    def __init__(self):
+    def __init__(self, dropped=DROPPED):
         super().__init__(convert_charrefs=True)
+        self.dropped = dropped
         self.elements: list[list] = []
         self.open: list[int] = []
         self.silent = 0
@@ -33,7 +38,7 @@ class _Reader(HTMLParser):
         self.elements.append([tag, a.get("class") or "", a.get("href"), a.get("rel") or "", self.open[-1] if self.open else -1, []])
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(len(self.elements) - 1)
-            self.silent += tag in DROPPED
+            self.silent += tag in self.dropped
 
     def _close_same(self, tag):
         stop = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr",), "th": ("tr",), "p": ("div", "article", "section", "td", "li")}[tag]
@@ -47,7 +52,7 @@ class _Reader(HTMLParser):
 
     def _pop(self, k):
         for i in self.open[k:]:
-            self.silent -= self.elements[i][0] in DROPPED
+            self.silent -= self.elements[i][0] in self.dropped
         del self.open[k:]
 
     def handle_endtag(self, tag):
@@ -79,10 +84,9 @@ def read(html: str | None) -> tuple[list[dict], str, str]:
         for p in _ancestors(found, i):
             kids.setdefault(p, []).append(i)
     for i, (tag, cls, href, rel, _, _) in enumerate(found):
-        base = {"idx": i, "tag": tag, "cls": cls, "text": texts[i], "href": None, "heading": None, "rel": rel, "cells": None, "ancestor_text": None, "kind": None}
+        base = {"idx": i, "tag": tag, "cls": cls, "text": texts[i], "href": None, "heading": None, "rel": rel, "cells": None, "kind": None}
         if tag == "a" and href is not None:
-            above = [texts[p] for p in _ancestors(found, i)[:4]]
-            rows.append(base | {"kind": "link", "href": href, "ancestor_text": max(above, key=len, default="")[:ANCESTOR_CHARS]})
+            rows.append(base | {"kind": "link", "href": href})
         if tag in CONTAINERS:
             inside = kids.get(i, [])
             heading = next((texts[k] for h in HEADINGS for k in inside if found[k][0] == h and texts[k]), None)
@@ -101,8 +105,59 @@ def _ancestors(found: list[list], i: int) -> list[int]:
     return out
 
 
-_ROW = "kind string, idx int, tag string, cls string, text string, href string, heading string, rel string, cells array<string>, ancestor_text string"
-_ARROW = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("idx", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("text", pa.string()), ("href", pa.string()), ("heading", pa.string()), ("rel", pa.string()), ("cells", pa.list_(pa.string())), ("ancestor_text", pa.string())])
+_ROW = "kind string, idx int, tag string, cls string, text string, href string, heading string, rel string, cells array<string>"
+_ARROW = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("idx", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("text", pa.string()), ("href", pa.string()), ("heading", pa.string()), ("rel", pa.string()), ("cells", pa.list_(pa.string()))])
+
+
+_APART = str.maketrans({k: " " for k in range(128) if not chr(k).isalnum()})
+
+
+def _plain(text: str) -> str:
+    return " ".join(text.lower().translate(_APART).split()) if text.isascii() else plain(text)
+
+
+def linked(html: str | None, terms: list[str]) -> list[tuple[int, str, str]]:
+    """(idx, href, text) of a page's links whose surroundings hold one of the normalised terms: the link's own text and the
+    whole text of each ancestor below body (menus and footers too), where the climb ends as CONTEXT_CHARS and ANCESTORS say."""
+    reader = _Reader(("script", "style"))
+    reader.feed(html or "")
+    reader.close()
+    found = reader.elements
+    texts: dict[int, str] = {}
+    normal: dict[int, str] = {}
+    out = []
+    for i, (tag, _, href, _, _, _) in enumerate(found):
+        if tag != "a" or href is None:
+            continue
+        chain, size = [], -1
+        for p in [i, *_ancestors(found, i)[:ANCESTORS]]:
+            if found[p][0] in ("body", "html"):
+                break
+            if p not in texts:
+                texts[p] = _words(found[p][5])
+                normal[p] = _plain(texts[p])
+            chain.append(normal[p])
+            size += len(texts[p]) + 1
+            if p != i and size > CONTEXT_CHARS:
+                break
+        context = " ".join(c for c in chain if c)
+        if any(t in context for t in terms):
+            out.append((i, href, texts[i]))
+    return out
+
+
+def context_links(pages: DataFrame, terms) -> DataFrame:
+    """(page_id, idx, href, text) of the links of pages (page_id, html) whose surroundings hold one of the terms. The words
+    are tested inside the Arrow job, as the surroundings of all links of a page are many times the page."""
+    terms = [plain(t) for t in terms]
+
+    def found(batches):
+        for batch in batches:
+            rows = [(page_id, *r) for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in linked(html, terms)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], ["page_id", "idx", "href", "text"])
+
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(found, "page_id long, idx int, href string, text string")
 
 
 def _elements(batches):
@@ -120,7 +175,7 @@ def _details(batches):
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, idx, tag, cls, text, href, heading, rel, cells, ancestor_text) of pages (page_id, html)."""
+    """(page_id, kind, idx, tag, cls, text, href, heading, rel, cells) of pages (page_id, html)."""
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_elements, f"page_id long, {_ROW}")
 
