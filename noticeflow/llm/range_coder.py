@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 
 LANES, RUN, SCALE = 4096, 64, 24
-NONE = 0xFFFFF
+NONE = 0xFFFFF  # no id: a vocabulary has fewer
 #: Predictions get seven eighths of the interval at most; an id has so much of the order-0 interval at least, which leaves
 #: every id at least 1 of the rest.
 MOST, LEAST = 7 << (SCALE - 3), 8
@@ -70,13 +70,16 @@ class _Mixer:
             self.table = upto - 1, np.concatenate([upto[1:], upto[-1:]]) - 1
             self.halvings = int((self.table[1] - self.table[0]).max()).bit_length()
         at = places >> _BUCKET
-        low, high = self.table[0][at], self.table[1][at]
+        found, last = self.table[0][at], self.table[1][at]
+        open_ = np.flatnonzero(found != last)  # most buckets lie in one interval
+        low, high, places = found[open_], last[open_], places[open_]
         for _ in range(self.halvings):
             middle = (low + high + 1) >> 1
             fits = self.cum[middle] <= places
             low = np.where(fits, middle, low)
             high = np.where(fits, high, middle - 1)
-        return low
+        found[open_] = low
+        return found
 
     def predict(self, last2: np.ndarray, last: np.ndarray):
         self.at2 = (last2 * 40503 + last * 2654435 + (last2 >> 5)) & 0x3FFFF
@@ -111,7 +114,9 @@ def _lanes(n: int) -> tuple[int, int]:
 
 
 def encode(ids: np.ndarray, vocab: int) -> bytes:
-    """A block of all ids, which are below vocab (at most 2**20)."""
+    """A block of all ids, which are below vocab (at most NONE)."""
+    if vocab > NONE:
+        raise ValueError("the vocabulary is too large")
     ids = np.asarray(ids)
     n = len(ids)
     lanes, steps = _lanes(n)
@@ -202,7 +207,7 @@ def decode(block: bytes) -> np.ndarray:
         v = np.minimum(off[:k] // r, (1 << SCALE) - 1)
         rest = (1 << SCALE) - w2 - w1
         u = np.maximum(v - w2 - w1, 0)
-        s = mix.find((((u + 1) << SCALE) - 1) // rest)
+        s = mix.find(((((u + 1) << SCALE) - 1) / rest).astype(np.int64))  # below 2**53: exact
         lo = (mix.cum[s] * rest) >> SCALE
         size = ((mix.cum[s + 1] * rest) >> SCALE) - lo
         lo += w2 + w1

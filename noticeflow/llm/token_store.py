@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import os
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,21 +25,31 @@ from . import range_coder
 from .common import short_batches, shared_path, shuffle_partitions
 
 BLOCK_IDS, CACHE_WORDS, NULL_ID = 1 << 19, 1_000_000, -(1 << 63)
-MARKS = ".,;:!?"
+MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 _SCHEMA = "part int, ids_before long, n_ids long, docs binary, coded binary, crc long"
 
 
 class WordEncoder:
     """The tokenizers library's ids, word by word: the tokenizer lower-cases and never joins text across white space, so
-    words that came before need not be encoded again. The library encodes every new word, many in one call; a letter word
-    with a punctuation mark after it is the word and the mark. The memory is bounded."""
+    words that came before need not be encoded again. New words go to the library, many in one call; words of letters go in
+    lower case to a copy of the tokenizer without its normalizer and pattern, which do no more to them, and are told apart by
+    the tokens that end a word. A letter word with a punctuation mark after it is the word and the mark. The memory is
+    bounded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.vocab, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        if not self.ends.any():
+            raise ValueError("the tokenizer doesn't mark the ends of words")
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: str | None) -> bytes:
@@ -56,34 +67,48 @@ class WordEncoder:
         return b"".join(found)
 
     def _learn(self, new: set[bytes]) -> None:
+        spelled: dict[bytes, bytes] = {}  # words of letters as the library is to see them
         marked: dict[bytes, tuple[bytes, bytes]] = {}
-        letters, others = set(), []
+        others = set()
         for w in new:
-            s = w.decode("utf-8", "replace")
-            if s.isalpha():
-                letters.add(w)
-            elif s[-1] in MARKS and s[:-1].isalpha() and s[:-1].lower().isalpha() and "Σ" not in s:
+            if (low := _letters(w)) is not None:
+                spelled[w] = low
+            elif w[-1:] in MARKS and (low := _letters(w[:-1])) is not None:
                 marked[w] = base, mark = w[:-1], w[-1:]
                 if base not in self.known:
-                    letters.add(base)
+                    spelled[base] = low
                 if mark not in self.known:
-                    others.append(mark)
+                    others.add(mark)
             else:
-                others.append(w)
-        for w, e in zip(others, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in others], add_special_tokens=False), strict=True):
+                others.add(w)
+        for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if letters:
-            spelled = [w.decode("utf-8", "replace") for w in letters]
-            found = self.tokenizer.encode(" ".join(spelled), add_special_tokens=False)
+        if spelled:
+            (found,) = self.plain.encode_batch_fast([b" ".join(spelled.values()).decode("latin-1").translate(_BYTE_LETTERS)], add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
-            begins = np.cumsum([0, *(len(s) + 1 for s in spelled)])
-            cuts = np.searchsorted([o[0] for o in found.offsets], begins).tolist()
-            for w, x, y in zip(letters, cuts, cuts[1:], strict=False):
-                self.known[w] = ids[x:y].tobytes()
+            data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.known |= zip(spelled, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True)
         for w, (base, mark) in marked.items():
             self.known[w] = self.known[base] + self.known[mark]
 
 
+#: The letter that byte-level tokenizers write for a byte: itself where Latin-1 has a visible sign, else one from 256 on in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(_HIDDEN) if b != 32}
+
+
+def _letters(word: bytes) -> bytes | None:
+    """The word in lower case if the tokenizer's normalizer does no more to it than that: letters of the oldest Unicode
+    blocks, composed, without those whose lower case depends on their place or has several characters. None otherwise."""
+    if word.isalpha():  # ASCII
+        return word.lower()
+    s = word.decode("utf-8", "replace")
+    if not s.isalpha() or max(s) >= "\u0500" or "Σ" in s or not unicodedata.is_normalized("NFC", s):
+        return None
+    low = s.lower()
+    return low.encode() if len(low) == len(s) else None
+
+
 @functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> WordEncoder:
     """One for each Python worker, which outlives its tasks."""
@@ -143,7 +168,7 @@ def _digests(batches):
     for batch in batches:
         for row in batch.to_pylist():
             start = row["start"]
-            out = {"doc_id": [], "doc_start": [], "n_tokens": [], "ids_crc32": []}
+            out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
             for doc_id, ids in read_blocks(row["docs"], row["coded"], row["crc"]):
                 for column, value in zip(out.values(), (doc_id, start, len(ids), zlib.crc32(ids.tobytes())), strict=True):
                     column.append(value)
@@ -165,7 +190,7 @@ def read_ids(spark, path: str) -> DataFrame:
 
 
 def read_digests(spark, path: str) -> DataFrame:
-    """(doc_id, doc_start, n_tokens, ids_crc32) of a store: a document's place among all ids and its checksum.
+    """(doc_id, start, n_tokens, ids_crc32) of a store: a document's place among all ids and its checksum.
 
     The sums over partitions are a row for each partition, however many documents there are."""
     from pyspark.sql import Window
@@ -175,7 +200,7 @@ def read_digests(spark, path: str) -> DataFrame:
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("part_start"))
     blocks = stored.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("ids_before")).alias("start"), "docs", "coded", "crc")
-    return blocks.mapInArrow(_digests, "doc_id long, doc_start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
