@@ -1,17 +1,21 @@
-"""Quality rules: base rules on words, then the perplexity of modified Kneser-Ney models per language.
+"""Quality rules: base rules on words, then the perplexity under the modified Kneser-Ney model of a document's language.
 
-The models' n-grams are characters (order 4, in lower case): every task counts those of its texts, Spark sums
+The models' n-grams are characters (order 6, in lower case): every task counts those of its texts, Spark sums
 the counts of each language over all documents and makes the discounts, continuation counts, probabilities
-and back-off weights by grouping and joining. What is stored is each n-gram's best probability over the
-languages, so that a passage quoted from another language is not held against a document: sorted arrays of
-hashes with their log probabilities. Hashes have HASH_BITS bits, so the arrays have a proven size whatever
-the corpus (n-grams that share a hash share the larger probability) and are one broadcast.
+and back-off weights by grouping and joining. In tables an n-gram is exact: two longs hold its characters,
+21 bits each. To score, the models are sorted arrays of the 64-bit hashes of (language, order, n-gram) with
+their log probabilities and back-off weights, so every document is scored under its own language's model alone.
+
+The tables grow with the corpus. Up to MODEL_ROWS rows the arrays are one broadcast. Beyond that texts are
+dealt into chunks, each chunk asks for the n-grams that it holds, the model's rows are joined to what is
+asked, and chunk and rows meet in one group (score_by_chunks): the same scores, with shuffles for a broadcast.
 
 A document's score is the mean cost of its words in nats, those without a letter or digit added to the rest,
 no word above WORD_CAP (a key or a number is one odd word, not an odd document). Each language has a band
-around the scores of its documents: the median, WIDE times the distance between the quartiles (LEAST_WIDTH at
-least) to both sides, and ODD / n_words more, as a few odd words weigh much in a short text. Outside, documents
-are rejected.
+around the scores of its documents: to both sides of the median it reaches as far as the fence for far outliers,
+three interquartile ranges beyond a quartile, the range taken as twice the distance from the lower quartile to the
+median, which a third of junk doesn't stretch much (LEAST_WIDTH at least), and ODD_WORDS words at the cap more, as
+a few odd words weigh much in a short text. Outside, documents are rejected. No label is read.
 
 A null language is a language of its own. Null texts count as empty and fail the base rules. A document that
 fails the base rules isn't scored against the band and takes no part in it, but its text is counted. Every
@@ -23,19 +27,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, short_batches, with_side
+from .common import ceil_div, saved, short_batches, with_side
 
-ORDER, HASH_BITS = 4, 24
-WIDE, LEAST_WIDTH, ODD, WORD_CAP, BIN = 6.0, 1.0, 45.0, 25.0, 0.001
+ORDER, CHAR_BITS, HALF = 6, 21, 3
+#: Rows of the models that are broadcast (16 bytes each), rows of texts in a chunk beyond that, rows that a task holds to sum.
+MODEL_ROWS, CHUNK_CHARS, HELD_ROWS = 1 << 23, 16_000_000, 1_500_000
+FENCE, LEAST_WIDTH, ODD_WORDS, WORD_CAP, DIGITS = 3.0, 1.0, 2, 25.0, 3
 LEAST_WORDS, REPEAT_PERCENT, WINDOW_WORDS = 10, 20, 5
 START, NO_LANGUAGE = 2, ""
 WHITE = " \t\n\r\x0b\x0c"
-_SYMBOLS = b"[#*$%&|<>]"
+#: Characters that count as symbols.
+_SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(b for b in range(256) if b not in _SYMBOLS)
 
 
@@ -72,30 +80,26 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < LEAST_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' characters, one after the other: the packed 4-grams that end there (16 bits a character, each text
-    after ORDER - 1 start marks) and the characters; and each text's length."""
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' characters, one after the other: the ORDER-gram that ends there as two longs (its first and its last
+    HALF characters; each text has ORDER - 1 start marks before it) and the character; and each text's length."""
     pad = chr(START) * (ORDER - 1)
     lowered = [(t or "").lower() for t in texts]
     lengths = np.array([len(t) for t in lowered], dtype=np.int64)
-    codes = np.frombuffer("".join(pad + t for t in lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = np.minimum(codes, 0xFFFF).astype(np.uint64)
-    if len(codes) < ORDER:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), lengths
-    n = len(codes) - ORDER + 1
-    keys = codes[:n].copy()
-    for k in range(1, ORDER):
-        keys <<= np.uint64(16)
-        keys |= codes[k : k + n]
+    codes = np.frombuffer("".join(pad + t for t in lowered).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     real = np.ones(len(codes), dtype=bool)
     starts = np.cumsum([0, *(lengths + ORDER - 1)])[:-1]
     for k in range(ORDER - 1):
         real[starts + k] = False
-    return keys[real[ORDER - 1 :]].view(np.int64), codes[real].astype(np.int64), lengths
+    three = codes.copy()
+    for k in range(1, HALF):
+        three[k:] |= codes[:-k] << CHAR_BITS * k
+    at = np.flatnonzero(real)
+    return three[at - HALF], three[at], codes[at], lengths
 
 
-_ALNUM = np.array([chr(i).isalnum() for i in range(1 << 16)])
-_WHITE = np.zeros(1 << 16, dtype=bool)
+_ALNUM = np.array([chr(i).isalnum() for i in range(0x110000)])
+_WHITE = np.zeros(0x110000, dtype=bool)
 _WHITE[[ord(c) for c in WHITE]] = True
 
 
@@ -114,89 +118,112 @@ def word_costs(costs: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.
     return np.bincount(text, weights=capped, minlength=len(lengths)) / np.maximum(1, np.bincount(text, weights=spoken, minlength=len(lengths)))
 
 
+def _distinct(hi: np.ndarray, lo: np.ndarray, weights: np.ndarray | None = None):
+    """The different pairs with how often each comes (or the sums of the weights)."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    first = np.ones(len(hi), dtype=bool)
+    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    at = np.flatnonzero(first)
+    if not len(at):
+        return hi, lo, np.zeros(0, dtype=np.int64)
+    return hi[at], lo[at], np.add.reduceat(np.ones(len(hi), dtype=np.int64) if weights is None else weights[order], at)
+
+
+def _by_language(langs, texts) -> dict[str, list[int]]:
+    by: dict[str, list[int]] = {}
+    for k, lang in enumerate(langs):
+        by.setdefault(lang or NO_LANGUAGE, []).append(k)
+    return by
+
+
 def _count(batches):
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[str, list[tuple]] = {}
     size = 0
 
     def joined(parts):
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at.ravel(), weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+        return _distinct(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
 
     for batch in batches:
-        by: dict[str, list[str]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang or NO_LANGUAGE, []).append(text)
-        for lang, texts in by.items():
-            keys, counts = np.unique(grams(texts)[0], return_counts=True)
-            held.setdefault(lang, []).append((keys, counts))
-            size += len(keys)
-        if size > 2_000_000:
+        texts = batch.column(1).to_pylist()
+        for lang, rows in _by_language(batch.column(0).to_pylist(), texts).items():
+            hi, lo, _, _ = grams([texts[k] for k in rows])
+            held.setdefault(lang, []).append(_distinct(hi, lo))
+            size += len(held[lang][-1][0])
+        if size > HELD_ROWS:
             held = {lang: [joined(parts)] for lang, parts in held.items()}
             size = sum(len(p[0][0]) for p in held.values())
-            if size > 1_000_000:  # what doesn't shrink is sent on
+            if size > HELD_ROWS // 2:  # what doesn't shrink is sent on
                 yield from (_counted(lang, *p[0]) for lang, p in held.items())
                 held, size = {}, 0
     for lang, parts in held.items():
         yield _counted(lang, *joined(parts))
 
 
-def _counted(lang: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["lang", "key", "c"])
+def _counted(lang: str, hi: np.ndarray, lo: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(hi), pa.string()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(counts, pa.int64())], ["lang", "hi", "lo", "c"])
 
 
 def count_grams(docs: DataFrame, text="text", lang="lang") -> DataFrame:
-    """(lang, key, c) over all documents."""
+    """(lang, hi, lo, c) over all documents."""
     short_batches(docs.sparkSession)
-    return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(_count, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(_count, "lang string, hi long, lo long, c long").groupBy("lang", "hi", "lo").agg(F.sum("c").alias("c"))
 
 
-def _suffix(key, order: int):
-    return key.bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1).cast("long"))
+def _mask(chars: int) -> Column:
+    return F.lit((1 << CHAR_BITS * chars) - 1).cast("long")
 
 
+def _last(n: int) -> list[Column]:
+    """hi, lo of an n-gram's last n - 1 characters, as columns of their own."""
+    hi = F.col("hi").bitwiseAND(_mask(n - 1 - HALF)) if n - 1 > HALF else F.lit(0).cast("long")
+    lo = F.col("lo") if n - 1 >= HALF else F.col("lo").bitwiseAND(_mask(n - 1))
+    return [hi.alias("low_hi"), lo.alias("low_lo")]
+
+
+def _first(n: int) -> list[Column]:
+    """hi, lo of an n-gram's first n - 1 characters."""
+    carried = F.shiftleft(F.col("hi").bitwiseAND(_mask(1)), CHAR_BITS * (HALF - 1))
+    return [F.shiftrightunsigned("hi", CHAR_BITS).alias("ctx_hi"), F.shiftrightunsigned("lo", CHAR_BITS).bitwiseOR(carried).alias("ctx_lo")]
+
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, n, key, logp, back): for each n-gram of order n its log probability, and the log back-off weight of
-    its use as a context (null if it is none)."""
-    levels = {ORDER: counts}
+    """(lang, n, hi, lo, logp, back): for each n-gram of order n its log probability (null if the corpus has it once: all that
+    is known of it then is the place that is to be scored, so it is left out and its place backs off), and the log back-off
+    weight of its use as a context (null if it is none)."""
+    levels = {ORDER: counts.withColumn("r", F.col("c"))}
     for n in range(ORDER - 1, 0, -1):
-        levels[n] = saved(levels[n + 1].groupBy("lang", _suffix(F.col("key"), n + 1).alias("key")).agg(F.count("*").alias("c")), f"kn-{n}")
+        below = levels[n + 1].select("lang", "r", *_last(n + 1)).groupBy("lang", F.col("low_hi").alias("hi"), F.col("low_lo").alias("lo")).agg(F.count("*").alias("c"), F.sum("r").alias("r"))
+        levels[n] = saved(below, f"kn-{n}")
     lower = None
-    out = None
-    weights: dict[int, DataFrame] = {}
+    out, backs = None, None
     for n in range(1, ORDER + 1):
         level = levels[n]
-        of = level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        of = level.groupBy("lang").agg(F.count("*").alias("v"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         ds = [F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0)))), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
-        of = of.select("lang", *ds)
-        level = with_side(level, of, "lang", name="kn-discounts").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = F.shiftrightunsigned("key", 16) if n > 1 else F.lit(0).cast("long")
-        level = level.withColumn("ctx", context)
-        ctx = saved(level.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g")), f"kn-ctx-{n}")
-        weights[n] = ctx
-        joined = level.hint("merge").join(ctx, ["lang", "ctx"]).select("lang", "key", _suffix(F.col("key"), n).alias("low"), (F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / F.col("total")).alias("own"), "g")
+        level = with_side(level, of.select("lang", "v", *ds), "lang", name="kn-discounts").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        level = level.select("lang", "hi", "lo", "c", "r", "d", "v", *_first(n), *_last(n))
+        ctx = saved(level.groupBy("lang", "ctx_hi", "ctx_lo").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g")), f"kn-ctx-{n}")
+        joined = level.hint("merge").join(ctx, ["lang", "ctx_hi", "ctx_lo"]).withColumn("own", F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / F.col("total"))
         if lower is None:
-            size = level.groupBy("lang").agg(F.count("*").alias("v"))
-            probs = with_side(joined, size, "lang", name="kn-sizes").select("lang", "key", (F.col("own") + F.col("g") / (F.col("v") + 1)).alias("p"))
+            probs = joined.select("lang", "hi", "lo", "r", (F.col("own") + F.col("g") / (F.col("v") + 1)).alias("p"))
         else:
-            probs = joined.hint("merge").join(lower.select("lang", F.col("key").alias("low"), F.col("p").alias("q")), ["lang", "low"]).select("lang", "key", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
+            probs = joined.hint("merge").join(lower.select("lang", F.col("hi").alias("low_hi"), F.col("lo").alias("low_lo"), F.col("p").alias("q")), ["lang", "low_hi", "low_lo"]).select("lang", "hi", "lo", "r", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
+            rows = ctx.select("lang", F.lit(n - 1).alias("n"), F.col("ctx_hi").alias("hi"), F.col("ctx_lo").alias("lo"), F.log("g").alias("back"))
+            backs = rows if backs is None else backs.unionByName(rows)
         lower = saved(probs, f"kn-p-{n}")
-        rows = lower.select("lang", F.lit(n).alias("n"), "key", F.log("p").alias("logp"))
+        rows = lower.where("r > 1").select("lang", F.lit(n).alias("n"), "hi", "lo", F.log("p").alias("logp"))
         out = rows if out is None else out.unionByName(rows)
-    backs = None
-    for n in range(2, ORDER + 1):
-        rows = weights[n].select("lang", F.lit(n - 1).alias("n"), F.col("ctx").alias("key"), F.log("g").alias("back"))
-        backs = rows if backs is None else backs.unionByName(rows)
-    return out.hint("merge").join(backs, ["lang", "n", "key"], "full_outer")
+    return out.hint("merge").join(backs, ["lang", "n", "hi", "lo"], "full_outer")
 
 
-def _hash_long(keys: np.ndarray, seed: int) -> np.ndarray:
-    """Spark's xxhash64 of a long under a seed."""
+def _hash_long(keys: np.ndarray, seed) -> np.ndarray:
+    """Spark's xxhash64 of a long under a seed (one or one for each)."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
     with np.errstate(over="ignore"):
-        h = np.uint64(seed) + p5 + np.uint64(8)
+        h = seed + p5 + np.uint64(8)
         h = h ^ (rot(keys.view(np.uint64) * p2, 31) * p1)
         h = rot(h, 27) * p1 + p4
         h = (h ^ (h >> np.uint64(33))) * p2
@@ -204,59 +231,90 @@ def _hash_long(keys: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def hashes(keys: np.ndarray, n: int) -> np.ndarray:
-    return _hash_long(keys, xxhash.xxh64_intdigest(str(n).encode(), 42)) & np.uint64((1 << HASH_BITS) - 1)
+def hashes(lang: str, n: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return _hash_long(lo, _hash_long(hi, np.uint64(xxhash.xxh64_intdigest(f"{n} {lang}".encode(), 42)))).view(np.int64)
+
+
+def hash_column() -> Column:
+    return F.xxhash64(F.concat_ws(" ", F.col("n").cast("string"), "lang"), "hi", "lo")
 
 
 @dataclass
 class SortedModel:
-    """Sorted hashes with what belongs to each; at most 2**HASH_BITS entries."""
+    """Sorted hashes of n-grams with what belongs to each."""
 
     keys: np.ndarray
     logp: np.ndarray
     back: np.ndarray
-    unseen: float = -12.0  # nats, for characters that no document has
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """Log probabilities of packed n-grams of the highest order."""
-        out, weight = np.empty(len(keys)), np.zeros(len(keys))
-        left = np.arange(len(keys))
-        keys = keys.view(np.uint64)
-        for n in range(ORDER, 0, -1):
-            part = keys[left] & np.uint64((1 << 16 * n) - 1) if n < ORDER else keys
-            at, found = self._find(part.view(np.int64), n)
+    unseen: float = -12.0  # nats, for characters that no document of the language has
+
+    @classmethod
+    def of(cls, keys: np.ndarray, logp: np.ndarray, back: np.ndarray) -> SortedModel:
+        order = np.argsort(keys)
+        return cls(keys[order], logp.astype(np.float32)[order], back.astype(np.float32)[order])
+
+    def score(self, lang: str, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Log probabilities of n-grams of the highest order."""
+        out, weight = np.empty(len(hi)), np.zeros(len(hi))
+        left = np.arange(len(hi))
+        for n, hi, lo in parts(hi, lo):
+            hi, lo = hi[left], lo[left]
+            at, found = self._find(hashes(lang, n, hi, lo))
             found &= np.isfinite(self.logp[at])
             hit = left[found]
             out[hit] = weight[hit] + self.logp[at[found]]
-            left, part = left[~found], part[~found]
+            left, hi, lo = left[~found], hi[~found], lo[~found]
             if not len(left):
                 return out
             if n > 1:
-                at, found = self._find((part >> np.uint64(16)).view(np.int64), n - 1)
+                at, found = self._find(hashes(lang, n - 1, *context(hi, lo)))
                 back = np.where(found, self.back[at], 0.0)
                 weight[left] += np.where(np.isfinite(back), back, 0.0)
         out[left] = weight[left] + self.unseen
         return out
 
-    def _find(self, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        wanted = hashes(keys, n).astype(np.uint32)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+        order = np.argsort(wanted)  # in order the search stays in the cache
+        at = np.empty(len(wanted), dtype=np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, wanted[order]), len(self.keys) - 1)
         return at, self.keys[at] == wanted
 
 
-def stored(model: DataFrame) -> SortedModel:
-    """The model as sorted arrays, at most 2**HASH_BITS entries of 12 bytes."""
-    h = F.xxhash64(F.col("n").cast("string"), "key").bitwiseAND(F.lit((1 << HASH_BITS) - 1).cast("long"))
-    rows = model.groupBy(h.cast("int").alias("h")).agg(F.max("logp").cast("float").alias("logp"), F.max("back").cast("float").alias("back")).toArrow()
-    keys = rows.column("h").to_numpy().astype(np.uint32)
-    order = np.argsort(keys)
-    column = lambda name: rows.column(name).to_numpy(zero_copy_only=False).astype(np.float32)[order]
-    empty = np.full(1, np.nan, dtype=np.float32)
-    if not len(keys):
-        return SortedModel(keys, empty, empty)
-    return SortedModel(keys[order], column("logp"), column("back"))
+def parts(hi: np.ndarray, lo: np.ndarray):
+    """(n, hi, lo) of the last n characters of n-grams, from ORDER down to 1."""
+    for n in range(ORDER, 0, -1):
+        yield n, hi & ((1 << CHAR_BITS * max(0, n - HALF)) - 1), lo & ((1 << CHAR_BITS * min(n, HALF)) - 1)
+
+
+def context(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An n-gram without its last character."""
+    return hi >> CHAR_BITS, (lo >> CHAR_BITS) | ((hi & ((1 << CHAR_BITS) - 1)) << CHAR_BITS * (HALF - 1))
+
+
+def asked(hi: np.ndarray, lo: np.ndarray, lang: str) -> np.ndarray:
+    """The hashes of all that scoring these n-grams may look up."""
+    found = [hashes(lang, n, h, o) for n, h, o in parts(hi, lo)]
+    found += [hashes(lang, n - 1, *context(h, o)) for n, h, o in parts(hi, lo) if n > 1]
+    return np.unique(np.concatenate(found))
+
+
+_SPREAD = np.int64(-7046029254386353131)
+
+
+def scored_texts(model: SortedModel, langs: list[str | None], texts: list[str | None]) -> np.ndarray:
+    """Each text's score under its language; every different n-gram is looked up once."""
+    score = np.zeros(len(texts))
+    for lang, rows in _by_language(langs, texts).items():
+        hi, lo, codes, lengths = grams([texts[k] for k in rows])
+        _, first, of = np.unique(hi * _SPREAD + lo, return_index=True, return_inverse=True)
+        if (hi[first][of] == hi).all() and (lo[first][of] == lo).all():
+            costs = -model.score(lang, hi[first], lo[first])[of]
+        else:  # two n-grams have the same number
+            costs = -model.score(lang, hi, lo)
+        score[rows] = word_costs(costs, codes, lengths)
+    return np.round(score, 6)
 
 
 def _scorer(broadcast):
@@ -265,37 +323,71 @@ def _scorer(broadcast):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
-            keys, codes, lengths = grams(texts)
-            score = word_costs(-model.score(keys), codes, lengths)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(counts[:, k], pa.int64()) for k in range(5)), pa.array(np.round(score, 6), pa.float64())], ["doc_id", "lang", *COUNTS, "score"])
+            score = scored_texts(model, batch.column(1).to_pylist(), texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(counts[:, k], pa.int64()) for k in range(5)), pa.array(score, pa.float64())], ["doc_id", "lang", *COUNTS, "score"])
 
     return rows
 
 
+def _asks(batches):
+    for batch in batches:
+        texts, chunks = batch.column(2).to_pylist(), batch.column(1).to_numpy()
+        langs = batch.column(0).to_pylist()
+        for chunk in np.unique(chunks).tolist():
+            rows = [k for k, c in enumerate(chunks.tolist()) if c == chunk]
+            for lang, of in _by_language([langs[k] for k in rows], texts).items():
+                keys = asked(*grams([texts[rows[k]] for k in of])[:2], lang)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk), pa.int64()), pa.array(keys, pa.int64())], ["chunk", "h"])
+
+
+def _scored_chunk(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    model = SortedModel.of(found["h"].to_numpy(np.int64), found["logp"].to_numpy(float), found["back"].to_numpy(float))
+    texts = [t if isinstance(t, str) else None for t in docs["text"]]
+    counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
+    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"], **{c: counts[:, k] for k, c in enumerate(COUNTS)}, "score": scored_texts(model, docs["lang"].tolist(), texts)})
+
+
+def score_by_chunks(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """The scores without a broadcast; model: (h, logp, back)."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(ceil_div(chars, CHUNK_CHARS) or 1)))
+    dealt = saved(dealt, "kn-chunks")
+    asks = dealt.select("lang", "chunk", "text").mapInArrow(_asks, "chunk long, h long").distinct()
+    answers = saved(asks.hint("merge").join(model, "h"), "kn-answers")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored_chunk, SCORED)
+
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+SCORED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
 
 
 def bands(scores: DataFrame) -> DataFrame:
-    """(lang, middle, reach): from exact quartiles of the scores in bins of BIN nats."""
-    bins = scores.where("not base_failed").groupBy("lang", F.round(F.col("score") / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang").orderBy("bin")
-    upto = bins.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    at = {q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * BIN for q in (0.25, 0.5, 0.75)}
-    return upto.groupBy("lang").agg(at[0.5].alias("middle"), F.greatest(WIDE * (at[0.75] - at[0.25]), F.lit(LEAST_WIDTH)).alias("reach"))
+    """(lang, middle, reach): from exact quartiles of the scores, which have at most WORD_CAP * 10**DIGITS values."""
+    by = scores.where("not base_failed").groupBy("lang").agg(F.percentile(F.round("score", DIGITS), F.array(F.lit(0.25), F.lit(0.5))).alias("q"))
+    middle, low = F.get("q", 1), F.get("q", 0)
+    return by.select("lang", middle.alias("middle"), F.greatest((1 + 2 * FENCE) * (middle - low), F.lit(LEAST_WIDTH)).alias("reach"))
 
 
-def quality(docs: DataFrame, doc_id="doc_id", text="text", lang="lang") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity); the
-    perplexity is that of a word."""
+def scored(docs: DataFrame, doc_id="doc_id", text="text", lang="lang") -> DataFrame:
+    """(doc_id, lang, counts, score), one row for each row of docs."""
     spark = docs.sparkSession
     counts = saved(count_grams(docs, text, lang), "kn-counts")
-    model = stored(kneser_ney(counts))
+    model = saved(kneser_ney(counts).select(hash_column().alias("h"), F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")), "kn-model")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("text"))
-    scored = rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
+    if model.count() > MODEL_ROWS:
+        return score_by_chunks(rows, model)
+    table = model.toArrow()
+    arrays = SortedModel.of(table.column("h").to_numpy(), *(table.column(c).to_numpy(zero_copy_only=False) for c in ("logp", "back")))
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(arrays)), SCORED)
+
+
+def quality(docs: DataFrame, doc_id="doc_id", text="text", lang="lang") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity); the
+    perplexity is that of a word."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    scored = saved(scored.withColumn("base_failed", failed), "kn-scores")
-    judged = with_side(scored, bands(scored), "lang", "left", "kn-bands")
-    inside = F.coalesce(F.abs(F.col("score") - F.col("middle")) <= F.col("reach") + ODD / F.col("n_words"), F.lit(True))
+    scores = saved(scored(docs, doc_id, text, lang).withColumn("base_failed", failed), "kn-scores")
+    judged = with_side(scores, bands(scores), "lang", "left", "kn-bands")
+    inside = F.coalesce(F.abs(F.col("score") - F.col("middle")) <= F.col("reach") + ODD_WORDS * WORD_CAP / F.col("n_words"), F.lit(True))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.round(F.exp("score"), 3).alias("perplexity"))
 
 

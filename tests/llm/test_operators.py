@@ -3,9 +3,11 @@ clashing columns; and on empty tables."""
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -334,7 +336,7 @@ def brute_counts(text):
 def test_quality_base(docs, none):
     rng = random.Random(8)
     for _ in range(500):
-        s = "".join(rng.choice(["a", "b ", "c ", "\n", "#", "|", " ", "é ", "\x1c", "a b c d e "]) for _ in range(rng.randint(0, 60)))
+        s = "".join(rng.choice(["a", "b ", "c ", "\n", "#", "|", "[", "]", " ", "é ", "\x1c", "a b c d e "]) for _ in range(rng.randint(0, 60)))
         assert perplexity.base_counts(s) == brute_counts(s), s
     got = perplexity.quality(docs).collect()
     expected = sorted(((r[0], *brute_counts(r[1])) for r in corpus()), key=repr)
@@ -344,19 +346,76 @@ def test_quality_base(docs, none):
     assert perplexity.filter_quality(docs).columns == docs.columns
 
 
-def test_kneser_ney(spark):
-    """The probabilities after a context sum to one, and the stored model gives those of the tables."""
-    docs = spark.createDataFrame([(i, words(random.Random(i), 40), "en") for i in range(50)], "doc_id long, text string, lang string")
-    model = perplexity.kneser_ney(perplexity.count_grams(docs))
-    rows = model.where("logp is not null").collect()
-    stored = perplexity.stored(model)
-    four = [r for r in rows if r.n == 4]
-    assert np.allclose(stored.score(np.array([r.key for r in four])), [r.logp for r in four], atol=1e-4)
-    chars = np.array([r.key for r in rows if r.n == 1], dtype=np.int64)
-    for context in {r.key >> 16 for r in four}:
-        assert 0.97 < np.exp(stored.score((context << 16) | chars)).sum() < 1.001
-    unseen = stored.score(np.array([(ord("q") << 48) | (ord("q") << 32) | (ord("q") << 16) | ord("a")]))
-    assert -12 < unseen[0] < -0.5
+def brute_quality(rows):
+    """Scores and verdicts of (doc_id, text, lang) by modified Kneser-Ney over dictionaries."""
+    order, models = perplexity.ORDER, {}
+    pads = lambda t: "\x02" * (order - 1) + (t or "").lower()
+    for lang in {r[2] or "" for r in rows}:
+        raw = [Counter() for _ in range(order + 1)]
+        for _, t, own in rows:
+            if (own or "") == lang:
+                x = pads(t)
+                for k in range(order - 1, len(x)):
+                    for n in range(1, order + 1):
+                        raw[n][x[k - n + 1 : k + 1]] += 1
+        probs, backs = {"": None}, {}
+        for n in range(1, order + 1):
+            c = raw[n] if n == order else Counter(g[1:] for g in raw[n + 1])
+            of = [0, *(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))]
+            y = of[1] / (of[1] + 2 * of[2]) if of[1] + 2 * of[2] else 0
+            d = [0, *(max(0.05, min(k - 0.05, k - (k + 1) * y * of[k + 1] / of[k])) if of[k] and of[1] + 2 * of[2] else 0.5 * k for k in (1, 2, 3))]
+            total, lost = Counter(), Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                lost[g[:-1]] += d[min(v, 3)]
+            for g, v in c.items():
+                ctx = g[:-1]
+                probs[g] = max(0, v - d[min(v, 3)]) / total[ctx] + lost[ctx] / total[ctx] * (probs[g[1:]] if n > 1 else 1 / (len(c) + 1))
+            backs |= {ctx: lost[ctx] / total[ctx] for ctx in total}
+        models[lang] = raw, probs, backs
+    out = {}
+    for i, t, lang in rows:
+        raw, probs, backs = models[lang or ""]
+        x, costs = pads(t), []
+        for k in range(order - 1, len(x)):
+            weight = 0.0
+            for n in range(order, 0, -1):
+                g = x[k - n + 1 : k + 1]
+                if raw[n][g] > 1:
+                    weight += math.log(probs[g])
+                    break
+                weight += math.log(backs[g[:-1]]) if n > 1 and g[:-1] in backs else 0 if n > 1 else -12.0
+            costs.append(-weight)
+        words, low = [], (t or "").lower()
+        for k, (ch, cost) in enumerate(zip(low, costs, strict=True)):
+            if k == 0 or ch in perplexity.WHITE:
+                words.append([0.0, False])
+            words[-1] = [words[-1][0] + cost, words[-1][1] or ch.isalnum()]
+        out[i] = sum(min(w, perplexity.WORD_CAP) for w, _ in words) / max(1, sum(a for _, a in words))
+    return out
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Perplexity and verdict, with the model as a broadcast and by chunks."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(12, 30)) + rng.choice(["", "\n😀 x", "\tß"]), rng.choice(["en", "fr", None])) for i in range(90)]
+    rows += [(500 + k, " ".join("".join(rng.choice("bcdfghjklqwxz#%&") for _ in range(9)) for _ in range(30)), "en") for k in range(3)] + [(600, None, "fr"), (601, "", None)]
+    scores, kept = brute_quality(rows), {}
+    for i, t, lang in rows:
+        n, _, _, _, repeats = brute_counts(t)
+        if n < 10 or 100 * repeats > 20 * n:
+            kept[i] = False
+            continue
+        of = [round(scores[j], 3) for j, u, own in rows if own == lang and brute_counts(u)[0] >= 10 and 100 * brute_counts(u)[4] <= 20 * brute_counts(u)[0]]
+        low, middle = np.percentile(of, [25, 50])
+        kept[i] = abs(scores[i] - middle) <= max(7 * (middle - low), 1.0) + 50 / n
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (perplexity.MODEL_ROWS, 0):
+        monkeypatch.setattr(perplexity, "MODEL_ROWS", most)
+        monkeypatch.setattr(perplexity, "CHUNK_CHARS", 2000)
+        got = {r.doc_id: r for r in perplexity.quality(docs).collect()}
+        assert {i: r.kept for i, r in got.items()} == kept and not kept[500] and sum(kept.values()) > 60
+        assert all(math.isclose(math.log(r.perplexity), scores[i], abs_tol=2e-3) for i, r in got.items())
 
 
 def test_quality_rejects_odd_documents(spark):
