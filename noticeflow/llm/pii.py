@@ -51,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def small(digits: str) -> bool:
+    """Whether a part of an address is at most 255, however many zeros it has before."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def iban_valid(text: str) -> bool:
     code = text.replace(" ", "")
     return 15 <= len(code) <= 34 and int("".join(str(int(ch, 36)) for ch in code[4:] + code[:4])) % 97 == 1
@@ -79,7 +85,7 @@ def spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 take("phone", at, m.end(), 8 <= sum(c.isdigit() for c in m[0]) <= 15)
         elif anchor == "digit":
             if at >= done["ip"] and not (at > done["ip"] and text[at - 1] in "0123456789") and (m := _IP.match(text, at)):
-                take("ip", at, m.end(), all(int(x) <= 255 for x in m[0].split(".") if len(x) <= 4000) and max(map(len, m[0].split("."))) <= 4000)
+                take("ip", at, m.end(), all(small(x) for x in m[0].split(".")))
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 digits = m[0].replace(" ", "").replace("-", "")
                 take("card", at, m.end(), 16 <= len(digits) <= 19 and luhn(digits))

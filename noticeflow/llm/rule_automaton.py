@@ -1,19 +1,85 @@
 """Regular expressions to transition arrays: subset construction, byte classes, minimisation.
 
-Rules use literals, classes, groups, alternation and ? + * {m,n}; they work on bytes and match ASCII.
-Python's own parser reads them. `scanner(rules)` is one automaton for all rules that looks for each of
+Rules use literals, \\xHH and other escapes of signs, classes, groups, (?i: groups, alternation and ? + * {m,n};
+they work on bytes and match ASCII. `scanner(rules)` is one automaton for all rules that looks for each of
 them at every place; its state says which rules end here. `anchored(rule)` matches from a given place,
 `reversed_rule(rule)` backwards from an end.
 """
 
 from __future__ import annotations
 
-import re._constants as c
-import re._parser as parser
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
+_PIECE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([^0-9A-Za-z])|([^\\])", re.S)
+_TIMES = re.compile(r"[?+*]|\{(\d+)(,?)(\d*)\}")
+
+
+class _Reader:
+    """A rule as a tree: a set of bytes, ("all", parts), ("any", options) or ("times", part, least, most or None)."""
+
+    def __init__(self, rule: str):
+        self.rule, self.at = rule, 0
+
+    def read(self):
+        made = self._options(False)
+        if self.at < len(self.rule):
+            raise ValueError(f"not supported in a rule: {self.rule[self.at :]}")
+        return made
+
+    def _next(self, text: str) -> bool:
+        there = self.rule.startswith(text, self.at)
+        self.at += len(text) * there
+        return there
+
+    def _sign(self) -> int:
+        m = _PIECE.match(self.rule, self.at)
+        if m is None or ord(m[2] or m[3] or "a") > 127:
+            raise ValueError(f"not supported in a rule: {self.rule[self.at :]}")
+        self.at = m.end()
+        return int(m[1], 16) if m[1] else ord(m[2] or m[3])
+
+    def _options(self, any_case: bool):
+        options = [self._parts(any_case)]
+        while self._next("|"):
+            options.append(self._parts(any_case))
+        return options[0] if len(options) == 1 else ("any", options)
+
+    def _parts(self, any_case: bool):
+        parts = []
+        while self.at < len(self.rule) and self.rule[self.at] not in "|)":
+            if self._next("("):
+                part = self._options(self._next("?i:") or any_case)
+                if not self._next(")"):
+                    raise ValueError("a group has no end")
+            else:
+                if self.rule[self.at] in "?+*{}^$.]":
+                    raise ValueError(f"not supported in a rule: {self.rule[self.at :]}")
+                got = self._class() if self._next("[") else {self._sign()}
+                if any_case:
+                    got |= {ord(c) for x in got if x < 128 for c in (chr(x).lower(), chr(x).upper())}
+                part = frozenset(got)
+            while m := _TIMES.match(self.rule, self.at):
+                self.at = m.end()
+                least, most = {"?": (0, 1), "+": (1, None), "*": (0, None)}.get(m[0]) or (int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1]))
+                part = ("times", part, least, most)
+            parts.append(part)
+        return ("all", parts)
+
+    def _class(self) -> set[int]:
+        negated, got = self._next("^"), set()
+        while not self._next("]"):
+            first = self._sign()
+            if self.rule.startswith("-", self.at) and not self.rule.startswith("-]", self.at):
+                self.at += 1
+                got |= set(range(first, self._sign() + 1))
+            else:
+                got.add(first)
+        return set(range(256)) - got if negated else got
+
 
 @dataclass
 class _Nfa:
@@ -25,61 +91,36 @@ class _Nfa:
         self.free.append([])
         return len(self.moves) - 1
 
-    def build(self, items, start: int, backwards: bool, any_case: bool) -> int:
-        """Adds what matches items after start; its end."""
-        for op, arg in reversed(list(items)) if backwards else items:
-            if op in (c.LITERAL, c.IN):
-                end = self.state()
-                self.moves[start].append((_bytes(op, arg, any_case), end))
-            elif op is c.SUBPATTERN:
-                end = self.build(arg[3], start, backwards, any_case or bool(arg[1] & 2))
-            elif op is c.BRANCH:
-                end = self.state()
-                for option in arg[1]:
-                    s = self.state()
-                    self.free[start].append(s)
-                    self.free[self.build(option, s, backwards, any_case)].append(end)
-            elif op is c.MAX_REPEAT:
-                least, most, body = arg
-                for _ in range(least):
-                    start = self.build(body, start, backwards, any_case)
-                end = self.state()
-                self.free[start].append(end)
-                if most is c.MAXREPEAT:
-                    s = self.state()
-                    self.free[start].append(s)
-                    e = self.build(body, s, backwards, any_case)
-                    self.free[e] += [s, end]
-                else:
-                    for _ in range(most - least):
-                        start = self.build(body, start, backwards, any_case)
-                        self.free[start].append(end)
+    def build(self, part, start: int, backwards: bool) -> int:
+        """Adds what matches part after start; its end."""
+        if isinstance(part, frozenset):
+            end = self.state()
+            self.moves[start].append((part, end))
+        elif part[0] == "all":
+            end = start
+            for x in reversed(part[1]) if backwards else part[1]:
+                end = self.build(x, end, backwards)
+        elif part[0] == "any":
+            end = self.state()
+            for option in part[1]:
+                s = self.state()
+                self.free[start].append(s)
+                self.free[self.build(option, s, backwards)].append(end)
+        else:
+            _, body, least, most = part
+            for _ in range(least):
+                start = self.build(body, start, backwards)
+            end = self.state()
+            self.free[start].append(end)
+            if most is None:
+                s = self.state()
+                self.free[start].append(s)
+                self.free[self.build(body, s, backwards)] += [s, end]
             else:
-                raise ValueError(f"not supported in a rule: {op}")
-            start = end
-        return start
-
-
-def _bytes(op, arg, any_case: bool) -> frozenset[int]:
-    if op is c.LITERAL:
-        got = {arg}
-    else:
-        got, negated = set(), False
-        for kind, x in arg:
-            if kind is c.LITERAL:
-                got.add(x)
-            elif kind is c.RANGE:
-                got |= set(range(x[0], x[1] + 1))
-            elif kind is c.NEGATE:
-                negated = True
-            else:
-                raise ValueError(f"not supported in a class: {kind}")
-        got = set(range(256)) - got if negated else got
-    if any_case:
-        got |= {ord(f) for b in got if b < 128 and chr(b).isalpha() for f in (chr(b).lower(), chr(b).upper())}
-    if max(got) > 255 or (max(got) > 127 and op is c.LITERAL):
-        raise ValueError("rules are ASCII")
-    return frozenset(got)
+                for _ in range(most - least):
+                    start = self.build(body, start, backwards)
+                    self.free[start].append(end)
+        return end
 
 
 @dataclass
@@ -160,7 +201,7 @@ def _compiled(rules: list[str], backwards: bool, everywhere: bool) -> Automaton:
     for i, rule in enumerate(rules):
         s = nfa.state()
         starts.append(s)
-        final[nfa.build(parser.parse(rule), s, backwards, False)] = i
+        final[nfa.build(_Reader(rule).read(), s, backwards)] = i
     return _determinised(nfa, starts, final, everywhere)
 
 
@@ -176,23 +217,25 @@ def reversed_rule(rule: str) -> Automaton:
     return _compiled([rule], True, False)
 
 
-def places(a: Automaton, data: bytes) -> list[tuple[int, int]]:
+def places(a: Automaton, data: bytes) -> Iterator[tuple[int, int]]:
     """(end, rules) of every place in data where rules end; one pass over the bytes."""
-    step, state, bound, found = a.step, a.start, a.first_end, []
+    step, state, bound = a.step, a.start, a.first_end
     for i, k in enumerate(data.translate(a.classes)):
         state = step[state + k]
         if state >= bound:
-            found.append((i + 1, a.ends[state]))
-    return found
+            yield i + 1, a.ends[state]
 
 
-def longest(a: Automaton, data: bytes) -> int:
-    """The length of the longest match at the beginning of data, 0 if none."""
-    step, state, bound, best = a.step, a.start, a.first_end, 0
-    for i, k in enumerate(data.translate(a.classes)):
-        state = step[state + k]
+def longest(a: Automaton, data: bytes, at: int = 0, to: int | None = None) -> int:
+    """The length of the longest match that begins at `at` and ends by `to`, 0 if none; if `to` is before `at`, of the
+    longest one backwards that takes the bytes before `at` down to `to`. Only the bytes of the walk are read."""
+    step, state, bound, best, classes = a.step, a.start, a.first_end, 0, a.classes
+    to = len(data) if to is None else to
+    way = range(at, to) if to >= at else range(at - 1, to - 1, -1)
+    for n, i in enumerate(way, 1):
+        state = step[state + classes[data[i]]]
         if state >= bound:
-            best = i + 1
+            best = n
         elif not state:
             break
     return best

@@ -3,7 +3,8 @@
 The combined automaton says where each rule first ends. From there the rule's reversed automaton finds
 the leftmost start after the rule's last match, and its anchored automaton the longest end, which gives
 the leftmost non-overlapping matches of each kind; matches that fail the kind's length are dropped and
-not tried again. A minimum that cannot change where other matches start is part of the rule (hex).
+not tried again. A minimum that cannot change where other matches start is part of the rule (hex). The
+automata are compiled once, on the driver, and broadcast; the walks read the bytes of a match only.
 
 Null texts count as empty. Offsets are code points, ends exclusive. Every row of docs has its row in the
 result, also those that repeat an id or have none.
@@ -58,26 +59,23 @@ def _passes(rule: Rule, match: bytes) -> bool:
     return len(assigned_value(match) if rule.kind == "assign" else match) >= rule.least
 
 
-def spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
+def spans(text: str | None, rules: tuple[Rule, ...] = RULES, tables=None) -> list[tuple[int, int, int]]:
     """(start, number of the rule, end), sorted."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    scan, each = compiled(rules)
-    events = ra.places(scan, data)
-    if not events:
-        return []
+    scan, each = tables or compiled(rules)
     done, found = [0] * len(rules), []
-    for end, which in events:
+    for end, which in ra.places(scan, data):
         for k, (back, forth) in enumerate(each):
             if which >> k & 1 and end > done[k]:
-                size = ra.longest(back, data[done[k] : end][::-1])
+                size = ra.longest(back, data, end, done[k])
                 if not size:
                     continue
                 start = end - size
-                stop = start + ra.longest(forth, data[start:])
+                stop = start + ra.longest(forth, data, start)
                 done[k] = stop
                 if _passes(rules[k], data[start:stop]):
                     found.append((start, k, stop))
-    if not data.isascii():
+    if found and not data.isascii():
         at = sorted({x for s, _, e in found for x in (s, e)})
         place, chars, last = {}, 0, 0
         for b in at:
@@ -87,14 +85,14 @@ def spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int,
     return sorted(found)
 
 
-def _scan(rules: tuple[Rule, ...]):
+def _scan(rules: tuple[Rule, ...], tables):
     base = [k for k, r in enumerate(rules) if r.base]
 
     def rows(batches):
         for batch in batches:
             counts, digests, all_spans = [[] for _ in base], [], []
             for text in batch.column(1).to_pylist():
-                found = spans(text, rules)
+                found = spans(text, rules, tables.value)
                 spelled = [(k, f"{rules[k].kind}:{s}:{e}") for s, k, e in found]
                 for column, k in zip(counts, base, strict=True):
                     column.append(sum(k == x for x, _ in spelled))
@@ -108,5 +106,6 @@ def _scan(rules: tuple[Rule, ...]):
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, n_ of each base kind, base_sha256, spans): spans as kind:start:end by start, then kind as in rules."""
     short_batches(docs.sparkSession)
+    tables = docs.sparkSession.sparkContext.broadcast(compiled(rules))  # of the rules' size
     schema = "doc_id long, " + "".join(f"n_{r.kind} long, " for r in rules if r.base) + "base_sha256 string, spans string"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(rules), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(rules, tables), schema)
