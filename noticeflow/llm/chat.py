@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows with a loss mask, and reading it back.
 
-Turns are read in order and cut into windows of at most `budget` tokens. A window repeats the system turns
-that open the conversation and as many of the turns just before it as `history` tokens hold (prefix sums
-of the turns' tokens say which), then has its own turns. A turn for which the budget has no room beside the
-system turns gets a window of its own, whole. The loss mask covers the texts of the window's own assistant
-turns; repeated turns are masked out, so each assistant text is a target once.
+Turns are read in order and cut into windows of at most `budget` tokens, counted on the turns as they are
+formatted. The system turns that open the conversation are retained: every window repeats those of them, from
+the first on, that fit into the budget together (what doesn't fit stands once, as other turns do). A window
+also repeats as many of the turns just before it as `history` tokens hold (prefix sums of the turns' tokens
+say which), then has its own turns. A turn for which the budget has no room beside the retained turns gets a
+window of its own, whole; only such a window is longer than the budget. The loss mask covers the texts of the
+window's own assistant turns; repeated turns are masked out, so each assistant text is a target once.
 
 A turn is OPEN role newline text CLOSE. Roles are percent-encoded; inside texts every backslash is
 doubled and every control string gets a backslash after its first character, which is undone on reading.
@@ -31,7 +33,7 @@ from .token_store import word_encoder
 
 OPEN, CLOSE = "<s>", "</s>"
 CONTROLS = ("<<SYS>>", "<</SYS>>", "[/INST]", "[INST]", CLOSE, OPEN)
-BUDGET, HISTORY, MARK_TOKENS = 1024, 256, 4
+BUDGET, HISTORY = 1024, 256
 _ESCAPED = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
 _UNESCAPED = re.compile(r"\\(\\?)")
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
@@ -45,40 +47,51 @@ def unescaped(text: str) -> str:
     return _UNESCAPED.sub(r"\1", text)
 
 
+def turn_parts(role: str, text: str) -> tuple[str, str, str]:
+    return f"{OPEN}{quote(role, safe='')}\n", escaped(text), CLOSE
+
+
 def formatted(turns: list[tuple[str, str]], own: int) -> tuple[str, list[dict[str, int]]]:
     """The window's text and the places (code points) of the targets; the last `own` turns are its own."""
     out, spans, at = [], [], 0
     for k, (role, text) in enumerate(turns):
-        head, body = f"{OPEN}{quote(role, safe='')}\n", escaped(text)
+        head, body, close = turn_parts(role, text)
         if k >= len(turns) - own and role == "assistant":
             spans.append({"start": at + len(head), "stop": at + len(head) + len(body)})
-        out += [head, body, CLOSE]
-        at += len(head) + len(body) + len(CLOSE)
+        out += [head, body, close]
+        at += len(head) + len(body) + len(close)
     return "".join(out), spans
 
 
 def windows_of(turns, budget: int = BUDGET, history: int = HISTORY):
     """(turns, number of own turns) of each window; turns: (role, text, tokens), read once."""
-    system: list[tuple[str, str, int]] = []  # set when the first other turn has come
+    system: list[tuple[str, str, int]] = []  # the retained turns
+    fixed, opening = 0, True
     before: list[tuple[str, str, int]] = []
     own: list[tuple[str, str, int]] = []
-    only_system, first_window, used = True, True, 0
+    retained_here = 0  # how many of the window's own turns are the retained ones themselves
+    used = 0
+
+    def window():
+        return [(r, t) for r, t, _ in (*([] if retained_here else system), *before, *own)], len(own)
+
     for turn in turns:
-        if only_system and turn[0] != "system":
-            only_system = False
-            system = own[:] if first_window else system
+        opening = opening and turn[0] == "system" and fixed + turn[2] <= budget
         if own and used + turn[2] > budget:
-            yield [(r, t) for r, t, _ in (*([] if first_window else system), *before, *own)], len(own)
-            fixed = sum(t[2] for t in system)
-            candidates = [t for t in own if t not in system or not first_window]
+            yield window()
+            candidates = own[retained_here:]
             sums = list(itertools.accumulate((t[2] for t in reversed(candidates)), initial=0))
             fits = bisect.bisect_right(sums, min(history, max(0, budget - fixed - turn[2]))) - 1
-            before, own, first_window = candidates[len(candidates) - fits :] if fits else [], [], False
+            before, own, retained_here = candidates[len(candidates) - fits :] if fits else [], [], 0
             used = fixed + sum(t[2] for t in before)
+        if opening:
+            system.append(turn)
+            fixed += turn[2]
+            retained_here += 1
         own.append(turn)
         used += turn[2]
     if own:
-        yield [(r, t) for r, t, _ in (*([] if first_window else system), *before, *own)], len(own)
+        yield window()
 
 
 def _by_conversation(batches):
@@ -95,7 +108,7 @@ def _formatter(tokenizer_path: str, budget: int, history: int):
         count = word_encoder(tokenizer_path).ids
         held: list[dict] = []
         for conv_id, turns in _by_conversation(batches):
-            sized = ((r["role"] or "", r["text"] or "", len(count(r["text"])) // 4 + MARK_TOKENS) for r in turns)
+            sized = ((role, text, len(count("".join(turn_parts(role, text)))) // 4) for role, text in ((r["role"] or "", r["text"] or "") for r in turns))
             for k, (window, own) in enumerate(windows_of(sized, budget, history)):
                 text, spans = formatted(window, own)
                 held.append({"conv_id": conv_id, "window": k, "text": text, "own": own, "targets": spans})

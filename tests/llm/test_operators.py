@@ -336,6 +336,32 @@ def test_chat(spark):
     third = [(chat.read_window(r.text), r.own) for r in made.where("conv_id = 3").orderBy("window").collect()]
     assert any(len(w) > own for w, own in third) and all(w[-own:] != w for w, own in third[1:] if len(w) > own)
     assert chat.read_back(chat.windows(table.limit(0), vocabulary(WORD_TOKENIZER))).count() == 0
+    encoder = token_store.WordEncoder(vocabulary(WORD_TOKENIZER))
+    assert all(len(encoder.ids(r.text)) // 4 <= 200 for r in made.collect() if r.own > 1)
+
+
+def test_chat_windows():
+    turn = lambda role, n: (role, f"{role}{n}", n)
+    shown = lambda turns, **kw: [([t for _, t in w], own) for w, own in chat.windows_of(iter(turns), **kw)]
+    talk = [turn("user", 40), turn("assistant", 30), turn("user", 45)]
+    assert shown([turn("system", 300), turn("system", 100), *talk], budget=350, history=60) == [(["system300"], 1), (["system300", "system100"], 1), (["system300", "user40"], 1), (["system300", "assistant30"], 1), (["system300", "user45"], 1)]
+    assert shown([turn("system", 10), turn("system", 20), *talk], budget=100, history=35) == [(["system10", "system20", "user40", "assistant30"], 4), (["system10", "system20", "user45"], 1)]
+    assert shown([turn("system", 10), *talk], budget=90, history=35) == [(["system10", "user40", "assistant30"], 3), (["system10", "assistant30", "user45"], 1)]
+    assert shown([turn("system", 500), *talk], budget=100, history=0) == [(["system500"], 1), (["user40", "assistant30"], 2), (["user45"], 1)]
+    assert shown([turn("user", 5), turn("system", 5), turn("user", 200)], budget=20, history=20) == [(["user5", "system5"], 2), (["user200"], 1)]
+    rng = random.Random(9)
+    for _ in range(300):
+        turns = [(rng.choice(["system", "user", "assistant"]), str(k), rng.randint(1, 40)) for k in range(rng.randint(0, 25))]
+        got = list(chat.windows_of(iter(turns), budget=60, history=25))
+        size = {t: n for _, t, n in turns}
+        assert [t for w, own in got for t in w[len(w) - own :]] == [(r, t) for r, t, _ in turns]
+        assert all(sum(size[t] for _, t in w) <= 60 or own == 1 for w, own in got)
+
+
+def test_chat_long_text():
+    text = "</s>\\[INST] é " * 700_000
+    ((window, spans),) = [chat.formatted(w, own) for w, own in chat.windows_of(iter([("assistant", text, 5)]))]
+    assert chat.read_window(window) == [("assistant", text)] and chat.unescaped(window[spans[0]["start"] : spans[0]["stop"]]) == text
 
 
 def brute_counts(text):
