@@ -188,9 +188,9 @@ def _first(n: int) -> list[Column]:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, n, hi, lo, logp, back): for each n-gram of order n its log probability (null if the corpus has it once: all that
-    is known of it then is the place that is to be scored, so it is left out and its place backs off), and the log back-off
-    weight of its use as a context (null if it is none)."""
+    """(lang, n, hi, lo, logp, back): for each n-gram of order n its log probability and the log back-off weight of its use as
+    a context (null if it is none). N-grams and contexts that the corpus has once are counted, but have no value here: all
+    that is known of them is the place that is to be scored, so it backs off as if they were not known."""
     levels = {ORDER: counts.withColumn("r", F.col("c"))}
     for n in range(ORDER - 1, 0, -1):
         below = levels[n + 1].select("lang", "r", *_last(n + 1)).groupBy("lang", F.col("low_hi").alias("hi"), F.col("low_lo").alias("lo")).agg(F.count("*").alias("c"), F.sum("r").alias("r"))
@@ -204,13 +204,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         ds = [F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0)))), F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
         level = with_side(level, of.select("lang", "v", *ds), "lang", name="kn-discounts").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         level = level.select("lang", "hi", "lo", "c", "r", "d", "v", *_first(n), *_last(n))
-        ctx = saved(level.groupBy("lang", "ctx_hi", "ctx_lo").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g")), f"kn-ctx-{n}")
-        joined = level.hint("merge").join(ctx, ["lang", "ctx_hi", "ctx_lo"]).withColumn("own", F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / F.col("total"))
+        ctx = saved(level.groupBy("lang", "ctx_hi", "ctx_lo").agg(F.sum("c").alias("total"), F.sum("r").alias("ctx_r"), (F.sum("d") / F.sum("c")).alias("g")), f"kn-ctx-{n}")
+        joined = level.hint("merge").join(ctx.drop("ctx_r"), ["lang", "ctx_hi", "ctx_lo"]).withColumn("own", F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / F.col("total"))
         if lower is None:
             probs = joined.select("lang", "hi", "lo", "r", (F.col("own") + F.col("g") / (F.col("v") + 1)).alias("p"))
         else:
             probs = joined.hint("merge").join(lower.select("lang", F.col("hi").alias("low_hi"), F.col("lo").alias("low_lo"), F.col("p").alias("q")), ["lang", "low_hi", "low_lo"]).select("lang", "hi", "lo", "r", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
-            rows = ctx.select("lang", F.lit(n - 1).alias("n"), F.col("ctx_hi").alias("hi"), F.col("ctx_lo").alias("lo"), F.log("g").alias("back"))
+            rows = ctx.where("ctx_r > 1").select("lang", F.lit(n - 1).alias("n"), F.col("ctx_hi").alias("hi"), F.col("ctx_lo").alias("lo"), F.log("g").alias("back"))
             backs = rows if backs is None else backs.unionByName(rows)
         lower = saved(probs, f"kn-p-{n}")
         rows = lower.where("r > 1").select("lang", F.lit(n).alias("n"), "hi", "lo", F.log("p").alias("logp"))

@@ -417,7 +417,10 @@ def brute_quality(rows):
             for g, v in c.items():
                 ctx = g[:-1]
                 probs[g] = max(0, v - d[min(v, 3)]) / total[ctx] + lost[ctx] / total[ctx] * (probs[g[1:]] if n > 1 else 1 / (len(c) + 1))
-            backs |= {ctx: lost[ctx] / total[ctx] for ctx in total}
+            often = Counter()
+            for g, v in raw[n].items():
+                often[g[:-1]] += v
+            backs |= {ctx: lost[ctx] / total[ctx] for ctx in total if often[ctx] > 1}
         models[lang] = raw, probs, backs
     out = {}
     for i, t, lang in rows:
