@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, short_batches
+from .common import joined_by_key, saved, short_batches
 
 BLOCKS, MAX_DISTANCE, SHINGLE_WORDS, SEED, HOT_BUCKET = 4, 2, 3, 42, 256
 
@@ -98,7 +98,8 @@ def links(distinct_fps: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (x, y) reaches, by alternating large-star and
-    small-star steps; every step is written out, so a lost executor costs one step."""
+    small-star steps; every step is written out, so a lost executor costs one step. The hubs that the steps make are hot
+    keys of their joins (see joined_by_key)."""
     edges = saved(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), "cc-edges")
 
     def state(e):
@@ -107,11 +108,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").hint("merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "cc-least")
+        large = joined_by_key(both.where("v > u"), least, "u", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = saved(large, "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.hint("merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
+        small = joined_by_key(large, least, "u", large.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
         after = state(edges)
         if after == before:
@@ -123,15 +124,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs."""
     prints = saved(fingerprints(docs, doc_id, text), "simhash-prints")
-    first = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    first = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-classes")
     pairs = saved(links(first.select("fp")), "simhash-links")
     # Nodes of the graph are fingerprints; each class then takes the least first document of its component.
     roots = components(pairs)
     member = first.hint("merge").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = saved(member, "simhash-members")
-    named = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = saved(member.select("fp", "root").hint("merge").join(named, "root").select("fp", "component_id"), "simhash-components")
-    return prints.hint("merge").join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = named_components(saved(member, "simhash-members"), "fp")
+    found = joined_by_key(prints, classes, "fp", prints.count())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def named_components(member: DataFrame, key: str) -> DataFrame:
+    """(key, component_id, n) of members (key, root, first, n): the least first document of all with the same root."""
+    named = saved(member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "simhash-named")
+    return saved(joined_by_key(member.select(key, "root", F.col("n").alias("copies")), named, "root", member.count()).select(key, "component_id", F.col("copies").alias("n")), "simhash-components")
 
 
 def keep_one(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
