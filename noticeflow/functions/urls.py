@@ -71,9 +71,19 @@ def same_site(a: Column, b: Column) -> Column:
 
 def external_id(source_id: Column, url: Column, title: Column, listing: Column) -> Column:
     """24 hex digits of source and url, and of the title where the page is a listing."""
-    raw = F.concat_ws("|", source_id.cast("string"), normalize(url), F.when(listing, normalize(title)))
+    raw = F.concat_ws("|", F.coalesce(source_id.cast("string"), F.lit("")), normalize(url), F.when(listing, normalize(title)))
     return F.substring(F.sha2(raw, 256), 1, 24)
 
 
+def external_key(source: Column, external_id: Column, url: Column) -> Column:
+    """Hash of a record's three names; missing ones keep their place."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (source, external_id, url)]), 256)
+
+
+def fingerprint(title: Column, organization: Column, deadline: Column) -> Column:
+    """Hash of the normalised title, organisation and deadline text."""
+    return F.sha2(F.concat_ws("|", *map(normalize, (title, organization, deadline))), 256)
+
+
 def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts]), 256)

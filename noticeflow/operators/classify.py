@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import all_of, any_of, contains_any, has_substring, normalize, plain
+from ..functions.urls import part
 
 
 def infer_category(text: Column, pack=rules.CATEGORIES) -> Column:
@@ -62,7 +63,7 @@ def classify(notices: DataFrame, *text_columns: str) -> DataFrame:
 
 def direct_match(text: Column) -> Column:
     """A role, a qualification, or a context with contextual evidence."""
-    return role_match(text) | any_of(text.rlike(p) for p in rules.QUALIFYING_PATTERNS) | (text.rlike(rules.CONTEXT_PATTERN) & text.rlike(rules.CONTEXTUAL_PATTERN))
+    return role_match(text) | text.rlike(rules.QUALIFYING_PATTERN) | (text.rlike(rules.CONTEXT_PATTERN) & text.rlike(rules.CONTEXTUAL_PATTERN))
 
 
 def psychology_terms(text: Column) -> Column:
@@ -102,13 +103,21 @@ def primary_opportunity(text: Column, primary=("avviso", "bando", "concorso", "m
     return direct_match(text) & has_substring(text, primary) & ~has_substring(text, rules.FOLLOWUP_TITLES)
 
 
-def professional_match(figure: Column, title: Column, requirements: Column, description: Column) -> Column:
-    """direct: the figure or title names the role; eligible: a degree with the register, or a qualifying description;
-    null for revoked notices and others. Columns are normalised."""
+def professional_match(figure: Column, title: Column, description: Column) -> Column:
+    """direct, eligible or null by ordered rules: a revoked procedure is null; a figure or title that names the profession or
+    matches is direct, as is a title with a degree in psychology; a described degree with register or licence is eligible; a
+    described role is direct; a matching description, or one of behavioural sciences in mental health, is eligible. Columns
+    are normalised; an order's own name in a title doesn't count."""
+    title_alone = F.replace(title, F.lit("ordine degli psicologi"), F.lit(""))
+    named = any_of(c.rlike(rules.INDIVIDUAL_PATTERN) | direct_match(c) for c in (figure, title_alone))
+    degree = (title.contains("laureat") | title.contains("laurea")) & title.contains("psicologia")
+    described = (description.contains("laurea in psicologia") | description.contains("lm 51")) & (description.contains("albo") | description.contains("abilitazione"))
     return (
-        F.when(title.contains("revoca"), F.lit(None))
-        .when(role_match(figure) | role_match(F.regexp_replace(title, "ordine degli psicologi", "")), "direct")
-        .when((requirements.contains("psicolog") & requirements.contains("albo")) | any_of(description.rlike(p) for p in rules.QUALIFYING_PATTERNS), "eligible")
+        F.when(title.rlike(rules.REVOKED_PATTERN), F.lit(None))
+        .when(named | degree, "direct")
+        .when(described, "eligible")
+        .when(description.rlike(rules.DESCRIBED_ROLE_PATTERN), "direct")
+        .when(direct_match(description) | (description.contains("scienze comportamentali") & description.contains("salute mentale")), "eligible")
     )
 
 
@@ -136,6 +145,19 @@ def link_score(both: Column, href: Column) -> Column:
     return F.when(skip, 0).otherwise(F.greatest(score - points(low & (score > 0), 1), F.lit(0))).cast("int")
 
 
+def deep_link_score(label: Column, href: Column, rel: Column) -> Column:
+    """Additive score of a link deeper into a site; pagination counts alone, but for the profession's terms; 0 is no candidate."""
+    points = lambda c, n: F.when(c, rules.DEEP_WEIGHTS[n]).otherwise(0)
+    spaced = lambda *c: F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *c)), r"\s+", " "))
+    within = lambda text, terms: any_of(text.contains(t) for t in terms)
+    both, low = spaced(label, href), F.lower(href)
+    keys = F.transform(F.split(F.lower(part(href, "QUERY")), "&"), lambda kv: F.when(kv.rlike("=."), F.substring_index(kv, "=", 1)))
+    page = F.when(F.lower(rel).contains("next"), rules.DEEP_WEIGHTS["rel"]).when(F.coalesce(F.arrays_overlap(F.array_compact(keys), F.array(*map(F.lit, rules.PAGE_KEYS))), F.lit(False)), rules.DEEP_WEIGHTS["key"]).when(within(spaced(label, href, rel), rules.PAGE_TERMS), rules.DEEP_WEIGHTS["label"]).otherwise(0)
+    rest = points(within(both, rules.DEEP_OPPORTUNITY_TERMS), "opportunity") + points(any_of(low.rlike(p) for p in rules.DEEP_DETAIL_PATHS), "path") + points(within(both, rules.DEEP_DETAIL_TERMS), "detail")
+    score = page + points(within(both, rules.DEEP_PSYCHOLOGY_TERMS), "psychology") + F.when(page == 0, rest).otherwise(0)
+    return F.when((both == "") | within(both, rules.SKIP_LINK_TERMS), 0).otherwise(score).cast("int")
+
+
 def matches_all(text: Column, query: str) -> Column:
     """Every word of the query is part of the text."""
     return all_of(text.contains(w) for w in plain(query).split())

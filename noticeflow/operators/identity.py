@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize
+from .snapshot import scratch
 
 TITLE_RATIO, ORGANIZATION_RATIO = 0.88, 0.75
 
@@ -33,6 +34,33 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+GRAM = 3
+
+
+def containing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(i, o): pairs of distinct texts i of left and o of right where one is part of the other. The part has a rarest gram of
+    GRAM characters (or is itself shorter than that), and the whole has the same gram, so pairs meet on it."""
+    def grams(c: str, lengths) -> Column:
+        of = [F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda p, k=k: F.substring(F.col(c), p, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths]
+        return F.array_distinct(F.concat(*of))
+
+    def met(parts: DataFrame, p: str, wholes: DataFrame, w: str) -> DataFrame:
+        held = kept(wholes.select(w, F.explode(grams(w, range(1, GRAM + 1))).alias("gram")), "grams")
+        counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+        own = parts.where(F.length(p) > 0).select(p, F.explode(F.when(F.length(p) < GRAM, F.array(F.col(p))).otherwise(grams(p, [GRAM]))).alias("gram"))
+        rarest = own.hint("merge").join(counts, "gram").groupBy(p).agg(F.min(F.struct("n", "gram")).alias("g")).select(p, F.col("g.gram").alias("gram"))
+        return kept(rarest, "rarest").hint("merge").join(held, "gram").where(F.col(w).contains(F.col(p))).select("i", "o")
+
+    return met(left, "i", right, "o").unionByName(met(right, "o", left, "i")).distinct()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def probable_duplicates(notices: DataFrame) -> DataFrame:
     """(id, duplicate_of): for each notice the smallest id among smaller ids of other sources, approved and not closed, with the
     same deadline day and similar title and organisation. An undated notice is compared with those of its own organisation

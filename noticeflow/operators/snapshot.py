@@ -13,9 +13,12 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
+    """A new path below spark.checkpoint.dir; where that is unset and Spark runs in one process (tests), below a folder of
+    our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="noticeflow-"))
         base = "file://" + _own[0]
@@ -23,9 +26,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def public_rows(notices: DataFrame, sources: DataFrame) -> DataFrame:
-    """Approved notices of sources that are no demo, with private columns emptied; sources are a small table."""
+    """Approved notices of sources that are no demo, with private columns emptied."""
     real = sources.where("source_type <> 'third-sector-hub'").drop("source_type")
-    return notices.where("editorial_status = 'approved'").join(F.broadcast(real), "source_id").withColumns({c: F.lit(None).cast("string") for c in PRIVATE})
+    return notices.where("editorial_status = 'approved'").join(real, "source_id").withColumns({c: F.lit(None).cast("string") for c in PRIVATE})
 
 
 def violations(rows: DataFrame) -> DataFrame:
@@ -41,10 +44,12 @@ def violations(rows: DataFrame) -> DataFrame:
 
 
 def bucket_digests(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(bucket, n, digest) by the first two hex digits of the rows' hashes: order and partitions don't matter."""
+    """(bucket, n, digest) by the first two hex digits of the rows' hashes: order and partitions don't matter, as a digest is
+    that of the number of hashes and of the sums of their halves."""
     hashed = rows.select(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]), 256).alias("h"))
-    # A bucket is a 256th of the rows; hashes are summed up by their sorted list.
-    return hashed.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    half = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = hashed.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), half(1).alias("a"), half(33).alias("b"))
+    return sums.select("bucket", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("digest"))
 
 
 def digest(rows: DataFrame, columns: list[str]) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .snapshot import scratch
+
 
 def probe_status(error: Column) -> Column:
     """Kind of a failure by its text; null if there is none."""
@@ -25,17 +27,30 @@ def run_totals(runs: DataFrame) -> DataFrame:
     return runs.agg(F.sum("created_count").alias("created"), F.sum("updated_count").alias("updated"), F.sum("skipped_count").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"), F.when(F.count_if(F.col("status") == "failed") > 0, "partial").otherwise("completed").alias("overall"))
 
 
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds n, the place of each row in the order from 1 on. Rows are dealt into ranges, numbered in each, and moved on by the
+    sizes of the ranges before, of which there are as many as partitions; no task has all rows."""
+    spark = rows.sparkSession
+    path = scratch(spark, "numbered")
+    rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    sizes = kept.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__before"))
+    local = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return local.join(before.hint("broadcast"), "__part").withColumn("n", F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+
+
 def refresh_order(sources: DataFrame) -> DataFrame:
-    """Adds position: never checked first, then the oldest success, then the name. Sources are a small table."""
-    return sources.withColumn("position", F.row_number().over(Window.orderBy(F.col("last_success_at").asc_nulls_first(), F.lower("name"), "id")))
+    """Adds position: never checked first, then the oldest success, then the name."""
+    return numbered(sources, F.col("last_success_at").asc_nulls_first(), F.lower("name"), F.col("id")).withColumnRenamed("n", "position")
 
 
 def rotation_batch(sources: DataFrame, size: int, slot: Column) -> DataFrame:
     """Cyclic slice of the name-ordered sources for a slot, with its order."""
-    ordered = sources.withColumn("__k", F.row_number().over(Window.orderBy(F.lower("name"), "id")) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
+    ordered = numbered(sources, F.lower("name"), F.col("id")).withColumnRenamed("n", "__k").withColumn("__n", F.lit(sources.count()))
     least = F.least(F.lit(max(size, 0)), F.col("__n"))
     start = F.when((least == 0) | (least == F.col("__n")), 0).otherwise(F.pmod(slot * least, F.col("__n")))
-    return ordered.withColumn("offset", F.pmod(F.col("__k") - start, F.col("__n"))).where(F.col("offset") < least).drop("__k", "__n")
+    return ordered.withColumn("offset", F.pmod(F.col("__k") - 1 - start, F.col("__n"))).where(F.col("offset") < least).drop("__k", "__n")
 
 
 def stale_runs(runs: DataFrame, as_of: Column, minutes: int = 30) -> DataFrame:

@@ -16,10 +16,9 @@ SELECT CAST(c.c_custkey AS BIGINT) AS id, CONCAT('Fonte ', c.c_name) AS name,
  CASE WHEN c.c_custkey % 8 = 7 THEN 'retired' ELSE 'active' END AS status,
  CASE WHEN c.c_custkey % 7 = 0 THEN NULL ELSE CAST(CONCAT('1998-05-', lpad(CAST(c.c_custkey % 28 + 1 AS STRING), 2, '0'), ' 06:00:00') AS TIMESTAMP) END AS last_success_at
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE c.c_custkey < 40
 """,
     "fx_notices": """
-SELECT CAST(o.o_orderkey AS BIGINT) AS id, CAST(o.o_custkey % 40 AS BIGINT) AS source_id,
+SELECT CAST(o.o_orderkey AS BIGINT) AS id, CAST(o.o_custkey AS BIGINT) AS source_id,
  CONCAT('ext-', CAST(o.o_orderkey % 9000 AS STRING)) AS external_id,
  CONCAT(CASE o.o_orderkey % 8 WHEN 0 THEN 'Avviso pubblico per psicologo' WHEN 1 THEN 'Concorso pubblico dirigente psicoterapeuta'
   WHEN 2 THEN 'Borsa di ricerca in neuropsicologia' WHEN 3 THEN 'Mobilità volontaria assistente sociale' WHEN 4 THEN 'Graduatoria finale psicologo'
@@ -36,9 +35,9 @@ SELECT CAST(o.o_orderkey AS BIGINT) AS id, CAST(o.o_custkey % 40 AS BIGINT) AS s
  CONCAT('Scadenza domande: ', lpad(CAST(day(o.o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(month(o.o_orderdate) AS STRING), 2, '0'), '/', CAST(year(o.o_orderdate) AS STRING)) AS deadline_text,
  CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE o.o_orderdate END AS published_at, o.o_orderdate AS updated_at,
  CAST(o.o_orderkey % 101 AS INT) AS relevance_score, o.o_orderkey % 13 = 0 AS is_featured,
- CASE WHEN o.o_orderkey % 6 = 0 THEN CONCAT('https://Ente', CAST(o.o_custkey % 40 AS STRING), '.example.org/bandi/', CAST(o.o_orderkey % 500 AS STRING), '/')
-  WHEN o.o_orderkey % 6 = 1 THEN CONCAT('https://ente', CAST(o.o_custkey % 40 AS STRING), '.example.org/bandi?s=psicolog')
-  ELSE CONCAT('https://ente', CAST(o.o_custkey % 40 AS STRING), '.example.org/bandi/', CAST(o.o_orderkey AS STRING)) END AS official_url
+ CASE WHEN o.o_orderkey % 6 = 0 THEN CONCAT('https://Ente', CAST(o.o_custkey AS STRING), '.example.org/bandi/', CAST(o.o_orderkey % 500 AS STRING), '/')
+  WHEN o.o_orderkey % 6 = 1 THEN CONCAT('https://ente', CAST(o.o_custkey AS STRING), '.example.org/bandi?s=psicolog')
+  ELSE CONCAT('https://ente', CAST(o.o_custkey AS STRING), '.example.org/bandi/', CAST(o.o_orderkey AS STRING)) END AS official_url
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """,
     "fx_attachments": """
@@ -49,7 +48,7 @@ SELECT CONCAT(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING),
 FROM lineitem l
 """,
     "fx_runs": """
-SELECT e.event_id AS id, CAST(e.user_id % 45 AS BIGINT) AS source_id,
+SELECT e.event_id AS id, CAST(e.user_id AS BIGINT) AS source_id,
  CASE e.event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'running' ELSE 'success' END AS status, e.ts AS started_at,
  CAST(e.event_id % 5 AS INT) AS created_count, CAST(e.event_id % 3 AS INT) AS updated_count, CAST(e.event_id % 2 AS INT) AS skipped_count,
  CASE e.event_type WHEN 'error' THEN CASE e.event_id % 3 WHEN 0 THEN 'SSL: CERTIFICATE_VERIFY_FAILED' WHEN 1 THEN 'ssl handshake failure' ELSE 'Name or service not known' END ELSE NULL END AS error_message
@@ -58,14 +57,13 @@ FROM events e
     "fx_subscriptions": """
 SELECT CAST(c.c_custkey AS BIGINT) AS id, CONCAT('u', CAST(c.c_custkey AS STRING), '@example.org') AS email,
  CASE c.c_custkey % 40 WHEN 30 THEN 'unsubscribed' WHEN 20 THEN 'pending' ELSE 'active' END AS status,
- CASE WHEN c.c_custkey % 20 = 0 THEN r.r_name ELSE '' END AS regions_csv,
- CASE WHEN c.c_custkey % 30 = 0 THEN '1-URGENT,2-HIGH' ELSE '' END AS categories_csv,
+ CASE WHEN c.c_custkey % 20 = 0 THEN '' ELSE r.r_name END AS regions_csv,
+ CASE c.c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN '1-URGENT,2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS categories_csv,
  CASE WHEN c.c_custkey % 50 = 0 THEN 'anziani,ricerca' ELSE '' END AS areas_csv,
  CASE c.c_custkey % 3 WHEN 0 THEN 'psicologo' WHEN 1 THEN 'incarico,rsa' ELSE '' END AS keywords_csv,
  CASE WHEN c.c_custkey % 20 = 0 THEN 'daily' ELSE 'weekly' END AS frequency,
  CASE WHEN c.c_custkey % 30 = 10 THEN NULL ELSE CAST(CONCAT('1998-05-', lpad(CAST(c.c_custkey % 28 + 1 AS STRING), 2, '0'), ' 12:00:00') AS TIMESTAMP) END AS last_sent_at
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-WHERE c.c_custkey % 10 = 0
 """,
 }
 TABLES = ("region", "nation", "customer", "orders", "lineitem", "events")

@@ -59,7 +59,7 @@ def scan_import_runs(spark, d):
 def list_item(spark, d):
     s = fixture(spark, d, "fx_sources").select(F.col("id").alias("sid"), F.col("name").alias("source_name"))
     n = fixture(spark, d, N).select("id", "title", "organization", "entity_type", "region", "province", "category", "areas_csv", "deadline", "relevance_score", "is_featured", "official_url", "source_id")
-    return n.join(F.broadcast(s), F.col("source_id") == F.col("sid"), "left").drop("sid", "source_id")
+    return n.join(s, F.col("source_id") == F.col("sid"), "left").drop("sid", "source_id")
 
 
 @query("detail_item", "SELECT n.id, n.title, n.description, n.published_at, coalesce(string_agg(a.title || '|' || a.url, ';' ORDER BY a.title, a.url), '') AS attachments FROM fx_notices n LEFT JOIN fx_attachments a ON a.notice_id = n.id GROUP BY ALL", N, "fx_attachments")
@@ -79,7 +79,7 @@ def join_attachments(spark, d):
 @query("join_source", "SELECT n.id, s.name, s.region AS source_region FROM fx_notices n LEFT JOIN fx_sources s ON n.source_id = s.id", N, "fx_sources")
 def join_source(spark, d):
     s = fixture(spark, d, "fx_sources").select(F.col("id").alias("sid"), "name", F.col("region").alias("source_region"))
-    return fixture(spark, d, N).select("id", "source_id").join(F.broadcast(s), F.col("source_id") == F.col("sid"), "left").select("id", "name", "source_region")
+    return fixture(spark, d, N).select("id", "source_id").join(s, F.col("source_id") == F.col("sid"), "left").select("id", "name", "source_region")
 
 
 @query("normalize", f"SELECT doc_id, md5({norm('text')}) AS norm_md5 FROM documents")
@@ -257,7 +257,7 @@ def classify_query(spark, d):
     return c.select("id", F.col("category_found").alias("category"), F.array_join("areas_found", ",").alias("areas"), F.array_join("requirements_found", ",").alias("requirements"), F.col("relevance_score_found").alias("score"), F.col("relevance_found").alias("relevance"))
 
 
-QUALIFIED_SQL = "(" + " OR ".join(f"regexp_matches(t, '{p}')" for p in rules.QUALIFYING_PATTERNS) + ")"
+QUALIFIED_SQL = f"regexp_matches(t, '{rules.QUALIFYING_PATTERN}')"
 DIRECT_SQL = f"({ROLE_SQL} OR {QUALIFIED_SQL} OR (regexp_matches(t, '{rules.CONTEXT_PATTERN}') AND regexp_matches(t, '{rules.CONTEXTUAL_PATTERN}')))"
 PSY_SQL = f"({DIRECT_SQL} OR contains(t, 'neuropsicolog'))"
 RELEVANT_SQL = f"({PSY_SQL} AND ({has_sql('t', rules.OPPORTUNITY_TERMS)} OR {ROLE_SQL}))"
@@ -305,10 +305,20 @@ def any_string_field_match(spark, d):
     return fixture(spark, d, N).select("id", text.normalize(F.concat_ws(" ", *fields)).alias("t")).select("id", classify.direct_match(F.col("t")).alias("hit"))
 
 
-@query("professional_match", f"SELECT id, CASE WHEN contains(t, 'revoca') THEN NULL WHEN {ROLE_SQL.replace('(t,', "(replace(t, 'ordine degli psicologi', ''),")} THEN 'direct' WHEN (contains(dd, 'psicolog') AND contains(dd, 'albo')) OR {QUALIFIED_SQL.replace('(t,', '(dd,')} THEN 'eligible' END AS kind FROM (SELECT id, {norm('title')} AS t, {norm('description')} AS dd FROM fx_notices)", N)
+def _direct_sql(of: str) -> str:
+    return DIRECT_SQL.replace("(t,", f"({of},")
+
+
+NAMED_SQL = " OR ".join(f"regexp_matches({x}, '{rules.INDIVIDUAL_PATTERN}') OR {_direct_sql(x)}" for x in ("f", "ta"))
+PROFESSIONAL_SQL = f"""CASE WHEN regexp_matches(t, '{rules.REVOKED_PATTERN}') THEN NULL WHEN {NAMED_SQL} OR (contains(t, 'laurea') AND contains(t, 'psicologia')) THEN 'direct'
+ WHEN (contains(dd, 'laurea in psicologia') OR contains(dd, 'lm 51')) AND (contains(dd, 'albo') OR contains(dd, 'abilitazione')) THEN 'eligible' WHEN regexp_matches(dd, '{rules.DESCRIBED_ROLE_PATTERN}') THEN 'direct'
+ WHEN {_direct_sql("dd")} OR (contains(dd, 'scienze comportamentali') AND contains(dd, 'salute mentale')) THEN 'eligible' END"""
+
+
+@query("professional_match", f"SELECT id, {PROFESSIONAL_SQL} AS kind FROM (SELECT *, replace(t, 'ordine degli psicologi', '') AS ta FROM (SELECT id, {norm('category')} AS f, {norm('title')} AS t, {norm('description')} AS dd FROM fx_notices))", N)
 def professional_match(spark, d):
-    n = fixture(spark, d, N).select("id", text.normalize(F.col("title")).alias("title"), text.normalize(F.col("description")).alias("dd"))
-    return n.select("id", classify.professional_match(F.lit(""), F.col("title"), F.col("dd"), F.col("dd")).alias("kind"))
+    n = fixture(spark, d, N).select("id", *(text.normalize(F.col(c)).alias(c) for c in ("category", "title", "description")))
+    return n.select("id", classify.professional_match(F.col("category"), F.col("title"), F.col("description")).alias("kind"))
 
 
 ENTITY_SQL = f"""CASE WHEN source_type = 'third-sector-hub' THEN 'terzo-settore' WHEN source_type = 'private-social-jobs' THEN 'privato-sociale' WHEN starts_with(o, 'comune') THEN 'comune' WHEN starts_with(o, 'regione') THEN 'regione'
@@ -331,11 +341,12 @@ def category_override(spark, d):
 @query("location_parts", "SELECT id, CASE WHEN swap THEN province ELSE region END AS region, CASE WHEN swap THEN region ELSE province END AS province FROM (SELECT id, a AS region, b AS province, a NOT IN (SELECT r_name FROM region) AND b IN (SELECT r_name FROM region) AS swap FROM (SELECT id, CASE id % 3 WHEN 0 THEN province ELSE region END AS a, CASE id % 3 WHEN 0 THEN region ELSE province END AS b FROM fx_notices))", N)
 def location_parts(spark, d):
     """First two places of an array; swapped if only the second is a known region."""
-    known = [r[0] for r in spark.read.parquet(f"{d}/region.parquet").select("r_name").collect()]  # the five regions
+    known = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("place"), F.lit(True).alias("known")).distinct()
     places = F.when(F.col("id") % 3 == 0, F.array("province", "region")).otherwise(F.array("region", "province"))
-    a, b = F.try_element_at(F.col("p"), F.lit(1)), F.try_element_at(F.col("p"), F.lit(2))
-    swap = ~a.isin(known) & b.isin(known)
-    return fixture(spark, d, N).select("id", places.alias("p")).select("id", F.when(swap, b).otherwise(a).alias("region"), F.when(swap, a).otherwise(b).alias("province"))
+    n = fixture(spark, d, N).select("id", places.alias("p")).select("id", F.try_element_at("p", F.lit(1)).alias("a"), F.try_element_at("p", F.lit(2)).alias("b"))
+    n = n.join(known.toDF("a", "a_known"), "a", "left").join(known.toDF("b", "b_known"), "b", "left")
+    swap = F.col("a_known").isNull() & F.col("b_known").isNotNull()
+    return n.select("id", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("region"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("province"))
 
 
 @query("label_for", f"SELECT id, coalesce(l.label, k) AS label FROM (SELECT id, {CATEGORY_SQL} AS k FROM (SELECT id, {TEXT} AS t FROM fx_notices)) LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in rules.LABELS.items())}) AS l(code, label) ON l.code = k", N)
@@ -374,7 +385,7 @@ def adapter_family(spark, d):
 def build_notice(spark, d):
     """Record, source and classification to the stored notice, one function for all families."""
     s = fixture(spark, d, "fx_sources").select(F.col("id").alias("sid"), "name", F.col("organization").alias("s_organization"), F.col("region").alias("s_region"))
-    n = classify.classify(fixture(spark, d, N), "title", "description").join(F.broadcast(s), F.col("source_id") == F.col("sid"), "left")
+    n = classify.classify(fixture(spark, d, N), "title", "description").join(s, F.col("source_id") == F.col("sid"), "left")
     status = dates.infer_status(F.col("deadline"), as_of())
     return n.select(
         "id",

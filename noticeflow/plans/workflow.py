@@ -21,7 +21,7 @@ def join_runs_sources(spark, d):
     runs, s = fixture(spark, d, R), fixture(spark, d, S).select(F.col("id").alias("sid"), "name")
     latest = runs.agg((F.max("started_at") - F.expr("INTERVAL 10 DAYS")).alias("since"))
     recent = runs.join(F.broadcast(latest), F.col("started_at") >= F.col("since"))
-    return recent.join(F.broadcast(s), F.col("source_id") == F.col("sid")).select("id", "name", "status", "started_at")
+    return recent.join(s, F.col("source_id") == F.col("sid")).select("id", "name", "status", "started_at")
 
 
 @query("semi_published_sources", "SELECT id, name FROM fx_sources s WHERE EXISTS (SELECT 1 FROM fx_notices n WHERE n.source_id = s.id AND n.editorial_status = 'approved')", S, N)
@@ -41,12 +41,12 @@ def in_list_sources(spark, d):
     return fixture(spark, d, S).where(F.col("source_type").isin("html-list", "xml-index") & ~F.col("status").isin("retired")).select("id")
 
 
-@query("anti_not_seen", "SELECT id, CASE WHEN gone THEN 'closed' ELSE st END AS status, CASE WHEN gone AND NOT manual THEN 'hidden' ELSE editorial_status END AS editorial_status FROM (SELECT *, st <> 'closed' AND external_id NOT IN (SELECT external_id FROM fx_notices WHERE id % 3 = 0) AS gone, editorial_status = 'hidden' AND NOT starts_with(coalesce(editorial_notes, ''), 'Nascosto automaticamente:') AS manual FROM (SELECT *, " + STATUS_SQL + " AS st FROM fx_notices) WHERE source_id = 3)", N)
+@query("anti_not_seen", "SELECT id, CASE WHEN gone THEN 'closed' ELSE st END AS status, CASE WHEN gone AND NOT manual THEN 'hidden' ELSE editorial_status END AS editorial_status FROM (SELECT *, st <> 'closed' AND NOT EXISTS (SELECT 1 FROM fx_notices q WHERE q.stored_status = 'open' AND q.source_id = x.source_id AND q.external_id = x.external_id) AS gone, editorial_status = 'hidden' AND NOT starts_with(coalesce(editorial_notes, ''), 'Nascosto automaticamente:') AS manual FROM (SELECT *, " + STATUS_SQL + " AS st FROM fx_notices) x)", N)
 def anti_not_seen(spark, d):
-    """A full scan of source 3 saw a part of its external ids."""
+    """A full scan of the sources saw the external ids that they still list as open."""
     n = enriched(spark, d)
-    seen = n.where("id % 3 = 0").select(F.lit(3).cast("long").alias("source_id"), "external_id")
-    return lifecycle.close_not_seen(n.where("source_id = 3"), seen).select("id", "status", "editorial_status")
+    seen = n.where("stored_status = 'open'").select("source_id", "external_id")
+    return lifecycle.close_not_seen(n, seen).select("id", "status", "editorial_status")
 
 
 MATCH_SQL = "n.editorial_status = 'approved' AND n.status <> 'closed' AND (u.regions_csv = '' OR list_contains(string_split(u.regions_csv, ','), n.region)) AND (u.categories_csv = '' OR list_contains(string_split(u.categories_csv, ','), n.category)) AND (u.areas_csv = '' OR list_has_any(string_split(u.areas_csv, ','), n.areas)) AND (u.keywords_csv = '' OR len(list_filter(string_split(u.keywords_csv, ','), lambda k: NOT contains(n.search_text, k))) = 0)"
@@ -115,14 +115,13 @@ def alert_lifecycle(spark, d):
 
 @query("issuer_region", f"SELECT id, region FROM (SELECT i.id, s.region, row_number() OVER (PARTITION BY i.id ORDER BY least(length(i.o), length(s.o)) DESC, s.id) AS rn FROM (SELECT id, {norm("replace(organization, 'Customer#0000000', 'Customer#')")} AS o FROM fx_notices) i JOIN (SELECT id, region, {norm("replace(organization, 'Customer#0000000', 'Customer#')")} AS o FROM fx_sources) s ON contains(i.o, s.o) OR contains(s.o, i.o)) WHERE rn = 1", N, S)
 def issuer_region(spark, d):
-    """Region of the source whose organisation overlaps the issuer's name most; sources are a table of hundreds."""
+    """Region of the source whose organisation overlaps the issuer's name most."""
     name = text.normalize(F.replace(F.col("organization"), F.lit("Customer#0000000"), F.lit("Customer#")))
     issuers = fixture(spark, d, N).select("id", name.alias("i"))
     s = fixture(spark, d, S).select(F.col("id").alias("sid"), "region", name.alias("o"))
-    names = issuers.select("i").distinct()
-    found = names.join(F.broadcast(s), F.col("i").contains(F.col("o")) | F.col("o").contains(F.col("i")))
+    found = identity.containing(issuers.select("i").distinct(), s.select("o").distinct()).hint("merge").join(s, "o")
     best = found.groupBy("i").agg(F.max_by("region", F.struct(F.least(F.length("i"), F.length("o")), -F.col("sid"))).alias("region"))
-    return issuers.join(best, "i").select("id", "region")
+    return issuers.join(best.hint("merge"), "i").select("id", "region")
 
 
 @query("align_by_url", f"SELECT id, CASE WHEN n > 1 AND rn > 1 AND NOT manual THEN 'hidden' ELSE editorial_status END AS editorial_status FROM (SELECT *, row_number() OVER (PARTITION BY source_id, official_url ORDER BY editorial_status = 'approved' DESC, status IN ('open', 'closing_soon') DESC, deadline IS NOT NULL DESC, deadline DESC NULLS LAST, length(coalesce(description, '')) DESC, id) AS rn, count(*) OVER (PARTITION BY source_id, official_url) AS n, editorial_status = 'hidden' AND NOT starts_with(coalesce(editorial_notes, ''), 'Nascosto automaticamente:') AS manual FROM (SELECT *, {STATUS_SQL} AS status FROM fx_notices) WHERE NOT contains(official_url, '?s='))", N)
@@ -177,7 +176,7 @@ def probe_status(spark, d):
 @query("audit_report", f"SELECT coalesce(source_type, 'unassigned') AS source_type, coalesce({PROBE_SQL}, 'ok') AS probe, count(*) AS n FROM fx_runs r LEFT JOIN fx_sources s ON r.source_id = s.id GROUP BY ALL", R, S)
 def audit_report(spark, d):
     s = fixture(spark, d, S).select(F.col("id").alias("sid"), "source_type")
-    r = fixture(spark, d, R).join(F.broadcast(s), F.col("source_id") == F.col("sid"), "left")
+    r = fixture(spark, d, R).join(s, F.col("source_id") == F.col("sid"), "left")
     return r.groupBy(F.coalesce("source_type", F.lit("unassigned")).alias("source_type"), F.coalesce(telemetry.probe_status(F.col("error_message")), F.lit("ok")).alias("probe")).agg(F.count("*").alias("n"))
 
 
@@ -192,7 +191,7 @@ def pipeline_metrics(spark, d):
     return fixture(spark, d, N).groupBy("source_id", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("content_digest", "WITH r AS (SELECT sha256(concat_ws(chr(31), id, title, organization, official_url)) AS h FROM fx_notices WHERE editorial_status = 'approved') SELECT substr(h, 1, 2) AS bucket, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM r GROUP BY 1", N)
+@query("content_digest", "WITH r AS (SELECT sha256(concat_ws(chr(31), id, title, organization, official_url)) AS h FROM fx_notices WHERE editorial_status = 'approved') SELECT substr(h, 1, 2) AS bucket, count(*) AS n, sha256(concat_ws('|', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 33, 15) AS BIGINT)))) AS digest FROM r GROUP BY 1", N)
 def content_digest(spark, d):
     return snapshot.bucket_digests(fixture(spark, d, N).where("editorial_status = 'approved'"), ["id", "title", "organization", "official_url"])
 
@@ -237,9 +236,9 @@ def cap_per_source(spark, d):
 SLOT_SQL = f"CAST(floor(epoch({AS_OF_SQL}) / 43200) AS BIGINT)"
 
 
-@query("rotation_batch", f"SELECT id, name, (k - ({SLOT_SQL} * 7) % 40 + 40) % 40 AS offset_ FROM (SELECT id, name, row_number() OVER (ORDER BY lower(name), id) - 1 AS k FROM fx_sources) WHERE (k - ({SLOT_SQL} * 7) % n + n) % n < 7".replace("% n + n) % n", "% 40 + 40) % 40"), S)
+@query("rotation_batch", f"SELECT id, name, (k - ({SLOT_SQL} * 7) % n + n) % n AS offset_ FROM (SELECT id, name, row_number() OVER (ORDER BY lower(name), id) - 1 AS k, count(*) OVER () AS n FROM fx_sources) WHERE (k - ({SLOT_SQL} * 7) % n + n) % n < 7", S)
 def rotation_batch(spark, d):
-    """Seven of the forty sources of the derived table (thirty-nine at the smallest scale are as many as it has)."""
+    """The slot's seven sources."""
     return telemetry.rotation_batch(fixture(spark, d, S), 7, dates.rotation_slot(as_of())).select("id", "name", F.col("offset").cast("long").alias("offset_"))
 
 
@@ -251,10 +250,10 @@ def source_refresh_order(spark, d):
 # Sets
 
 
-@query("union_sources", "SELECT external_id, title, NULL AS url FROM fx_notices WHERE id % 2 = 0 UNION ALL SELECT id, title, url FROM fx_attachments", N, A)
+@query("union_sources", "SELECT external_id, title, NULL AS url FROM fx_notices UNION ALL SELECT id, title, url FROM fx_attachments", N, A)
 def union_sources(spark, d):
     a = fixture(spark, d, A).select(F.col("id").alias("external_id"), "title", "url")
-    return fixture(spark, d, N).where("id % 2 = 0").select("external_id", "title").unionByName(a, allowMissingColumns=True)
+    return fixture(spark, d, N).select("external_id", "title").unionByName(a, allowMissingColumns=True)
 
 
 @query("ordered_distinct", "SELECT official_url, min(id) AS position FROM fx_notices GROUP BY official_url", N)
@@ -272,10 +271,10 @@ def array_subset(spark, d):
     return fixture(spark, d, N).select("id", lifecycle.only_deadline_notes(F.col("editorial_notes")).alias("only_auto"))
 
 
-@query("set_difference", "SELECT DISTINCT source_id FROM fx_runs EXCEPT SELECT source_id FROM fx_runs WHERE status = 'failed' AND id % 50 = 0", R)
+@query("set_difference", "SELECT DISTINCT source_id FROM fx_runs EXCEPT SELECT source_id FROM fx_runs WHERE status = 'failed'", R)
 def set_difference(spark, d):
     r = fixture(spark, d, R)
-    failed = r.where("status = 'failed' and id % 50 = 0").select("source_id").distinct()
+    failed = r.where("status = 'failed'").select("source_id").distinct()
     return r.select("source_id").distinct().join(failed, "source_id", "left_anti")
 
 
@@ -394,14 +393,14 @@ def normalized_url(spark, d):
 @query("same_url", f"SELECT n.id, {NORMALIZED_SQL.format('n.official_url')} = {NORMALIZED_SQL.format('s.base_url')} AS listing FROM fx_notices n JOIN fx_sources s ON n.source_id = s.id", N, S)
 def same_url(spark, d):
     s = fixture(spark, d, S).select(F.col("id").alias("sid"), "base_url")
-    return fixture(spark, d, N).join(F.broadcast(s), F.col("source_id") == F.col("sid")).select("id", urls.same_url(F.col("official_url"), F.col("base_url")).alias("listing"))
+    return fixture(spark, d, N).join(s, F.col("source_id") == F.col("sid")).select("id", urls.same_url(F.col("official_url"), F.col("base_url")).alias("listing"))
 
 
 @query("listing_page", f"SELECT n.id, {NORMALIZED_SQL.format('n.official_url')} = {NORMALIZED_SQL.format('s.base_url')} OR contains(n.official_url, '?s=') AS listing FROM fx_notices n JOIN fx_sources s ON n.source_id = s.id", N, S)
 def listing_page(spark, d):
     s = fixture(spark, d, S).select(F.col("id").alias("sid"), "base_url")
     u = F.col("official_url")
-    return fixture(spark, d, N).join(F.broadcast(s), F.col("source_id") == F.col("sid")).select("id", (urls.same_url(u, F.col("base_url")) | urls.search_url(u)).alias("listing"))
+    return fixture(spark, d, N).join(s, F.col("source_id") == F.col("sid")).select("id", (urls.same_url(u, F.col("base_url")) | urls.search_url(u)).alias("listing"))
 
 
 @query("query_value", "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
@@ -433,14 +432,14 @@ def content_hash(spark, d):
     return fixture(spark, d, N).select("id", urls.content_hash(F.col("title"), F.col("description"), F.col("official_url")).alias("hash"))
 
 
-@query("external_key", "SELECT id, sha256(concat_ws('|', CAST(source_id AS VARCHAR), external_id, official_url)) AS key FROM fx_notices", N)
+@query("external_key", "SELECT id, sha256(concat(coalesce(CAST(source_id AS VARCHAR), ''), '|', coalesce(external_id, ''), '|', coalesce(official_url, ''))) AS key FROM fx_notices", N)
 def external_key(spark, d):
-    return fixture(spark, d, N).select("id", F.sha2(F.concat_ws("|", F.col("source_id").cast("string"), "external_id", "official_url"), 256).alias("key"))
+    return fixture(spark, d, N).select("id", urls.external_key(F.col("source_id"), F.col("external_id"), F.col("official_url")).alias("key"))
 
 
-@query("fingerprint", f"SELECT id, sha256(concat_ws(chr(10), {norm('title')}, {norm('organization')}, coalesce(strftime(deadline, '%Y-%m-%d'), ''))) AS fingerprint FROM fx_notices", N)
+@query("fingerprint", f"SELECT id, sha256({norm('title')} || '|' || {norm('organization')} || '|' || {norm("strftime(deadline, '%Y-%m-%d')")}) AS fingerprint FROM fx_notices", N)
 def fingerprint(spark, d):
-    return fixture(spark, d, N).select("id", urls.content_hash(text.normalize(F.col("title")), text.normalize(F.col("organization")), F.date_format("deadline", "yyyy-MM-dd")).alias("fingerprint"))
+    return fixture(spark, d, N).select("id", urls.fingerprint(F.col("title"), F.col("organization"), F.date_format("deadline", "yyyy-MM-dd")).alias("fingerprint"))
 
 
 @query("similarity")
@@ -475,12 +474,12 @@ def attachment_filter(spark, d):
 # Lifecycle
 
 
-@query("upsert_notices", "WITH b AS (SELECT * FROM fx_notices WHERE id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY updated_at DESC NULLS LAST, id DESC) = 1), o AS (SELECT * FROM fx_notices WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY id) = 1) SELECT coalesce(o.id, b.id) AS id, source_id, external_id, CASE WHEN b.id IS NOT NULL THEN b.title || ' bis' ELSE o.title END AS title, CASE WHEN b.id IS NULL OR (o.id IS NOT NULL AND o.editorial_status = 'hidden' AND NOT starts_with(coalesce(o.editorial_notes, ''), 'Nascosto automaticamente:')) THEN o.editorial_status ELSE 'approved' END AS editorial_status, CASE WHEN o.id IS NULL THEN 'created' WHEN b.id IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM o FULL JOIN b USING (source_id, external_id)", N)
+@query("upsert_notices", "WITH b AS (SELECT * FROM fx_notices WHERE published_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY updated_at DESC NULLS LAST, id DESC) = 1), o AS (SELECT * FROM fx_notices WHERE stored_status <> 'open' QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY id) = 1) SELECT coalesce(o.id, b.id) AS id, source_id, external_id, CASE WHEN b.id IS NOT NULL THEN b.title || ' bis' ELSE o.title END AS title, CASE WHEN b.id IS NULL OR (o.id IS NOT NULL AND o.editorial_status = 'hidden' AND NOT starts_with(coalesce(o.editorial_notes, ''), 'Nascosto automaticamente:')) THEN o.editorial_status ELSE 'approved' END AS editorial_status, CASE WHEN o.id IS NULL THEN 'created' WHEN b.id IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM o FULL JOIN b USING (source_id, external_id)", N)
 def upsert_notices(spark, d):
     n = fixture(spark, d, N)
     columns = ["id", "source_id", "external_id", "title", "editorial_status", "editorial_notes"]
-    old = identity.last_wins(n.where("id % 2 = 0"), ["source_id", "external_id"], F.col("id")).select(*columns)
-    batch = n.where("id % 3 <> 1").withColumns({"title": F.concat("title", F.lit(" bis")), "editorial_status": F.lit("approved"), "editorial_notes": F.lit(None).cast("string")}).select(*columns, F.col("updated_at").alias("fetched"))
+    old = identity.last_wins(n.where("stored_status <> 'open'"), ["source_id", "external_id"], F.col("id")).select(*columns)
+    batch = n.where("published_at is not null").withColumns({"title": F.concat("title", F.lit(" bis")), "editorial_status": F.lit("approved"), "editorial_notes": F.lit(None).cast("string")}).select(*columns, F.col("updated_at").alias("fetched"))
     return lifecycle.upsert_notices(old, batch).drop("editorial_notes")
 
 
@@ -510,7 +509,7 @@ L = f"WITH w AS (SELECT n.*, s.base_url AS source_url, CASE WHEN deadline IS NUL
 def _stored(spark, d) -> DataFrame:
     s = fixture(spark, d, S).select(F.col("id").alias("sid"), F.col("base_url").alias("source_url"))
     n = fixture(spark, d, N).withColumn("status", F.when(F.col("deadline").isNull(), "review").otherwise(F.col("stored_status")))
-    return n.join(F.broadcast(s), F.col("source_id") == F.col("sid"), "left").select("id", "source_id", "title", "description", "official_url", "source_url", "status", "deadline", "editorial_status", "editorial_notes")
+    return n.join(s, F.col("source_id") == F.col("sid"), "left").select("id", "source_id", "title", "description", "official_url", "source_url", "status", "deadline", "editorial_status", "editorial_notes")
 
 
 @query("undated_review_rule", L + f"SELECT id, {UNDATED_SQL} AS hit FROM w", N, S)
@@ -565,22 +564,22 @@ _recheck("hide_non_primary", lambda: text.has_substring(F.col("t"), ("avviso", "
 @query("retire_demo", "SELECT n.id FROM fx_notices n WHERE NOT EXISTS (SELECT 1 FROM fx_sources s WHERE s.id = n.source_id AND s.source_type = 'third-sector-hub')", N, S)
 def retire_demo(spark, d):
     demo = fixture(spark, d, S).where("source_type = 'third-sector-hub'").select(F.col("id").alias("sid"))
-    return fixture(spark, d, N).join(F.broadcast(demo), F.col("source_id") == F.col("sid"), "left_anti").select("id")
+    return fixture(spark, d, N).join(demo, F.col("source_id") == F.col("sid"), "left_anti").select("id")
 
 
-@query("editorial_actions", "SELECT id, 'title' AS field, title AS old_value, title || ' *' AS new_value FROM fx_notices WHERE id % 4 = 0 UNION ALL SELECT id, 'editorial_status', editorial_status, 'approved' FROM fx_notices WHERE id % 4 = 0 AND id % 3 = 0", N)
+@query("editorial_actions", "SELECT id, 'title' AS field, title AS old_value, title || ' *' AS new_value FROM fx_notices WHERE editorial_status = 'pending' UNION ALL SELECT id, 'editorial_status', editorial_status, 'approved' FROM fx_notices WHERE editorial_status = 'pending' AND is_featured", N)
 def editorial_actions(spark, d):
     n = fixture(spark, d, N)
-    edits = n.where("id % 4 = 0").select("id", F.concat("title", F.lit(" *")).alias("title"), F.when(F.col("id") % 3 == 0, "approved").alias("editorial_status"))
+    edits = n.where("editorial_status = 'pending'").select("id", F.concat("title", F.lit(" *")).alias("title"), F.when(F.col("is_featured"), "approved").alias("editorial_status"))
     return lifecycle.apply_edits(n, edits, ("title", "editorial_status"))[1]
 
 
-@query("source_catalog_sync", "SELECT coalesce(n.name, o.name) AS name, coalesce(n.source_type, o.source_type) AS source_type, coalesce(o.status, 'catalogued') AS status FROM (SELECT name, source_type, status FROM fx_sources WHERE id < 30) o FULL JOIN (SELECT name, source_type || '-v2' AS source_type FROM fx_sources WHERE id >= 10) n ON o.name = n.name", S)
+@query("source_catalog_sync", "SELECT coalesce(n.name, o.name) AS name, coalesce(n.source_type, o.source_type) AS source_type, coalesce(o.status, 'catalogued') AS status FROM (SELECT name, source_type, status FROM fx_sources WHERE status <> 'retired') o FULL JOIN (SELECT name, source_type || '-v2' AS source_type FROM fx_sources WHERE last_success_at IS NOT NULL) n ON o.name = n.name", S)
 def source_catalog_sync(spark, d):
     """Catalogue fields of new definitions win; the operational status is never reset."""
     s = fixture(spark, d, S)
-    old = s.where("id < 30").select("name", F.col("source_type").alias("old_type"), "status")
-    new = s.where("id >= 10").select("name", F.concat("source_type", F.lit("-v2")).alias("new_type"))
+    old = s.where("status <> 'retired'").select("name", F.col("source_type").alias("old_type"), "status")
+    new = s.where("last_success_at is not null").select("name", F.concat("source_type", F.lit("-v2")).alias("new_type"))
     return old.join(new, "name", "full_outer").select("name", F.coalesce("new_type", "old_type").alias("source_type"), F.coalesce("status", F.lit("catalogued")).alias("status"))
 
 
@@ -645,8 +644,8 @@ def refresh_guard(spark, d):
     return succeeded.crossJoin(F.broadcast(approved)).select((F.col("a") | F.col("b")).alias("publish"))
 
 
-@query("seed_fixture_load", f"SELECT id, CASE WHEN relevance_score >= 35 THEN 'approved' ELSE 'pending' END AS editorial_status FROM fx_notices WHERE source_id = 0", N)
+@query("seed_fixture_load", f"SELECT id, CASE WHEN relevance_score >= 35 THEN 'approved' ELSE 'pending' END AS editorial_status FROM fx_notices", N)
 def seed_fixture_load(spark, d):
     """Sample rows are approved where their relevance is high or medium."""
-    n = fixture(spark, d, N).where("source_id = 0")
+    n = fixture(spark, d, N)
     return n.select("id", F.when(classify.relevance_label(F.col("relevance_score")).isin("alta", "media"), "approved").otherwise("pending").alias("editorial_status"))
