@@ -82,6 +82,8 @@ class CuckooFilter:
 
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
+        """A filter of keys, of which it holds one print each: more of one key would never find room."""
+        keys = np.unique(keys)
         room = len(keys)
         while True:
             made = cls(room)

@@ -1,12 +1,15 @@
 """Line dedup with sharded cuckoo filters over exact reference-count tables.
 
-State, all in tables: `postings` (shard, hi, lo, doc_id, n_lines) says which document holds which line
-key; `refs` (shard, hi, lo, n_docs, owner) counts the documents of a key and names the smallest;
-`filters` (shard, blob) holds a cuckoo filter of the keys with at least two documents. Inserting
-documents adds their postings, deleting documents takes them out; only the counts of the keys they
-touch are made anew, and only keys whose count crosses two enter or leave a filter. So deletion is the
-exact inverse of insertion. To dedup, postings are probed in their shard's filter; what the filter
-lets through is checked in the exact table; the lines of a key go from all documents but its owner.
+State, all in tables: `parts` (shard, hi, lo, doc_id, n_lines), one for each insertion, says which document
+holds which line key; `gone` (doc_id, upto) says which documents of the first parts have been deleted;
+`refs` (shard, hi, lo, n_docs, owner) counts the documents of a key and names the smallest; `filters`
+(shard, blob) holds a cuckoo filter of the keys with at least two documents. An insertion adds a part, a
+deletion adds to `gone`; parts are never written again, except by compacted(). Counts are added and taken
+for the keys that are touched, and `refs`, a row for each key, is written with them; only a deletion that
+takes a key's owner looks for the next one in the parts. Only keys whose count crosses two enter or leave a filter. So deletion is the
+exact inverse of insertion. A document that the index holds already is not inserted again, so a batch that
+comes twice counts once. To dedup, postings are probed in their shard's filter; what the filter lets
+through is checked in the exact table; the lines of a key go from all documents but its owner.
 
 A line's key is the line without ASCII white space at its ends, A-Z in lower case, as a 128-bit hash
 (blake2b); keys of fewer than MIN_KEY code points never count. Null or empty texts have one empty line.
@@ -15,6 +18,7 @@ Rows that repeat an id count as one document. Rows with a null id are kept whole
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from dataclasses import dataclass
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ceil_div, saved, short_batches
+from .common import ceil_div, joined_by_key, saved, short_batches
 from .cuckoo import CuckooFilter
 
 MIN_KEY = 10
@@ -61,47 +65,76 @@ def _line_rows(batches):
 @dataclass
 class LineIndex:
     shards: int
-    postings: DataFrame
+    parts: tuple[DataFrame, ...]
+    gone: DataFrame | None
     refs: DataFrame
     filters: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """The postings of all documents that are there."""
+        numbered = [p.withColumn("part", F.lit(k)) for k, p in enumerate(self.parts)]
+        held = functools.reduce(DataFrame.unionByName, numbered)
+        if self.gone is not None:
+            held = held.hint("merge").join(self.gone, "doc_id", "left").where("upto is null or part > upto").drop("upto")
+        return held.drop("part")
+
     def insert(self, docs: DataFrame, doc_id="doc_id", text="text") -> LineIndex:
-        """The index with the documents of docs, whose ids must be new to it."""
-        return self._changed(postings_of(docs, self.shards, doc_id, text), None)
+        """The index with those documents of docs whose ids it doesn't hold."""
+        added = saved(postings_of(docs, self.shards, doc_id, text), "lines-postings")
+        known = self.postings.select("doc_id").distinct()
+        added = saved(added.hint("merge").join(known, "doc_id", "left_anti"), "lines-postings")
+        change = counted(added)
+        refs = self.refs.select("shard", *KEY, "n_docs", "owner")
+        old = refs.hint("merge").join(change.select(*KEY), KEY, "left_semi")
+        now = old.unionByName(change).groupBy("shard", *KEY).agg(F.sum("n_docs").alias("n_docs"), F.min("owner").alias("owner"))
+        return self._changed(old, now, (*self.parts, added), self.gone)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents whose ids are in the first column of ids."""
-        gone = ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct()
-        return self._changed(None, gone)
-
-    def _changed(self, added: DataFrame | None, gone: DataFrame | None) -> LineIndex:
-        if added is not None:
-            postings, touched = saved(self.postings.unionByName(added), "lines-postings"), added
-        else:
-            touched = self.postings.hint("merge").join(gone, "doc_id", "left_semi")
-            postings = saved(self.postings.hint("merge").join(gone, "doc_id", "left_anti"), "lines-postings")
-        touched = saved(touched.select("shard", *KEY).distinct(), "lines-touched")
-        fresh = counted(postings.hint("merge").join(touched.select(*KEY), KEY, "left_semi"))
-        old = self.refs.hint("merge").join(touched.select(*KEY), KEY, "left_semi")
-        refs = saved(self.refs.hint("merge").join(touched.select(*KEY), KEY, "left_anti").unionByName(fresh), "lines-refs")
-        now, was = (x.where("n_docs >= 2").select("shard", *KEY) for x in (fresh, old))
-        enter = now.hint("merge").join(was, KEY, "left_anti").withColumn("enters", F.lit(True))
-        leave = was.hint("merge").join(now.select(*KEY), KEY, "left_anti").withColumn("enters", F.lit(False))
+        leave = saved(ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct(), "lines-gone")
+        lost = saved(self.postings.hint("merge").join(leave, "doc_id", "left_semi"), "lines-lost")
+        upto = leave.withColumn("upto", F.lit(len(self.parts) - 1))
+        gone = upto if self.gone is None else saved(self.gone.unionByName(upto).groupBy("doc_id").agg(F.max("upto").alias("upto")), "lines-gone")
+        change = lost.groupBy(*KEY).agg(F.count("*").alias("less"))
+        touched = saved(self.refs.hint("merge").join(change, KEY).withColumn("n_docs", F.col("n_docs") - F.col("less")), "lines-touched")
+        old = touched.select("shard", *KEY, (F.col("n_docs") + F.col("less")).alias("n_docs"), "owner")
+        stay = touched.where("n_docs > 0").select("shard", *KEY, "n_docs", "owner")
+        ownerless = stay.hint("merge").join(lost.select(*KEY, F.col("doc_id").alias("owner")), [*KEY, "owner"], "left_semi")
+        later = LineIndex(self.shards, self.parts, gone, self.refs, self.filters)
+        heirs = later.postings.hint("merge").join(ownerless.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min("doc_id").alias("heir"))
+        now = stay.hint("merge").join(heirs, KEY, "left").select("shard", *KEY, "n_docs", F.coalesce("heir", "owner").alias("owner"))
+        return self._changed(old, now, self.parts, gone)
+
+    def _changed(self, old: DataFrame, now: DataFrame, parts: tuple[DataFrame, ...], gone: DataFrame | None) -> LineIndex:
+        """The index with the refs `now` of the keys that are in old or now."""
+        old, now = saved(old, "lines-old"), saved(now, "lines-now")
+        refs = saved(self.refs.hint("merge").join(old.select(*KEY), KEY, "left_anti").unionByName(now), "lines-refs")
+        was, will = (x.where("n_docs >= 2").select("shard", *KEY) for x in (old, now))
+        enter = will.hint("merge").join(was, KEY, "left_anti").select("shard", "hi", F.lit(True).alias("enters"))
+        leave = was.hint("merge").join(will, KEY, "left_anti").select("shard", "hi", F.lit(False).alias("enters"))
         filters = saved(self.filters.groupBy("shard").cogroup(enter.unionByName(leave).groupBy("shard")).applyInPandas(_filter_changes, "shard int, blob binary"), "lines-filters")
         full = filters.where("blob is null").select("shard")
         if full.limit(1).count():
             filters = saved(filters.where("blob is not null").unionByName(built_filters(refs.join(full, "shard", "left_semi"))), "lines-filters")
-        return LineIndex(self.shards, postings, refs, filters)
+        return LineIndex(self.shards, parts, gone, refs, filters)
+
+    def compacted(self) -> LineIndex:
+        """The same index with one part and nothing marked as gone."""
+        return LineIndex(self.shards, (saved(self.postings, "lines-postings"),), None, self.refs, self.filters)
 
     def drops(self) -> DataFrame:
-        """(doc_id, hi, lo): the keys whose lines a document loses."""
-        chunks = max(1, ceil_div(self.postings.count(), self.shards * CHUNK_ROWS))
+        """(doc_id, hi, lo): the keys whose lines a document loses. Lines that many documents share are hot keys."""
+        postings = self.postings
+        n = postings.count()
+        chunks = max(1, ceil_div(n, self.shards * CHUNK_ROWS))
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
-        probes = self.postings.select("shard", *KEY, "doc_id").withColumn("salt", salt)
-        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        maybe = probes.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(_probe, "hi long, lo long, doc_id long")
-        repeated = self.refs.where("n_docs >= 2").select(*KEY, "owner")
-        return maybe.hint("merge").join(repeated, KEY).where("doc_id <> owner").select("doc_id", *KEY)
+        probes = postings.select("shard", *KEY, "doc_id").withColumn("salt", salt)
+        filters = self.filters.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(chunks)])))
+        maybe = saved(probes.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(_probe, "hi long, lo long, doc_id long"), "lines-maybe")
+        repeated = self.refs.where("n_docs >= 2").select(F.struct(*KEY).alias("key"), "owner", F.col("n_docs").alias("n"))
+        found = joined_by_key(maybe.select(F.struct(*KEY).alias("key"), "doc_id"), repeated, "key", n)
+        return found.where("doc_id <> owner").select("doc_id", "key.*")
 
 
 def postings_of(docs: DataFrame, shards: int, doc_id="doc_id", text="text") -> DataFrame:
@@ -126,7 +159,7 @@ def build(docs: DataFrame, doc_id="doc_id", text="text") -> LineIndex:
     shards = max(LEAST_SHARDS, ceil_div(refs.where("n_docs >= 2").count(), SHARD_KEYS))
     number = F.pmod("lo", F.lit(shards)).cast("int")
     postings, refs = postings.withColumn("shard", number), refs.withColumn("shard", number)
-    return LineIndex(shards, postings, refs, saved(built_filters(refs), "lines-filters"))
+    return LineIndex(shards, (postings,), None, refs, saved(built_filters(refs), "lines-filters"))
 
 
 def _filter_changes(held: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
