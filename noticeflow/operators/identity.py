@@ -40,9 +40,13 @@ GRAM = 3
 def containing(left: DataFrame, right: DataFrame) -> DataFrame:
     """(i, o): pairs of distinct texts i of left and o of right where one is part of the other. The part has a rarest gram of
     GRAM characters (or is itself shorter than that), and the whole has the same gram, so pairs meet on it."""
+
     def grams(c: str, lengths) -> Column:
-        of = [F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda p, k=k: F.substring(F.col(c), p, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in lengths]
-        return F.array_distinct(F.concat(*of))
+        def of(k: int) -> Column:
+            found = F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda at: F.substring(F.col(c), at, F.lit(k)))
+            return F.when(F.length(c) >= k, found).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*map(of, lengths)))
 
     def met(parts: DataFrame, p: str, wholes: DataFrame, w: str) -> DataFrame:
         held = kept(wholes.select(w, F.explode(grams(w, range(1, GRAM + 1))).alias("gram")), "grams")
@@ -61,27 +65,80 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_tokens(texts: DataFrame, c: str, least: float) -> DataFrame:
+    """(c, token): for each distinct text so many of its rarest characters that texts with a ratio of `least` share one.
+
+    A ratio counts matched characters twice over both lengths, so at `least` the matched ones are the share
+    least / (2 - least) of either text, and so many characters, each with its how-many-eth occurrence, are common to both. A
+    text's tokens but for one less than that number, the rarest first, hold one of them."""
+    chars = F.split(F.col(c), "")
+    token = F.transform(chars, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == ch)).cast("string")))
+    each = kept(texts.where(F.length(c) > 0).select(c, F.explode(token).alias("token")), "tokens")
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    ordered = each.hint("merge").join(counts, "token").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    spare = F.size("all") - F.ceil(F.size("all") * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1
+    return kept(ordered.select(c, F.explode(F.slice("all", F.lit(1), spare.cast("int"))).alias("e")).select(c, "e.token"), "tokens")
+
+
+def _possible(a: str, b: str, least: float) -> Column:
+    """The shorter text bounds the ratio."""
+    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+
+
+def _alike(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """pairs whose texts a and b have a ratio of `least` in this order; every different pair is compared once."""
+    pairs = kept(pairs, "pairs")
+    different = pairs.where((F.col(a) != F.col(b)) & _possible(a, b, least)).select(a, b).distinct()
+    good = kept(different.where(similarity(a, b) >= least), "alike")
+    return pairs.where(F.col(a) == F.col(b)).unionByName(pairs.where(F.col(a) != F.col(b)).hint("merge").join(good.hint("merge"), [a, b], "left_semi"))
+
+
+def similar_texts(texts: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """(a, b): all pairs of texts of the column a, equal ones too, with a ratio of `least`."""
+    tokens = shared_tokens(texts, a, least)
+    pairs = tokens.hint("merge").join(tokens.withColumnRenamed(a, b), "token").where((F.col(a) != F.col(b)) & _possible(a, b, least)).select(a, b).distinct()
+    return kept(_alike(pairs, a, b, least).unionByName(texts.select(a, F.col(a).alias(b))), "similar")
+
+
+#: How many of the first targets of a title are tried before the search by the organisation's tokens.
+FIRST_TARGETS = 8
+
+
 def probable_duplicates(notices: DataFrame) -> DataFrame:
-    """(id, duplicate_of): for each notice the smallest id among smaller ids of other sources, approved and not closed, with the
-    same deadline day and similar title and organisation. An undated notice is compared with those of its own organisation
-    only: all undated ones against each other and against all days would be all pairs.
+    """(id, duplicate_of): for each notice the smallest id among smaller ids of other sources, approved and not closed, with
+    similar title and organisation, and the same deadline day where both have one.
 
-    Equal (title, organisation, day, source) rows are one class; classes are joined, not notices, within a day and by bands of
-    the title's length, which cannot lose a pair: a ratio of 0.88 needs lengths within 0.88 / 1.12 of each other. What the
-    lengths rule out is not compared in Python."""
+    Equal (title, organisation, day, source) rows are one class. Similar titles are found among the distinct ones (see
+    shared_tokens). Classes with a day meet those of the same day and a similar title. Where one side has no day, a class is
+    first compared with the FIRST_TARGETS smallest ids of each similar title; if the answer may still lie beyond them, it
+    meets all of the title that share one of the organisation's rare characters. No pair is lost either way."""
     rows = notices.select("id", "source_id", normalize(F.col("title")).alias("t"), normalize(F.col("organization")).alias("o"), F.coalesce(F.date_format("deadline", "yyyy-MM-dd"), F.lit("")).alias("day"), ((F.col("editorial_status") == "approved") & (F.col("status") != "closed")).alias("target"))
-    classes = rows.groupBy("t", "o", "day", "source_id").agg(F.min(F.when(F.col("target"), F.col("id"))).alias("first"), F.max("id").alias("last"))
-    lt = F.length("t")
-    band = F.floor(F.log(F.greatest(lt, F.lit(1))) / F.log(F.lit(1.12 / 0.88))).cast("int")
-    mine = classes.select("t", "o", "day", "source_id", "last", F.explode(F.sequence(band - 1, band + 1)).alias("band"))
-    targets = classes.where("first is not null").select(F.col("t").alias("tb"), F.col("o").alias("ob"), F.col("day").alias("day_b"), F.col("source_id").alias("source_b"), "first", band.alias("band"))
-    same_day = mine.where("day <> ''").hint("merge").join(targets.withColumn("day", F.col("day_b")), ["day", "band"])
-    undated = mine.hint("merge").join(targets.withColumn("o", F.col("ob")), ["o", "band"]).where("day = '' or day_b = ''")
-    pairs = same_day.unionByName(undated).where("source_id <> source_b and first < last").drop("band")
-    # A ratio counts matched characters twice over both lengths, so the shorter text bounds it.
-    possible = lambda a, b, least: 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
-    alike = lambda a, b, least: (F.col(a) == F.col(b)) | (similarity(a, b) >= least)
-    pairs = pairs.where(possible("t", "tb", TITLE_RATIO) & possible("o", "ob", ORGANIZATION_RATIO))
-    pairs = pairs.where(alike("t", "tb", TITLE_RATIO)).where(alike("o", "ob", ORGANIZATION_RATIO))
-    best = pairs.groupBy("t", "o", "day", "source_id").agg(F.min("first").alias("duplicate_of"))
-    return rows.hint("merge").join(best, ["t", "o", "day", "source_id"]).where("duplicate_of < id").select("id", "duplicate_of")
+    classes = kept(rows.groupBy("t", "o", "day", "source_id").agg(F.min(F.when(F.col("target"), F.col("id"))).alias("first"), F.max("id").alias("last")), "classes")
+    targets = classes.where("first is not null").select(F.col("t").alias("tb"), F.col("o").alias("ob"), F.col("day").alias("day_b"), F.col("source_id").alias("source_b"), "first")
+    titles = similar_texts(classes.select("t").distinct(), "t", "tb", TITLE_RATIO)
+    key = ["t", "o", "day", "source_id"]
+    mine = kept(classes.drop("first").hint("merge").join(titles.hint("merge"), "t"), "reach")
+    other = "source_id <> source_b and first < last"
+    best = lambda pairs: _alike(pairs.where(other).select(*key, "ob", "first"), "o", "ob", ORGANIZATION_RATIO).groupBy(*key).agg(F.min("first").alias("duplicate_of"))
+
+    dated = best(mine.where("day <> ''").hint("merge").join(targets.withColumn("day", F.col("day_b")), ["day", "tb"]))
+
+    # Without a day on one side: undated classes search all targets, the others the undated ones.
+    mine = mine.withColumn("of", F.when(F.col("day") == "", "all").otherwise("undated"))
+    lists = targets.withColumn("of", F.explode(F.when(F.col("day_b") == "", F.array(F.lit("all"), F.lit("undated"))).otherwise(F.array(F.lit("all")))))
+    lists = kept(lists, "targets")
+    ranked = kept(lists.withColumn("k", F.row_number().over(Window.partitionBy("tb", "of").orderBy("first", "source_b", "ob", "day_b"))).where(F.col("k") <= FIRST_TARGETS + 1), "first-targets")
+    tried = best(mine.hint("merge").join(ranked.where(F.col("k") <= FIRST_TARGETS), ["tb", "of"]))
+    beyond = ranked.where(F.col("k") > FIRST_TARGETS).select("tb", "of", F.col("first").alias("next"))
+    seen = mine.hint("merge").join(beyond, ["tb", "of"], "left").groupBy(*key).agg(F.min("next").alias("next"), F.max("last").alias("last"))
+    seen = kept(seen.hint("merge").join(tried, key, "left"), "tried")
+    unsure = seen.where("next < last and (duplicate_of is null or duplicate_of > next)").select(*key)
+    tokens = shared_tokens(classes.select("o").distinct(), "o", ORGANIZATION_RATIO)
+    asking = mine.hint("merge").join(unsure, key, "left_semi").hint("merge").join(tokens, "o")
+    offered = lists.hint("merge").join(tokens.withColumnRenamed("o", "ob"), "ob")
+    rest = best(asking.hint("merge").join(offered, ["tb", "of", "token"]).where(_possible("o", "ob", ORGANIZATION_RATIO)))
+    empty = best(mine.where("o = ''").hint("merge").join(lists.where("ob = ''"), ["tb", "of"]))  # texts without a character are alike
+
+    found = dated.unionByName(seen.where("duplicate_of is not null").select(*key, "duplicate_of")).unionByName(rest).unionByName(empty)
+    found = found.groupBy(*key).agg(F.min("duplicate_of").alias("duplicate_of"))
+    return rows.hint("merge").join(found, key).where("duplicate_of < id").select("id", "duplicate_of")
