@@ -40,7 +40,7 @@ def normalize(text: Column) -> Column:
     folded = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), _FROM, _TO)
     # Rare, so one by one where there is any.
     pairs = F.map_entries(F.from_json(F.lit(json.dumps(_LONGER)), "map<string,string>"))
-    folded = F.when(folded.rlike("[" + "".join(_LONGER) + "]"), F.aggregate(pairs, folded, lambda acc, p: F.replace(acc, p["key"], p["value"]))).otherwise(folded)
+    folded = F.when(F.translate(folded, "".join(_LONGER), "") != folded, F.aggregate(pairs, folded, lambda acc, p: F.replace(acc, p["key"], p["value"]))).otherwise(folded)
     folded = F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
 
@@ -63,13 +63,26 @@ def contains_term(text: Column, term: str) -> Column:
     return text.contains(term)
 
 
+#: Longer lists are tested by one loop over an array, as an expression for each term makes methods too large to be compiled.
+INLINE_TERMS = 4
+
+
+def _one_of(text: Column, needles: list[str]) -> Column:
+    if len(needles) < INLINE_TERMS:
+        return any_of(text.contains(x) for x in needles)
+    return F.exists(F.array(*map(F.lit, needles)), lambda x: text.contains(x))
+
+
 def contains_any(text: Column, terms) -> Column:
-    return any_of(contains_term(text, t) for t in terms)
+    folded = [t for t in map(plain, terms) if t]
+    alone = [t for t in folded if " " not in t and len(t) <= 4]
+    inside = _one_of(text, [t for t in folded if t not in alone])
+    return inside | _one_of(F.concat(F.lit(" "), text, F.lit(" ")), [f" {t} " for t in alone]) if alone else inside
 
 
 def has_substring(text: Column, terms) -> Column:
     """A normalised text has one of the terms, also inside words."""
-    return any_of(text.contains(plain(t)) for t in terms)
+    return _one_of(text, list(map(plain, terms)))
 
 
 def clean_text(text: Column) -> Column:

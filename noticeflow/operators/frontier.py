@@ -40,8 +40,8 @@ def expand_frontier(seeds: DataFrame, edges: DataFrame, depth: int = MOST_DEPTH,
 
     seen = kept(seeds.distinct().withColumn("level", F.lit(0)))
     for level in range(1, depth + 1):
-        near = seen.where(F.col("level") == level - 1).join(edges, "url").select("source_id", F.col("target").alias("url")).distinct()
-        new = near.join(seen, ["source_id", "url"], "left_anti").withColumn("level", F.lit(level))
+        near = seen.where(F.col("level") == level - 1).join(edges.hint("merge"), "url").select("source_id", F.col("target").alias("url")).distinct()
+        new = near.join(seen.hint("merge"), ["source_id", "url"], "left_anti").withColumn("level", F.lit(level))
         ranked = seen.unionByName(new).withColumn("__n", F.row_number().over(Window.partitionBy("source_id").orderBy("level", "url")))
         seen = kept(ranked.where(F.col("__n") <= most).drop("__n"))
     return seen

@@ -77,8 +77,9 @@ def page(notices: DataFrame, sort: str = "deadline", limit: int = 20, offset: in
 FACETS = {"region": ("region", ("region", "province")), "province": ("province", ("province",)), "category": ("category", ("category",)), "entity_type": ("entity_type", ("entity_type",)), "area": ("areas", ("area",)), "status": ("status", ("status", "default"))}
 
 
-def facets(notices: DataFrame, masks: dict[str, Column] | None = None) -> DataFrame:
-    """(facet, value, n) in one scan: a row counts for a facet where the facet's mask holds."""
+def facets(notices: DataFrame, masks: dict[str, Column] | None = None, shown: dict[str, str] | None = None) -> DataFrame:
+    """(facet, value, n) in one scan: a row counts for a facet where the facet's mask holds. shown has values of facets that
+    are there even if no row counts for them."""
     def named(facet: str, column: str) -> Column:
         values = F.coalesce(F.col("areas"), F.array()) if column == "areas" else F.array(F.col(column))
         return F.transform(values, lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
@@ -87,17 +88,14 @@ def facets(notices: DataFrame, masks: dict[str, Column] | None = None) -> DataFr
     if masks is not None:
         values = [F.when(masks[f], v).otherwise(F.array().cast("array<struct<facet:string,value:string>>")) for f, v in zip(FACETS, values, strict=True)]
     found = notices.select(F.explode(F.concat(*values)).alias("e")).select("e.*")
-    return found.where("value is not null and value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    found = found.where("value is not null and value <> ''").withColumn("n", F.lit(1).cast("long"))
+    if shown:
+        found = found.unionByName(notices.sparkSession.createDataFrame([(f, v, 0) for f, v in shown.items()], "facet string, value string, n long"))
+    return found.groupBy("facet", "value").agg(F.sum("n").alias("n"))
 
 
 def contextual_facets(notices: DataFrame, p: Params, as_of: Column) -> DataFrame:
     """Counts of each facet under all filters but its own; a selected value that has no row counts 0."""
     conditions = predicates(p, as_of)
     masks = {f: all_of(c for name, c in conditions.items() if name not in out) for f, (_, out) in FACETS.items()}
-    counted = facets(notices, masks)
-    chosen = {f.name: getattr(p, f.name) for f in fields(p) if f.name in FACETS and getattr(p, f.name)}
-    if not chosen:
-        return counted
-    wanted = notices.sparkSession.createDataFrame(list(chosen.items()), "facet string, value string")
-    missing = wanted.join(counted, ["facet", "value"], "left_anti").withColumn("n", F.lit(0).cast("long"))
-    return counted.unionByName(missing)
+    return facets(notices, masks, {f.name: getattr(p, f.name) for f in fields(p) if f.name in FACETS and getattr(p, f.name)})

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, urls
-from ..operators import frontier
+from ..functions import dates, rules, urls
+from ..operators import classify, frontier
 from ..operators.snapshot import scratch
 from ..sources import pages as html
 from ..sources import payloads
-from .base import query
+from .base import has_sql, norm, query
 from .fixtures import fixture
 from .notices import N
 
@@ -49,7 +49,7 @@ def html_detail(spark, d):
     """Page titles merged onto the listing: the detail's wins where there is one."""
     listing = _pages(spark, d).select("page_id", F.lit(None).cast("string").alias("listed"))
     detail = html.details(_pages(spark, d)).select("page_id", "title")
-    return listing.join(detail, "page_id", "left").select("page_id", F.coalesce("title", "listed").alias("title"))
+    return listing.join(detail.hint("merge"), "page_id", "left").select("page_id", F.coalesce("title", "listed").alias("title"))
 
 
 @query("context_links")
@@ -66,12 +66,33 @@ def _links(spark, d) -> DataFrame:
     return p.select("page_id", "page_url", "idx", F.regexp_extract("a", pattern, 1).alias("href"), label.alias("text"))
 
 
-@query("link_score", "WITH l AS (SELECT page_id, i - 1 AS idx, regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS href FROM (SELECT page_id, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>') AS x FROM pages))) SELECT page_id, CAST(idx AS INT) AS idx, CAST(CASE idx % 3 WHEN 0 THEN 4 WHEN 1 THEN 9 ELSE 0 END AS INT) AS score FROM l")
+LINKS_SQL = r"""l AS (SELECT page_id, page_url, CAST(i - 1 AS INT) AS idx, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '<a href="[^"]*"[^>]*>([^<]*)</a>', 1) || CASE (i - 1) % 3 WHEN 0 THEN ' bando' WHEN 1 THEN ' bando psicologo' ELSE '' END AS label
+ FROM (SELECT page_id, url AS page_url, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*"[^>]*>[^<]*</a>') AS x FROM pages)))"""
+SCORE_SQL = f"""CASE WHEN b = '' OR {has_sql("b", rules.SKIP_LINK_TERMS)} THEN 0 ELSE s - CAST({has_sql("b", rules.LOW_SIGNAL_TERMS)} AND s > 0 AS INT) END"""
+SCORED_SQL = f"""{LINKS_SQL}, b AS (SELECT *, {norm("concat_ws(' ', label, href)")} AS b FROM l),
+ t AS (SELECT *, 4 * CAST({has_sql("b", rules.LINK_TERMS)} AS INT) + 5 * CAST({" OR ".join(f"regexp_matches(lower(href), '{p}')" for p in rules.DETAIL_PATHS)} AS INT) + 5 * CAST({has_sql("b", rules.SEARCH_TERMS)} AS INT) + CAST({has_sql("b", ("dettaglio", "scheda", "visualizza"))} AS INT) AS s FROM b),
+ s AS (SELECT page_id, page_url, idx, href, CAST({SCORE_SQL} AS INT) AS score FROM t)"""
+
+
+@query("link_score", f"WITH {SCORED_SQL} SELECT page_id, idx, score FROM s")
 def link_score(spark, d):
     return frontier.scored_links(_links(spark, d)).select("page_id", "idx", "score")
 
 
-@query("top_links", "WITH l AS (SELECT page_id, url AS page_url, i - 1 AS idx, regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS href FROM (SELECT page_id, url, unnest(x) AS a, generate_subscripts(x, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>([^<]*)</a>') AS x FROM pages))), s AS (SELECT page_id, idx, regexp_extract(page_url, '^([a-z]+://[^/?#]*)', 1) || href AS url, CASE idx % 3 WHEN 0 THEN 4 WHEN 1 THEN 9 ELSE 0 END AS score FROM l), f AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY idx) = 1) SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS rank FROM f QUALIFY rank <= 3")
+def _holds(text: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+DEEP_SQL = f"""WITH {LINKS_SQL}, b AS (SELECT *, trim(regexp_replace(lower(label || ' ' || href), '\\s+', ' ', 'g')) AS b FROM l), p AS (SELECT *, CASE WHEN regexp_matches(lower(href), '[?&]({"|".join(rules.PAGE_KEYS)})=[^&]') THEN 5 WHEN {_holds("b", rules.PAGE_TERMS)} THEN 3 ELSE 0 END AS page FROM b)
+ SELECT page_id, idx, CAST(CASE WHEN {_holds("b", rules.SKIP_LINK_TERMS)} THEN 0 ELSE page + 10 * CAST({_holds("b", rules.DEEP_PSYCHOLOGY_TERMS)} AS INT) + CASE WHEN page > 0 THEN 0 ELSE 7 * CAST({_holds("b", rules.DEEP_OPPORTUNITY_TERMS)} AS INT) + 6 * CAST({" OR ".join(f"regexp_matches(lower(href), '{p}')" for p in rules.DEEP_DETAIL_PATHS)} AS INT) + 2 * CAST({_holds("b", rules.DEEP_DETAIL_TERMS)} AS INT) END END AS INT) AS score FROM p"""
+
+
+@query("deep_link_score", DEEP_SQL)
+def deep_link_score(spark, d):
+    return _links(spark, d).select("page_id", "idx", classify.deep_link_score(F.col("text"), F.col("href"), F.lit("")).alias("score"))
+
+
+@query("top_links", f"WITH {SCORED_SQL}, u AS (SELECT page_id, idx, regexp_extract(page_url, '^([a-z]+://[^/?#]*)', 1) || href AS url, score FROM s WHERE score > 0), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY idx) = 1) SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS rank FROM f QUALIFY rank <= 3")
 def top_links(spark, d):
     return frontier.top_links(_links(spark, d), 3).select("page_id", "url", F.col("rank").cast("long").alias("rank"))
 
@@ -81,7 +102,7 @@ def _edges(spark, d) -> DataFrame:
     p = _pages(spark, d).select("page_id", "url")
     n = p.agg(F.count("*").alias("n"))
     targets = p.crossJoin(F.broadcast(n)).select("url", F.explode(F.array(*[F.pmod(F.col("page_id") * 3 + k, F.col("n")) for k in (1, 2, 3)])).alias("to"))
-    return targets.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to").select("url", "target").distinct()
+    return targets.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("target")).hint("merge"), "to").select("url", "target").distinct()
 
 
 @query("expand_frontier")

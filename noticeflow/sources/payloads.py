@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_SCHEMA = "totalPages int, last boolean, content array<struct<id:string,title:string,deadline:string>>"
 DELIMITERS = (";", ",", "\t", "|")
+HEAD_LINES, BROADCAST_FILES = 20, 50_000
 
 
 def read_paged_json(payloads: DataFrame) -> DataFrame:
@@ -27,10 +30,16 @@ def sniffed_delimiter(head: Column) -> Column:
 
 
 def read_csv_export(spark: SparkSession, path: str, columns: str, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of CSV files with a header line; the delimiter is that of most files' first lines."""
-    heads = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 8000).alias("head"))
-    found = heads.select(sniffed_delimiter(F.col("head")).alias("d")).groupBy("d").count().orderBy(F.col("count").desc(), "d").first()
-    return spark.read.schema(columns).csv(path, sep=found[0] if found else DELIMITERS[0], header=True, encoding=encoding)
+    """Rows of CSV files with a header line; each file has the delimiter that its first HEAD_LINES lines have most of. Files
+    are read as lines, in splits, so a file of any size is spread over tasks; lines like the header are left out."""
+    lines = spark.read.schema("value string").csv(path, sep="\x01", quote="", encoding=encoding).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    begins = lines.where("at = 0").withColumn("k", F.monotonically_increasing_id())
+    first = begins.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("k"))).where(F.col("n") <= HEAD_LINES)
+    heads = first.groupBy("file").agg(F.concat_ws("\n", F.collect_list("value")).alias("head"), F.min_by("value", "k").alias("header"))
+    heads = heads.select("file", sniffed_delimiter(F.col("head")).alias("d"), "header")
+    rows = lines.join(heads.hint("broadcast" if heads.count() <= BROADCAST_FILES else "merge"), "file").where("value <> header")
+    parsed = [rows.where(F.col("d") == d).select(F.from_csv("value", columns, {"sep": d}).alias("r")).select("r.*") for d in DELIMITERS]
+    return functools.reduce(DataFrame.unionByName, parsed)
 
 
 def read_xml_acts(documents: DataFrame, column: str = "xml") -> DataFrame:
