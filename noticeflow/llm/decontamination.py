@@ -20,6 +20,7 @@ from .common import BROADCAST_ROWS, saved
 
 SHINGLE_WORDS = 5
 CONTAINMENT = 0.8
+BROADCAST_CHARS, SALTS = 64 << 20, 16
 
 
 def words(text: Column) -> Column:
@@ -32,8 +33,20 @@ def _each_shingle(column: str, width: int, of) -> Column:
     return F.when(F.size(column) >= width, F.transform(starts, lambda i: of([F.get(F.col(column), i + k) for k in range(width)])))
 
 
-def _joined(left: DataFrame, right: DataFrame, on, n_right: int, how: str = "inner") -> DataFrame:
-    return left.join(right.hint("broadcast" if n_right <= BROADCAST_ROWS else "merge"), on, how)
+def _small(table: DataFrame, text: str | None = None) -> bool:
+    """Whether a table that is written out has few enough rows and characters to be broadcast."""
+    rows, chars = table.agg(F.count("*"), F.sum(F.length(text)) if text else F.lit(0)).first()
+    return rows <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], small: bool, how: str = "inner") -> DataFrame:
+    """A broadcast of a small right side; else a shuffle with each key dealt into SALTS by the document, as a shingle can be
+    in most documents."""
+    if small:
+        return left.join(right.hint("broadcast"), on, how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)))
+    copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return salted.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", item_id="item_id", text="text", item_text="text", containment=CONTAINMENT, width=SHINGLE_WORDS) -> DataFrame:
@@ -45,23 +58,23 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", item_id="i
     items = items.select(F.col(item_id).alias("i"), words(F.col(item_text)).alias("w")).where("i is not null")
 
     shingles = saved(items.select("i", F.explode(spelled("w")).alias("s")).distinct().withColumn("h", F.xxhash64(*[F.get(F.split("s", " "), k) for k in range(width)])), "decon-items")
-    n_shingles = shingles.count()
+    few_shingles = _small(shingles, "s")
     sizes = shingles.groupBy("i").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("h")).alias("hs"))
     size_class = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
     keep = F.floor(F.lit(1 - containment) * size_class + 1e-9).cast("int") + 1
     sketches = saved(sizes.select("i", "n", F.explode(F.slice("hs", F.lit(1), keep)).alias("h")), "decon-sketches")
-    n_sketches = sketches.count()
+    few_sketches = _small(sketches)
 
     worded = docs.select("d", words(F.col("t")).alias("w"))
     found = worded.select("d", F.explode(hashed("w")).alias("h"))
-    candidates = saved(_joined(found, sketches.select("h", "i", "n"), "h", n_sketches).select("d", "i", "n").distinct(), "decon-candidates")
+    candidates = saved(_joined(found, sketches.select("h", "i", "n"), ["h"], few_sketches).select("d", "i", "n").distinct(), "decon-candidates")
     ids = candidates.select("d").distinct()
-    n_candidates = candidates.count()
+    few_candidates = _small(candidates)
 
-    suspects = _joined(docs, ids, "d", n_candidates, "left_semi").select("d", words(F.col("t")).alias("w"))
+    suspects = _joined(docs, ids, ["d"], few_candidates, "left_semi").select("d", words(F.col("t")).alias("w"))
     held = suspects.select("d", F.explode(F.array_distinct(spelled("w"))).alias("s"))
-    shared = _joined(held, shingles.select("s", "i"), "s", n_shingles)
-    shared = _joined(shared, candidates, ["d", "i"], n_candidates)
+    shared = _joined(held, shingles.select("s", "i"), ["s"], few_shingles)
+    shared = _joined(shared, candidates, ["d", "i"], few_candidates)
     pairs = shared.groupBy("d", "i", "n").agg(F.count_distinct("s").alias("n_shared"))
     return pairs.where(F.col("n_shared") >= F.lit(containment) * F.col("n") - 1e-9).select(
         F.col("d").alias("doc_id"), F.col("i").alias("item_id"), F.col("n_shared").cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_item"), F.round(F.col("n_shared") / F.col("n"), 6).alias("containment")

@@ -52,7 +52,9 @@ def collected(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
-def test_decontamination(spark, docs, none):
+@pytest.mark.parametrize("rows", [decontamination.BROADCAST_ROWS, 0])
+def test_decontamination(spark, docs, none, monkeypatch, rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
     texts = {r[0]: r[1] for r in corpus()}
     long_words = texts[52].split() if len((texts[52] or "").split()) > 1000 else max((t or "" for t in texts.values()), key=len).split()
     items = [(0, " ".join(long_words[500:530]).upper() + "!"), (1, "not in any of them at all, ever"), (2, None), (3, "too short"), (None, " ".join(long_words[:20])), (4, " ".join(long_words[100:120] + ["other", "words"]))]
