@@ -15,28 +15,32 @@ DROPPED = ("script", "style", "noscript", "nav", "footer")
 CONTAINERS = ("article", "li", "tr", "section", "dl")
 HEADINGS = ("h1", "h2", "h3", "h4", "strong", "a")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr")
-DEPTH = 64
 #: The surroundings of a link: so many ancestors, up to the one that brings the text above so many characters.
 ANCESTORS, CONTEXT_CHARS = 4, 2500
 BATCH_ROWS = 256
 
 
 class _Reader(HTMLParser):
-    """Elements in page order: [tag, class, href, rel, parent, text parts]."""
+    """Elements in page order and the pieces of text in page order; an element has the pieces and the elements between its
+    begin and its end."""
 
     def __init__(self, dropped=DROPPED):
         super().__init__(convert_charrefs=True)
         self.dropped = dropped
+        #: [tag, class, href, rel, parent, first piece, end of pieces, end of elements]
         self.elements: list[list] = []
+        self.pieces: list[str] = []
         self.open: list[int] = []
         self.silent = 0
+        self.texts: dict[int, str] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag == "p" or tag in ("li", "tr", "td", "th"):
             self._close_same(tag)
         a = dict(attrs)
-        self.elements.append([tag, a.get("class") or "", a.get("href"), a.get("rel") or "", self.open[-1] if self.open else -1, []])
-        if tag not in VOID and len(self.open) < DEPTH:
+        n = len(self.pieces)
+        self.elements.append([tag, a.get("class") or "", a.get("href"), a.get("rel") or "", self.open[-1] if self.open else -1, n, n, len(self.elements) + 1])
+        if tag not in VOID:
             self.open.append(len(self.elements) - 1)
             self.silent += tag in self.dropped
 
@@ -53,6 +57,7 @@ class _Reader(HTMLParser):
     def _pop(self, k):
         for i in self.open[k:]:
             self.silent -= self.elements[i][0] in self.dropped
+            self.elements[i][6:] = len(self.pieces), len(self.elements)
         del self.open[k:]
 
     def handle_endtag(self, tag):
@@ -63,44 +68,53 @@ class _Reader(HTMLParser):
 
     def handle_data(self, data):
         if data.strip() and not self.silent:
-            for i in self.open:
-                self.elements[i][5].append(data)
+            self.pieces.append(data)
+
+    def close(self):
+        super().close()
+        self._pop(0)
+
+    def text(self, i: int) -> str:
+        if i not in self.texts:
+            self.texts[i] = _words(self.pieces[self.elements[i][5] : self.elements[i][6]])
+        return self.texts[i]
 
 
 def _words(parts: list[str]) -> str:
-    return " ".join(" ".join(parts).replace("\x00", "").replace("�", "").split())
+    return " ".join(" ".join(parts).replace("\x00", "").replace("\ufffd", "").split())
 
 
-def read(html: str | None) -> tuple[list[dict], str, str]:
-    """Rows of a page (links, containers, table rows), its title and its body text."""
-    reader = _Reader()
+def _read(html: str | None, dropped=DROPPED) -> _Reader:
+    reader = _Reader(dropped)
     reader.feed(html or "")
     reader.close()
-    found = reader.elements
-    texts = [_words(e[5]) for e in found]
+    return reader
+
+
+def read(html: str | None) -> tuple[list[dict], str, str]:
+    """Rows of a page (links, containers, table rows), its title and its body text."""
+    reader = _read(html)
+    found, text = reader.elements, reader.text
     rows = []
-    kids: dict[int, list[int]] = {}
-    for i, e in enumerate(found):
-        for p in _ancestors(found, i):
-            kids.setdefault(p, []).append(i)
-    for i, (tag, cls, href, rel, _, _) in enumerate(found):
-        base = {"idx": i, "tag": tag, "cls": cls, "text": texts[i], "href": None, "heading": None, "rel": rel, "cells": None, "kind": None}
+    for i, (tag, cls, href, rel, *_, last) in enumerate(found):
+        base = {"idx": i, "tag": tag, "cls": cls, "href": None, "heading": None, "rel": rel, "cells": None, "kind": None}
         if tag == "a" and href is not None:
-            rows.append(base | {"kind": "link", "href": href})
+            rows.append(base | {"kind": "link", "text": text(i), "href": href})
         if tag in CONTAINERS:
-            inside = kids.get(i, [])
-            heading = next((texts[k] for h in HEADINGS for k in inside if found[k][0] == h and texts[k]), None)
+            inside = range(i + 1, last)
+            heading = next((text(k) for h in HEADINGS for k in inside if found[k][0] == h and text(k)), None)
             link = next((found[k][2] for k in inside if found[k][0] == "a" and found[k][2] and not found[k][2].startswith(("mailto:", "tel:", "javascript:"))), None)
-            cells = [texts[k] for k in inside if found[k][0] in ("td", "th")] if tag == "tr" else None
-            rows.append(base | {"kind": "container", "heading": heading, "href": link, "cells": cells})
-    title = next((texts[i] for h in ("h1", "h2", "h3", "title") for i, e in enumerate(found) if e[0] == h and texts[i]), "")
-    body = next((texts[i] for h in ("main", "article", "body") for i, e in enumerate(found) if e[0] == h and texts[i]), "")
+            cells = [text(k) for k in inside if found[k][0] in ("td", "th")] if tag == "tr" else None
+            rows.append(base | {"kind": "container", "text": text(i), "heading": heading, "href": link, "cells": cells})
+    title = next((text(i) for h in ("h1", "h2", "h3", "title") for i, e in enumerate(found) if e[0] == h and text(i)), "")
+    body = next((text(i) for h in ("main", "article", "body") for i, e in enumerate(found) if e[0] == h and text(i)), "")
     return rows, title, body
 
 
-def _ancestors(found: list[list], i: int) -> list[int]:
+def _above(found: list[list], i: int, most: int) -> list[int]:
+    """The nearest ancestors of an element."""
     out = []
-    while (i := found[i][4]) >= 0:
+    while len(out) < most and (i := found[i][4]) >= 0:
         out.append(i)
     return out
 
@@ -119,30 +133,26 @@ def _plain(text: str) -> str:
 def linked(html: str | None, terms: list[str]) -> list[tuple[int, str, str]]:
     """(idx, href, text) of a page's links whose surroundings hold one of the normalised terms: the link's own text and the
     whole text of each ancestor below body (menus and footers too), where the climb ends as CONTEXT_CHARS and ANCESTORS say."""
-    reader = _Reader(("script", "style"))
-    reader.feed(html or "")
-    reader.close()
+    reader = _read(html, ("script", "style"))
     found = reader.elements
-    texts: dict[int, str] = {}
     normal: dict[int, str] = {}
     out = []
-    for i, (tag, _, href, _, _, _) in enumerate(found):
+    for i, (tag, _, href, *_) in enumerate(found):
         if tag != "a" or href is None:
             continue
         chain, size = [], -1
-        for p in [i, *_ancestors(found, i)[:ANCESTORS]]:
+        for p in [i, *_above(found, i, ANCESTORS)]:
             if found[p][0] in ("body", "html"):
                 break
-            if p not in texts:
-                texts[p] = _words(found[p][5])
-                normal[p] = _plain(texts[p])
+            if p not in normal:
+                normal[p] = _plain(reader.text(p))
             chain.append(normal[p])
-            size += len(texts[p]) + 1
+            size += len(reader.text(p)) + 1
             if p != i and size > CONTEXT_CHARS:
                 break
         context = " ".join(c for c in chain if c)
         if any(t in context for t in terms):
-            out.append((i, href, texts[i]))
+            out.append((i, href, reader.text(i)))
     return out
 
 
