@@ -1,6 +1,6 @@
 """Quality rules: base rules on words, then the perplexity under the modified Kneser-Ney model of a document's language.
 
-The models' n-grams are characters (order 6, in lower case): every task counts those of its texts, Spark sums
+The models' n-grams are characters (order 5, in lower case): every task counts those of its texts, Spark sums
 the counts of each language over all documents and makes the discounts, continuation counts, probabilities
 and back-off weights by grouping and joining. In tables an n-gram is exact: two longs hold its characters,
 21 bits each. To score, the models are sorted arrays of the 64-bit hashes of (language, order, n-gram) with
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import ceil_div, saved, short_batches, with_side
 
-ORDER, CHAR_BITS, HALF = 6, 21, 3
+ORDER, CHAR_BITS, HALF = 5, 21, 3
 #: Rows of the models that are broadcast (16 bytes each), rows of texts in a chunk beyond that, rows that a task holds to sum.
 MODEL_ROWS, CHUNK_CHARS, HELD_ROWS = 1 << 23, 16_000_000, 1_500_000
 FENCE, LEAST_WIDTH, ODD_WORDS, WORD_CAP, DIGITS = 3.0, 1.0, 2, 25.0, 3
@@ -81,8 +81,8 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' characters, one after the other: the ORDER-gram that ends there as two longs (its first and its last
-    HALF characters; each text has ORDER - 1 start marks before it) and the character; and each text's length."""
+    """Of all texts' characters, one after the other: the ORDER-gram that ends there as two longs (its last HALF characters
+    and those before; each text has ORDER - 1 start marks before it) and the character; and each text's length."""
     pad = chr(START) * (ORDER - 1)
     lowered = [(t or "").lower() for t in texts]
     lengths = np.array([len(t) for t in lowered], dtype=np.int64)
@@ -95,7 +95,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for k in range(1, HALF):
         three[k:] |= codes[:-k] << CHAR_BITS * k
     at = np.flatnonzero(real)
-    return three[at - HALF], three[at], codes[at], lengths
+    return three[at - HALF] & ((1 << CHAR_BITS * (ORDER - HALF)) - 1), three[at], codes[at], lengths
 
 
 _ALNUM = np.array([chr(i).isalnum() for i in range(0x110000)])
@@ -118,16 +118,32 @@ def word_costs(costs: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> np.
     return np.bincount(text, weights=capped, minlength=len(lengths)) / np.maximum(1, np.bincount(text, weights=spoken, minlength=len(lengths)))
 
 
+_SPREAD = np.int64(-7046029254386353131)
+
+
+def _grouped(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs are neighbours, and where in it a new pair begins."""
+    number = hi * _SPREAD + lo  # one sort of numbers; pairs that share one are told apart below
+    order = np.argsort(number)
+    number, h, o = number[order], hi[order], lo[order]
+    new = np.ones(len(hi), dtype=bool)
+    new[1:] = number[1:] != number[:-1]
+    differ = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    if (differ & ~new[1:]).any():
+        order = np.lexsort((lo, hi))
+        h, o = hi[order], lo[order]
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return order, new
+
+
 def _distinct(hi: np.ndarray, lo: np.ndarray, weights: np.ndarray | None = None):
     """The different pairs with how often each comes (or the sums of the weights)."""
-    order = np.lexsort((lo, hi))
-    hi, lo = hi[order], lo[order]
-    first = np.ones(len(hi), dtype=bool)
-    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-    at = np.flatnonzero(first)
+    order, new = _grouped(hi, lo)
+    at = np.flatnonzero(new)
     if not len(at):
         return hi, lo, np.zeros(0, dtype=np.int64)
-    return hi[at], lo[at], np.add.reduceat(np.ones(len(hi), dtype=np.int64) if weights is None else weights[order], at)
+    counts = np.diff(np.append(at, len(order))) if weights is None else np.add.reduceat(weights[order], at)
+    return hi[order[at]], lo[order[at]], counts
 
 
 def _by_language(langs, texts) -> dict[str, list[int]]:
@@ -300,19 +316,16 @@ def asked(hi: np.ndarray, lo: np.ndarray, lang: str) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-_SPREAD = np.int64(-7046029254386353131)
-
-
 def scored_texts(model: SortedModel, langs: list[str | None], texts: list[str | None]) -> np.ndarray:
     """Each text's score under its language; every different n-gram is looked up once."""
     score = np.zeros(len(texts))
     for lang, rows in _by_language(langs, texts).items():
         hi, lo, codes, lengths = grams([texts[k] for k in rows])
-        _, first, of = np.unique(hi * _SPREAD + lo, return_index=True, return_inverse=True)
-        if (hi[first][of] == hi).all() and (lo[first][of] == lo).all():
-            costs = -model.score(lang, hi[first], lo[first])[of]
-        else:  # two n-grams have the same number
-            costs = -model.score(lang, hi, lo)
+        order, new = _grouped(hi, lo)
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        costs = -model.score(lang, hi[first], lo[first])[of]
         score[rows] = word_costs(costs, codes, lengths)
     return np.round(score, 6)
 
