@@ -86,7 +86,7 @@ def followup_title(title: Column) -> Column:
     return has_substring(title, rules.FOLLOWUP_TITLES)
 
 
-def relevant_strict(text: Column, weak=("graduatoria", "graduatorie", "elenco idonei"), strong=("avviso", "bando", "concorso", "selezione", "incarico")) -> Column:
+def relevant_strict(text: Column, weak=rules.SKIP_RECORD_TERMS, strong=rules.STRONG_OPPORTUNITY_TERMS) -> Column:
     """Relevant, no follow-up act, and not only by weak terms."""
     return relevant_opportunity(text) & ~followup_content(text) & (~has_substring(text, weak) | has_substring(text, strong))
 
@@ -95,12 +95,34 @@ def title_supports(title: Column, context: Column) -> Column:
     return psychology_terms(title) | (has_substring(title, rules.MULTI_PROFILE) & relevant_opportunity(context))
 
 
-def psych_document(text: Column, document=("avviso", "bando", "concorso", "incarico", "selezione"), skip=("graduatoria", "esito", "commissione")) -> Column:
-    return direct_match(text) & has_substring(text, document) & ~has_substring(text, skip)
+def focused_match(title: Column, title_and_url: Column, description: Column, profiles=rules.FOCUS_PROFILES) -> Column:
+    """The title or address matches, or a title of several profiles has a description that does."""
+    return direct_match(title_and_url) | (has_substring(title, profiles) & direct_match(description))
 
 
-def primary_opportunity(text: Column, primary=("avviso", "bando", "concorso", "manifestazione di interesse", "mobilita", "selezione")) -> Column:
-    return direct_match(text) & has_substring(text, primary) & ~has_substring(text, rules.FOLLOWUP_TITLES)
+def psych_document(text: Column, document=rules.DOCUMENT_TERMS, skip=rules.SKIP_DOCUMENT_TERMS) -> Column:
+    return psychology_terms(text) & has_substring(text, document) & ~has_substring(text, skip)
+
+
+def primary_opportunity(text: Column, primary=rules.PRIMARY_TERMS, update=rules.UPDATE_TERMS) -> Column:
+    """Terms are looked for as they are written: one with an apostrophe is in no normalised text."""
+    within = lambda terms: any_of(text.contains(t) for t in terms)
+    return psychology_terms(text) & within(primary) & ~within(update)
+
+
+def structural_link(label: Column, href: Column) -> Column:
+    """Paging, a label without letters, or a link of the site's frame; label and href as they are."""
+    keys = F.transform(F.split(F.lower(part(href, "QUERY")), "&"), lambda kv: F.when(kv.rlike("=."), F.substring_index(kv, "=", 1)))
+    paged = F.coalesce(F.arrays_overlap(F.array_compact(keys), F.array(*map(F.lit, rules.PAGING_KEYS))), F.lit(False)) | F.lower(part(href, "PATH")).rlike(r"/page/\d+/?$")
+    return paged | normalize(label).rlike(r"^\d*$") | has_substring(normalize(F.concat_ws(" ", label, href)), rules.PAGING_TERMS)
+
+
+def parser_artifact(title: Column, url: Column, plain_title: Column, plain_description: Column) -> Column:
+    """A contact or structural link, or a record that isn't about the profession; the last two are normalised."""
+    low = F.lower(F.trim(F.coalesce(url, F.lit(""))))
+    contact = any_of(low.startswith(x) for x in rules.CONTACT_SCHEMES) | any_of(plain_title.startswith(x) for x in rules.CONTACT_TITLES)
+    focused = direct_match(plain_title) | (has_substring(plain_title, rules.MULTI_PROFILE) & psych_document(plain_description))
+    return contact | structural_link(title, url) | ~focused
 
 
 def professional_match(figure: Column, title: Column, description: Column) -> Column:

@@ -275,10 +275,12 @@ t = F.col
 _flag("direct_match", lambda: classify.direct_match(t("t")), DIRECT_SQL)
 _flag("role_match", lambda: classify.role_match(t("t")), ROLE_SQL)
 _flag("relevant_opportunity", lambda: classify.relevant_opportunity(t("t")), RELEVANT_SQL)
-_flag("relevant_strict", lambda: classify.relevant_strict(t("t")), f"{RELEVANT_SQL} AND NOT {has_sql('t', rules.FOLLOWUP_CONTENT)} AND (NOT {has_sql('t', ('graduatoria', 'graduatorie', 'elenco idonei'))} OR {has_sql('t', ('avviso', 'bando', 'concorso', 'selezione', 'incarico'))})")
+_flag("relevant_strict", lambda: classify.relevant_strict(t("t")), f"{RELEVANT_SQL} AND NOT {has_sql('t', rules.FOLLOWUP_CONTENT)} AND (NOT {has_sql('t', rules.SKIP_RECORD_TERMS)} OR {has_sql('t', rules.STRONG_OPPORTUNITY_TERMS)})")
 _flag("followup_content", lambda: classify.followup_content(t("t")), has_sql("t", rules.FOLLOWUP_CONTENT))
-_flag("psych_document", lambda: classify.psych_document(t("t")), f"{DIRECT_SQL} AND {has_sql('t', ('avviso', 'bando', 'concorso', 'incarico', 'selezione'))} AND NOT {has_sql('t', ('graduatoria', 'esito', 'commissione'))}")
-_flag("primary_opportunity", lambda: classify.primary_opportunity(t("t")), f"{DIRECT_SQL} AND {has_sql('t', ('avviso', 'bando', 'concorso', 'manifestazione di interesse', 'mobilita', 'selezione'))} AND NOT {has_sql('t', rules.FOLLOWUP_TITLES)}")
+_flag("psych_document", lambda: classify.psych_document(t("t")), f"{PSY_SQL} AND {has_sql('t', rules.DOCUMENT_TERMS)} AND NOT {has_sql('t', rules.SKIP_DOCUMENT_TERMS)}")
+UPDATES = [x for x in rules.UPDATE_TERMS if "'" not in x]
+PRIMARY_SQL = f"{PSY_SQL} AND {has_sql('t', rules.PRIMARY_TERMS)} AND NOT {has_sql('t', UPDATES)}"
+_flag("primary_opportunity", lambda: classify.primary_opportunity(t("t")), PRIMARY_SQL)
 _flag("text_length_gate", lambda: F.length("t").between(24, 2400), "length(t) BETWEEN 24 AND 2400")
 
 
@@ -296,7 +298,14 @@ def title_supports(spark, d):
     return worded.select("id", classify.title_supports(F.col("title"), F.col("t")).alias("hit"))
 
 
-query("focused_match", TITLE_SQL, N)(title_supports)
+FOCUSED_SQL = f"({DIRECT_SQL.replace('(t,', '(tu,')} OR ({has_sql('t', rules.FOCUS_PROFILES)} AND {DIRECT_SQL.replace('(t,', '(dd,')}))"
+FOCUS_FROM = f"FROM (SELECT *, {norm('title')} AS t, {norm("concat_ws(' ', title, official_url)")} AS tu, {norm('description')} AS dd FROM fx_notices)"
+
+
+@query("focused_match", f"SELECT id, {FOCUSED_SQL} AS hit {FOCUS_FROM}", N)
+def focused_match(spark, d):
+    n = fixture(spark, d, N).select("id", text.normalize(F.col("title")).alias("t"), text.normalize(F.concat_ws(" ", "title", "official_url")).alias("tu"), text.normalize(F.col("description")).alias("dd"))
+    return n.select("id", classify.focused_match(F.col("t"), F.col("tu"), F.col("dd")).alias("hit"))
 
 
 @query("any_string_field_match", f"SELECT id, {DIRECT_SQL} AS hit FROM (SELECT id, {norm("concat_ws(' ', external_id, title, description, organization, entity_type, region, province, category)")} AS t FROM fx_notices)", N)

@@ -9,7 +9,7 @@ from ..functions import dates, rules, text, urls
 from ..operators import alerts, classify, identity, lifecycle, snapshot, telemetry
 from .base import AS_OF_SQL, has_sql, norm, query
 from .fixtures import fixture
-from .notices import STATUS_SQL, E, N, as_of, enriched
+from .notices import DIRECT_SQL, FOCUS_FROM, FOCUSED_SQL, PRIMARY_SQL, PSY_SQL, STATUS_SQL, E, N, as_of, enriched
 
 S, A, R, U = "fx_sources", "fx_attachments", "fx_runs", "fx_subscriptions"
 
@@ -370,11 +370,14 @@ def bad_url(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", urls.bad_url(F.col("url")).alias("hit"))
 
 
-@query("structural_link", "SELECT page_id, contains(url, 'page=') OR contains(url, '#') AS hit FROM pages")
+STRUCTURAL_SQL = f"(regexp_matches(lower({{href}}), '[?&]({'|'.join(rules.PAGING_KEYS)})=[^&#]') OR regexp_matches(lower({{href}}), '^[a-z]+://[^/?#]*[^?#]*/page/[0-9]+/?($|[?#])') OR regexp_matches({norm('{label}')}, '^[0-9]*$') OR {has_sql(norm("concat_ws(' ', {label}, {href})"), rules.PAGING_TERMS)})"
+
+
+@query("structural_link", f"SELECT page_id, {STRUCTURAL_SQL.format(label='label', href='url')} AS hit FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)<', 1) AS label FROM pages)")
 def structural_link(spark, d):
-    """Paging and in-page links are no notices."""
-    u = F.col("url")
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", (urls.query_value(u, "page").isNotNull() | u.contains("#")).alias("hit"))
+    """Paging and frame links are no notices."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)<", 1).alias("label"))
+    return p.select("page_id", classify.structural_link(F.col("label"), F.col("url")).alias("hit"))
 
 
 @query("safe_http_url", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/@]+(/|$|[?#])') THEN url END AS safe FROM pages")
@@ -546,19 +549,22 @@ def refresh_lifecycle(spark, d):
     return lifecycle.refresh_lifecycle(_stored(spark, d), as_of()).select("id", "status", "editorial_status", "editorial_notes", "n_changes")
 
 
-def _recheck(name: str, fine, sql: str):
-    @query(name, f"SELECT id, CASE WHEN editorial_status = 'approved' AND NOT ({sql}) THEN 'hidden' ELSE editorial_status END AS editorial_status FROM (SELECT id, editorial_status, title, {norm('title')} AS t FROM fx_notices)", N)
+def _recheck(name: str, hide, sql: str):
+    @query(name, f"SELECT id, CASE WHEN {sql} THEN 'hidden' ELSE editorial_status END AS editorial_status {FOCUS_FROM}", N)
     def run(spark, d):
-        """Approved rows that no longer pass a family's rule are hidden."""
-        n = fixture(spark, d, N).select("id", "title", "editorial_status", text.normalize(F.col("title")).alias("t"))
-        return n.select("id", F.when((F.col("editorial_status") == "approved") & ~fine(), "hidden").otherwise(F.col("editorial_status")).alias("editorial_status"))
+        """Rows that no longer pass a family's rule are hidden."""
+        n = fixture(spark, d, N).select("id", "title", "official_url", "editorial_status", text.normalize(F.col("title")).alias("t"), text.normalize(F.concat_ws(" ", "title", "official_url")).alias("tu"), text.normalize(F.col("description")).alias("dd"))
+        return n.select("id", F.when(hide(), "hidden").otherwise(F.col("editorial_status")).alias("editorial_status"))
 
     return run
 
 
-_recheck("hide_parser_artifacts", lambda: F.length("t").between(30, 500), "length(t) BETWEEN 30 AND 500")
-_recheck("hide_unfocused", lambda: F.col("t").contains("psic"), "contains(t, 'psic')")
-_recheck("hide_non_primary", lambda: text.has_substring(F.col("t"), ("avviso", "concorso", "incarico")), "contains(t, 'avviso') OR contains(t, 'concorso') OR contains(t, 'incarico')")
+_approved = lambda: F.col("editorial_status") == "approved"
+DOCUMENT_SQL = f"({PSY_SQL} AND {has_sql('t', rules.DOCUMENT_TERMS)} AND NOT {has_sql('t', rules.SKIP_DOCUMENT_TERMS)})".replace("(t,", "(dd,")
+ARTIFACT_SQL = f"(regexp_matches(lower(trim(official_url)), '^(mailto:|tel:)') OR regexp_matches(t, '^(telefono|email)') OR {STRUCTURAL_SQL.format(label='title', href='official_url')} OR NOT ({DIRECT_SQL} OR ({has_sql('t', rules.MULTI_PROFILE)} AND {DOCUMENT_SQL})))"
+_recheck("hide_parser_artifacts", lambda: _approved() & classify.parser_artifact(F.col("title"), F.col("official_url"), F.col("t"), F.col("dd")), f"editorial_status = 'approved' AND {ARTIFACT_SQL}")
+_recheck("hide_unfocused", lambda: _approved() & ~classify.focused_match(F.col("t"), F.col("tu"), F.col("dd")), f"editorial_status = 'approved' AND NOT {FOCUSED_SQL}")
+_recheck("hide_non_primary", lambda: (F.col("editorial_status") != "hidden") & ~classify.primary_opportunity(F.col("t")), f"editorial_status <> 'hidden' AND NOT ({PRIMARY_SQL})")
 
 
 @query("retire_demo", "SELECT n.id FROM fx_notices n WHERE NOT EXISTS (SELECT 1 FROM fx_sources s WHERE s.id = n.source_id AND s.source_type = 'third-sector-hub')", N, S)
