@@ -23,7 +23,6 @@ import hashlib
 import struct
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -199,7 +199,7 @@ def read_digests(spark, path: str) -> DataFrame:
     stored = spark.read.parquet(path)
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("part_start"))
-    blocks = stored.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("ids_before")).alias("start"), "docs", "coded", "crc")
+    blocks = stored.join(starts.hint("broadcast"), "part").select((F.col("part_start") + F.col("ids_before")).alias("start"), "docs", "coded", "crc")
     return blocks.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
