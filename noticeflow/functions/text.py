@@ -53,16 +53,6 @@ def all_of(conditions) -> Column:
     return reduce(lambda a, b: a & b, list(conditions), F.lit(True))
 
 
-def contains_term(text: Column, term: str) -> Column:
-    """A normalised text has the term; a single word of at most four characters must be a word of its own."""
-    term = plain(term)
-    if not term:
-        return F.lit(False)
-    if " " not in term and len(term) <= 4:
-        return F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {term} ")
-    return text.contains(term)
-
-
 #: Longer lists are tested by one loop over an array, as an expression for each term makes methods too large to be compiled.
 INLINE_TERMS = 4
 
@@ -74,6 +64,7 @@ def _one_of(text: Column, needles: list[str]) -> Column:
 
 
 def contains_any(text: Column, terms) -> Column:
+    """A normalised text has one of the terms; a single word of at most four characters must be a word of its own."""
     folded = [t for t in map(plain, terms) if t]
     alone = [t for t in folded if " " not in t and len(t) <= 4]
     inside = _one_of(text, [t for t in folded if t not in alone])
