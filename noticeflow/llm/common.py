@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
-#: Rows in an Arrow batch sent to Python; texts may be long, so batches are short.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch sent to Python; texts may be long, so batches are short.
+BATCH_ROWS, BATCH_BYTES = 256, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
