@@ -118,9 +118,8 @@ def issuer_region(spark, d):
     """Region of the source whose organisation overlaps the issuer's name most."""
     name = text.normalize(F.replace(F.col("organization"), F.lit("Customer#0000000"), F.lit("Customer#")))
     issuers = fixture(spark, d, N).select("id", name.alias("i"))
-    s = fixture(spark, d, S).select(F.col("id").alias("sid"), "region", name.alias("o"))
-    found = identity.containing(issuers.select("i").distinct(), s.select("o").distinct()).hint("merge").join(s, "o")
-    best = found.groupBy("i").agg(F.max_by("region", F.struct(F.least(F.length("i"), F.length("o")), -F.col("sid"))).alias("region"))
+    s = fixture(spark, d, S).select("id", "region", name.alias("o"))
+    best = identity.overlapping_region(issuers.select("i").distinct(), s)
     return issuers.join(best.hint("merge"), "i").select("id", "region")
 
 
@@ -451,7 +450,7 @@ def similarity(spark, d):
     n = fixture(spark, d, N).withColumn("other", F.lead("title").over(Window.partitionBy("source_id").orderBy("id"))).where("other is not null")
     pairs = n.select("title", "other").distinct()
     scored = pairs.select("title", "other", F.round(identity.similarity(text.normalize(F.col("title")), text.normalize(F.col("other"))), 6).alias("ratio"))
-    return n.join(scored, ["title", "other"]).select("id", "ratio")
+    return n.hint("merge").join(scored.hint("merge"), ["title", "other"]).select("id", "ratio")
 
 
 @query("url_template", "SELECT id, concat('https://api.example.org/notices/', external_id, '/download?src=', source_id, '&h=', lower(hex(external_id))) AS url FROM fx_notices", N)
