@@ -64,7 +64,7 @@ def alert_match(spark, d):
 
 @query("alert_top_items", E + f"SELECT u.id AS subscription_id, n.id, row_number() OVER (PARTITION BY u.id ORDER BY n.deadline NULLS LAST, lower(n.title), n.id) AS rank FROM fx_subscriptions u JOIN e n ON {MATCH_SQL} QUALIFY rank <= 12", N, U)
 def alert_top_items(spark, d):
-    return alerts.top_items(alerts.matches(enriched(spark, d), _subscriptions(spark, d))).select("subscription_id", "id", F.col("rank").cast("long").alias("rank"))
+    return alerts.top_items(enriched(spark, d), _subscriptions(spark, d)).select("subscription_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 DUE_SQL = f"u.status = 'active' AND (u.last_sent_at IS NULL OR u.last_sent_at <= {AS_OF_SQL} - CASE WHEN frequency = 'daily' THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END)"
@@ -90,13 +90,16 @@ def alert_report(spark, d):
     return alerts.report(enriched(spark, d), _subscriptions(spark, d), as_of()).drop("body")
 
 
-@query("email_outbox_sink", REPORT_SQL.replace("SELECT u.id AS subscription_id, u.email,", "SELECT u.email AS recipient, concat('Alert bandi: ', coalesce(n, 0), ' risultato/i') AS subject,").replace("coalesce(n, 0) AS matched_count, concat(", "md5(concat(").replace("AS body FROM", "AS body_md5 FROM").replace("ai filtri salvati.'))", "ai filtri salvati.')))"), N, U)
+OUTBOX_SQL = REPORT_SQL.replace("SELECT u.id AS subscription_id, u.email,", "SELECT u.id AS subscription_id, u.email AS recipient, concat('Alert bandi: ', coalesce(n, 0), ' risultato/i') AS subject, 'sent' AS status, 'file' AS delivery_mode, " + AS_OF_SQL + " AS last_sent_at,").replace("coalesce(n, 0) AS matched_count, concat(", "md5(concat(").replace("AS body FROM", "AS body_md5 FROM").replace("ai filtri salvati.'))", "ai filtri salvati.')))")
+
+
+@query("email_outbox_sink", OUTBOX_SQL, N, U)
 def email_outbox_sink(spark, d):
-    """Rendered messages as JSON lines in the shared folder, read back."""
-    made = alerts.report(enriched(spark, d), _subscriptions(spark, d), as_of())
-    out = snapshot.scratch(spark, "outbox")
-    made.select(F.col("email").alias("recipient"), F.concat(F.lit("Alert bandi: "), "matched_count", F.lit(" risultato/i")).alias("subject"), "body").write.json(out)
-    return spark.read.schema("recipient string, subject string, body string").json(out).select("recipient", "subject", F.md5("body").alias("body_md5"))
+    """The log of a delivery to files, with the last report that the subscriptions have after it."""
+    subscriptions = _subscriptions(spark, d)
+    log = alerts.deliver(alerts.report(enriched(spark, d), subscriptions, as_of()), "file", snapshot.scratch(spark, "outbox"), as_of())
+    then = alerts.after_delivery(subscriptions, log).select(F.col("id").alias("subscription_id"), "last_sent_at")
+    return log.hint("merge").join(then.hint("merge"), "subscription_id").select("subscription_id", "recipient", "subject", "status", "delivery_mode", F.md5("body").alias("body_md5"), "last_sent_at")
 
 
 @query("render_confirmation", "SELECT id, concat('Regioni: ', coalesce(nullif(replace(regions_csv, ',', ', '), ''), 'tutte'), chr(10), 'Tipologie: ', coalesce(nullif(replace(categories_csv, ',', ', '), ''), 'tutte'), chr(10), 'Ambiti: ', coalesce(nullif(replace(areas_csv, ',', ', '), ''), 'tutti'), chr(10), 'Parole chiave: ', coalesce(nullif(replace(keywords_csv, ',', ', '), ''), 'nessuna'), chr(10), 'Frequenza: ', frequency, chr(10), 'https://example.org/alerts/confirm?token=', url_encode(email)) AS body FROM fx_subscriptions", U)
