@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
@@ -123,18 +123,18 @@ def facet_filter_urls(spark, d):
     """A site's filter options as urls, forty at most for each source."""
     options = fixture(spark, d, N).select(F.col("stored_status").alias("facet")).distinct()
     s = fixture(spark, d, S).select("id", "base_url").crossJoin(F.broadcast(options))
-    from pyspark.sql import Window
-
     ranked = s.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("facet"))).where("rn <= 40")
     return ranked.select("id", "facet", F.concat("base_url", F.when(F.col("base_url").contains("?"), "&").otherwise("?"), F.lit("stato="), "facet").alias("url"))
 
 
-@query("robots_filter", "SELECT id, official_url AS url FROM fx_notices WHERE NOT regexp_matches(official_url, '://[^/]*/bandi/1')", N)
+@query("robots_filter", "SELECT id, official_url AS url FROM fx_notices WHERE NOT (source_id % 3 <> 2 AND regexp_matches(official_url, '://[^/]*/bandi/1') AND NOT regexp_matches(official_url, '://[^/]*/bandi/1[05]'))", N)
 def robots_filter(spark, d):
+    """Each source's host has a robots.txt of one of three kinds; the last one bars other agents only."""
     links = fixture(spark, d, N).select("id", F.col("official_url").alias("url"))
-    hosts = fixture(spark, d, S).select(urls.host(F.col("base_url")).alias("host")).distinct().withColumn("prefix", F.lit("/bandi/1"))
-    zero = spark.createDataFrame([("ente0.example.org", "/bandi/1")], "host string, prefix string")
-    return frontier.robots_filter(links, F.broadcast(hosts.unionByName(zero).distinct()))
+    bodies = ["User-agent: *\nAllow: /bandi/10\nAllow: /bandi/15\nDisallow: /bandi/1\n", "User-agent: *\nDisallow: /\n\nUser-agent: other\nUser-agent: Noticeflow # us\nAllow: /bandi/10\nAllow: /bandi/15\nDisallow: /bandi/1\nCrawl-delay: 5\n", "Sitemap: x\n\nUser-agent: other\nDisallow: /bandi\n\nDisallow: /\n"]
+    kind = F.col("id") % 3
+    robots = fixture(spark, d, N).select(F.col("source_id").alias("id")).distinct().select(F.concat(F.lit("ente"), F.col("id").cast("string"), F.lit(".example.org")).alias("host"), F.when(kind == 0, bodies[0]).when(kind == 1, bodies[1]).otherwise(bodies[2]).alias("body"))
+    return frontier.robots_filter(links, frontier.robots_rules(robots, "Noticeflow/1.0"))
 
 
 def _batches(spark, d) -> DataFrame:
@@ -146,8 +146,6 @@ def _batches(spark, d) -> DataFrame:
 @query("html_table_rows", "SELECT id, title, CASE WHEN id % 2 = 0 THEN 'Aperti' ELSE 'Chiusi' END AS section FROM fx_notices", N)
 def html_table_rows(spark, d):
     """Tables with section rows, written from the notices; the section goes down to the rows after it."""
-    from pyspark.sql import Window
-
     def part(name: str, odd: int):
         rows = F.filter(F.col("rows"), lambda r: r["id"] % 2 == odd)
         body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr><td>"), r["id"].cast("string"), F.lit("<td>"), r["title"], F.lit("</td></tr>"))), "")
@@ -169,17 +167,26 @@ def html_cards(spark, d):
     return cards.select(F.regexp_extract("href", r"(\d+)$", 1).cast("long").alias("id"), F.col("heading").alias("title"), "href", F.date_format(dates.labelled_deadline(F.col("text")), "dd/MM/yyyy").alias("day"))
 
 
-@query("read_paged_json", "SELECT source_id, CAST(id AS VARCHAR) AS id, title FROM fx_notices", N)
+@query("read_paged_json", "SELECT source_id, CAST(id AS VARCHAR) AS id, title || CASE WHEN id % 3 = 0 THEN ' bis' ELSE '' END AS title FROM fx_notices", N)
 def read_paged_json(spark, d):
-    content = F.transform("rows", lambda r: F.struct(r["id"].cast("string").alias("id"), r["title"].alias("title"), r["deadline_text"].alias("deadline")))
-    body = F.to_json(F.struct(F.lit(1_000_000).alias("totalPages"), F.lit(False).alias("last"), content.alias("content")))
-    return payloads.read_paged_json(_batches(spark, d).select("source_id", "page", body.alias("body"))).select("source_id", "id", "title")
-
-
-@query("read_csv_export", "SELECT id, title FROM fx_notices", N)
+    """Pages that name the next one; a third of the records come again, changed, on a page of their own behind the others."""
+    content = lambda rows, mark: F.transform(rows, lambda r: F.struct(r["id"].cast("string").alias("id"), F.concat(r["title"], F.lit(mark)).alias("title"), r["deadline_text"].alias("deadline")))
+    again = F.filter("rows", lambda r: r["id"] % 3 == 0)
+    made = _batches(spark, d).select("source_id", F.explode(F.array(F.struct(F.col("page").alias("k"), content("rows", "").alias("content")), F.struct((F.col("page") + 1_000_000_000).alias("k"), content(again, " bis").alias("content")))).alias("p")).where("size(p.content) > 0")
+    url = lambda k: F.concat(F.lit("/feed/"), k.cast("string"))
+    order = Window.partitionBy("source_id").orderBy("p.k")
+    body = F.to_json(F.struct(F.col("p.content").alias("content"), F.struct(url(F.lead("p.k").over(order)).alias("next")).alias("batching")))
+    feeds = made.select("source_id", url(F.col("p.k")).alias("url"), body.alias("body"), F.row_number().over(order).alias("n"))
+    starts = feeds.where("n = 1").select("source_id", "url")
+    return payloads.read_paged_json(payloads.linked_pages(feeds.drop("n"), starts)).select("source_id", "id", "title")
+
+
+@query("read_csv_export", "SELECT id, title || CASE id % 3 WHEN 0 THEN chr(10) || 'di \"Forlì\"' WHEN 1 THEN '; | ,' ELSE '' END AS title FROM fx_notices", N)
 def read_csv_export(spark, d):
+    """Files with line breaks and quotes inside of fields, in the delimiter | and as many splits as their size gives."""
     path = scratch(spark, "csv")
-    fixture(spark, d, N).select("id", "title").write.csv(path, sep="|", header=True)
+    rows = fixture(spark, d, N).select("id", F.concat("title", F.when(F.col("id") % 3 == 0, '\ndi "Forlì"').when(F.col("id") % 3 == 1, "; | ,").otherwise("")).alias("title"))
+    rows.write.csv(path, sep="|", header=True, escape='"')
     return payloads.read_csv_export(spark, path, "id long, title string")
 
 
@@ -198,9 +205,10 @@ def read_embedded_json(spark, d):
     return payloads.read_embedded_json(made, "bandi", "id:bigint,title:string")
 
 
-@query("json_text_flatten", "SELECT id, concat_ws(' ', title, deadline_text, organization) AS text FROM fx_notices", N)
+@query("json_text_flatten", "SELECT id, concat_ws(' ', title, deadline_text, organization, region) AS text FROM fx_notices", N)
 def json_text_flatten(spark, d):
-    block = lambda t, kids: F.struct(t.alias("text"), kids.alias("children"))
-    kids = F.array(F.struct(F.col("deadline_text").alias("text")))
-    body = F.to_json(F.struct(F.array(block(F.col("title"), kids), block(F.col("organization"), F.array().cast("array<struct<text:string>>"))).alias("blocks")))
+    """Draft texts four levels deep, beside texts that aren't looked at."""
+    block = lambda *texts: F.struct(F.array(*[F.struct(F.concat(F.lit(" "), t).alias("text"), F.array(F.struct(F.lit("mai").alias("text"))).alias("children")) for t in texts]).alias("blocks"))
+    inner = F.struct(block(F.col("deadline_text")).alias("zeta"), F.lit("mai").alias("text"), F.array(F.array(block(F.col("organization")))).alias("alfa"))
+    body = F.to_json(F.struct(F.array(block(F.col("title"))).alias("z"), inner.alias("m"), F.lit(1).alias("n"), block(F.col("region")).alias("a")))
     return fixture(spark, d, N).select("id", payloads.json_text_flatten(body).alias("text"))

@@ -3,45 +3,125 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAGE_SCHEMA = "totalPages int, last boolean, content array<struct<id:string,title:string,deadline:string>>"
+from ..operators.snapshot import scratch
+
+PAGE_SCHEMA = "totalPages int, last boolean, entitiesCount bigint, batching struct<next:string>, content array<struct<id:string,title:string,deadline:string>>"
 DELIMITERS = (";", ",", "\t", "|")
 HEAD_LINES, BROADCAST_FILES = 20, 50_000
 
 
-def read_paged_json(payloads: DataFrame) -> DataFrame:
-    """(source_id, page, id, title, deadline) of payloads (source_id, page, body). Pages after the last one that a source's
-    payloads announce are dropped; a record that comes again on a later page counts once."""
-    parsed = payloads.select("source_id", "page", F.from_json("body", PAGE_SCHEMA).alias("p"))
-    ends = parsed.groupBy("source_id").agg(F.min(F.when(F.col("p.last") | (F.size("p.content") == 0), F.col("page"))).alias("stop"), F.max("p.totalPages").alias("total"))
-    kept = parsed.join(ends, "source_id").where(F.col("page") <= F.least(F.coalesce("stop", F.col("page")), F.coalesce(F.col("total") - 1, F.col("page"))))
-    rows = kept.select("source_id", "page", F.explode("p.content").alias("r")).select("source_id", "page", "r.*")
-    return rows.groupBy("source_id", "id").agg(F.min_by("title", "page").alias("title"), F.min_by("deadline", "page").alias("deadline"))
+def read_paged_json(payloads: DataFrame, size: int | None = None) -> DataFrame:
+    """(source_id, id, title, deadline) of payloads (source_id, page, body). A record that comes again has what its last page
+    says; records without id are left out.
+
+    A source's pages end with the first one that is announced as the last, is the last of totalPages or has fewer than `size`
+    records, and before the first one that is empty. Where a source says how many entities there are, they also end before a
+    page without a new id and once so many have come."""
+    parsed = payloads.select("source_id", "page", F.from_json("body", PAGE_SCHEMA).alias("p")).select("source_id", "page", "p.*")
+    rows = parsed.select("source_id", "page", F.explode("content").alias("r")).select("source_id", "page", "r.*").where("id <> ''")
+    fresh = rows.groupBy("source_id", "id").agg(F.min("page").alias("page")).groupBy("source_id", "page").agg(F.count("*").alias("fresh"))
+    n = F.size(F.coalesce("content", F.array().cast("array<struct<id:string,title:string,deadline:string>>")))
+    pages = parsed.select("source_id", "page", "totalPages", "last", "entitiesCount", n.alias("n")).hint("merge").join(fresh.hint("merge"), ["source_id", "page"], "left")
+    # A row for each page, not for each record.
+    so_far = F.sum(F.coalesce("fresh", F.lit(0))).over(Window.partitionBy("source_id").orderBy("page"))
+    counted = pages.withColumn("so_far", so_far)
+    known = F.coalesce(F.col("entitiesCount"), F.lit(0)) > 0
+    last = F.coalesce(F.col("last"), F.lit(False)) | F.coalesce(F.col("page") + 1 >= F.col("totalPages"), F.lit(False)) | (known & (F.col("so_far") >= F.col("entitiesCount")))
+    last = last | (F.col("n") < size) if size else last
+    ended = (F.col("n") == 0) | (known & F.col("fresh").isNull())
+    stop = counted.groupBy("source_id").agg(F.least(F.min(F.when(last, F.col("page"))), F.min(F.when(ended, F.col("page"))) - 1).alias("stop"))
+    kept = rows.hint("merge").join(stop.hint("merge"), "source_id").where("stop is null or page <= stop")
+    return kept.groupBy("source_id", "id").agg(F.max_by(F.struct("title", "deadline"), "page").alias("r")).select("source_id", "id", "r.*")
+
+
+def linked_pages(payloads: DataFrame, starts: DataFrame) -> DataFrame:
+    """(source_id, page, body): payloads (source_id, url, body), each of which names the next one in batching.next, numbered
+    along the way from the source's start (source_id, url). A page that the way comes to again keeps its first number; pages
+    off the way are left out. Numbers double with each round, and each round is written out."""
+    jumps = _kept(payloads.select("source_id", "url", F.from_json("body", PAGE_SCHEMA)["batching"]["next"].alias("to")).where("to is not null and to <> url"), "jumps")
+    placed, found, hop = _kept(starts.select("source_id", "url", F.lit(0).cast("long").alias("page")).distinct(), "placed"), 0, 1
+    while (count := placed.count()) > found:
+        found = count
+        ahead = placed.hint("merge").join(jumps.hint("merge"), ["source_id", "url"]).select("source_id", F.col("to").alias("url"), (F.col("page") + hop).alias("page"))
+        placed = _kept(placed.unionByName(ahead).groupBy("source_id", "url").agg(F.min("page").alias("page")), "placed")
+        on = jumps.select("source_id", F.col("url").alias("to"), F.col("to").alias("further"))
+        jumps, hop = _kept(jumps.hint("merge").join(on.hint("merge"), ["source_id", "to"]).select("source_id", "url", F.col("further").alias("to")), "jumps"), 2 * hop
+    return payloads.hint("merge").join(placed.hint("merge"), ["source_id", "url"]).select("source_id", "page", "body")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sniffed_delimiter(head: Column) -> Column:
-    """The delimiter that the first lines have most of; ; if they have none."""
-    counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("k"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]
+    """The delimiter that the first line has most of, of equals the one that all of the first lines have; ; without any."""
+    count = lambda text, d: F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))
+    counts = [F.struct(count(F.substring_index(head, "\n", 1), d).alias("first"), count(head, d).alias("n"), F.lit(-i).alias("k"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]
     best = F.greatest(*counts)
     return F.when(best["n"] > 0, best["d"]).otherwise(DELIMITERS[0])
 
 
-def read_csv_export(spark: SparkSession, path: str, columns: str, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of CSV files with a header line; each file has the delimiter that its first HEAD_LINES lines have most of. Files
-    are read as lines, in splits, so a file of any size is spread over tasks; lines like the header are left out."""
-    lines = spark.read.schema("value string").csv(path, sep="\x01", quote="", encoding=encoding).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    begins = lines.where("at = 0").withColumn("k", F.monotonically_increasing_id())
-    first = begins.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("k"))).where(F.col("n") <= HEAD_LINES)
-    heads = first.groupBy("file").agg(F.concat_ws("\n", F.collect_list("value")).alias("head"), F.min_by("value", "k").alias("header"))
-    heads = heads.select("file", sniffed_delimiter(F.col("head")).alias("d"), "header")
-    rows = lines.join(heads.hint("broadcast" if heads.count() <= BROADCAST_FILES else "merge"), "file").where("value <> header")
-    parsed = [rows.where(F.col("d") == d).select(F.from_csv("value", columns, {"sep": d}).alias("r")).select("r.*") for d in DELIMITERS]
+#: Bytes that have no character in windows-1252, and those that have another than in latin-1, with it.
+NO_CP1252 = "[\x81\x8d\x8f\x90\x9d]"
+_OTHER = bytes(b for b in range(0x80, 0xA0) if not re.match(NO_CP1252, chr(b)))
+CP1252 = (_OTHER.decode("latin-1"), _OTHER.decode("cp1252"))
+
+
+def read_csv_export(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Rows of CSV files with a header record, by position. Each file has its own encoding (UTF-8 with or without mark if all
+    of it is, else windows-1252, or latin-1 where a byte has no character there) and the delimiter that its first lines have
+    most of. Line breaks inside quotes belong to the record and become \n; empty lines are left out.
+
+    Files are read as lines, in splits, so a file of any size is spread over tasks. A record ends where an even number of
+    quotes has come since the file began: quotes are counted for each split, summed over the splits before, and a record that
+    goes on in the next split is put together by its first line. Only files with a line of an odd number of quotes, or with
+    another line like their header, take that way."""
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("b"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    latin = F.decode("b", "ISO-8859-1")
+    begins = raw.where("at = 0").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("k"))).where(F.col("n") <= HEAD_LINES)
+    heads = begins.groupBy("file").agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.struct("n", latin.alias("v"))))["v"]).alias("head"), F.min_by("b", "n").alias("header"))
+    flags = raw.groupBy("file").agg(F.bool_and(F.is_valid_utf8(F.col("b").cast("string"))).alias("utf8"), F.bool_and(~latin.rlike(NO_CP1252)).alias("cp1252"), F.bool_or(_quotes(latin) % 2 == 1).alias("broken"))
+    heads = _kept(heads.select("file", sniffed_delimiter(F.col("head")).alias("d"), "header").hint("merge").join(flags.hint("merge"), "file"), "csv-heads")
+    near = "broadcast" if heads.count() <= BROADCAST_FILES else "merge"
+    again = raw.join(heads.select("file", "header").hint(near), "file").where("b = header").groupBy("file").agg((F.count("*") > 1).alias("again"))
+    files = _kept(heads.hint("merge").join(again.hint("merge"), "file").withColumn("broken", F.col("broken") | F.col("again")).drop("again"), "csv-files")
+    value = F.when(F.col("utf8"), F.col("b").cast("string")).when(F.col("cp1252"), F.translate(latin, *CP1252)).otherwise(F.decode("b", "ISO-8859-1"))
+    lines = raw.join(files.hint(near), "file").withColumn("value", value)
+    whole = lines.where("not broken and b <> header")
+    parts = _records(lines.where("broken"))
+    records = whole.select("d", "value").unionByName(parts).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "multiLine": "true", "escape": '"'}
+    parsed = [records.where(F.col("d") == d).select(F.from_csv("value", columns, options | {"sep": d}).alias("r")).select("r.*") for d in DELIMITERS]
     return functools.reduce(DataFrame.unionByName, parsed)
 
 
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(d, value): lines put together to records, without the first of each file. A split's lines are in one task at a time."""
+    split = Window.partitionBy("file", "at").orderBy("k")
+    inside = lines.select("file", "at", "k", "d", "value").withColumns({"n": F.row_number().over(split), "quotes": F.coalesce(F.sum(_quotes(F.col("value"))).over(split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "own": _quotes(F.col("value"))})
+    inside = _kept(inside.drop("k"), "csv-lines")
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = inside.groupBy("file", "at").agg(F.sum("own").alias("all")).withColumn("earlier", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    marked = _kept(inside.hint("merge").join(splits.hint("merge"), ["file", "at"]).withColumn("starts", (F.col("earlier") + F.col("quotes")) % 2 == 0), "csv-marked")
+    last = marked.where("starts").groupBy("file", "at").agg(F.max("n").alias("n"))
+    carried = splits.select("file", "at").hint("merge").join(last.hint("merge"), ["file", "at"], "left").withColumn("from", F.last(F.when(F.col("n").isNotNull(), F.struct("at", "n")), ignorenulls=True).over(before)).select("file", "at", "from")
+    within = F.last(F.when(F.col("starts"), F.struct("at", "n")), ignorenulls=True).over(Window.partitionBy("file", "at").orderBy("n"))
+    keyed = marked.withColumn("own_start", within).hint("merge").join(carried.hint("merge"), ["file", "at"]).withColumn("start", F.coalesce("own_start", "from"))
+    made = keyed.groupBy("file", "d", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "n", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return made.where("start.at > 0 or start.n > 1").select("d", "value")
+
+
 def read_xml_acts(documents: DataFrame, column: str = "xml") -> DataFrame:
     """One row for each <atto> of documents with several: other columns, oggetto, web, pubblicatodal."""
     acts = F.regexp_extract_all(F.col(column), F.lit(r"(?s)<atto\b.*?</atto>"), F.lit(0))
@@ -57,7 +137,45 @@ def read_embedded_json(pages: DataFrame, marker: str, schema: str, column: str =
     return pages.withColumn("__r", F.explode(F.from_json(plain, f"array<struct<{schema}>>"))).select(*[c for c in pages.columns if c != column], "__r.*")
 
 
-def json_text_flatten(blocks: Column) -> Column:
-    """Texts of nested blocks, joined by spaces, from JSON {blocks: [{text, children: [{text}]}]}."""
-    parsed = F.from_json(blocks, "blocks array<struct<text:string,children:array<struct<text:string>>>>")["blocks"]
-    return F.array_join(F.flatten(F.transform(parsed, lambda b: F.concat(F.array(b["text"]), F.coalesce(F.transform(b["children"], lambda c: c["text"]), F.array().cast("array<string>"))))), " ")
+def _let(value: Column, make) -> Column:
+    """make(value), with value computed once."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _holds(value: Column) -> Column:
+    return F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
+
+
+def json_text_flatten(body: Column) -> Column:
+    """The texts of all `blocks` lists in a JSON text, at any depth and in its order, joined by spaces; each text is trimmed,
+    lists without text add nothing. What lies inside the blocks themselves isn't looked at. Null and no JSON give ''.
+
+    A list of containers still to be read is worked off in one pass, the first one each time; what a container holds goes in
+    front of the rest. There are at most as many steps as opening brackets."""
+    text, kind = "map<string,string>", "map<string,variant>"
+
+    def blocks(o: Column) -> Column:
+        items = F.arrays_zip(F.from_json(o, "array<string>").alias("j"), F.from_json(o, "array<variant>").alias("v"))
+        named = F.transform(F.filter(items, lambda x: F.schema_of_variant(x["v"]).startswith("OBJECT")), lambda x: _let(F.from_json(x["j"], kind)["text"], lambda t: F.when(F.schema_of_variant(t).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(t, "$", "string"))))
+        return F.array_join(F.transform(F.filter(named, lambda t: t.isNotNull() & (t != "") & (t != "0")), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), " ")
+
+    nothing = F.array().cast("array<string>")
+
+    def step(acc: Column, _: Column) -> Column:
+        head, rest = F.try_element_at(acc["todo"], F.lit(1)), F.slice(acc["todo"], 2, F.greatest(F.size(acc["todo"]) - 1, F.lit(0)))
+
+        def of_object(h: Column) -> Column:
+            return _let(F.struct(F.from_json(h, text).alias("j"), F.from_json(h, kind).alias("v")), lambda m: F.when(F.coalesce(F.schema_of_variant(m["v"]["blocks"]).startswith("ARRAY"), F.lit(False)), F.struct(rest.alias("todo"), F.concat(acc["out"], F.array(blocks(m["j"]["blocks"]))).alias("out"))).otherwise(F.struct(F.concat(F.transform(F.filter(F.map_keys(m["v"]), lambda k: F.coalesce(_holds(m["v"][k]), F.lit(False))), lambda k: m["j"][k]), rest).alias("todo"), acc["out"].alias("out"))))
+
+        def of_array(h: Column) -> Column:
+            items = F.arrays_zip(F.from_json(h, "array<string>").alias("j"), F.from_json(h, "array<variant>").alias("v"))
+            inner = F.transform(F.filter(items, lambda x: F.coalesce(_holds(x["v"]), F.lit(False))), lambda x: x["j"])
+            return F.struct(F.concat(inner, rest).alias("todo"), acc["out"].alias("out"))
+
+        return F.when(head.isNull(), acc).when(F.ltrim(head).startswith("{"), of_object(head)).otherwise(of_array(head))
+
+    brackets = F.length(body) - F.length(F.translate(body, "{[", ""))
+    fits = F.coalesce(_holds(F.try_parse_json(body)), F.lit(False))
+    start = F.struct(F.when(fits, F.array(body)).otherwise(nothing).alias("todo"), nothing.alias("out"))
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce(brackets, F.lit(0)), F.lit(1))), start, step)
+    return F.array_join(F.filter(done["out"], lambda t: t != ""), " ")

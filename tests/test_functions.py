@@ -1,6 +1,8 @@
 """Small cases of the notice functions and operators."""
 
+import random
 import unicodedata
+import urllib.robotparser
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
@@ -150,11 +152,26 @@ def test_page_reader():
 def test_payload_readers(spark):
     body = '{"totalPages": 2, "content": [{"id": "%s", "title": "t%s"}]}'
     df = spark.createDataFrame([(1, 0, body % (1, 1)), (1, 1, body % (1, 2)), (1, 2, body % (3, 3)), (2, 0, '{"last": true, "content": [{"id":"9","title":"x"}]}'), (2, 1, body % (8, 8))], "source_id long, page long, body string")
-    assert {(r.source_id, r.id, r.title) for r in payloads.read_paged_json(df).collect()} == {(1, "1", "t1"), (2, "9", "x")}
+    assert {(r.source_id, r.id, r.title) for r in payloads.read_paged_json(df).collect()} == {(1, "1", "t2"), (2, "9", "x")}
     assert [one(spark, payloads.sniffed_delimiter(F.lit(h))) for h in ("a;b;c,d", "a\tb", "abc", "a|b|c;d")] == [";", "\t", ";", "|"]
 
 
-def test_robots(spark):
-    links = spark.createDataFrame([("https://a.example/x/1",), ("https://a.example/y",), ("https://b.example/x/1",)], "url string")
-    rules = spark.createDataFrame([("a.example", "/x")], "host string, prefix string")
-    assert {r.url for r in frontier.robots_filter(links, rules).collect()} == {"https://a.example/y", "https://b.example/x/1"}
+def test_robots_agree_with_the_standard_library(spark):
+    rng = random.Random(2)
+    paths = ["/", "/a", "/a/b", "/a b", "/a%20b", "/à", "*", "/a?x=1", "/b", "", "/a/", "/~u", "/%7Eu", "/a*"]
+    bodies = {}
+    for k in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 14)):
+            lines.append(rng.choice(["", "", "# note", "  ", "nonsense", "Sitemap: /s", "Crawl-delay: 3"] + ["User-agent: " + rng.choice(["*", "Noticeflow", "notice", "other", "flow/2"])] * 5 + [rng.choice(["Disallow", "allow", "DISALLOW "]) + ": " + rng.choice(paths) + rng.choice(["", "", " # x"])] * 8))
+        bodies[f"h{k}.example"] = "\n".join(lines)
+    ends = ["", "/", "/a", "/a/b/c", "/a b", "/a%20b?q=1", "/à", "/%C3%A0", "/a?x=1&y=2", "/b#f", "/~u/1", "/c+d", "/a*b"]
+    links = [(f"https://{h}{e}",) for h in bodies for e in ends] + [("https://no-rules.example/a",)]
+    rules = frontier.robots_rules(spark.createDataFrame(list(bodies.items()), "host string, body string"), "Noticeflow/1.0")
+    got = {r.url for r in frontier.robots_filter(spark.createDataFrame(links, "url string"), rules).collect()}
+    expected = {links[-1][0]}
+    for h, body in bodies.items():
+        parser = urllib.robotparser.RobotFileParser()
+        parser.parse(body.splitlines())
+        expected |= {f"https://{h}{e}" for e in ends if parser.can_fetch("Noticeflow/1.0", f"https://{h}{e}")}
+    assert got == expected and 200 < len(expected) < len(links) - 200
