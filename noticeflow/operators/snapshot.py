@@ -1,14 +1,18 @@
-"""Public snapshot: rows without private columns, checks, order-free digests, publishing by version and pointer."""
+"""Public snapshot: tables without private columns, checks, a hash tree over them, publication of what has changed."""
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PRIVATE = ("editorial_notes",)
+#: Columns that are emptied before publication, by table.
+PRIVATE = {"notices": ("editorial_notes", "content_hash"), "sources": ("last_success_at", "last_error", "technical_notes"), "attachments": ("content_hash", "extracted_text", "indexed_at")}
+DEMO_TYPE, SCHEMA_VERSION, MISSING = "third-sector-hub", "1", "\x00"
 _own: list[str] = []
 
 
@@ -25,59 +29,125 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def public_rows(notices: DataFrame, sources: DataFrame) -> DataFrame:
-    """Approved notices of sources that are no demo, with private columns emptied."""
-    real = sources.where("source_type <> 'third-sector-hub'").drop("source_type")
-    return notices.where("editorial_status = 'approved'").join(real, "source_id").withColumns({c: F.lit(None).cast("string") for c in PRIVATE})
+def _without(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in columns if c in rows.columns})
 
 
-def violations(rows: DataFrame) -> DataFrame:
-    """(rule, violations): one scan for all rules."""
-    checks = {
-        "only_approved": F.col("editorial_status") != "approved",
-        "url_credentials": F.col("official_url").rlike("://[^/]*@"),
-        "private_notes": F.col("editorial_notes").isNotNull(),
-        "title_missing": F.coalesce("title", F.lit("")) == "",
-    }
-    counted = rows.agg(*[F.count_if(c).alias(k) for k, c in checks.items()])
-    return counted.unpivot([], list(checks), "rule", "violations")
+def public_tables(notices: DataFrame, sources: DataFrame, attachments: DataFrame) -> dict[str, DataFrame]:
+    """The approved notices of sources that are no demo, those sources, and those notices' attachments, each without its
+    private columns; sources count as active."""
+    approved = notices.where("editorial_status = 'approved'")
+    real = sources.where(F.col("source_type") != DEMO_TYPE)
+    shown = approved.hint("merge").join(real.select(F.col("id").alias("source_id")).hint("merge"), "source_id", "left_semi")
+    used = real.hint("merge").join(shown.select(F.col("source_id").alias("id")).distinct().hint("merge"), "id", "left_semi").withColumn("status", F.lit("active"))
+    held = attachments.hint("merge").join(shown.select(F.col("id").alias("notice_id")).hint("merge"), "notice_id", "left_semi")
+    return {name: _without(rows, PRIVATE[name]) for name, rows in (("notices", shown), ("sources", used), ("attachments", held))}
 
 
-def bucket_digests(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(bucket, n, digest) by the first two hex digits of the rows' hashes: order and partitions don't matter, as a digest is
-    that of the number of hashes and of the sums of their halves."""
-    hashed = rows.select(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns]), 256).alias("h"))
+def bucket_digests(rows: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """(bucket, n, digest): leaves of a hash tree. A row lies in the bucket of its key's hash; a bucket's digest is that of the
+    number of its rows and of the sums of their hashes' halves, so order and partitions don't matter."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+    hashed = rows.select(F.substring(F.sha2(text(key), 256), 1, 2).alias("bucket"), F.sha2(F.concat_ws("\x1f", *map(text, columns)), 256).alias("h"))
     half = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    sums = hashed.groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), half(1).alias("a"), half(33).alias("b"))
+    sums = hashed.groupBy("bucket").agg(F.count("*").alias("n"), half(1).alias("a"), half(33).alias("b"))
     return sums.select("bucket", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("digest"))
 
 
-def digest(rows: DataFrame, columns: list[str]) -> str:
-    """One hash of a table of any size: the numbers and sums of its rows' hashes, which no order changes."""
-    hashed = rows.select(F.xxhash64(*columns).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)").alias("b"))
-    return str(hashed.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum("a").cast("string"), F.sum("b").cast("string")), 256)).first()[0])
-
-
-def publish(rows: DataFrame, base: str, columns: list[str]) -> bool:
-    """Writes a new version and moves the pointer, unless the current version has the same digest."""
-    spark = rows.sparkSession
-    new = digest(rows, columns)
-    pointers = f"{base}/pointer"
-    try:
-        last = spark.read.schema("version long, digest string, path string").json(pointers).orderBy(F.col("version").desc()).first()
-    except Exception as e:  # there is no version yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        last = None
-    if last is not None and last.digest == new:
-        return False
-    version = 1 if last is None else last.version + 1
-    path = f"{base}/version={version}"
-    rows.write.parquet(path)
-    spark.createDataFrame([(version, new, path)], "version long, digest string, path string").coalesce(1).write.mode("append").json(pointers)
-    return True
-
-
-def current(spark: SparkSession, base: str) -> DataFrame:
-    last = spark.read.schema("version long, digest string, path string").json(f"{base}/pointer").orderBy(F.col("version").desc()).first()
-    return spark.read.parquet(last.path)
+def hash_tree(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """(table_name, bucket, n, digest) of all tables; at most 256 rows for each."""
+    leaves = [bucket_digests(rows, columns[name]).select(F.lit(name).alias("table_name"), "bucket", "n", "digest") for name, rows in tables.items()]
+    return functools.reduce(DataFrame.unionByName, leaves)
+
+
+def content_digest(tree: DataFrame) -> str:
+    """The root of a hash tree."""
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "table_name", "bucket", F.col("n").cast("string"), "digest"))), "\n")
+    return tree.agg(F.sha2(lines, 256)).first()[0]
+
+
+def metadata(tree: DataFrame, generated_at: str) -> DataFrame:
+    """(key, value): schema version, time, rows of each table, root digest."""
+    counts = {r.table_name: r.n for r in tree.groupBy("table_name").agg(F.sum("n").alias("n")).collect()}
+    values = {"schema_version": SCHEMA_VERSION, "generated_at": generated_at, "content_digest": content_digest(tree)} | {f"{t}_count": str(counts.get(t, 0)) for t in PRIVATE}
+    return tree.sparkSession.createDataFrame(sorted(values.items()), "key string, value string")
+
+
+def violations(tables: dict[str, DataFrame], meta: DataFrame | None = None) -> DataFrame:
+    """(rule, violations): one scan for all rules of a table, and those on the metadata."""
+    spark = next(iter(tables.values())).sparkSession
+    rules = {"notices": {"only_approved": F.col("editorial_status") != "approved", "title_missing": F.coalesce("title", F.lit("")) == ""}, "sources": {"name_missing": F.coalesce("name", F.lit("")) == ""}, "attachments": {}}
+    links = {"notices": ("official_url", "organization_url"), "sources": ("base_url",), "attachments": ("url",)}
+    found, counts = [], {}
+    for name, rows in tables.items():
+        if name not in PRIVATE:
+            found.append(spark.createDataFrame([(f"unexpected_table_{name}", 1)], "rule string, violations long"))
+            continue
+        checks = {f"{name}_{rule}": check for rule, check in rules[name].items()}
+        urls = [c for c in links[name] if c in rows.columns]
+        private = [c for c in PRIVATE[name] if c in rows.columns]
+        checks[f"{name}_url_credentials"] = functools.reduce(lambda a, b: a | b, (F.coalesce(F.col(c).rlike("://[^/?#]*@"), F.lit(False)) for c in urls))
+        checks[f"{name}_private"] = functools.reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in private), F.lit(False))
+        if meta is not None:
+            counts[name] = rows
+        found.append(rows.agg(*[F.count_if(c).alias(k) for k, c in checks.items()]).unpivot([], list(checks), "rule", "violations"))
+    if meta is not None:
+        value = dict(map(tuple, meta.collect()))  # a handful of rows
+        bad = {"schema_version": value.get("schema_version") != SCHEMA_VERSION, "content_digest": not re.fullmatch("[0-9a-f]{64}", value.get("content_digest") or ""), "generated_at": not re.fullmatch(r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?", value.get("generated_at") or "")}
+        bad |= {f"{t}_missing": t not in tables for t in PRIVATE}
+        bad |= {f"{name}_count": value.get(f"{name}_count") != str(rows.count()) for name, rows in counts.items()}
+        found.append(spark.createDataFrame([(f"metadata_{k}", int(v)) for k, v in sorted(bad.items())], "rule string, violations long"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+class Publication:
+    """Versions of the public tables below a path. A version writes the buckets whose digest has changed and a manifest that
+    says for every bucket in which version it lies; it counts once its line in the pointers is there."""
+
+    POINTER = "version long, digest string"
+    MANIFEST = "table_name string, bucket string, n long, digest string, written long"
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def _last(self):
+        try:
+            return self.spark.read.schema(self.POINTER).json(f"{self.base}/pointer").orderBy(F.col("version").desc()).first()
+        except Exception as e:  # there is no version yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def _manifest(self, version: int | None) -> DataFrame:
+        return self.spark.createDataFrame([], self.MANIFEST) if version is None else self.spark.read.schema(self.MANIFEST).parquet(f"{self.base}/manifest/version={version}")
+
+    def publish(self, tables: dict[str, DataFrame], columns: dict[str, list[str]], check: bool = True) -> DataFrame:
+        """(table_name, bucket, change) of what was added, changed or removed; without rows nothing was published. Tables that
+        break a rule are refused."""
+        if check and (broken := violations(tables).where("violations > 0").collect()):
+            raise ValueError(f"not fit for publication: {sorted(r.rule for r in broken)}")
+        last = self._last()
+        old = self._manifest(last and last.version).select("table_name", "bucket", F.col("digest").alias("old"), "written")
+        path = scratch(self.spark, "tree")
+        hash_tree(tables, columns).write.parquet(path)
+        tree = self.spark.read.parquet(path)
+        version = 1 if last is None else last.version + 1
+        both = tree.join(old.hint("merge"), ["table_name", "bucket"], "full")
+        change = F.when(F.col("digest").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("digest") != F.col("old"), "changed")
+        changes = both.select("table_name", "bucket", change.alias("change")).where("change is not null").collect()  # at most 256 for each table
+        for name, rows in tables.items():
+            fresh = sorted(r.bucket for r in changes if r.table_name == name and r.change != "removed")
+            if fresh:
+                marked = rows.withColumn("bucket", F.substring(F.sha2(F.coalesce(F.col("id").cast("string"), F.lit(MISSING)), 256), 1, 2))
+                marked.where(F.col("bucket").isin(*fresh)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/{name}/version={version}")
+        if changes:
+            written = F.when(F.col("old").isNull() | (F.col("digest") != F.col("old")), F.lit(version)).otherwise(F.col("written")).cast("long")
+            both.where("digest is not null").select("table_name", "bucket", "n", "digest", written.alias("written")).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/manifest/version={version}")
+            self.spark.createDataFrame([(version, content_digest(tree))], self.POINTER).coalesce(1).write.mode("append").json(f"{self.base}/pointer")
+        return self.spark.createDataFrame(changes, "table_name string, bucket string, change string")
+
+    def current(self, name: str, schema) -> DataFrame:
+        last = self._last()
+        held = self._manifest(last and last.version).where(F.col("table_name") == name).select("bucket", "written").collect()
+        paths = [f"{self.base}/{name}/version={r.written}/bucket={r.bucket}" for r in held]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)

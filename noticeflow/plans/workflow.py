@@ -193,9 +193,24 @@ def pipeline_metrics(spark, d):
     return fixture(spark, d, N).groupBy("source_id", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("content_digest", "WITH r AS (SELECT sha256(concat_ws(chr(31), id, title, organization, official_url)) AS h FROM fx_notices WHERE editorial_status = 'approved') SELECT substr(h, 1, 2) AS bucket, count(*) AS n, sha256(concat_ws('|', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 33, 15) AS BIGINT)))) AS digest FROM r GROUP BY 1", N)
+SNAPSHOT_COLUMNS = {"notices": ["id", "source_id", "external_id", "title", "description", "organization", "entity_type", "region", "province", "category", "areas_csv", "stored_status", "editorial_status", "relevance_score", "official_url"], "sources": ["id", "name", "source_type", "base_url", "region", "organization", "status"], "attachments": ["id", "notice_id", "title", "url"]}
+#: The exported tables in SQL.
+PUBLIC_SQL = "pn AS (SELECT n.* FROM fx_notices n JOIN fx_sources s ON n.source_id = s.id WHERE n.editorial_status = 'approved' AND s.source_type <> 'third-sector-hub'), ps AS (SELECT * REPLACE ('active' AS status, CAST(NULL AS TIMESTAMP) AS last_success_at) FROM fx_sources s WHERE source_type <> 'third-sector-hub' AND EXISTS (SELECT 1 FROM pn WHERE pn.source_id = s.id)), pa AS (SELECT a.* FROM fx_attachments a JOIN pn ON a.notice_id = pn.id)"
+
+
+def _leaves_sql(table: str, rows: str) -> str:
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in SNAPSHOT_COLUMNS[table])
+    return f"SELECT '{table}' AS table_name, bucket, count(*) AS n, sha256(concat_ws('|', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 33, 15) AS BIGINT)))) AS digest FROM (SELECT substr(sha256(CAST(id AS VARCHAR)), 1, 2) AS bucket, sha256(concat_ws(chr(31), {cells})) AS h FROM {rows}) GROUP BY bucket"
+
+
+def _public(spark, d) -> dict[str, DataFrame]:
+    return snapshot.public_tables(fixture(spark, d, N), fixture(spark, d, S), fixture(spark, d, A))
+
+
+@query("content_digest", f"WITH {PUBLIC_SQL} " + " UNION ALL ".join(_leaves_sql(t, r) for t, r in (("notices", "pn"), ("sources", "ps"), ("attachments", "pa"))), N, S, A)
 def content_digest(spark, d):
-    return snapshot.bucket_digests(fixture(spark, d, N).where("editorial_status = 'approved'"), ["id", "title", "organization", "official_url"])
+    """The leaves of the hash tree over the three exported tables."""
+    return snapshot.hash_tree(_public(spark, d), SNAPSHOT_COLUMNS)
 
 
 # Windows
@@ -623,26 +638,41 @@ def completeness_check(spark, d):
     return pages.groupBy("source_id").agg(F.max("page").alias("pages"), F.count_distinct("page").alias("seen"), (F.max("page") > F.count_distinct("page")).alias("incomplete"))
 
 
-@query("snapshot_export", f"SELECT n.id, n.title, CAST(NULL AS VARCHAR) AS editorial_notes, s.name AS source_name FROM fx_notices n JOIN fx_sources s ON n.source_id = s.id WHERE n.editorial_status = 'approved' AND s.source_type <> 'third-sector-hub'", N, S)
+@query("snapshot_export", f"WITH {PUBLIC_SQL} SELECT 'notices' AS kind, CAST(id AS VARCHAR) AS id, title AS text, CAST(NULL AS VARCHAR) AS private FROM pn UNION ALL SELECT 'sources', CAST(id AS VARCHAR), name || ' ' || status, NULL FROM ps UNION ALL SELECT 'attachments', id, title || ' ' || url, NULL FROM pa UNION ALL SELECT 'metadata', 'attachments_count', CAST(count(*) AS VARCHAR), NULL FROM pa UNION ALL SELECT 'metadata', 'generated_at', '1998-06-01T12:00:00Z', NULL UNION ALL SELECT 'metadata', 'notices_count', CAST(count(*) AS VARCHAR), NULL FROM pn UNION ALL SELECT 'metadata', 'schema_version', '1', NULL UNION ALL SELECT 'metadata', 'sources_count', CAST(count(*) AS VARCHAR), NULL FROM ps", N, S, A)
 def snapshot_export(spark, d):
-    s = fixture(spark, d, S).select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "source_type")
-    return snapshot.public_rows(fixture(spark, d, N), s).select("id", "title", "editorial_notes", "source_name")
-
-
-@query("snapshot_validate", "SELECT * FROM (SELECT 'only_approved' AS rule, count(*) FILTER (WHERE editorial_status <> 'approved') AS violations FROM fx_notices UNION ALL SELECT 'url_credentials', count(*) FILTER (WHERE regexp_matches(official_url, '://[^/]*@')) FROM fx_notices UNION ALL SELECT 'private_notes', count(*) FILTER (WHERE editorial_notes IS NOT NULL) FROM fx_notices UNION ALL SELECT 'title_missing', count(*) FILTER (WHERE coalesce(title, '') = '') FROM fx_notices)", N)
+    """The three tables and their metadata, but for the digest, which content_digest has."""
+    tables = _public(spark, d)
+    tree = identity.kept(snapshot.hash_tree(tables, SNAPSHOT_COLUMNS), "tree")
+    meta = snapshot.metadata(tree, "1998-06-01T12:00:00Z").where("key <> 'content_digest'")
+    row = lambda kind, rows, i, text, private: rows.select(F.lit(kind).alias("kind"), F.col(i).cast("string").alias("id"), text.alias("text"), private.cast("string").alias("private"))
+    notices = row("notices", tables["notices"], "id", F.col("title"), F.col("editorial_notes"))
+    sources = row("sources", tables["sources"], "id", F.concat_ws(" ", "name", "status"), F.col("last_success_at"))
+    held = row("attachments", tables["attachments"], "id", F.concat_ws(" ", "title", "url"), F.lit(None))
+    return notices.unionByName(sources).unionByName(held).unionByName(row("metadata", meta, "key", F.col("value"), F.lit(None)))
+
+
+@query("snapshot_validate", "SELECT 'notices_only_approved' AS rule, count(*) FILTER (WHERE editorial_status <> 'approved') AS violations FROM fx_notices UNION ALL SELECT 'notices_title_missing', count(*) FILTER (WHERE coalesce(title, '') = '') FROM fx_notices UNION ALL SELECT 'notices_url_credentials', count(*) FILTER (WHERE regexp_matches(official_url, '://[^/?#]*@')) FROM fx_notices UNION ALL SELECT 'notices_private', count(*) FILTER (WHERE editorial_notes IS NOT NULL) FROM fx_notices UNION ALL SELECT 'sources_name_missing', count(*) FILTER (WHERE coalesce(name, '') = '') FROM fx_sources UNION ALL SELECT 'sources_url_credentials', count(*) FILTER (WHERE regexp_matches(base_url, '://[^/?#]*@')) FROM fx_sources UNION ALL SELECT 'sources_private', count(*) FILTER (WHERE last_success_at IS NOT NULL) FROM fx_sources UNION ALL SELECT 'attachments_url_credentials', count(*) FILTER (WHERE regexp_matches(url, '://[^/?#]*@')) FROM fx_attachments UNION ALL SELECT 'attachments_private', 0", N, S, A)
 def snapshot_validate(spark, d):
-    """The suite on rows that were not exported, so that it finds something."""
-    return snapshot.violations(fixture(spark, d, N))
+    """The suite on tables that were not exported, so that it finds something."""
+    return snapshot.violations({"notices": fixture(spark, d, N), "sources": fixture(spark, d, S), "attachments": fixture(spark, d, A)})
 
 
-@query("snapshot_publish", "SELECT count(*) AS n_rows, true AS first_published, false AS second_published FROM fx_notices WHERE editorial_status = 'approved'", N)
+@query("snapshot_publish", f"WITH {PUBLIC_SQL}, b AS (SELECT 'notices' AS table_name, substr(sha256(CAST(id AS VARCHAR)), 1, 2) AS bucket, id = (SELECT min(id) FROM pn) AS touched FROM pn UNION ALL SELECT 'sources', substr(sha256(CAST(id AS VARCHAR)), 1, 2), false FROM ps UNION ALL SELECT 'attachments', substr(sha256(CAST(id AS VARCHAR)), 1, 2), false FROM pa) SELECT table_name, count(*) AS n_rows, count(DISTINCT bucket) AS first_written, 0 AS again_written, count(DISTINCT bucket) FILTER (WHERE touched) AS changed_written FROM b GROUP BY table_name", N, S, A)
 def snapshot_publish(spark, d):
-    """Published once; the same rows again change nothing."""
-    rows = fixture(spark, d, N).where("editorial_status = 'approved'").select("id", "title", "organization", "official_url")
-    base = snapshot.scratch(spark, "published")
-    first = snapshot.publish(rows, base, ["id", "title", "organization", "official_url"])
-    second = snapshot.publish(rows.repartition(5), base, ["id", "title", "organization", "official_url"])
-    return snapshot.current(spark, base).agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(first).alias("first_published"), F.lit(second).alias("second_published"))
+    """Published; the same rows again, in another order, change nothing; one notice with another title changes one bucket."""
+    tables = {name: identity.kept(rows, f"public-{name}") for name, rows in _public(spark, d).items()}
+    target = snapshot.Publication(spark, snapshot.scratch(spark, "published"))
+    smallest = tables["notices"].agg(F.min("id").alias("least"))
+    other = tables["notices"].join(smallest.hint("broadcast")).withColumn("title", F.when(F.col("id") == F.col("least"), F.concat("title", F.lit(" (rettifica)"))).otherwise(F.col("title"))).drop("least")
+    versions = (tables, {name: rows.repartition(5) for name, rows in tables.items()}, tables | {"notices": other})
+    written = [identity.kept(target.publish(v, SNAPSHOT_COLUMNS), "changes").groupBy("table_name").agg(F.count("*").alias("w")) for v in versions]
+    out = None
+    for name, rows in tables.items():
+        n = target.current(name, rows.schema).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
+    for w, c in zip(written, ("first_written", "again_written", "changed_written"), strict=True):
+        out = out.join(w.withColumnRenamed("w", c).hint("merge"), "table_name", "left")
+    return out.fillna(0)
 
 
 @query("refresh_guard", "SELECT (SELECT count(*) FROM fx_runs WHERE status = 'success') > 0 OR (SELECT count(*) FROM fx_notices WHERE editorial_status = 'approved') > 0 AS publish", R, N)
