@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +55,71 @@ def relevance_label(score: Column) -> Column:
     return out.otherwise(rules.RELEVANCE[-1][1])
 
 
-def classify(notices: DataFrame, *text_columns: str) -> DataFrame:
-    """Adds category, areas, requirements, relevance_score and relevance; the text is normalised once."""
-    text = normalize(F.concat_ws("\n", *[F.col(c) for c in text_columns]))
-    t = F.col("__text")
-    found = notices.withColumn("__text", text).withColumns({"category_found": infer_category(t), "areas_found": detect_areas(t), "requirements_found": extract_requirements(t), "relevance_score_found": relevance_score(t)})
-    return found.withColumn("relevance_found", relevance_label(F.col("relevance_score_found"))).drop("__text")
+def _tree_pattern(words: list[str]) -> str:
+    """A pattern for the longest of the words that begins at a place; common beginnings are looked at once."""
+    if words == [""]:
+        return ""
+    branches: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            branches.setdefault(w[0], []).append(w[1:])
+    inner = "|".join(c + _tree_pattern(rest) for c, rest in sorted(branches.items()))
+    return f"(?:{inner})?" if "" in words else inner if len(branches) == 1 else f"(?:{inner})"
+
+
+class TermIndex:
+    """Labels of many terms by one pass over a normalised text. The pass gives the longest term at each place; the others that
+    begin there are beginnings of it, so each term stands for the labels of all its beginnings."""
+
+    def __init__(self, labels: dict[str, set[str]]):
+        """labels by term; a term with a space at both ends is a word of its own."""
+        own = {t: sorted({x for k in range(1, len(t) + 1) for x in labels.get(t[:k], ())}) for t in labels if t.strip()}
+        self.pattern = f"(?=({_tree_pattern(sorted(own))}))"
+        self.of = own
+
+    def found(self, text: Column) -> Column:
+        terms = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit(self.pattern), F.lit(1)))
+        known = F.from_json(F.lit(json.dumps(self.of)), "map<string,array<string>>")
+        return F.array_distinct(F.flatten(F.transform(terms, lambda t: known[t])))
+
+
+def _index(categories, areas, requirements, groups) -> TermIndex:
+    labels: dict[str, set[str]] = {}
+    for kind, pack in (("category", categories), ("area", areas), ("requirement", requirements)):
+        for name, terms in pack.items():
+            for t in map(plain, terms):
+                labels.setdefault(f" {t} " if " " not in t and len(t) <= 4 else t, set()).add(f"{kind}:{name}")
+    for k, group in enumerate(groups):
+        for t, weight in group.items():
+            labels.setdefault(plain(t), set()).add(f"group{k}:{weight}")
+    for t in ("psicolog", "albo", "minori", "salute mentale"):
+        labels.setdefault(t, set()).add(f"bonus:{t}")
+    return TermIndex(labels)
+
+
+def classify(notices: DataFrame, *text_columns: str, categories=rules.CATEGORIES, areas=rules.AREAS, requirements=rules.REQUIREMENTS, groups=rules.PSYCHOLOGY_GROUPS) -> DataFrame:
+    """Adds category, areas, requirements, relevance_score and relevance, as infer_category and the others find them; the text
+    is normalised once and read once for the terms of all packs."""
+    t, has = F.col("__text"), lambda label: F.array_contains("__labels", label)
+    text = notices.withColumn("__text", normalize(F.concat_ws("\n", *[F.col(c) for c in text_columns])))
+    text = text.withColumn("__labels", _index(categories, areas, requirements, groups).found(t))
+    all_of_kind = lambda kind, pack, default: F.array_compact(F.array(*[F.when(has(f"{kind}:{name}"), F.lit(name)) for name in pack])).alias(default)
+    some = lambda found, default: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(default)))
+    total = F.lit(0)
+    for k, group in enumerate(groups):
+        total = total + F.greatest(F.lit(0), *[F.when(has(f"group{k}:{w}"), F.lit(w)).otherwise(0) for w in sorted(set(group.values()))])
+    total = F.when(role_match(t), F.greatest(total, F.lit(rules.ROLE_LEAST))).otherwise(total)
+    total = total + F.when(has("bonus:psicolog") & has("bonus:albo"), rules.BONUS_ALBO).otherwise(0)
+    total = total + F.when(has("bonus:psicolog") & (has("bonus:minori") | has("bonus:salute mentale")), rules.BONUS_FIELD).otherwise(0)
+    found = text.withColumns(
+        {
+            "category_found": F.coalesce(*[F.when(has(f"category:{name}"), F.lit(name)) for name in categories], F.lit(rules.OTHER)),
+            "areas_found": some(all_of_kind("area", areas, "a"), rules.OTHER),
+            "requirements_found": some(all_of_kind("requirement", requirements, "r"), rules.UNDETERMINED),
+            "relevance_score_found": F.least(total, F.lit(rules.SCORE_MOST)).cast("int"),
+        }
+    )
+    return found.withColumn("relevance_found", relevance_label(F.col("relevance_score_found"))).drop("__text", "__labels")
 
 
 def direct_match(text: Column) -> Column:
