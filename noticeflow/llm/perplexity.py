@@ -6,6 +6,9 @@ and back-off weights by grouping and joining. In tables an n-gram is exact: two
 21 bits each. To score, the models are sorted arrays of the 64-bit hashes of (language, order, n-gram) with
 their log probabilities and back-off weights, so every document is scored under its own language's model alone.
 
+Documents are scored by the model that they were counted for, so what the corpus has once is left out of the scores, not of
+the model (left_out).
+
 The tables grow with the corpus. Up to MODEL_ROWS rows the arrays are one broadcast. Beyond that texts are
 dealt into chunks, each chunk asks for the n-grams that it holds, the model's rows are joined to what is
 asked, and chunk and rows meet in one group (score_by_chunks): the same scores, with shuffles for a broadcast.
@@ -204,9 +207,9 @@ def _first(n: int) -> list[Column]:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, n, hi, lo, logp, back): for each n-gram of order n its log probability and the log back-off weight of its use as
-    a context (null if it is none). N-grams and contexts that the corpus has once are counted, but have no value here: all
-    that is known of them is the place that is to be scored, so it backs off as if they were not known."""
+    """(lang, n, hi, lo, logp, back, seen, used): for each n-gram of order n its log probability and how often the corpus has
+    it, and the log back-off weight of its use as a context and how often it is one (null if never). It is the whole model:
+    after each context the probabilities of all characters that follow it, and of the others by back-off, sum to one."""
     levels = {ORDER: counts.withColumn("r", F.col("c"))}
     for n in range(ORDER - 1, 0, -1):
         below = levels[n + 1].select("lang", "r", *_last(n + 1)).groupBy("lang", F.col("low_hi").alias("hi"), F.col("low_lo").alias("lo")).agg(F.count("*").alias("c"), F.sum("r").alias("r"))
@@ -226,14 +229,22 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             probs = joined.select("lang", "hi", "lo", "r", (F.col("own") + F.col("g") / (F.col("v") + 1)).alias("p"))
         else:
             probs = joined.hint("merge").join(lower.select("lang", F.col("hi").alias("low_hi"), F.col("lo").alias("low_lo"), F.col("p").alias("q")), ["lang", "low_hi", "low_lo"]).select("lang", "hi", "lo", "r", (F.col("own") + F.col("g") * F.col("q")).alias("p"))
-            rows = ctx.where("ctx_r > 1").select("lang", F.lit(n - 1).alias("n"), F.col("ctx_hi").alias("hi"), F.col("ctx_lo").alias("lo"), F.log("g").alias("back"))
+            rows = ctx.select("lang", F.lit(n - 1).alias("n"), F.col("ctx_hi").alias("hi"), F.col("ctx_lo").alias("lo"), F.log("g").alias("back"), F.col("ctx_r").alias("used"))
             backs = rows if backs is None else backs.unionByName(rows)
         lower = saved(probs, f"kn-p-{n}")
-        rows = lower.where("r > 1").select("lang", F.lit(n).alias("n"), "hi", "lo", F.log("p").alias("logp"))
+        rows = lower.select("lang", F.lit(n).alias("n"), "hi", "lo", F.log("p").alias("logp"), F.col("r").alias("seen"))
         out = rows if out is None else out.unionByName(rows)
     return out.hint("merge").join(backs, ["lang", "n", "hi", "lo"], "full_outer")
 
 
+def left_out(model: DataFrame) -> DataFrame:
+    """(lang, n, hi, lo, logp, back) of a model for scoring the texts that it was counted on. What the corpus has once is the
+    very place that is scored; it says nothing of that place, which backs off as if its text were left out. With it a
+    document of odd characters would be likely by its own n-grams."""
+    logp, back = F.when(F.col("seen") > 1, F.col("logp")), F.when(F.col("used") > 1, F.col("back"))
+    return model.where("seen > 1 or used > 1").select("lang", "n", "hi", "lo", logp.alias("logp"), back.alias("back"))
+
+
 def _hash_long(keys: np.ndarray, seed) -> np.ndarray:
     """Spark's xxhash64 of a long under a seed (one or one for each)."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -385,7 +396,7 @@ def scored(docs: DataFrame, doc_id="doc_id", text="text", lang="lang") -> DataFr
     """(doc_id, lang, counts, score), one row for each row of docs."""
     spark = docs.sparkSession
     counts = saved(count_grams(docs, text, lang), "kn-counts")
-    model = saved(kneser_ney(counts).select(hash_column().alias("h"), F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")), "kn-model")
+    model = saved(left_out(kneser_ney(counts)).select(hash_column().alias("h"), F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back")), "kn-model")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text).alias("text"))
     if model.count() > MODEL_ROWS:
         return score_by_chunks(rows, model)

@@ -400,8 +400,9 @@ def test_quality_base(docs, none):
     assert perplexity.filter_quality(docs).columns == docs.columns
 
 
-def brute_quality(rows):
-    """Scores and verdicts of (doc_id, text, lang) by modified Kneser-Ney over dictionaries."""
+def brute_models(rows):
+    """Modified Kneser-Ney over dictionaries, whole: for each language raw counts, probabilities, back-off weights, and the
+    share of characters that no text has."""
     order, models = perplexity.ORDER, {}
     pads = lambda t: "\x02" * (order - 1) + (t or "").lower()
     for lang in {r[2] or "" for r in rows}:
@@ -425,14 +426,24 @@ def brute_quality(rows):
             for g, v in c.items():
                 ctx = g[:-1]
                 probs[g] = max(0, v - d[min(v, 3)]) / total[ctx] + lost[ctx] / total[ctx] * (probs[g[1:]] if n > 1 else 1 / (len(c) + 1))
-            often = Counter()
+            backs |= {ctx: lost[ctx] / total[ctx] for ctx in total}
+            if n == 1:
+                unseen = lost[""] / total[""] / (len(c) + 1)
+        models[lang] = raw, probs, backs, unseen
+    return models
+
+
+def brute_quality(rows):
+    """Scores of (doc_id, text, lang): what the corpus has once is left out."""
+    order, out, models = perplexity.ORDER, {}, brute_models(rows)
+    pads = lambda t: "\x02" * (order - 1) + (t or "").lower()
+    for i, t, lang in rows:
+        raw, probs, whole, _ = models[lang or ""]
+        often = Counter()
+        for n in range(1, order + 1):
             for g, v in raw[n].items():
                 often[g[:-1]] += v
-            backs |= {ctx: lost[ctx] / total[ctx] for ctx in total if often[ctx] > 1}
-        models[lang] = raw, probs, backs
-    out = {}
-    for i, t, lang in rows:
-        raw, probs, backs = models[lang or ""]
+        backs = {ctx: w for ctx, w in whole.items() if often[ctx] > 1}
         x, costs = pads(t), []
         for k in range(order - 1, len(x)):
             weight = 0.0
@@ -452,6 +463,34 @@ def brute_quality(rows):
     return out
 
 
+def test_the_model_is_whole(spark):
+    """All n-grams and contexts, those seen once too, have the values of a plain model, and what follows a context sums to one."""
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.randint(1, 25)) + rng.choice(["", " 😀", "ß"]), rng.choice(["en", None])) for i in range(40)] + [(90, None, "en"), (91, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = perplexity.kneser_ney(perplexity.count_grams(docs)).collect()
+    text = lambda r: "".join(chr((r.hi if k >= 3 else r.lo) >> 21 * (k % 3) & 0x1FFFFF) for k in range(r.n - 1, -1, -1))
+    order, known = perplexity.ORDER, 0
+    for lang, (raw, probs, backs, unseen) in brute_models(rows).items():
+        mine = {text(r): r for r in got if (r.lang or "") == lang}
+        known += len(mine)
+        assert {g for g in mine if mine[g].logp is not None} == {g for n in range(1, order + 1) for g in (raw[n] if n == order else Counter(x[1:] for x in raw[n + 1]))}
+        assert all(math.isclose(r.logp, math.log(probs[g]), abs_tol=1e-9) and r.seen == sum(v for x, v in raw[order].items() if x.endswith(g)) for g, r in mine.items() if r.logp is not None)
+        assert {g for g in mine if mine[g].back is not None} == {g for g in backs if g} and all(math.isclose(r.back, math.log(backs[g]), abs_tol=1e-9) for g, r in mine.items() if r.back is not None)
+        alphabet = {g for g in mine if len(g) == 1 and mine[g].logp is not None}
+
+        def prob(ctx, ch, mine=mine, unseen=unseen):
+            if (r := mine.get(ctx + ch)) is not None and r.logp is not None:
+                return math.exp(r.logp)
+            if not ctx:
+                return unseen
+            back = mine[ctx].back if ctx in mine else None
+            return (math.exp(back) if back is not None else 1.0) * prob(ctx[1:], ch)
+
+        assert all(math.isclose(sum(prob(ctx, ch) for ch in [*alphabet, "never"]), 1.0, abs_tol=1e-9) for ctx in rng.sample(sorted(backs), 200))
+    assert known > 2000
+
+
 def brute_kept(rows, scores):
     kept = {}
     for i, t, lang in rows:
