@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,8 +67,14 @@ def urljoin(base: Column, href: Column) -> Column:
     )
 
 
+#: Official hosts that count as one site, with all below them.
+EDUCATION_HOSTS = ("mim.gov.it", "miur.gov.it", "istruzione.gov.it")
+
+
 def same_site(a: Column, b: Column) -> Column:
-    return (host(b) == "") | (host(a) == host(b))
+    """b has no host or that of a, or both are hosts of the education ministry."""
+    of_ministry = lambda h: functools.reduce(lambda x, y: x | y, [h.endswith(e) for e in EDUCATION_HOSTS])
+    return (host(b) == "") | (host(a) == host(b)) | (of_ministry(host(a)) & of_ministry(host(b)))
 
 
 def external_id(source_id: Column, url: Column, title: Column, listing: Column) -> Column:

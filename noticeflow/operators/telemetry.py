@@ -15,6 +15,27 @@ def probe_status(error: Column) -> Column:
     return F.when(error.isNull(), F.lit(None)).when(low.contains("timeout") | low.contains("timed out"), "timeout-review").when(tls, "tls-review").otherwise("unreachable")
 
 
+#: What pages say that ask for a proof of being human.
+CHALLENGES = ("botmanager_support@radware.com", "captcha", "enable javascript and cookies", "perfdrive.com")
+CHALLENGE_CHARS = 30_000
+
+
+def probe_outcome(error: Column, http_status: Column, final_url: Column, text: Column, source_status: Column) -> Column:
+    """Kind of a probe: of its failure, else a challenge in its address or the beginning of its text, an HTTP error, or that
+    the source is reachable (active, if it was)."""
+    seen = F.lower(F.concat_ws(" ", final_url, F.substring(text, 1, CHALLENGE_CHARS)))
+    challenged = F.exists(F.array(*map(F.lit, CHALLENGES)), lambda m: seen.contains(m))
+    return F.coalesce(probe_status(error), F.when(challenged, "access-challenge").when(http_status >= 400, "http-error").when(source_status == "active", "active").otherwise("reachable"))
+
+
+def completeness(scans: DataFrame) -> DataFrame:
+    """(id, source_id, rule) of full scans (id, source_id, pages, seen, records, acts) that must not count: more pages than were seen,
+    pages but no record, records but no act that could be read."""
+    broken = {"incomplete": F.col("pages") > F.col("seen"), "empty": (F.col("seen") > 0) & (F.col("records") == 0), "unreadable": (F.col("records") > 0) & (F.col("acts") == 0)}
+    rules = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]))
+    return scans.select("id", "source_id", F.explode(rules).alias("rule"))
+
+
 def source_telemetry(sources: DataFrame, runs: DataFrame) -> DataFrame:
     """One row: catalogued, attempted, failed (any attempt failed), successful and not attempted sources."""
     tried = runs.where("source_id is not null").groupBy("source_id").agg(F.bool_or(F.col("status") == "failed").alias("failed"))

@@ -170,16 +170,24 @@ def notices_per_source(spark, d):
 PROBE_SQL = "CASE WHEN error_message IS NULL THEN NULL WHEN contains(lower(error_message), 'timeout') OR contains(lower(error_message), 'timed out') THEN 'timeout-review' WHEN contains(lower(error_message), 'certificate_verify_failed') OR (contains(lower(error_message), 'ssl') AND (contains(lower(error_message), 'handshake') OR contains(lower(error_message), 'tls'))) THEN 'tls-review' ELSE 'unreachable' END"
 
 
-@query("probe_status", f"SELECT id, {PROBE_SQL} AS probe FROM fx_runs", R)
+@query("probe_status", f"SELECT r.id, coalesce({PROBE_SQL}, CASE WHEN r.id % 6 = 0 THEN 'access-challenge' WHEN r.id % 7 = 0 THEN 'http-error' WHEN s.status = 'active' THEN 'active' ELSE 'reachable' END) AS probe FROM fx_runs r LEFT JOIN fx_sources s ON r.source_id = s.id", R, S)
 def probe_status(spark, d):
-    return fixture(spark, d, R).select("id", telemetry.probe_status(F.col("error_message")).alias("probe"))
+    """Runs as probes: some pages ask for cookies, some for a captcha by their address, some answer with an error."""
+    s = fixture(spark, d, S).select(F.col("id").alias("sid"), F.col("status").alias("source_status"))
+    r = fixture(spark, d, R).join(s, F.col("source_id") == F.col("sid"), "left")
+    text = F.when(F.col("id") % 12 == 0, "<p>Please Enable JavaScript and cookies to go on</p>").otherwise("<p>Bandi di concorso</p>")
+    url = F.when(F.col("id") % 12 == 6, "https://x.example/Captcha?x=1").otherwise("https://x.example/")
+    return r.select("id", telemetry.probe_outcome(F.col("error_message"), F.when(F.col("id") % 7 == 0, 503).otherwise(200), url, text, F.col("source_status")).alias("probe"))
 
 
-@query("audit_report", f"SELECT coalesce(source_type, 'unassigned') AS source_type, coalesce({PROBE_SQL}, 'ok') AS probe, count(*) AS n FROM fx_runs r LEFT JOIN fx_sources s ON r.source_id = s.id GROUP BY ALL", R, S)
+@query("audit_report", f"SELECT coalesce(source_type, 'unassigned') AS source_type, coalesce({PROBE_SQL}, 'ok') AS probe, EXISTS (SELECT 1 FROM fx_notices n WHERE n.source_id = r.source_id) AS with_results, count(*) AS n, count(DISTINCT r.source_id) FILTER (WHERE s.id IS NULL) AS unassigned_sources FROM fx_runs r LEFT JOIN fx_sources s ON r.source_id = s.id GROUP BY ALL", R, S, N)
 def audit_report(spark, d):
+    """Runs by kind of source, outcome, and whether the source has any notice; how many sources nobody knows."""
     s = fixture(spark, d, S).select(F.col("id").alias("sid"), "source_type")
-    r = fixture(spark, d, R).join(s, F.col("source_id") == F.col("sid"), "left")
-    return r.groupBy(F.coalesce("source_type", F.lit("unassigned")).alias("source_type"), F.coalesce(telemetry.probe_status(F.col("error_message")), F.lit("ok")).alias("probe")).agg(F.count("*").alias("n"))
+    found = fixture(spark, d, N).select(F.col("source_id").alias("nid")).distinct()
+    r = fixture(spark, d, R).join(s, F.col("source_id") == F.col("sid"), "left").join(found, F.col("source_id") == F.col("nid"), "left")
+    keys = [F.coalesce("source_type", F.lit("unassigned")).alias("source_type"), F.coalesce(telemetry.probe_status(F.col("error_message")), F.lit("ok")).alias("probe"), F.col("nid").isNotNull().alias("with_results")]
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("sid").isNull(), F.col("source_id"))).alias("unassigned_sources"))
 
 
 @query("approved_guard_count", "SELECT count(*) AS n FROM fx_notices WHERE editorial_status = 'approved'", N)
@@ -288,10 +296,11 @@ def array_subset(spark, d):
     return fixture(spark, d, N).select("id", lifecycle.only_deadline_notes(F.col("editorial_notes")).alias("only_auto"))
 
 
-@query("set_difference", "SELECT DISTINCT source_id FROM fx_runs EXCEPT SELECT source_id FROM fx_runs WHERE status = 'failed'", R)
+@query("set_difference", "SELECT DISTINCT source_id FROM fx_runs EXCEPT SELECT source_id FROM fx_runs WHERE status = 'failed' AND created_count = 4", R)
 def set_difference(spark, d):
+    """Sources that were tried, without those with a failure after four new notices."""
     r = fixture(spark, d, R)
-    failed = r.where("status = 'failed'").select("source_id").distinct()
+    failed = r.where("status = 'failed' and created_count = 4").select("source_id").distinct()
     return r.select("source_id").distinct().join(failed, "source_id", "left_anti")
 
 
@@ -434,11 +443,17 @@ def urljoin(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", urls.urljoin(u, F.lit("/x")).alias("rooted"), urls.urljoin(u, F.lit("?p=1")).alias("queried"), urls.urljoin(u, F.lit("//cdn.example/y")).alias("protocol"))
 
 
-@query("same_site", "SELECT a.page_id, lower(regexp_extract(a.url, '://([^/?#:]*)', 1)) = lower(regexp_extract(b.url, '://([^/?#:]*)', 1)) AS same FROM pages a JOIN pages b ON b.page_id = a.page_id + 1")
+SITE_SQL = "lower(regexp_extract({0}, '://([^/?#:]*)', 1))"
+
+
+@query("same_site", f"SELECT page_id, {SITE_SQL.format('url')} = {SITE_SQL.format('other')} OR (regexp_matches({SITE_SQL.format('url')}, '(mim|miur|istruzione)[.]gov[.]it$') AND regexp_matches({SITE_SQL.format('other')}, '(mim|miur|istruzione)[.]gov[.]it$')) AS same FROM (SELECT a.page_id, CASE a.page_id % 4 WHEN 0 THEN 'https://www.miur.gov.it/a' ELSE a.url END AS url, CASE a.page_id % 8 WHEN 0 THEN 'https://usr.istruzione.gov.it/' || a.page_id WHEN 4 THEN 'https://istruzione.example.it/' ELSE b.url END AS other FROM pages a JOIN pages b ON b.page_id = a.page_id + 1)")
 def same_site(spark, d):
+    """Each page against the next one, a quarter of them under the ministry's hosts."""
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
     nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other"))
-    return p.join(nxt, "page_id").select("page_id", urls.same_site(F.col("url"), F.col("other")).alias("same"))
+    k = F.col("page_id")
+    met = p.join(nxt, "page_id").withColumns({"url": F.when(k % 4 == 0, "https://www.miur.gov.it/a").otherwise(F.col("url")), "other": F.when(k % 8 == 0, F.concat(F.lit("https://usr.istruzione.gov.it/"), k.cast("string"))).when(k % 8 == 4, "https://istruzione.example.it/").otherwise(F.col("other"))})
+    return met.select("page_id", urls.same_site(F.col("url"), F.col("other")).alias("same"))
 
 
 @query("external_id", f"SELECT id, substr(sha256(concat_ws('|', CAST(source_id AS VARCHAR), {norm('official_url')}, CASE WHEN contains(official_url, '?s=') THEN {norm('title')} END)), 1, 24) AS external_id FROM fx_notices", N)
@@ -483,11 +498,11 @@ def official_url_pick(spark, d):
     return fixture(spark, d, N).join(a, F.col("id") == F.col("notice_id"), "left").select("id", F.coalesce("call", "some", "official_url").alias("url"))
 
 
-@query("attachment_filter", "SELECT notice_id, url, title, row_number() OVER (PARTITION BY notice_id ORDER BY url) AS rank FROM (SELECT notice_id, url, max(title) AS title FROM fx_attachments WHERE NOT contains(lower(title), 'commissione') AND NOT contains(lower(title), 'istruzioni') GROUP BY ALL) QUALIFY rank <= 6", A)
+@query("attachment_filter", "SELECT notice_id, url, title, row_number() OVER (PARTITION BY notice_id ORDER BY url) AS rank FROM (SELECT notice_id, url, arg_max(title, id) AS title FROM fx_attachments WHERE NOT contains(lower(title), 'commissione') AND NOT contains(lower(title), 'istruzioni') GROUP BY ALL) QUALIFY rank <= 6", A)
 def attachment_filter(spark, d):
-    """Attachments without excluded terms, one for each url, six at most."""
+    """Attachments without excluded terms, the last one for each url, six at most."""
     t = F.lower("title")
-    kept = fixture(spark, d, A).where(~t.contains("commissione") & ~t.contains("istruzioni")).groupBy("notice_id", "url").agg(F.max("title").alias("title"))
+    kept = fixture(spark, d, A).where(~t.contains("commissione") & ~t.contains("istruzioni")).groupBy("notice_id", "url").agg(F.max_by("title", "id").alias("title"))
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("notice_id").orderBy("url")).cast("long")).where("rank <= 6")
 
 
@@ -584,10 +599,14 @@ _recheck("hide_unfocused", lambda: _approved() & ~classify.focused_match(F.col("
 _recheck("hide_non_primary", lambda: (F.col("editorial_status") != "hidden") & ~classify.primary_opportunity(F.col("t")), f"editorial_status <> 'hidden' AND NOT ({PRIMARY_SQL})")
 
 
-@query("retire_demo", "SELECT n.id FROM fx_notices n WHERE NOT EXISTS (SELECT 1 FROM fx_sources s WHERE s.id = n.source_id AND s.source_type = 'third-sector-hub')", N, S)
+@query("retire_demo", "SELECT 'notice' AS kind, n.id, NULL AS status FROM fx_notices n WHERE NOT EXISTS (SELECT 1 FROM fx_sources s WHERE s.id = n.source_id AND s.source_type = 'third-sector-hub') UNION ALL SELECT 'source', id, CASE WHEN source_type = 'third-sector-hub' THEN 'retired' ELSE status END FROM fx_sources", N, S)
 def retire_demo(spark, d):
-    demo = fixture(spark, d, S).where("source_type = 'third-sector-hub'").select(F.col("id").alias("sid"))
-    return fixture(spark, d, N).join(demo, F.col("source_id") == F.col("sid"), "left_anti").select("id")
+    """Notices of demo sources go; those sources stay, as retired."""
+    s = fixture(spark, d, S)
+    is_demo = F.col("source_type") == "third-sector-hub"
+    demo = s.where(is_demo).select(F.col("id").alias("sid"))
+    left = fixture(spark, d, N).join(demo, F.col("source_id") == F.col("sid"), "left_anti").select(F.lit("notice").alias("kind"), "id", F.lit(None).cast("string").alias("status"))
+    return left.unionByName(s.select(F.lit("source").alias("kind"), "id", F.when(is_demo, "retired").otherwise(F.col("status")).alias("status")))
 
 
 @query("editorial_actions", "SELECT id, 'title' AS field, title AS old_value, title || ' *' AS new_value FROM fx_notices WHERE editorial_status = 'pending' UNION ALL SELECT id, 'editorial_status', editorial_status, 'approved' FROM fx_notices WHERE editorial_status = 'pending' AND is_featured", N)
@@ -631,11 +650,11 @@ def telemetry_lines_sink(spark, d):
     return spark.read.text(out).select(F.split("value", "\t", 2)[0].cast("long").alias("id"), F.split("value", "\t", 2)[1].alias("line"))
 
 
-@query("completeness_check", "SELECT source_id, max(page) AS pages, count(DISTINCT page) AS seen, max(page) > count(DISTINCT page) AS incomplete FROM (SELECT source_id, CAST(created_count + 1 AS BIGINT) AS page FROM fx_runs WHERE status <> 'failed') GROUP BY source_id", R)
+@query("completeness_check", "WITH t AS (SELECT id, source_id, created_count + 1 AS pages, skipped_count + 1 AS seen, updated_count AS records, created_count AS acts FROM fx_runs WHERE status <> 'failed') SELECT id, source_id, 'incomplete' AS rule FROM t WHERE pages > seen UNION ALL SELECT id, source_id, 'empty' FROM t WHERE seen > 0 AND records = 0 UNION ALL SELECT id, source_id, 'unreadable' FROM t WHERE records > 0 AND acts = 0", R)
 def completeness_check(spark, d):
-    """Sources whose scans reached fewer pages than they have."""
-    pages = fixture(spark, d, R).where("status <> 'failed'").select("source_id", (F.col("created_count") + 1).cast("long").alias("page"))
-    return pages.groupBy("source_id").agg(F.max("page").alias("pages"), F.count_distinct("page").alias("seen"), (F.max("page") > F.count_distinct("page")).alias("incomplete"))
+    """Scans that reached fewer pages than there are, found nothing, or nothing that could be read."""
+    runs = fixture(spark, d, R).where("status <> 'failed'")
+    return telemetry.completeness(runs.select("id", "source_id", (F.col("created_count") + 1).alias("pages"), (F.col("skipped_count") + 1).alias("seen"), F.col("updated_count").alias("records"), F.col("created_count").alias("acts")))
 
 
 @query("snapshot_export", f"WITH {PUBLIC_SQL} SELECT 'notices' AS kind, CAST(id AS VARCHAR) AS id, title AS text, CAST(NULL AS VARCHAR) AS private FROM pn UNION ALL SELECT 'sources', CAST(id AS VARCHAR), name || ' ' || status, NULL FROM ps UNION ALL SELECT 'attachments', id, title || ' ' || url, NULL FROM pa UNION ALL SELECT 'metadata', 'attachments_count', CAST(count(*) AS VARCHAR), NULL FROM pa UNION ALL SELECT 'metadata', 'generated_at', '1998-06-01T12:00:00Z', NULL UNION ALL SELECT 'metadata', 'notices_count', CAST(count(*) AS VARCHAR), NULL FROM pn UNION ALL SELECT 'metadata', 'schema_version', '1', NULL UNION ALL SELECT 'metadata', 'sources_count', CAST(count(*) AS VARCHAR), NULL FROM ps", N, S, A)
