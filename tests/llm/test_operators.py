@@ -428,7 +428,7 @@ def brute_models(rows):
                 probs[g] = max(0, v - d[min(v, 3)]) / total[ctx] + lost[ctx] / total[ctx] * (probs[g[1:]] if n > 1 else 1 / (len(c) + 1))
             backs |= {ctx: lost[ctx] / total[ctx] for ctx in total}
             if n == 1:
-                unseen = lost[""] / total[""] / (len(c) + 1)
+                unseen = lost[""] / total[""] / (len(c) + 1) if c else 1.0
         models[lang] = raw, probs, backs, unseen
     return models
 
