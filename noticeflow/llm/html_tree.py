@@ -19,15 +19,22 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _SCOPE = frozenset("html body article main section div td th li blockquote aside nav header footer form figure dd select".split())
 #: Elements, roles and words of class or id that mark what isn't main text. The first words mark by
 #: themselves wherever they come in a name; the others are a hint that the wrapper confirms.
-BOILERPLATE_TAGS = frozenset("head nav footer aside form button dialog menu fieldset".split())
+BOILERPLATE_TAGS = frozenset("head nav footer aside form button dialog".split())
+#: In an article or main these are a hint.
+FORM_TAGS = frozenset("menu fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog".split())
 SURE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsored sidebar navbar navigation nav breadcrumb breadcrumbs cookie cookies consent gdpr newsletter comments disqus footer masthead pagination pager".split())
 HINT_WORDS = frozenset("banner sponsor promo promotion menu notice alert popup modal overlay subscribe signup login share sharing social related recommended comment reply replies header toolbar widget skip".split())
+#: Words that say where or what kind of box something is: in an article or main a name marks by itself only if it has none but
+#: these and the words above, as `ad-hoc` or `comments-policy` can be of the text.
+BOX_WORDS = frozenset("area bar block body bottom box center col column container content element global holder inner item items js left list main nav outer page panel placeholder primary rail right row secondary section site slot small space sticky thread top unit wide wrap wrapper zone".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 #: The words that count on article and main, whose classes often tell of their surroundings.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement sponsored promo related comment comments reply".split())
 #: Marks of a block: nothing; a hint as part of a name; a hint as a whole name; certain.
 PLAIN, PART, NAME, CERTAIN = range(4)
+#: Where a block is: in neither, in main, in an article, in an article in main.
+OUTSIDE, MAIN, ARTICLE, MAIN_ARTICLE = range(1, 5)
 DEPTH = 64  # the text of deeper elements counts for the element there; marks hold at any depth
 
 
@@ -44,8 +51,7 @@ class Node:
 
 @dataclass(slots=True)
 class Block:
-    """A piece of text: its element in the tree, how it is marked, whether it is in an article (3), in main (2) or not (1), and
-    how many of its characters are in links."""
+    """A piece of text: its element in the tree, how it is marked, whether it is in an article, in main or not, and how many of its characters are in links."""
 
     node: Node
     text: str
@@ -57,6 +63,8 @@ class Block:
 def _looked_at(tag: str, attrs: str, inside: bool) -> tuple[int, str, bool]:
     """(mark, label, role main) of an element."""
     mark = CERTAIN if tag in BOILERPLATE_TAGS or tag in UNSEEN or (tag == "header" and not inside) else PLAIN
+    if tag in FORM_TAGS:
+        mark = PART if inside else CERTAIN
     label, is_main = tag, False
     for name, *values in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), "".join(values).lower()
@@ -72,8 +80,10 @@ def _looked_at(tag: str, attrs: str, inside: bool) -> tuple[int, str, bool]:
                 words = re.split(r"[^a-z]+", one)
                 if tag in CONTENT_TAGS:
                     found = CERTAIN if not ARTICLE_WORDS.isdisjoint(words) else PLAIN
+                elif not SURE_WORDS.isdisjoint(words):
+                    found = CERTAIN if not inside or all(w in SURE_WORDS or w in HINT_WORDS or w in BOX_WORDS or not w for w in words) else PART
                 else:
-                    found = CERTAIN if not SURE_WORDS.isdisjoint(words) else NAME if one in HINT_WORDS or HINT_WORDS.issuperset(words) else PART if not HINT_WORDS.isdisjoint(words) else PLAIN
+                    found = NAME if one in HINT_WORDS or HINT_WORDS.issuperset(words) else PART if not HINT_WORDS.isdisjoint(words) else PLAIN
                 mark = max(mark, found)
     return mark, label, is_main
 
@@ -172,7 +182,7 @@ def parsed(page: str | None) -> tuple[Node, list[Block]]:
         _, node, above, kind, link = stack[-1]
         mark, label, is_main = _looked_at(tag, attrs, kind > 1)
         if mark != CERTAIN and (tag in CONTENT_TAGS or is_main):
-            kind = 3 if tag == "article" or kind == 3 else 2
+            kind = (ARTICLE if kind in (OUTSIDE, ARTICLE) else MAIN_ARTICLE) if tag == "article" else MAIN if kind == OUTSIDE else kind
             above = CERTAIN if above == CERTAIN else PLAIN  # a hint around the content says nothing about it
         if tag in BLOCK:
             depth[0] += 1

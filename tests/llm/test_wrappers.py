@@ -3,7 +3,9 @@
 import html
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 pytest.importorskip("noticeflow.llm")
@@ -123,3 +125,76 @@ def test_wide_join(spark, monkeypatch):
     small = sorted(map(tuple, hw.extract(pages).collect()))
     monkeypatch.setattr(hw, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, hw.extract(pages).collect())) == small and small[7][2] == "T7\nb7"
+
+
+def test_article_or_main():
+    long = "the text of main goes on " * 5
+    assert text_of(f"<main><p>{long}</p></main><div><article><p>teaser</p></article></div>") == [long.strip()]
+    assert text_of(f"<main><article><p>a</p></article><p>{long}</p></main>") == ["a\n" + long.strip()]
+    assert text_of(f"<main><p>Home</p><article><p>{long}</p></article></main>") == [long.strip()]
+    for name in ('class="ad-hoc"', 'class="comments-policy"', 'class="footer-note"'):
+        assert text_of(f"<article><p>a</p><div {name}>b</div></article>") == ["a\nb"]
+        assert text_of(f"<body><p>a</p><div {name}>b</div></body>") == ["a"]
+    for name in ('class="ad-slot"', 'class="comments-section"', 'class="article sidebar-left"', 'id="main-nav"'):
+        assert text_of(f"<article><p>a</p><div {name}>b</div></article>") == ["a"]
+    for tag in ("fieldset", "menu"):
+        assert text_of(f"<article><p>a</p><{tag}>b</{tag}></article>") == ["a\nb"]
+        assert text_of(f"<article><p>a</p><form><{tag}>b</{tag}></form></article>") == ["a"]
+
+
+def plain_width(ids, least):
+    return next((w for w in range(least, len(ids) // 2 + 1) if any(ids[k : k + w] == ids[k + w : k + 2 * w] for k in range(len(ids) - 2 * w + 1))), 0)
+
+
+def test_repeats_and_alignment_by_brute_force(monkeypatch):
+    rng = random.Random(8)
+    for short in (0, hw.SHORT_LIST):
+        monkeypatch.setattr(hw, "SHORT_LIST", short)
+        for _ in range(400):
+            ids = [rng.randint(0, rng.choice([1, 3, 9])) for _ in range(rng.randint(2, 40))]
+            ids = ids * rng.choice([1, 1, 2]) if rng.random() < 0.7 else ids[:5] + ids + ids
+            least = rng.randint(1, 6)
+            assert hw.repeat_width(np.array(ids), least) == plain_width(ids, least), ids
+    monkeypatch.setattr(hw, "SHORT_PAIRS", 0)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        i = k = 0
+        for j, m, n in hw.matches(a, b):
+            assert j >= i and m >= k and a[j : j + n] == b[m : m + n]
+            i, k = j + n, m + n
+        assert (j, m, n) == (len(a), len(b), 0)
+    # with the long form everywhere the expression still accepts its pages
+    monkeypatch.setattr(hw, "SHORT_LIST", 0)
+    test_wrapper_accepts_its_pages()
+
+
+def test_long_page():
+    """100 000 different kinds of blocks in a row take seconds, alone and aligned with another page."""
+    rng = random.Random(2)
+    pages = ["<article>" + "".join(f"<{t}>x{k}</{t}>" for k, t in enumerate(rng.choices(["p", "h2", "h3", "pre", "blockquote", 'div class="a"', 'div class="b"'], k=100_000))).replace('</div class="a">', "</div>").replace('</div class="b">', "</div>") + "</article>" for _ in range(2)]
+    began = time.time()
+    trees = [hw.folded_tree(html_tree.parsed(p)[0]) for p in pages]
+    made = hw.merged(*trees)
+    placed = hw.placed(pages[1], hw.Wrapper(hw.spelled(made)))
+    assert time.time() - began < 60
+    assert len(placed) == 100_000 and sum(s >= 0 for s, _ in placed) > 90_000
+
+
+def test_large_wrappers_are_made_by_classes(spark):
+    """Where a host's wrapper would be too large there is one for each outline or shape, and each page matches its own."""
+    rng = random.Random(4)
+    bodies = [f"<body><div class='{chr(97 + i % 5)}'>{random_page(rng)[6:-7]}<p>end {i}</p></div></body>" for i in range(60)]
+    bodies += [None, "", "<article>" + "".join(f"<h{k % 6 + 1}>t{k}</h{k % 6 + 1}>" + "<p>u</p>" * (k % 4) + f"<div class='c{chr(97 + k % 26)}'>v</div>" for k in range(40)) + "</article>"]
+    bodies += ["<div>" * 6 + "".join(f"<{t}>x</{t}>" for t in rng.sample("p h1 h2 h3 h4 h5 h6 pre blockquote".split(), 4)) for _ in range(8)]
+    pages = spark.createDataFrame([(i, f"http://h{i % 2 if i < 63 else 0}/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    assert {r.kind for r in hw.infer_wrappers(pages).collect()} == {""}
+    for nodes, kinds in ((13, {"o", "s"}), (125, {""})):
+        made = hw.infer_wrappers(pages, nodes=nodes)
+        found = {(r.host, r.kind): hw.to_node(hw.json.loads(r.wrapper)) for r in made.collect()}
+        assert {k[:1] for _, k in found} >= kinds and any(found)
+        assert all(hw.size_of(w) <= nodes for (_, k), w in found.items() if k[:1] != "s")
+        rows = pages.withColumn("host", hw._host("url"))
+        for r in hw.with_kind(rows, made, nodes).collect():
+            assert re.fullmatch(pattern(found[r.host, r.kind]), stream(html_tree.parsed(r.html)[0])), r
+        texts = {r.page_id: r.text for r in hw.extract(pages, nodes=nodes).collect()}
+        assert len(texts) == len(bodies) and texts[60] == "" and texts[62].startswith("t0\nv\nt1\nu")
