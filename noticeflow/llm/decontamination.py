@@ -6,9 +6,10 @@ hashes. A document that holds at least the share t of an item's n shingles misse
 floor((1 - t) * n) of them, so it holds one of the sketch: the search loses nothing, however long the
 document. Candidates are then verified by exact containment on the shingle texts.
 
-Words are maximal runs of letters and digits, in lower case. Null texts count as empty. Items of fewer
-than five words have no shingle and are never reported; nor are documents or items whose id is null.
-Rows that repeat an id count as one document (or item) with the shingles of all its rows.
+Words are maximal runs of letters and digits, in lower case. Null texts count as empty. An item without a
+text of five words has no shingle; its whole texts of at least `least_words` words take their place and are
+looked up as word sequences. By default there are none, as one to four words are in too many documents to
+say anything; items without either are never reported, nor are documents or items whose id is null. Rows that repeat an id count as one document (or item) with the shingles of all its rows.
 """
 
 from __future__ import annotations
@@ -49,7 +50,18 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], small: bool, how:
     return salted.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", item_id="item_id", text="text", item_text="text", containment=CONTAINMENT, width=SHINGLE_WORDS) -> DataFrame:
+def _short_items(worded: DataFrame, items: DataFrame, long: DataFrame, least: int, width: int) -> DataFrame:
+    """(d, i, n, n_shared) for documents (d, w) that hold texts of least to width - 1 words of items (i, w) that aren't in long (i)."""
+    texts = items.where((F.size("w") >= least) & (F.size("w") < width)).join(long.hint("merge"), "i", "left_anti")
+    short = saved(texts.select("i", F.concat_ws(" ", "w").alias("s")).distinct(), "decon-short")
+    sizes = saved(short.groupBy("i").agg(F.count("*").alias("n")), "decon-short-sizes")
+    spelled = [F.coalesce(_each_shingle("w", k, lambda w: F.concat_ws(" ", *w)), F.array().cast("array<string>")) for k in range(least, width)]
+    held = worded.select("d", F.explode(F.array_distinct(F.flatten(F.array(*spelled)))).alias("s"))
+    shared = _joined(held, short, ["s"], _small(short, "s")).groupBy("d", "i").agg(F.count_distinct("s").alias("n_shared"))
+    return _joined(shared, sizes, ["i"], _small(sizes)).select("d", "i", "n", "n_shared")
+
+
+def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", item_id="item_id", text="text", item_text="text", containment=CONTAINMENT, width=SHINGLE_WORDS, least_words: int | None = None) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of each document that holds at least the share
     `containment` of an item's distinct shingles."""
     hashed = lambda column: _each_shingle(column, width, lambda w: F.xxhash64(*w))
@@ -76,6 +88,8 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id="doc_id", item_id="i
     shared = _joined(held, shingles.select("s", "i"), ["s"], few_shingles)
     shared = _joined(shared, candidates, ["d", "i"], few_candidates)
     pairs = shared.groupBy("d", "i", "n").agg(F.count_distinct("s").alias("n_shared"))
+    if least_words is not None and least_words < width:
+        pairs = pairs.unionByName(_short_items(worded, items, sizes.select("i"), max(least_words, 1), width))
     return pairs.where(F.col("n_shared") >= F.lit(containment) * F.col("n") - 1e-9).select(
         F.col("d").alias("doc_id"), F.col("i").alias("item_id"), F.col("n_shared").cast("long").alias("n_shared"), F.col("n").cast("long").alias("n_item"), F.round(F.col("n_shared") / F.col("n"), 6).alias("containment")
     )

@@ -78,6 +78,31 @@ def test_decontamination(spark, docs, none, monkeypatch, rows):
     assert decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).columns == docs.columns
 
 
+@pytest.mark.parametrize("rows", [decontamination.BROADCAST_ROWS, 0])
+def test_short_benchmark_items(spark, docs, none, monkeypatch, rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+    items = [(0, "Alpha, beta!"), (1, "two words"), (2, "one"), (3, None), (4, "gamma delta eta not"), (5, "nu xi"), (5, "shared line of some length unique"), (6, "xi nu"), (6, "mu mu mu"), (None, "alpha beta")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    parts = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    by_item, by_doc = {}, {}
+    for i, t in items:
+        if i is not None:
+            by_item.setdefault(i, []).append(plain(t))
+    for d, t, *_ in corpus():
+        if d is not None:
+            for k in range(1, 6):
+                by_doc.setdefault(d, set()).update(parts(plain(t), k))
+    for least in (1, 2, 5):
+        expected = []
+        for i, texts in by_item.items():
+            of = set().union(*(parts(w, 5) for w in texts)) or {tuple(w) for w in texts if least <= len(w) < 5}
+            expected += [(d, i, len(of & h), len(of), round(len(of & h) / len(of), 6)) for d, h in by_doc.items() if of and len(of & h) >= 0.8 * len(of)]
+        assert collected(decontamination.contamination(docs, table, least_words=least)) == sorted(expected, key=repr)
+        assert least > 2 or {0, 1} <= {x[1] for x in expected}
+    assert decontamination.contamination(none, table, least_words=1).count() == 0
+
+
 def test_range_coder():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 64, 5000, 300_000):
