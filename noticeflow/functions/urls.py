@@ -51,19 +51,34 @@ def safe_http_url(url: Column) -> Column:
     return F.when(F.lower(part(url, "PROTOCOL")).isin("http", "https") & (part(url, "AUTHORITY") != "") & ~part(url, "AUTHORITY").contains("@"), url)
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its segments . and .. resolved; .. at the root is dropped."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.array_append(acc, x)),
+    )
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)[.][.]?(/|$)"), F.array_join(ended, "/")).otherwise(path)
+
+
 def urljoin(base: Column, href: Column) -> Column:
-    """Absolute url of a link: absolute, //host, /path, ?query, #fragment, or relative to the base's folder."""
+    """Absolute url of a link: absolute, //host, /path, ?query, #fragment, or relative to the base's folder; dotted segments of
+    paths are resolved."""
     root = F.concat(part(base, "PROTOCOL"), F.lit("://"), part(base, "AUTHORITY"))
     bare = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.concat(root, F.regexp_replace(part(base, "PATH"), "[^/]*$", ""))
+    folder = F.regexp_replace(part(base, "PATH"), "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"(?s)^([^?#]*)(.*)$", 2)
     return (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(part(base, "PROTOCOL"), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, without_dots(path), rest))
         .when(href.startswith("?"), F.concat(bare, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href == "", base)
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), rest))
     )
 
 
@@ -83,6 +98,48 @@ def external_id(source_id: Column, url: Column, title: Column, listing: Column)
     return F.substring(F.sha2(raw, 256), 1, 24)
 
 
+#: The code of a published act, and how many hex digits an id has.
+REDACTION_CODE, ID_DIGITS, SHORT_ID_DIGITS = r"\b\d{2}[A-Z]\d{5}\b", 24, 16
+
+
+def _digest(*parts: Column, digits: int = ID_DIGITS) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, digits)
+
+
+def _day(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd")
+
+
+def _first_value(urls: Column, key: str) -> Column:
+    """The first value that isn't empty of a query key in an array of urls."""
+    values = F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.try_url_decode(query_value(u, key)))
+    return F.get(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != ""), 0)
+
+
+#: The identity rules: each is a function of a record's columns by name.
+ID_RULES = {
+    "listing": lambda c: external_id(c["source_id"], c["url"], c["title"], c["listing"]),
+    "title_and_url": lambda c: _digest(c["source_id"], normalize(c["title"]), normalize(c["url"])),
+    "lower_url": lambda c: F.when(c["listing"], _digest(c["source_id"], F.lower(c["url"]), F.lower(c["title"]))).otherwise(_digest(c["source_id"], F.lower(c["url"]))),
+    "record": lambda c: _digest(c["source_id"], c["record_id"], normalize(c["title"]), normalize(c["url"])),
+    "title": lambda c: _digest(normalize(c["title"])),
+    "title_and_dates": lambda c: _digest(normalize(c["title"]), _day(c["published_at"]), _day(c["deadline_at"]), c["section_url"]),
+    "trailing_number": lambda c: F.coalesce(F.nullif(F.regexp_extract(part(c["url"], "PATH"), r"-(\d+)$", 1), F.lit("")), _digest(c["url"])),
+    "attachment": lambda c: F.coalesce(_first_value(c["attachment_urls"], "id"), _digest(c["title"], c["deadline_text"], digits=SHORT_ID_DIGITS)),
+    "last_segment": lambda c: F.regexp_replace(F.element_at(F.split(part(c["url"], "PATH"), "/"), -1), "[.]html$", ""),
+    "redaction_code": lambda c: F.coalesce(_first_value(F.array(c["url"]), "atto.codiceRedazionale"), F.nullif(F.regexp_extract(F.coalesce(c["text"], F.lit("")), REDACTION_CODE, 0), F.lit(""))),
+}
+
+
+def external_id_by(rule: Column, **columns: Column) -> Column:
+    """The external id by the rule that a row's source has (a key of ID_RULES); null for another rule, and where an act has no
+    redaction code. columns: source_id, url, title, listing, record_id, published_at, deadline_at, section_url,
+    attachment_urls, deadline_text, text; one that isn't given is null (listing: false)."""
+    given = {k: F.lit(None).cast(t) for k, t in {"source_id": "string", "url": "string", "title": "string", "record_id": "string", "published_at": "timestamp", "deadline_at": "timestamp", "section_url": "string", "attachment_urls": "array<string>", "deadline_text": "string", "text": "string"}.items()} | columns
+    given["listing"] = F.coalesce(columns.get("listing", F.lit(False)), F.lit(False))
+    return functools.reduce(lambda made, name: made.when(rule == name, ID_RULES[name](given)), ID_RULES, F.when(F.lit(False), F.lit("")))
+
+
 def external_key(source: Column, external_id: Column, url: Column) -> Column:
     """Hash of a record's three names; missing ones keep their place."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in (source, external_id, url)]), 256)

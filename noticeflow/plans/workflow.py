@@ -462,6 +462,34 @@ def external_id(spark, d):
     return fixture(spark, d, N).select("id", urls.external_id(F.col("source_id"), u, F.col("title"), urls.search_url(u)).alias("external_id"))
 
 
+#: The rules of external_id_rules in the order of id modulo their number, in SQL.
+_HEX = "substr(sha256({0}), 1, 24)".format
+RULES_SQL = {
+    "title_and_url": _HEX(f"concat_ws('|', CAST(source_id AS VARCHAR), {norm('title')}, {norm('official_url')})"),
+    "lower_url": _HEX("concat_ws('|', CAST(source_id AS VARCHAR), lower(official_url), CASE WHEN contains(official_url, '?s=') THEN lower(title) END)"),
+    "record": _HEX(f"concat_ws('|', CAST(source_id AS VARCHAR), CAST(id AS VARCHAR), {norm('title')}, {norm('official_url')})"),
+    "title": _HEX(f"{norm('title')}"),
+    "title_and_dates": _HEX(f"concat_ws('|', {norm('title')}, coalesce(strftime(published_at, '%Y-%m-%d'), ''), coalesce(strftime(deadline, '%Y-%m-%d'), ''), official_url)"),
+    "trailing_number": f"CASE WHEN id % 4 = 0 THEN CAST(id AS VARCHAR) ELSE {_HEX('official_url')} END",
+    "attachment": "CASE WHEN id % 4 = 0 THEN 'n ' || id ELSE substr(sha256(title || '|' || coalesce(strftime(deadline, '%d/%m/%Y'), '')), 1, 16) END",
+    "last_segment": "regexp_extract(regexp_extract(official_url, '^[a-z]+://[^/]*([^?]*)', 1), '[^/]*$')",
+    "redaction_code": "CASE WHEN id % 4 < 2 THEN '26A' || lpad(CAST(id % 100000 AS VARCHAR), 5, '0') END",
+}
+
+
+@query("external_id_rules", "SELECT id, CASE id % " + str(len(RULES_SQL)) + " " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(RULES_SQL.values())) + " END AS external_id FROM fx_notices", N)
+def external_id_rules(spark, d):
+    """Each notice by one of the other identity rules; some urls end in a number, some attachments and acts have a code."""
+    c = F.col
+    text, fourth = c("id").cast("string"), c("id") % 4
+    rule = F.element_at(F.array(*map(F.lit, RULES_SQL)), (c("id") % len(RULES_SQL) + 1).cast("int"))
+    code = F.concat(F.lit("26A"), F.lpad((c("id") % 100000).cast("string"), 5, "0"))
+    url = F.when((rule == "trailing_number") & (fourth == 0), F.concat(F.lit("https://ente.example/avviso-2-"), text)).when((rule == "redaction_code") & (fourth == 0), F.concat(F.lit("https://ente.example/atto?atto.codiceRedazionale="), code)).otherwise(c("official_url"))
+    attached = F.array(F.lit("https://ente.example/a.pdf"), F.when(fourth == 0, F.concat(F.lit("https://ente.example/get?x=1&id=n+"), text)))
+    made = urls.external_id_by(rule, source_id=c("source_id"), url=url, title=c("title"), listing=urls.search_url(url), record_id=c("id"), published_at=c("published_at"), deadline_at=c("deadline"), section_url=c("official_url"), attachment_urls=attached, deadline_text=F.date_format("deadline", "dd/MM/yyyy"), text=F.when(fourth == 1, F.concat(F.lit("atto ("), code, F.lit(") del"))))
+    return fixture(spark, d, N).select("id", made.alias("external_id"))
+
+
 @query("content_hash", "SELECT id, sha256(concat_ws(chr(10), title, coalesce(description, ''), official_url)) AS hash FROM fx_notices", N)
 def content_hash(spark, d):
     return fixture(spark, d, N).select("id", urls.content_hash(F.col("title"), F.col("description"), F.col("official_url")).alias("hash"))

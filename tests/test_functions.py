@@ -86,6 +86,38 @@ def test_urls(spark):
     assert [join(h) for h in ("http://b/", "//c/y", "/z", "?q", "#t", "w", "")] == ["http://b/", "https://c/y", "https://a.example/z", "https://a.example/d/p?q", "https://a.example/d/p?x=1#t", "https://a.example/d/w", "https://a.example/d/p?x=1#f"]
 
 
+def test_dotted_links_as_urllib_joins_them(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://a.example/d/e/p.html?x=1", "https://a.example", "http://b.example/d/"]
+    hrefs = ["../w", "./w?q=../z", "../../../w#f", "x/../y/./z", "..", ".", "/a/../b", "/a/./", "w..x/.y", "../..", "/../g?h"]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for row in rows.select("b", "h", urls.urljoin(F.col("b"), F.col("h")).alias("u")).collect():
+        assert row.u == urljoin(row.b, row.h), row
+
+
+def test_identity_rules(spark):
+    import hashlib
+
+    digest = lambda s, n=24: hashlib.sha256(s.encode()).hexdigest()[:n]
+    of = lambda rule, **c: one(spark, urls.external_id_by(F.lit(rule), **{k: F.lit(v) for k, v in c.items()}))
+    assert of("title_and_url", source_id="s", title="Città  A", url="https://H/x") == digest("s|citta a|https h x")
+    assert of("lower_url", source_id="s", url="https://H/X") == digest("s|https://h/x")
+    assert of("lower_url", source_id="s", url="https://H/X", title="Ab", listing=True) == digest("s|https://h/x|ab")
+    assert of("record", source_id="s", title="A", url="u") == digest("s||a|u")
+    assert of("title", title="Avviso n. 3") == digest("avviso n 3")
+    assert of("title_and_dates", title="T", section_url="u") == digest("t|||u")
+    assert of("trailing_number", url="https://h/a-12?x=-3") == "12"
+    assert of("trailing_number", url="https://h/a12/") == digest("https://h/a12/")
+    files = urls.external_id_by(F.lit("attachment"), attachment_urls=F.array(F.lit("https://h/?id="), F.lit("https://h/?id=a%20b&id=c")), title=F.lit("T"))
+    assert one(spark, files) == "a b"
+    assert of("attachment", title="T", deadline_text="1/2") == digest("T|1/2", 16)
+    assert of("last_segment", url="https://h/a/b.html.html?c=/d") == "b.html" and of("last_segment", url="https://h/a/") == ""
+    assert of("redaction_code", url="https://h/?atto.codiceRedazionale=26A1", text="26B00002") == "26A1"
+    assert of("redaction_code", url="https://h/", text="x 26B000021 26C00003.") == "26C00003"
+    assert of("redaction_code", url="https://h/") is None and of("other", url="u") is None
+
+
 def test_manual_hides_survive_upsert(spark):
     schema = "id long, source_id long, external_id string, title string, editorial_status string, editorial_notes string"
     old = spark.createDataFrame([(1, 1, "a", "A", "hidden", "by hand"), (2, 1, "b", "B", "hidden", "Nascosto automaticamente: x"), (3, 1, "c", "C", "approved", None), (4, None, "d", "D", "approved", None)], schema)
