@@ -59,3 +59,17 @@ def test_hard_pages():
     assert pages.read("<body>plain<br>text")[2] == "plain text"
     long = "word " * 500_000
     assert pages.read(f"<article>{long}</article>")[0][0]["text"] == long.strip()
+
+
+def test_titles_have_their_character_references_as_the_sql_says():
+    import duckdb
+
+    from noticeflow.plans import registry
+
+    titles = ["a &amp; b", "cut at &amp", "cut at &am", "token = &quot;x&quot;", "&quo", "it&#x27;s &#39;so&#39;", "&amp;quot;", "1 &lt; 2 &gt", "one<b>two</b>\n three"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", [(k, f"<body><h1>{t}</h1><p>x</p></body>") for k, t in enumerate(titles)])
+    got = dict(con.execute(registry.ORACLE_SQL["html_detail"]).fetchall())
+    assert got == {k: pages.read(f"<body><h1>{t}</h1><p>x</p></body>")[1] for k, t in enumerate(titles)}
+    assert got[1] == "cut at &" and got[3] == 'token = "x"'
