@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.snapshot import scratch
 
@@ -137,45 +140,32 @@ def read_embedded_json(pages: DataFrame, marker: str, schema: str, column: str =
     return pages.withColumn("__r", F.explode(F.from_json(plain, f"array<struct<{schema}>>"))).select(*[c for c in pages.columns if c != column], "__r.*")
 
 
-def _let(value: Column, make) -> Column:
-    """make(value), with value computed once."""
-    return F.transform(F.array(value), make)[0]
-
-
-def _holds(value: Column) -> Column:
-    return F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)")
-
-
-def json_text_flatten(body: Column) -> Column:
+def draft_text(body: str | None) -> str:
     """The texts of all `blocks` lists in a JSON text, at any depth and in its order, joined by spaces; each text is trimmed,
-    lists without text add nothing. What lies inside the blocks themselves isn't looked at. Null and no JSON give ''.
-
-    A list of containers still to be read is worked off in one pass, the first one each time; what a container holds goes in
-    front of the rest. There are at most as many steps as opening brackets."""
-    text, kind = "map<string,string>", "map<string,variant>"
-
-    def blocks(o: Column) -> Column:
-        items = F.arrays_zip(F.from_json(o, "array<string>").alias("j"), F.from_json(o, "array<variant>").alias("v"))
-        named = F.transform(F.filter(items, lambda x: F.schema_of_variant(x["v"]).startswith("OBJECT")), lambda x: _let(F.from_json(x["j"], kind)["text"], lambda t: F.when(F.schema_of_variant(t).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(t, "$", "string"))))
-        return F.array_join(F.transform(F.filter(named, lambda t: t.isNotNull() & (t != "") & (t != "0")), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), " ")
-
-    nothing = F.array().cast("array<string>")
-
-    def step(acc: Column, _: Column) -> Column:
-        head, rest = F.try_element_at(acc["todo"], F.lit(1)), F.slice(acc["todo"], 2, F.greatest(F.size(acc["todo"]) - 1, F.lit(0)))
-
-        def of_object(h: Column) -> Column:
-            return _let(F.struct(F.from_json(h, text).alias("j"), F.from_json(h, kind).alias("v")), lambda m: F.when(F.coalesce(F.schema_of_variant(m["v"]["blocks"]).startswith("ARRAY"), F.lit(False)), F.struct(rest.alias("todo"), F.concat(acc["out"], F.array(blocks(m["j"]["blocks"]))).alias("out"))).otherwise(F.struct(F.concat(F.transform(F.filter(F.map_keys(m["v"]), lambda k: F.coalesce(_holds(m["v"][k]), F.lit(False))), lambda k: m["j"][k]), rest).alias("todo"), acc["out"].alias("out"))))
-
-        def of_array(h: Column) -> Column:
-            items = F.arrays_zip(F.from_json(h, "array<string>").alias("j"), F.from_json(h, "array<variant>").alias("v"))
-            inner = F.transform(F.filter(items, lambda x: F.coalesce(_holds(x["v"]), F.lit(False))), lambda x: x["j"])
-            return F.struct(F.concat(inner, rest).alias("todo"), acc["out"].alias("out"))
-
-        return F.when(head.isNull(), acc).when(F.ltrim(head).startswith("{"), of_object(head)).otherwise(of_array(head))
-
-    brackets = F.length(body) - F.length(F.translate(body, "{[", ""))
-    fits = F.coalesce(_holds(F.try_parse_json(body)), F.lit(False))
-    start = F.struct(F.when(fits, F.array(body)).otherwise(nothing).alias("todo"), nothing.alias("out"))
-    done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce(brackets, F.lit(0)), F.lit(1))), start, step)
-    return F.array_join(F.filter(done["out"], lambda t: t != ""), " ")
+    lists without text add nothing. What lies inside the blocks themselves isn't looked at. Null and no JSON give ''."""
+    try:
+        todo = [json.loads(body or "null", parse_constant=_no_number)]
+    except (ValueError, RecursionError):
+        return ""
+    out = []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            blocks = value.get("blocks")
+            if isinstance(blocks, list):
+                out.append(" ".join(str(b["text"]).strip() for b in blocks if isinstance(b, dict) and b.get("text")))
+                continue
+            value = list(value.values())
+        if isinstance(value, list):
+            todo += [v for v in reversed(value) if isinstance(v, (dict, list))]
+    return " ".join(filter(None, out)).encode("utf-8", "replace").decode()
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+@F.pandas_udf(T.StringType())
+def json_text_flatten(body: pd.Series) -> pd.Series:
+    """draft_text of each body. One pass over a body, whatever its depth."""
+    return body.map(draft_text)

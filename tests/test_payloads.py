@@ -124,3 +124,12 @@ def test_draft_texts_at_any_depth(spark):
     got = dict(map(tuple, spark.createDataFrame(rows, "id long, body string").select("id", payloads.json_text_flatten(F.col("body"))).collect()))
     assert got == {k: draft_text(v) for k, v in enumerate(values)} | {-1: "", -2: "", -3: ""}
     assert sum(bool(x) for x in got.values()) > 80 and got[300] == "bottom"
+
+
+def test_draft_texts_are_those_of_plain_python_in_odd_bodies(spark):
+    """Texts that are zero, false, numbers or the string 0; repeated keys; deep and wide bodies in one pass."""
+    wide = {str(k): {"blocks": [{"text": f"t{k}"}]} for k in range(3000)}
+    deep = '{"a":' * 900 + '{"blocks":[{"text":"end"}]}' + "}" * 900
+    bodies = [json.dumps(v) for v in ({"blocks": [{"text": t} for t in ("0", 0, 0.0, False, True, 5.0, None, " x ")]}, wide, [[{"blocks": []}], {"blocks": {"blocks": [{"text": "y"}]}}])] + [deep, '{"a": NaN}', '{"blocks": [{"text": "\\ud800"}]}', '{"a": 1, "a": {"blocks": [{"text": "last"}]}} ']
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(bodies)), "id long, body string").orderBy("id").select(payloads.json_text_flatten(F.col("body"))).collect()]
+    assert got == ["0 True 5.0 x", " ".join(f"t{k}" for k in range(3000)), "y", "end", "", "?", "last"]
