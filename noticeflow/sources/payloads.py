@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from ..operators.snapshot import scratch
 PAGE_SCHEMA = "totalPages int, last boolean, entitiesCount bigint, batching struct<next:string>, content array<struct<id:string,title:string,deadline:string>>"
 DELIMITERS = (";", ",", "\t", "|")
 HEAD_LINES, BROADCAST_FILES = 20, 50_000
+#: Sources in an Arrow batch.
+BATCH_ROWS = 256
 
 
 def read_paged_json(payloads: DataFrame, size: int | None = None) -> DataFrame:
@@ -25,7 +28,7 @@ def read_paged_json(payloads: DataFrame, size: int | None = None) -> DataFrame:
     A source's pages end with the first one that is announced as the last, is the last of totalPages or has fewer than `size`
     records, and before the first one that is empty. Where a source says how many entities there are, they also end before a
     page without a new id and once so many have come."""
-    parsed = payloads.select("source_id", "page", F.from_json("body", PAGE_SCHEMA).alias("p")).select("source_id", "page", "p.*")
+    parsed = _kept(payloads.select("source_id", "page", F.from_json("body", PAGE_SCHEMA).alias("p")).select("source_id", "page", "p.*"), "paged")
     rows = parsed.select("source_id", "page", F.explode("content").alias("r")).select("source_id", "page", "r.*").where("id <> ''")
     fresh = rows.groupBy("source_id", "id").agg(F.min("page").alias("page")).groupBy("source_id", "page").agg(F.count("*").alias("fresh"))
     n = F.size(F.coalesce("content", F.array().cast("array<struct<id:string,title:string,deadline:string>>")))
@@ -42,19 +45,58 @@ def read_paged_json(payloads: DataFrame, size: int | None = None) -> DataFrame:
     return kept.groupBy("source_id", "id").agg(F.max_by(F.struct("title", "deadline"), "page").alias("r")).select("source_id", "id", "r.*")
 
 
+#: The pages of a source that one task walks through at once; a source with more is numbered by doubling.
+WALK_PAGES = 4096
+
+
 def linked_pages(payloads: DataFrame, starts: DataFrame) -> DataFrame:
     """(source_id, page, body): payloads (source_id, url, body), each of which names the next one in batching.next, numbered
     along the way from the source's start (source_id, url). A page that the way comes to again keeps its first number; pages
-    off the way are left out. Numbers double with each round, and each round is written out."""
-    jumps = _kept(payloads.select("source_id", "url", F.from_json("body", PAGE_SCHEMA)["batching"]["next"].alias("to")).where("to is not null and to <> url"), "jumps")
-    placed, found, hop = _kept(starts.select("source_id", "url", F.lit(0).cast("long").alias("page")).distinct(), "placed"), 0, 1
+    off the way are left out. Payloads are read twice.
+
+    Up to WALK_PAGES links of a source are walked in its group; those of larger sources are numbered by doubling, so no group
+    grows with the input."""
+    links = payloads.select("source_id", "url", F.from_json("body", "batching struct<next:string>")["batching"]["next"].alias("to")).where("to is not null and to <> url")
+    links = links.unionByName(starts.select("source_id", F.lit(None).cast("string").alias("url"), F.col("url").alias("to")).distinct())
+    links = _kept(links.withColumn("n", F.count("*").over(Window.partitionBy("source_id"))), "links")
+    links.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    grouped = links.where(F.col("n") <= WALK_PAGES).groupBy("source_id").agg(F.collect_list(F.struct("url", "to")).alias("links"))
+    placed = grouped.select("source_id", F.col("links.url").alias("froms"), F.col("links.to").alias("tos")).mapInArrow(_walked, "source_id long, url string, page long")
+    large = links.where(F.col("n") > WALK_PAGES).drop("n")
+    if not large.isEmpty():
+        placed = placed.unionByName(_doubled(large.where("url is not null"), large.where("url is null").select("source_id", F.col("to").alias("url"))))
+    return payloads.hint("merge").join(placed.hint("merge"), ["source_id", "url"]).select("source_id", "page", "body")
+
+
+def _walked(batches):
+    """The pages that a source's links lead to from its starts (links from nowhere), by the number of links."""
+    for batch in batches:
+        out: tuple[list, list, list] = ([], [], [])
+        for source, froms, tos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            after: dict[str | None, list[str]] = {}
+            for x, y in zip(froms, tos, strict=True):
+                after.setdefault(x, []).append(y)
+            number: dict[str, int] = {}
+            now, page = after.get(None, []), 0
+            while now := [u for u in dict.fromkeys(now) if u not in number]:
+                number |= dict.fromkeys(now, page)
+                now, page = [v for u in now for v in after.get(u, ())], page + 1
+            for column, values in zip(out, ([source] * len(number), number.keys(), number.values()), strict=True):
+                column.extend(values)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["source_id", "url", "page"])
+
+
+def _doubled(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(source_id, url, page). Numbers double with each round, and each round is written out."""
+    jumps = _kept(links, "jumps")
+    placed, found, hop = _kept(starts.select("source_id", "url", F.lit(0).cast("long").alias("page")), "placed"), 0, 1
     while (count := placed.count()) > found:
         found = count
         ahead = placed.hint("merge").join(jumps.hint("merge"), ["source_id", "url"]).select("source_id", F.col("to").alias("url"), (F.col("page") + hop).alias("page"))
         placed = _kept(placed.unionByName(ahead).groupBy("source_id", "url").agg(F.min("page").alias("page")), "placed")
         on = jumps.select("source_id", F.col("url").alias("to"), F.col("to").alias("further"))
-        jumps, hop = _kept(jumps.hint("merge").join(on.hint("merge"), ["source_id", "to"]).select("source_id", "url", F.col("further").alias("to")), "jumps"), 2 * hop
-    return payloads.hint("merge").join(placed.hint("merge"), ["source_id", "url"]).select("source_id", "page", "body")
+        jumps, hop = _kept(jumps.hint("merge").join(on.hint("merge"), ["source_id", "to"]).select("source_id", "url", F.col("further").alias("to")).distinct(), "jumps"), 2 * hop
+    return placed
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:

@@ -133,3 +133,17 @@ def test_draft_texts_are_those_of_plain_python_in_odd_bodies(spark):
     bodies = [json.dumps(v) for v in ({"blocks": [{"text": t} for t in ("0", 0, 0.0, False, True, 5.0, None, " x ")]}, wide, [[{"blocks": []}], {"blocks": {"blocks": [{"text": "y"}]}}])] + [deep, '{"a": NaN}', '{"blocks": [{"text": "\\ud800"}]}', '{"a": 1, "a": {"blocks": [{"text": "last"}]}} ']
     got = [r[0] for r in spark.createDataFrame(list(enumerate(bodies)), "id long, body string").orderBy("id").select(payloads.json_text_flatten(F.col("body"))).collect()]
     assert got == ["0 True 5.0 x", " ".join(f"t{k}" for k in range(3000)), "y", "end", "", "?", "last"]
+
+
+def test_large_and_small_sources_are_numbered_alike_and_small_ones_in_one_round(spark, monkeypatch):
+    """Loops and several starts, walked and doubled; a chain of many pages takes no round of its own when walked."""
+    rng = random.Random(9)
+    rows = [(s, f"/{k}", json.dumps({"batching": {"next": f"/{rng.randrange(n)}" if rng.random() < 0.05 else f"/{k + 1}"}})) for s, n in enumerate((1, 5, 30, 90)) for k in range(n)]
+    df = spark.createDataFrame(rows, "source_id long, url string, body string")
+    starts = spark.createDataFrame([(s, u) for s in range(4) for u in ("/0", "/3")], "source_id long, url string")
+    doubling, calls = payloads._doubled, []
+    monkeypatch.setattr(payloads, "_doubled", lambda *x: calls.append(1) or doubling(*x))
+    walked = sorted(map(tuple, payloads.linked_pages(df, starts).collect()))
+    assert not calls and len(walked) > 20
+    monkeypatch.setattr(payloads, "WALK_PAGES", 20)
+    assert sorted(map(tuple, payloads.linked_pages(df, starts).collect())) == walked and calls
