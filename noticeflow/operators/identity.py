@@ -116,12 +116,25 @@ def similar_texts(texts: DataFrame, others: DataFrame, least: float, q: int) ->
 
 #: Places of a list that are searched one by one, and asking classes in a group; pieces by which titles and names meet.
 LIST, ASKS, TITLE_Q, NAME_Q = 512, 2048, 3, 2
+#: Rows of an Arrow batch of the search; one has up to about ASKS classes and LIST targets.
+SEARCH_ROWS = 64
+
+
+def _by_asks(batches):
+    """Batches cut where they have ASKS asking classes, so that what is compared together is bounded by ASKS and LIST."""
+    for batch in batches:
+        before = np.cumsum([0, *batch.column(2).value_lengths().to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(before, before[at] + ASKS, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def _searched(batches):
     """Rows of a group: its asking classes, and the beginning of its list of targets by id. The targets are compared in steps
     of growing width until each class has its first one or the list is at its end."""
-    for batch in batches:
+    for batch in _by_asks(batches):
         t, of, asks, targets, cut = (c.to_pylist() for c in batch.columns)
         name: dict[str, int] = {}
         number = lambda x: name.setdefault(x, len(name))
@@ -184,6 +197,7 @@ def probable_duplicates(notices: DataFrame) -> DataFrame:
     asks = asks.hint("merge").join(salted.hint("merge"), ["t", "of"]).withColumn("salt", F.pmod(F.xxhash64("o", "source_id", "day"), F.col("salts")))
     groups = asks.groupBy("t", "of", "salt").agg(F.collect_list(F.struct("o", "source_id", "day", "last")).alias("asks"))
     met = groups.hint("merge").join(lists.hint("merge"), ["t", "of"]).select("t", "of", "asks", "targets", "cut")
+    met.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SEARCH_ROWS))
     found = kept(met.mapInArrow(_searched, "t string, o string, day string, source_id long, of string, last long, duplicate_of long, more boolean"), "searched")
     hits = found.where("duplicate_of is not null").select(*key, "duplicate_of")
     open_ = found.where("more").drop("duplicate_of", "more")

@@ -99,3 +99,14 @@ def test_fuzzy_duplicate_over_whole_tables(spark):
                 expected[i] = j
                 break
     assert got == expected and len(got) > 1000
+
+
+def test_search_is_cut_into_bounded_batches():
+    """No more than ASKS asking classes together, unless one row has them; all rows, in order."""
+    import pyarrow as pa
+
+    sizes = [1, identity.ASKS, 3, identity.ASKS - 3, 1, identity.ASKS + 5, 0, 2, *[700] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(range(len(sizes))), pa.array([[0] * n for n in sizes])], ["t", "of", "asks"])
+    cut = list(identity._by_asks([batch, batch.slice(0, 0), batch.slice(5)]))
+    assert [x for b in cut for x in b.column(0).to_pylist()] == [*range(len(sizes)), *range(5, len(sizes))]
+    assert all(b.num_rows == 1 or sum(map(len, b.column(2).to_pylist())) <= identity.ASKS for b in cut) and len(cut) < 20
