@@ -73,3 +73,20 @@ def test_titles_have_their_character_references_as_the_sql_says():
     got = dict(con.execute(registry.ORACLE_SQL["html_detail"]).fetchall())
     assert got == {k: pages.read(f"<body><h1>{t}</h1><p>x</p></body>")[1] for k, t in enumerate(titles)}
     assert got[1] == "cut at &" and got[3] == 'token = "x"'
+
+
+def test_simple_pages_are_read_as_by_the_parser():
+    """Random pieces, of which many make a page that the parser has to read; the same elements and texts either way."""
+    rng, simple = random.Random(11), 0
+    bits = ["<p>", "</p>", "<li>", "</li>", "<tr>", "<td>", "<th>", "</tr>", "<table>", "</table>", '<a href="/x?a=1">', "</a>", '<div class="a b" id="c">', "</div>", "<br>", "<h2>", "</h2>", "<nav>", "</nav>", "text ", "a &amp; b &lt &#39;", "&", "&am", "1 > 0", " \n "]
+    odd = ["<br/>", "<script>a < b</script>", "<title>x</title>", "<!-- <p> -->", "<A HREF='y'>", '<a href="&amp;">', "< p", "<textarea>", "<p", "</ p>", "<![CDATA[x]]>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits if rng.random() < 0.97 else odd) for _ in range(rng.randint(0, 25)))
+        whole = pages._Reader()
+        whole.feed(page)
+        whole.close()
+        own = pages._read(page)
+        assert own.elements == whole.elements and [own.text(i) for i in range(len(own.elements))] == [whole.text(i) for i in range(len(whole.elements))], page
+        simple += pages._simple(page, pages._Reader())
+        assert pages.rows(own, "tr") == [r for r in pages.rows(own) if r["tag"] == "tr"]
+    assert 1000 < simple < 2900
