@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from . import range_coder
 from .common import short_batches, shared_path, shuffle_partitions
 
 BLOCK_IDS, CACHE_WORDS, NULL_ID = 1 << 19, 1_000_000, -(1 << 63)
+#: Bytes of texts whose words are told apart together, if they are more than one batch.
+GROUP_BYTES = 8_000_000
 MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 _SCHEMA = "part int, ids_before long, n_ids long, docs binary, coded binary, crc long"
 
@@ -50,28 +53,45 @@ class WordEncoder:
             raise ValueError("the tokenizer doesn't mark the ends of words")
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}  # white space at an end is split from nothing
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
-        data = (text or "").encode("utf-8", "surrogatepass")
-        words = (data if b"<|" in data else data.lower()).split()  # special tokens are in lower case already
+        return self.batch_ids(pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.binary()).view(pa.string()))[0]
+
+    def batch_ids(self, texts: pa.StringArray) -> list[bytes]:
+        """Each text's little-endian 32-bit ids, nulls as empty texts. Arrow splits the texts and numbers the different words of
+        all of them, so Python sees each word once a batch, and the library gets the new ones in a few calls."""
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")  # special tokens are in lower case already
+        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        numbered = lists.flatten().dictionary_encode()
+        words = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, words))
-        if not all(found):
-            new = [i for i, x in enumerate(found) if x is None]
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
+                self.known = {b"": b""}
             self._learn({words[i] for i in new})
             for i in new:
                 found[i] = self.known[words[i]]
-        return b"".join(found)
+        at = numbered.indices.to_numpy()
+        flat, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        starts, count = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        data = flat[np.repeat(starts[at] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        offsets = lists.offsets.to_numpy()
+        cuts = (4 * ends[offsets - offsets[0]]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: set[bytes]) -> None:
         spelled: dict[bytes, bytes] = {}  # words of letters as the library is to see them
         marked: dict[bytes, tuple[bytes, bytes]] = {}
         others = set()
         for w in new:
-            if (low := _letters(w)) is not None:
+            if w.isalpha():  # ASCII letters
+                spelled[w] = w.lower()
+            elif (low := _letters(w)) is not None:
                 spelled[w] = low
             elif w[-1:] in MARKS and (low := _letters(w[:-1])) is not None:
                 marked[w] = base, mark = w[:-1], w[-1:]
@@ -84,8 +104,9 @@ class WordEncoder:
         for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         if spelled:
-            (found,) = self.plain.encode_batch_fast([b" ".join(spelled.values()).decode("latin-1").translate(_BYTE_LETTERS)], add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
+            shown = list(spelled.values())
+            lines = [_SHOWN[np.frombuffer(b" ".join(shown[k : k + _LINE]), dtype=np.uint8)].tobytes().decode("utf-32-le") for k in range(0, len(shown), _LINE)]
+            ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)])
             data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             self.known |= zip(spelled, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True)
         for w, (base, mark) in marked.items():
@@ -94,7 +115,11 @@ class WordEncoder:
 
 #: The letter that byte-level tokenizers write for a byte: itself where Latin-1 has a visible sign, else one from 256 on in order.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
-_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(_HIDDEN) if b != 32}
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
+_SHOWN[32] = 32
+#: Words of letters that the library gets in one line.
+_LINE = 1024
 
 
 def _letters(word: bytes) -> bytes | None:
@@ -123,16 +148,29 @@ def _block(part: int, before: int, doc_ids: list, pieces: list[bytes], vocab: in
     return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.binary()), ("coded", pa.binary()), ("crc", pa.int64())]))
 
 
+def _gathered(batches):
+    """Batches put together up to GROUP_BYTES, so that fewer words are seen again."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encoder(path: str, end_id: int):
     end = struct.pack("<I", end_id)
 
     def encode(batches):
         words = word_encoder(path)
         part, before, held, doc_ids, pieces = TaskContext.get().partitionId(), 0, 0, [], []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in _gathered(batches):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch_ids(batch.column(1)), strict=True):
                 doc_ids.append(doc_id)
-                pieces.append(words.ids(text) + end)
+                pieces.append(ids + end)
                 held += len(pieces[-1]) // 4
                 if held >= BLOCK_IDS:
                     yield _block(part, before, doc_ids, pieces, words.vocab)

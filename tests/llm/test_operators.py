@@ -550,3 +550,25 @@ def test_quality_rejects_odd_documents(spark):
     rows = [(i, words(rng, 60), "en") for i in range(200)] + [(1000, " ".join("".join(rng.choice("bcdfghjklqwxz#%&") for _ in range(9)) for _ in range(60)), "en")]
     kept = {r.doc_id: r.kept for r in perplexity.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not kept.pop(1000) and all(kept.values())
+
+
+def test_words_of_a_batch_are_encoded_together(monkeypatch):
+    """A text's ids are the same beside others, with slices, nulls and special tokens; each new word goes to the library once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rng = vocabulary(WORD_TOKENIZER), random.Random(4)
+    tokenizer, encoder = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    parts = [*" \n\t\x0b\x0c\x00abCΣ'sTLÉ日\x85\x1c😀1ß…İ", "<|endoftext|>", "<|ENDOFTEXT|>", "word", "Word.", ",", " "]
+    texts = [None, "", " ", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500))]
+    asked = []
+    monkeypatch.setattr(encoder, "_learn", lambda new, learn=encoder._learn: asked.append(set(new)) or learn(new))
+    expected = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    for a, b in ((0, 700), (700, len(texts)), (0, 1)):
+        assert encoder.batch_ids(pa.array(texts, pa.string()).slice(a, b - a)) == expected[a:b]
+    assert encoder.batch_ids(pa.array([], pa.string())) == [] and len(asked) == 2 and not asked[0] & asked[1]
+    batches = [pa.record_batch({"t": pa.array(texts[k : k + 50], pa.string())}) for k in range(0, len(texts), 50)]
+    monkeypatch.setattr(token_store, "GROUP_BYTES", 5000)
+    groups = list(token_store._gathered(iter(batches)))
+    assert len(batches) > len(groups) > 1 and [t for g in groups for t in g.column(0).to_pylist()] == texts
+    assert list(token_store._gathered(iter([]))) == []
