@@ -23,7 +23,8 @@ def line_dedup_stage(spark, docs, sf_dir):
 
 
 def simhash_near_dedup(spark, docs, sf_dir):
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the smallest id; they
+    meet by SimHash fingerprints and, as those reach the nearest only, by MinHash bands; similarity is checked on the sets."""
     return near_copies.keep_one(docs)
 
 

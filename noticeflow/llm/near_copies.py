@@ -1,7 +1,9 @@
 """Near copies by word shingles: sets of five-word shingles with Jaccard similarity of 0.8 and more, in components.
 
-Texts meet by MinHash signatures in BANDS bands of ROWS minima; a pair at similarity s shares no band with probability
-(1 - s^ROWS)^BANDS, which is 1.3e-7 at 0.8 and less above. Texts that share bands, directly or through others, are a group.
+Texts meet by SimHash fingerprints of their shingles: those that differ in at most simhash.MAX_DISTANCE bits always meet, by
+simhash's blocks. That reaches the nearest copies only (a pair at 0.8 differs in about 10 bits), so texts meet by MinHash
+signatures in BANDS bands of ROWS minima as well; a pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS,
+which is 1.3e-7 at 0.8 and less above. Texts that meet either way, directly or through others, are a group.
 A group's sets go to tasks once, in parts of PART_BYTES, two parts at a time if there are more, and all pairs of a group that
 are similar are found there exactly, by their rarest elements (similar_pairs); only links leave a task, fewer than there are
 sets. No pair is a row and none is left out. A group of n sets in p parts is sent p times; within a task, sets that share no
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_by_key, saved, short_batches, shuffle_partitions
-from .simhash import components, named_components
+from .simhash import components, links, majority, named_components
 
 SHINGLE_WORDS, SIMILARITY_FIFTHS, BANDS, ROWS, SEED = 5, 4, 40, 5, 42
 _RNG = np.random.default_rng(SEED)
@@ -81,7 +83,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 def _prints(batches):
     for batch in batches:
         sets = [shingles(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _longs([_set_id(s) for s in sets]), _lists([band_keys(s) for s in sets])], ["doc_id", "copy", "set_id", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _longs([_set_id(s) for s in sets]), _longs([majority(s) for s in sets]), _lists([band_keys(s) for s in sets])], ["doc_id", "copy", "set_id", "fp", "keys"])
 
 
 def _sets(batches):
@@ -183,18 +185,31 @@ def similar_pairs(sets: list[np.ndarray], part: np.ndarray | None = None):
         yield from join(x, near[18 * same >= excess[near] + excess[x]])
 
 
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Edges (x, y) that connect all sets (set_id, fp) whose fingerprints differ in at most simhash.MAX_DISTANCE bits: those
+    between fingerprints, and from each set to its own if that is another's too or near one. Both are hashes of 64 bits; if one
+    of each were equal, a group would only be larger."""
+    first = saved(sets.groupBy("fp").agg(F.count("*").alias("n")), "near-fingerprints")
+    near = saved(links(first.select("fp")), "near-fingerprint-links")
+    linked = near.select(F.col("x").alias("fp")).union(near.select("y")).distinct().withColumn("linked", F.lit(True))
+    used = first.hint("merge").join(linked.hint("merge"), "fp", "left").where("n > 1 or linked").select("fp", "n")
+    own = joined_by_key(sets, saved(used, "near-fingerprints-used"), "fp", sets.count()).select(F.col("set_id").alias("x"), F.col("fp").alias("y"))
+    return near.unionByName(own)
+
+
 def near_copies(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     """(doc_id, component_id), one row for each row of docs; component_id is the component's smallest doc_id."""
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy"))
-    prints = saved(rows.mapInArrow(_prints, "doc_id long, copy long, set_id long, keys array<long>"), "near-prints")
+    prints = saved(rows.mapInArrow(_prints, "doc_id long, copy long, set_id long, fp long, keys array<long>"), "near-prints")
     total = prints.count()
-    classes = saved(prints.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("copy").alias("copy"), F.any_value("keys").alias("keys"), F.count("*").alias("n")), "near-classes")
+    classes = saved(prints.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("copy").alias("copy"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.count("*").alias("n")), "near-classes")
     keyed = saved(classes.select("set_id", F.explode("keys").alias("key")), "near-keys")
     sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("least")).where("n > 1"), "near-sizes")
-    # Sets that share buckets, directly or through others, are a group.
+    # Sets that share buckets or have near fingerprints, directly or through others, are a group.
     meeting = joined_by_key(keyed, sizes, "key", keyed.count()).where("set_id > least").select(F.col("least").alias("x"), F.col("set_id").alias("y")).distinct()
+    meeting = meeting.unionByName(by_fingerprint(classes.where(F.size("keys") > 0).select("set_id", "fp")))
     reached = saved(components(meeting).select(F.col("node").alias("set_id"), F.col("root").alias("of")), "near-groups")
     groups = reached.union(reached.select("of", "of")).distinct()  # a root isn't reached
     one = saved(classes.select("set_id", "copy", "n").hint("merge").join(groups.hint("merge"), "set_id"), "near-ends")

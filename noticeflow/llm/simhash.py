@@ -34,9 +34,14 @@ def fingerprint(text: str | None) -> int:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     else:
         hashes = [xxhash.xxh64_intdigest(b"%b %b %b" % s, SEED) for s in zip(words, words[1:], words[2:], strict=False)]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0])
 

@@ -107,3 +107,25 @@ def test_a_large_group_just_below_the_bound_is_not_compared_in_pairs():
         assert list(near_copies.similar_pairs(sets)) == []
         took.append(time.time() - began)
     assert took[1] < 10 * took[0] + 1
+
+
+def test_sets_meet_by_fingerprints(spark):
+    """All within simhash's distance meet without a band, equal fingerprints too, and no others."""
+    from noticeflow.llm import simhash
+
+    rng = np.random.default_rng(6)
+    prints = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 300)]
+    for p in prints[:60]:
+        for _ in range(3):
+            prints.append(p ^ sum({1 << int(b) for b in rng.integers(0, 60, rng.integers(0, 4))}))
+    rows = [(int(s), p) for s, p in zip(rng.permutation(len(prints)), prints, strict=True)]
+    found = near_copies.by_fingerprint(spark.createDataFrame(rows, "set_id long, fp long")).collect()
+    nodes = {v: k for k, v in enumerate([*range(len(rows)), *{p for _, p in rows}])}
+    got = connected(len(nodes), [(nodes[r.x], nodes[r.y]) for r in found])
+    pairs = [(s, t) for s, p in rows for t, q in rows if s < t and (p ^ q).bit_count() <= simhash.MAX_DISTANCE]
+    expected = connected(len(rows), pairs)
+    assert len(pairs) > 100 and all((got[s] == got[t]) == (expected[s] == expected[t]) for s in range(len(rows)) for t in range(s))
+    assert near_copies.by_fingerprint(spark.createDataFrame([], "set_id long, fp long")).count() == 0
+    words = [f"w{i}" for i in range(9)]
+    hashes = near_copies.shingles(" ".join(words))
+    assert simhash.majority(hashes) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
