@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that are emptied before publication, by table.
@@ -33,30 +33,53 @@ def _without(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in columns if c in rows.columns})
 
 
-def public_tables(notices: DataFrame, sources: DataFrame, attachments: DataFrame) -> dict[str, DataFrame]:
+def public_tables(notices: DataFrame, sources: DataFrame, attachments: DataFrame, keep=None) -> dict[str, DataFrame]:
     """The approved notices of sources that are no demo, those sources, and those notices' attachments, each without its
-    private columns; sources count as active."""
+    private columns; sources count as active. keep(rows, name) may write the rows out and read them back; the other tables
+    then meet the notices so read, which are joined once."""
     approved = notices.where("editorial_status = 'approved'")
     real = sources.where(F.col("source_type") != DEMO_TYPE)
-    shown = approved.hint("merge").join(real.select(F.col("id").alias("source_id")).hint("merge"), "source_id", "left_semi")
+    shown = _without(approved.hint("merge").join(real.select(F.col("id").alias("source_id")).hint("merge"), "source_id", "left_semi"), PRIVATE["notices"])
+    if keep:
+        shown = keep(shown, "notices")
     used = real.hint("merge").join(shown.select(F.col("source_id").alias("id")).distinct().hint("merge"), "id", "left_semi").withColumn("status", F.lit("active"))
     held = attachments.hint("merge").join(shown.select(F.col("id").alias("notice_id")).hint("merge"), "notice_id", "left_semi")
-    return {name: _without(rows, PRIVATE[name]) for name, rows in (("notices", shown), ("sources", used), ("attachments", held))}
+    others = {name: _without(rows, PRIVATE[name]) for name, rows in (("sources", used), ("attachments", held))}
+    return {"notices": shown} | ({name: keep(rows, name) for name, rows in others.items()} if keep else others)
 
 
-def bucket_digests(rows: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """(bucket, n, digest): leaves of a hash tree. A row lies in the bucket of its key's hash; a bucket's digest is that of the
-    number of its rows and of the sums of their hashes' halves, so order and partitions don't matter."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    hashed = rows.select(F.substring(F.sha2(text(key), 256), 1, 2).alias("bucket"), F.sha2(F.concat_ws("\x1f", *map(text, columns)), 256).alias("h"))
-    half = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    sums = hashed.groupBy("bucket").agg(F.count("*").alias("n"), half(1).alias("a"), half(33).alias("b"))
-    return sums.select("bucket", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("digest"))
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+
+
+def _bucket(key: str) -> Column:
+    return F.substring(F.sha2(_text(key), 256), 1, 2)
+
 
+def _sum60(c: str) -> Column:
+    """The sum of numbers below 2**60 in digits: high and low 30 bits are summed as longs, which is exact for 2**33 rows."""
+    high, low = F.sum(F.shiftright(c, 30)), F.sum(F.col(c).bitwiseAND((1 << 30) - 1))
+    return (high.cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + low.cast("decimal(20,0)")).cast("string")
 
-def hash_tree(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """(table_name, bucket, n, digest) of all tables; at most 256 rows for each."""
-    leaves = [bucket_digests(rows, columns[name]).select(F.lit(name).alias("table_name"), "bucket", "n", "digest") for name, rows in tables.items()]
+
+def bucket_digests(rows: DataFrame, columns: list[str], key: str = "id", counted: dict[str, Column] | None = None) -> DataFrame:
+    """(bucket, n, digest): leaves of a hash tree. A row lies in the bucket of its key's hash; a bucket's digest is that of the
+    number of its rows and of the sums of their hashes' halves, so order and partitions don't matter. With conditions to be
+    counted also `broken`, an array of (rule, violations), from the same scan."""
+    checks = {} if counted is None else counted
+    named = {f"__{k}": c for k, c in enumerate(checks.values())}
+    hashed = rows.select(_bucket(key).alias("bucket"), F.sha2(F.concat_ws("\x1f", *map(_text, columns)), 256).alias("h"), *[c.alias(k) for k, c in named.items()])
+    part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
+    parts = hashed.select("bucket", part(1).alias("a"), part(33).alias("b"), *named)
+    broken = F.array(*[F.struct(F.lit(rule).alias("rule"), F.count_if(k).alias("violations")) for rule, k in zip(checks, named, strict=True)]).alias("broken")
+    sums = parts.groupBy("bucket").agg(F.count("*").alias("n"), _sum60("a").alias("a"), _sum60("b").alias("b"), *([broken] if checks else []))
+    return sums.select("bucket", "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("digest"), *(["broken"] if checks else []))
+
+
+def hash_tree(tables: dict[str, DataFrame], columns: dict[str, list[str]], check: bool = False) -> DataFrame:
+    """(table_name, bucket, n, digest) of all tables; at most 256 rows for each. With check also `broken`, how many rows of the
+    bucket break each of the table's rules."""
+    leaves = [bucket_digests(rows, columns[name], counted=_checks(name, rows) if check else None).select(F.lit(name).alias("table_name"), "*") for name, rows in tables.items()]
     return functools.reduce(DataFrame.unionByName, leaves)
 
 
@@ -73,21 +96,27 @@ def metadata(tree: DataFrame, generated_at: str) -> DataFrame:
     return tree.sparkSession.createDataFrame(sorted(values.items()), "key string, value string")
 
 
+def _checks(name: str, rows: DataFrame) -> dict[str, Column]:
+    """The rules of a table's rows: what must not be true."""
+    rules = {"notices": {"only_approved": F.col("editorial_status") != "approved", "title_missing": F.coalesce("title", F.lit("")) == ""}, "sources": {"name_missing": F.coalesce("name", F.lit("")) == ""}, "attachments": {}}
+    links = {"notices": ("official_url", "organization_url"), "sources": ("base_url",), "attachments": ("url",)}
+    checks = {f"{name}_{rule}": check for rule, check in rules[name].items()}
+    urls = [c for c in links[name] if c in rows.columns]
+    private = [c for c in PRIVATE[name] if c in rows.columns]
+    checks[f"{name}_url_credentials"] = functools.reduce(lambda a, b: a | b, (F.coalesce(F.col(c).contains("@") & F.col(c).rlike("://[^/?#]*@"), F.lit(False)) for c in urls))
+    checks[f"{name}_private"] = functools.reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in private), F.lit(False))
+    return checks
+
+
 def violations(tables: dict[str, DataFrame], meta: DataFrame | None = None) -> DataFrame:
     """(rule, violations): one scan for all rules of a table, and those on the metadata."""
     spark = next(iter(tables.values())).sparkSession
-    rules = {"notices": {"only_approved": F.col("editorial_status") != "approved", "title_missing": F.coalesce("title", F.lit("")) == ""}, "sources": {"name_missing": F.coalesce("name", F.lit("")) == ""}, "attachments": {}}
-    links = {"notices": ("official_url", "organization_url"), "sources": ("base_url",), "attachments": ("url",)}
     found, counts = [], {}
     for name, rows in tables.items():
         if name not in PRIVATE:
             found.append(spark.createDataFrame([(f"unexpected_table_{name}", 1)], "rule string, violations long"))
             continue
-        checks = {f"{name}_{rule}": check for rule, check in rules[name].items()}
-        urls = [c for c in links[name] if c in rows.columns]
-        private = [c for c in PRIVATE[name] if c in rows.columns]
-        checks[f"{name}_url_credentials"] = functools.reduce(lambda a, b: a | b, (F.coalesce(F.col(c).rlike("://[^/?#]*@"), F.lit(False)) for c in urls))
-        checks[f"{name}_private"] = functools.reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in private), F.lit(False))
+        checks = _checks(name, rows)
         if meta is not None:
             counts[name] = rows
         found.append(rows.agg(*[F.count_if(c).alias(k) for k, c in checks.items()]).unpivot([], list(checks), "rule", "violations"))
@@ -121,25 +150,34 @@ class Publication:
     def _manifest(self, version: int | None) -> DataFrame:
         return self.spark.createDataFrame([], self.MANIFEST) if version is None else self.spark.read.schema(self.MANIFEST).parquet(f"{self.base}/manifest/version={version}")
 
+    def _refuse(self, found: DataFrame) -> None:
+        if broken := found.where("violations > 0").collect():
+            raise ValueError(f"not fit for publication: {sorted(r.rule for r in broken)}")
+
     def publish(self, tables: dict[str, DataFrame], columns: dict[str, list[str]], check: bool = True) -> DataFrame:
         """(table_name, bucket, change) of what was added, changed or removed; without rows nothing was published. Tables that
         break a rule are refused."""
-        if check and (broken := violations(tables).where("violations > 0").collect()):
-            raise ValueError(f"not fit for publication: {sorted(r.rule for r in broken)}")
+        if check and not tables.keys() <= PRIVATE.keys():
+            self._refuse(violations(tables))
         last = self._last()
         old = self._manifest(last and last.version).select("table_name", "bucket", F.col("digest").alias("old"), "written")
         path = scratch(self.spark, "tree")
-        hash_tree(tables, columns).write.parquet(path)
+        hash_tree(tables, columns, check).write.parquet(path)
         tree = self.spark.read.parquet(path)
+        if check:
+            self._refuse(tree.select(F.explode("broken").alias("b")).groupBy("b.rule").agg(F.sum("b.violations").alias("violations")))
         version = 1 if last is None else last.version + 1
         both = tree.join(old.hint("merge"), ["table_name", "bucket"], "full")
         change = F.when(F.col("digest").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("digest") != F.col("old"), "changed")
-        changes = both.select("table_name", "bucket", change.alias("change")).where("change is not null").collect()  # at most 256 for each table
+        leaves = both.select("table_name", "bucket", change.alias("change")).collect()  # at most 512 for each table
+        changes = [r for r in leaves if r.change]
         for name, rows in tables.items():
-            fresh = sorted(r.bucket for r in changes if r.table_name == name and r.change != "removed")
+            held = {r.bucket: r.change for r in leaves if r.table_name == name and r.change != "removed"}
+            fresh = sorted(b for b, c in held.items() if c)
             if fresh:
-                marked = rows.withColumn("bucket", F.substring(F.sha2(F.coalesce(F.col("id").cast("string"), F.lit(MISSING)), 256), 1, 2))
-                marked.where(F.col("bucket").isin(*fresh)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/{name}/version={version}")
+                marked = rows.withColumn("bucket", _bucket("id"))
+                some = marked if len(fresh) == len(held) else marked.where(F.col("bucket").isin(*fresh))
+                some.repartition(len(fresh), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/{name}/version={version}")
         if changes:
             written = F.when(F.col("old").isNull() | (F.col("digest") != F.col("old")), F.lit(version)).otherwise(F.col("written")).cast("long")
             both.where("digest is not null").select("table_name", "bucket", "n", "digest", written.alias("written")).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/manifest/version={version}")

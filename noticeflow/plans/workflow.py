@@ -211,8 +211,8 @@ def _leaves_sql(table: str, rows: str) -> str:
     return f"SELECT '{table}' AS table_name, bucket, count(*) AS n, sha256(concat_ws('|', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 33, 15) AS BIGINT)))) AS digest FROM (SELECT substr(sha256(CAST(id AS VARCHAR)), 1, 2) AS bucket, sha256(concat_ws(chr(31), {cells})) AS h FROM {rows}) GROUP BY bucket"
 
 
-def _public(spark, d) -> dict[str, DataFrame]:
-    return snapshot.public_tables(fixture(spark, d, N), fixture(spark, d, S), fixture(spark, d, A))
+def _public(spark, d, keep=None) -> dict[str, DataFrame]:
+    return snapshot.public_tables(fixture(spark, d, N), fixture(spark, d, S), fixture(spark, d, A), keep)
 
 
 @query("content_digest", f"WITH {PUBLIC_SQL} " + " UNION ALL ".join(_leaves_sql(t, r) for t, r in (("notices", "pn"), ("sources", "ps"), ("attachments", "pa"))), N, S, A)
@@ -707,11 +707,11 @@ def snapshot_validate(spark, d):
 @query("snapshot_publish", f"WITH {PUBLIC_SQL}, b AS (SELECT 'notices' AS table_name, substr(sha256(CAST(id AS VARCHAR)), 1, 2) AS bucket, id = (SELECT min(id) FROM pn) AS touched FROM pn UNION ALL SELECT 'sources', substr(sha256(CAST(id AS VARCHAR)), 1, 2), false FROM ps UNION ALL SELECT 'attachments', substr(sha256(CAST(id AS VARCHAR)), 1, 2), false FROM pa) SELECT table_name, count(*) AS n_rows, count(DISTINCT bucket) AS first_written, 0 AS again_written, count(DISTINCT bucket) FILTER (WHERE touched) AS changed_written FROM b GROUP BY table_name", N, S, A)
 def snapshot_publish(spark, d):
     """Published; the same rows again, in another order, change nothing; one notice with another title changes one bucket."""
-    tables = {name: identity.kept(rows, f"public-{name}") for name, rows in _public(spark, d).items()}
+    tables = _public(spark, d, lambda rows, name: identity.kept(rows, f"public-{name}"))
     target = snapshot.Publication(spark, snapshot.scratch(spark, "published"))
     smallest = tables["notices"].agg(F.min("id").alias("least"))
     other = tables["notices"].join(smallest.hint("broadcast")).withColumn("title", F.when(F.col("id") == F.col("least"), F.concat("title", F.lit(" (rettifica)"))).otherwise(F.col("title"))).drop("least")
-    versions = (tables, {name: rows.repartition(5) for name, rows in tables.items()}, tables | {"notices": other})
+    versions = (tables, {name: rows.repartition("id") for name, rows in tables.items()}, tables | {"notices": other})
     written = [identity.kept(target.publish(v, SNAPSHOT_COLUMNS), "changes").groupBy("table_name").agg(F.count("*").alias("w")) for v in versions]
     out = None
     for name, rows in tables.items():

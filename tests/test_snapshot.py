@@ -87,3 +87,33 @@ def test_every_rule_finds_its_case(spark, given):
         assert broken(tables, other) == {f"metadata_{key}": 1}
     with pytest.raises(ValueError, match="notices_private"):
         snapshot.Publication(spark, "/nonexistent").publish(cases[3][0], COLUMNS)
+
+
+def test_a_version_is_read_once(spark, given, tmp_path):
+    tables = snapshot.public_tables(*given)
+    target = snapshot.Publication(spark, str(tmp_path))
+    target.publish(tables, COLUMNS)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    assert target.publish({name: rows.mapInArrow(passed, rows.schema) for name, rows in tables.items()}, COLUMNS).count() == 0
+    assert seen.value == sum(rows.count() for rows in tables.values())
+
+
+def test_rules_counted_with_the_tree(spark, given):
+    tables = snapshot.public_tables(*given)
+    tables |= {"notices": tables["notices"].withColumn("official_url", F.when(F.col("id") % 7 == 0, "https://u:p@e.example").when(F.col("id") % 7 == 1, "https://e.example/a@b").when(F.col("id") % 7 == 2, None).otherwise(F.col("official_url"))), "sources": tables["sources"].withColumn("last_error", F.when(F.col("id") == 1, "x"))}
+    tree = snapshot.hash_tree(tables, COLUMNS, check=True)
+    counted = tree.select(F.explode("broken").alias("b")).groupBy("b.rule").agg(F.sum("b.violations")).collect()
+    found = {r.rule: r.violations for r in snapshot.violations(tables).collect()}
+    assert dict(map(tuple, counted)) == found and found["notices_url_credentials"] > 0 and found["sources_private"] == 1
+    assert sorted(map(tuple, tree.drop("broken").collect())) == sorted(map(tuple, snapshot.hash_tree(tables, COLUMNS).collect()))
+
+
+def test_sums_of_60_bits_are_exact(spark):
+    values = [(1 << 60) - 1 - i * 977 for i in range(1000)]
+    assert spark.createDataFrame([(v,) for v in values], "v long").agg(snapshot._sum60("v")).first()[0] == str(sum(values))
