@@ -10,6 +10,7 @@ texts; rows with a null id come first.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import unicodedata
@@ -72,7 +73,7 @@ class WordEncoder:
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known = {b"": b""}
-            self._learn({words[i] for i in new})
+            self._learn([words[i] for i in new])
             for i in new:
                 found[i] = self.known[words[i]]
         at = numbered.indices.to_numpy()
@@ -84,11 +85,23 @@ class WordEncoder:
         cuts = (4 * ends[offsets - offsets[0]]).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        spelled: dict[bytes, bytes] = {}  # words of letters as the library is to see them
+    def _learn(self, new: list[bytes]) -> None:
+        """New different words. Arrow finds and lower-cases those of Latin-1 letters, with or
+        without a mark, at once; _letters judges the others."""
+        shown = pa.array(new, pa.binary()).view(pa.string())
+        latin, dotted = pc.match_substring_regex(shown, _LATIN), pc.match_substring_regex(shown, "[.,:;!?]$")
+        low = pc.utf8_lower(shown.filter(latin)).view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        is_latin, is_dotted = latin.to_numpy(zero_copy_only=False), dotted.to_numpy(zero_copy_only=False)
+        found, ending = list(itertools.compress(new, is_latin)), is_dotted[is_latin]
+        bare = ~ending
+        #: words of letters as the library is to see them
+        spelled: dict[bytes, bytes] = dict(zip(itertools.compress(found, bare), itertools.compress(low, bare), strict=True))
+        joined = list(itertools.compress(found, ending))
+        bases = [w[:-1] for w in joined]
+        spelled |= {b: k[:-1] for b, k in zip(bases, itertools.compress(low, ending), strict=True) if b not in self.known}
         marked: dict[bytes, tuple[bytes, bytes]] = {}
-        others = set()
-        for w in new:
+        others = {m for m in MARKS if m not in self.known}
+        for w in itertools.compress(new, ~is_latin):
             if w.isalpha():  # ASCII letters
                 spelled[w] = w.lower()
             elif (low := _letters(w)) is not None:
@@ -104,11 +117,13 @@ class WordEncoder:
         for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
         if spelled:
-            shown = list(spelled.values())
-            lines = [_SHOWN[np.frombuffer(b" ".join(shown[k : k + _LINE]), dtype=np.uint8)].tobytes().decode("utf-32-le") for k in range(0, len(shown), _LINE)]
+            letters = list(spelled.values())
+            lines = [_SHOWN[np.frombuffer(b" ".join(letters[k : k + _LINE]), dtype=np.uint8)].tobytes().decode("utf-32-le") for k in range(0, len(letters), _LINE)]
             ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)])
             data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             self.known |= zip(spelled, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True)
+        known = self.known
+        known |= {w: known[b] + known[w[-1:]] for w, b in zip(joined, bases, strict=True)}
         for w, (base, mark) in marked.items():
             self.known[w] = self.known[base] + self.known[mark]
 
@@ -118,6 +133,8 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 _SHOWN = np.arange(256, dtype="<u4")
 _SHOWN[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
 _SHOWN[32] = 32
+#: Words that are no more than letters of ASCII and Latin-1, which are composed and have a lower case of one letter each, and a mark.
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,:;!?]?$"
 #: Words of letters that the library gets in one line.
 _LINE = 1024
 

@@ -211,3 +211,20 @@ def test_search_lists_stop_without_losing_a_document(monkeypatch, step, top, blo
     found = pa.Table.from_batches(lexical_search._search(asked, weight, n_docs, length)(blocks)).to_pylist()
     expected = sorted((i, -s, d) for i, _, d, s in brute_search(rows, items, top))
     assert sorted((x["item_id"], -x["score"], x["doc_id"]) for x in found) == expected
+
+
+def test_latin_words_are_learned_by_arrow(monkeypatch):
+    """Words of Latin-1 letters, with a mark or without, need no look by Python, and get the library's ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from noticeflow.llm import token_store
+
+    looked, judge = [], token_store._letters
+    monkeypatch.setattr(token_store, "_letters", lambda w: looked.append(w) or judge(w))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    texts = ["Größe, ÉTÉ! perché? naïve ÿ ß; Word. word word, straße. ÀÉÎÕÜ:", "Größe ÉTÉ: , . 12, a1, foo-bar, x\u00d7y, e\u0301t\u00e9. \u0130stanbul, ΣΑΣ! дом. ªº µ, <|endoftext|> A,, ,a"]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert not {"Größe".encode(), "ÉTÉ".encode(), "perché".encode(), "straße".encode(), b"foo"} & set(looked)
