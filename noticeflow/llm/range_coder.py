@@ -4,8 +4,8 @@ A block of n ids is cut into L runs of S ids. Step t codes the t-th id of every
 with a range coder of its own (56-bit low, 28-bit words, carries resolved at the end), so that a step
 is a few numpy operations over L ids. All runs share the block's adaptive models:
 
-- order 2 and order 1: tables that hold, for the last two ids (hashed) and the last id, the id seen
-  next and a confidence from 0 to 7, which goes up when the prediction is right and down when not;
+- order 2 and order 1: places of one table that hold, for the last two ids (hashed) and the last id, the id
+  seen next and a confidence from 0 to 7, which goes up when the prediction is right and down when not;
 - order 0: frequencies of the ids of the steps before, taken anew after steps 1, 2, 4, 8 ...
 
 They are mixed in one interval of 2**24: each prediction gets the share that predictions of its
@@ -26,30 +26,35 @@ NONE = 0xFFFFF  # no id: a vocabulary has fewer
 #: every id at least 1 of the rest.
 MOST, LEAST = 7 << (SCALE - 3), 8
 _HEAD = struct.Struct("<4sIIIII")
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 
 
-#: Confidence after a miss (first eight) and after a hit.
-_NEXT = np.array([0, 0, 1, 2, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6, 7, 7], dtype=np.int32)
+#: A place of the table is id * 16 + confidence; EMPTY stands for the confidence where no id was seen. Order 1's places come
+#: after order 2's, and its confidences are counted from 16 on.
+EMPTY, ORDER_1 = 8, 1 << 18
+#: What a place changes by after a miss (first 32) and after a hit; below zero if the id is replaced.
+_STEP = np.array([([-(1 << 30)] + [-1] * 7 + [-(1 << 30)] * 8) * 2, ([1] * 7 + [0] * 9) * 2], dtype=np.int32).ravel()
 _BUCKET = 8  # the search table has an entry for 2**_BUCKET of the interval
 
 
 class _Mixer:
-    """The models of one block; encoder and decoder make the same calls."""
+    """The models of one block; encoder and decoder make the same calls. Rows of two are orders 2 and 1."""
 
-    def __init__(self, vocab: int):
+    def __init__(self, vocab: int, lanes: int):
         self.vocab = vocab
-        self.two = np.full(1 << 18, NONE << 3, dtype=np.int32)
-        self.one = np.full(1 << 16, NONE << 3, dtype=np.int32)
-        self.hits, self.tries = np.ones((2, 8), dtype=np.int64), np.full((2, 8), 4, dtype=np.int64)
+        self.places = np.full(ORDER_1 + (1 << 16), NONE << 4 | EMPTY, dtype=np.int32)
+        self.hits, self.tries = np.ones(32, dtype=np.int64), np.full(32, 4, dtype=np.int64)
         self.seen = np.zeros(vocab, dtype=np.int64)
         self.waiting: list[np.ndarray] = []
         self.steps, self.next_fresh = 0, 1
+        self.hashed = np.zeros(lanes, dtype=np.uint32)
+        self.at = np.empty((2, 0), dtype=np.intp)
         self._weigh()
         self._fresh()
 
     def _weigh(self) -> None:
-        self.share = np.minimum((self.hits << SCALE) // self.tries, MOST)
+        self.share = np.clip((self.hits << SCALE) // self.tries, 1, MOST)
+        self.share[[EMPTY, 16 + EMPTY]] = 0
 
     def _fresh(self) -> None:
         if self.waiting:
@@ -62,43 +67,59 @@ class _Mixer:
         self.cum[-1] = 1 << SCALE
         self.table = None
 
-    def find(self, places: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 intervals hold the places: from a table by a place's high bits, then by halving."""
+    def find(self, points: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the points, where asked: from a table by a point's high bits, else by search."""
         if self.table is None:
             per = np.bincount((self.cum + (1 << _BUCKET) - 1) >> _BUCKET, minlength=(1 << (SCALE - _BUCKET)) + 2)
-            upto = np.cumsum(per)  # how many bounds are at most the bucket's begin
-            self.table = upto - 1, np.concatenate([upto[1:], upto[-1:]]) - 1
-            self.halvings = int((self.table[1] - self.table[0]).max()).bit_length()
-        at = places >> _BUCKET
-        found, last = self.table[0][at], self.table[1][at]
-        open_ = np.flatnonzero(found != last)  # most buckets lie in one interval
-        low, high, places = found[open_], last[open_], places[open_]
-        for _ in range(self.halvings):
-            middle = (low + high + 1) >> 1
-            fits = self.cum[middle] <= places
-            low = np.where(fits, middle, low)
-            high = np.where(fits, high, middle - 1)
-        found[open_] = low
-        return found
-
-    def predict(self, last2: np.ndarray, last: np.ndarray):
-        self.at2 = (last2 * 40503 + last * 2654435 + (last2 >> 5)) & 0x3FFFF
-        self.at1 = last & 0xFFFF
-        a, b = self.two[self.at2], self.one[self.at1]
-        self.p2, self.c2, self.p1, self.c1 = a >> 3, a & 7, b >> 3, b & 7
-        w2, w1 = self.share[1][self.c2], self.share[0][self.c1]
-        w2 *= self.p2 != NONE
-        w1 *= (self.p1 != NONE) & (self.p1 != self.p2)
-        return w2, np.minimum(w1, MOST - w2)
-
-    def learn(self, ids: np.ndarray) -> None:
-        for k, (tab, at, p, c) in enumerate(((self.one, self.at1, self.p1, self.c1), (self.two, self.at2, self.p2, self.c2))):
-            hit = p == ids
-            if self.steps & 3 == 0:
-                self.tries[k] += np.bincount(c[p != NONE], minlength=8)
-                self.hits[k] += np.bincount(c[hit], minlength=8)
-            kept = np.where((c == 0) & ~hit, ids, p)
-            tab[at] = (kept << 3) | _NEXT[c + (hit << 3)]
+            self.table = np.cumsum(per, dtype=np.int32) - 1  # the last bound that is at most the bucket's begin
+        at = points >> _BUCKET
+        found = self.table.take(at, mode="clip")
+        open_ = ((found != self.table[1:].take(at, mode="clip")) & asked).nonzero()[0]  # most buckets lie in one interval
+        found[open_] = np.searchsorted(self.cum, points.take(open_), side="right") - 1
+        return found.astype(np.int64)
+
+    def predict(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shares of the interval that the predictions of orders 2 and 1 get after these ids."""
+        if len(last) != self.at.shape[1]:
+            self.at, self.conf, self.w = (np.empty((2, len(last)), dtype=np.int64) for _ in range(3))
+            self.held = np.empty((2, len(last)), dtype=np.int32)
+        mixed = last.astype(np.uint32)
+        mixed *= np.uint32(2654435769)
+        before, self.hashed = self.hashed[: len(last)], mixed
+        np.right_shift(mixed + before * np.uint32(2246822519), np.uint32(14), out=self.at[0])
+        np.bitwise_and(last, 0xFFFF, out=self.at[1])
+        self.at[1] += ORDER_1
+        self.places.take(self.at, out=self.held, mode="clip")
+        self.ids = self.held >> 4
+        np.bitwise_and(self.held, 15, out=self.conf)
+        self.conf[1] += 16
+        self.share.take(self.conf, out=self.w, mode="clip")
+        w2, w1 = self.w
+        w1 *= self.ids[0] != self.ids[1]
+        np.minimum(w1, MOST - w2, out=w1)
+        return w2, w1
+
+    def parts(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the ids' order-0 intervals in what the predictions leave."""
+        rest = (1 << SCALE) - before
+        lo, size = self.cum.take(ids, mode="clip"), self.cum[1:].take(ids, mode="clip")
+        lo *= rest
+        lo >>= SCALE
+        size *= rest
+        size >>= SCALE
+        size -= lo
+        lo += before
+        return lo, size
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """The ids (int32) that came, and which predictions were right."""
+        if self.steps & 3 == 0:
+            self.tries += np.bincount(self.conf.ravel(), minlength=32)
+            self.hits += np.bincount(self.conf.ravel().compress(hit.ravel()), minlength=32)
+        self.conf += np.multiply(hit, 32, out=self.w)
+        changed = _STEP.take(self.conf, mode="clip")
+        changed += self.held
+        self.places[self.at] = np.where(changed < 0, ids << 4, changed)
         self.waiting.append(ids)
         self.steps += 1
         if self.steps & 3 == 1:
@@ -123,53 +144,44 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
     grid = np.zeros(lanes * steps, dtype=np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    narrow = grid.astype(np.int32)
     first = np.arange(lanes) * steps
-    mix = _Mixer(vocab)
+    mix = _Mixer(vocab, lanes)
     low, rng = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << 56, dtype=np.int64)
-    words, ptr = np.zeros((steps + 2, lanes), dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    column = np.arange(lanes)
-    last2, last = np.full(lanes, NONE, dtype=np.int64), np.full(lanes, NONE, dtype=np.int64)
-
-    def emit(at: np.ndarray) -> None:
-        words[ptr[at], at] = low[at] >> 28
-        ptr[at] += 1
-        low[at] = (low[at] & 0xFFFFFFF) << 28
-
+    runs, words = [], []  # words are 28 bits and a carry, which is resolved at the end
+    last = np.full(lanes, NONE, dtype=np.int64)
     for t in range(steps):
         k = int(np.searchsorted(first, n - t))  # runs that have an id at this step
         if k == 0:
             break
         s = grid[t, :k]
-        w2, w1 = mix.predict(last2[:k], last[:k])
-        rest = (1 << SCALE) - w2 - w1
-        lo = (mix.cum[s] * rest) >> SCALE
-        size = ((mix.cum[s + 1] * rest) >> SCALE) - lo
-        lo += w2 + w1
-        one, two = np.flatnonzero((mix.p1 == s) & (w1 > 0)), np.flatnonzero((mix.p2 == s) & (w2 > 0))
-        lo[one], size[one] = w2[one], w1[one]
-        lo[two], size[two] = 0, w2[two]
+        w2, w1 = mix.predict(last[:k])
+        lo, size = mix.parts(s, w2 + w1)
+        hit = mix.ids == narrow[t, :k]
+        one, two = (hit[1] & (w1 > 0)).nonzero()[0], hit[0].nonzero()[0]
+        lo[one], size[one] = w2.take(one), w1.take(one)
+        lo[two], size[two] = 0, w2.take(two)
         r = rng[:k] >> SCALE
-        low[:k] += lo * r
-        rng[:k] = size * r
-        over = np.flatnonzero(low[:k] >> 56)
-        if len(over):
-            low[over] &= (1 << 56) - 1
-            words[ptr[over] - 1, over] += 1
-        small = np.flatnonzero(rng[:k] < 1 << 28)
+        lo *= r
+        low[:k] += lo
+        np.multiply(size, r, out=rng[:k])
+        small = (rng[:k] < 1 << 28).nonzero()[0]
         if len(small):
-            emit(small)
-            rng[small] <<= 28
-        mix.learn(s)
-        last2[:k], last[:k] = last[:k], s
+            value = low.take(small)
+            runs.append(small)
+            words.append(value >> 28)
+            low[small] = (value & 0xFFFFFFF) << 28
+            rng[small] = rng.take(small) << 28
+        mix.learn(narrow[t, :k], hit)
+        last = s
     low += rng - 1
-    over = np.flatnonzero(low >> 56)
-    low[over] &= (1 << 56) - 1
-    words[ptr[over] - 1, over] += 1
-    emit(column)
-    for j in range(len(words) - 1, 0, -1):
-        words[j - 1] += words[j] >> 28
-        words[j] &= 0xFFFFFFF
-    flat = words.T[np.arange(len(words)) < ptr[:, None]]
+    runs.append(np.arange(lanes))
+    words.append(low >> 28)
+    runs = np.concatenate(runs).astype(np.uint16)
+    flat, ptr = np.concatenate(words)[np.argsort(runs, kind="stable")], np.bincount(runs, minlength=lanes)
+    while len(over := (flat >> 28).nonzero()[0]):
+        flat[over] &= 0xFFFFFFF
+        flat[over - 1] += 1
     if len(flat) & 1:
         flat = np.append(flat, 0)
     packed = ((flat[0::2] << 28) | flat[1::2]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
@@ -181,7 +193,9 @@ def decode(block: bytes) -> np.ndarray:
     """The ids of a block; a ValueError if it was damaged."""
     if len(block) < _HEAD.size + 4 or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("damaged block")
-    _, n, lanes, vocab, n_words, _ = _HEAD.unpack_from(block)
+    magic, n, lanes, vocab, n_words, _ = _HEAD.unpack_from(block)
+    if magic != MAGIC:
+        raise ValueError("no block of this format")
     ptr = np.frombuffer(block, dtype="<u4", count=lanes, offset=_HEAD.size).astype(np.int64)
     raw = np.frombuffer(block, dtype=np.uint8, offset=_HEAD.size + 4 * lanes, count=7 * ((n_words + 1) // 2)).reshape(-1, 7)
     pairs = np.zeros((len(raw), 8), dtype=np.uint8)
@@ -190,38 +204,39 @@ def decode(block: bytes) -> np.ndarray:
     flat = np.stack([pairs >> 28, pairs & 0xFFFFFFF], axis=1).ravel()[:n_words]
     words = np.zeros((lanes, int(ptr.max(initial=0)) + 3), dtype=np.int64)
     words[np.arange(words.shape[1]) < ptr[:, None]] = flat
-    words = np.ascontiguousarray(words.T)
+    words = words.T.ravel()  # the first word of all runs, then the second ...
     steps = -(-n // lanes)
-    first, column = np.arange(lanes) * steps, np.arange(lanes)
-    mix = _Mixer(vocab)
-    off, rng, at = (words[0] << 28) | words[1], np.full(lanes, 1 << 56, dtype=np.int64), np.full(lanes, 2, dtype=np.int64)
+    first = np.arange(lanes) * steps
+    mix = _Mixer(vocab, lanes)
+    off, rng, at = (words[:lanes] << 28) | words[lanes : 2 * lanes], np.full(lanes, 1 << 56, dtype=np.int64), np.arange(2 * lanes, 3 * lanes)
     out = np.zeros((steps, lanes), dtype=np.int32)
-    last2, last = np.full(lanes, NONE, dtype=np.int64), np.full(lanes, NONE, dtype=np.int64)
-    top = len(words) - 1
+    last = np.full(lanes, NONE, dtype=np.int64)
     for t in range(steps):
         k = int(np.searchsorted(first, n - t))
         if k == 0:
             break
-        w2, w1 = mix.predict(last2[:k], last[:k])
+        w2, w1 = mix.predict(last[:k])
+        before = w2 + w1
         r = rng[:k] >> SCALE
         v = np.minimum(off[:k] // r, (1 << SCALE) - 1)
-        rest = (1 << SCALE) - w2 - w1
-        u = np.maximum(v - w2 - w1, 0)
-        s = mix.find(((((u + 1) << SCALE) - 1) / rest).astype(np.int64))  # below 2**53: exact
-        lo = (mix.cum[s] * rest) >> SCALE
-        size = ((mix.cum[s + 1] * rest) >> SCALE) - lo
-        lo += w2 + w1
-        one, two = np.flatnonzero(v < w2 + w1), np.flatnonzero(v < w2)
-        s[one], lo[one], size[one] = mix.p1[one], w2[one], w1[one]
-        s[two], lo[two], size[two] = mix.p2[two], 0, w2[two]
-        off[:k] -= lo * r
-        rng[:k] = size * r
-        small = np.flatnonzero(rng[:k] < 1 << 28)
+        by_0 = v >= before
+        u = np.maximum(v - before, 0)
+        s = mix.find(((((u + 1) << SCALE) - 1) / ((1 << SCALE) - before)).astype(np.int64), by_0)  # below 2**53: exact
+        lo, size = mix.parts(s, before)
+        two = v < w2
+        one, two = (~(by_0 | two)).nonzero()[0], two.nonzero()[0]
+        s[one], lo[one], size[one] = mix.ids[1].take(one), w2.take(one), w1.take(one)
+        s[two], lo[two], size[two] = mix.ids[0].take(two), 0, w2.take(two)
+        lo *= r
+        off[:k] -= lo
+        np.multiply(size, r, out=rng[:k])
+        small = (rng[:k] < 1 << 28).nonzero()[0]
         if len(small):
-            off[small] = (off[small] << 28) | words[np.minimum(at[small], top), small]
-            at[small] += 1
-            rng[small] <<= 28
+            place = at.take(small)
+            off[small] = (off.take(small) << 28) | words.take(place, mode="clip")
+            at[small] = place + lanes
+            rng[small] = rng.take(small) << 28
         out[t, :k] = s
-        mix.learn(s)
-        last2[:k], last[:k] = last[:k], s
+        mix.learn(out[t, :k], mix.ids == out[t, :k])
+        last = s
     return out.T.ravel()[:n]

@@ -29,16 +29,17 @@ from .common import short_batches, shared_path, shuffle_partitions
 BLOCK_IDS, CACHE_WORDS, NULL_ID = 1 << 19, 1_000_000, -(1 << 63)
 #: Bytes of texts whose words are told apart together, if they are more than one batch.
 GROUP_BYTES = 8_000_000
+#: Punctuation that is looked for after words of other letters.
 MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 _SCHEMA = "part int, ids_before long, n_ids long, docs binary, coded binary, crc long"
 
 
 class WordEncoder:
     """The tokenizers library's ids, word by word: the tokenizer lower-cases and never joins text across white space, so
-    words that came before need not be encoded again. New words go to the library, many in one call; words of letters go in
+    words that came before need not be encoded again. A word of Latin-1 letters with ASCII punctuation after them is its letters
+    and its punctuation, which the tokenizer encodes apart. New ones go to the library, many in one call; words of letters go in
     lower case to a copy of the tokenizer without its normalizer and pattern, which do no more to them, and are told apart by
-    the tokens that end a word. A letter word with a punctuation mark after it is the word and the mark. The memory is
-    bounded."""
+    the tokens that end a word. The memory is bounded."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +55,23 @@ class WordEncoder:
             raise ValueError("the tokenizer doesn't mark the ends of words")
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.known: dict[bytes, bytes] = {b"": b""}  # white space at an end is split from nothing
+        self._forget()
+
+    def _forget(self) -> None:
+        """known has each word's number; flat has all ids, from place on and size of them a word. The arrays have room for more."""
+        self.known: dict[bytes, int] = {b"": 0}  # white space at an end is split from nothing
+        self.flat, self.place, self.size, self.used = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.int32), 0
+
+    def _add(self, words, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n, used = len(self.known), len(sizes), self.used
+        self.known |= zip(words, range(first, first + n), strict=True)
+        self.flat, self.place, self.size = _with_room(self.flat, used + len(ids)), _with_room(self.place, first + n), _with_room(self.size, first + n)
+        self.flat[used : used + len(ids)], self.size[first : first + n] = ids, sizes
+        self.place[first : first + n] = used + np.cumsum(sizes, dtype=np.int32) - sizes
+        self.used += len(ids)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, itertools.repeat(-1)), dtype=np.int32, count=len(words))
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids."""
@@ -67,44 +84,37 @@ class WordEncoder:
         special = pc.match_substring(texts, "<|")  # special tokens are in lower case already
         lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         numbered = lists.flatten().dictionary_encode()
-        words = numbered.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.known.get, words))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
+        if not len(numbered):
+            return [b""] * len(texts)
+        pieces = _pieces(numbered.dictionary).dictionary_encode()
+        words = pieces.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = self._numbers(words)
+        if len(new := np.flatnonzero(found < 0)):
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {b"": b""}
-            self._learn([words[i] for i in new])
-            for i in new:
-                found[i] = self.known[words[i]]
+                self._forget()
+                found = self._numbers(words)
+                new = np.flatnonzero(found < 0)
+            self._learn(asked := [words[i] for i in new.tolist()])
+            found[new] = self._numbers(asked)
+        at = found[pieces.indices.to_numpy()]
+        flat, size = _laid(self.flat, self.place[at], self.size[at]), self.size[at].reshape(-1, 2).sum(axis=1, dtype=np.int32)
         at = numbered.indices.to_numpy()
-        flat, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        starts, count = np.cumsum(sizes) - sizes, sizes[at]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        data = flat[np.repeat(starts[at] - ends[:-1], count) + np.arange(ends[-1])].tobytes()
-        offsets = lists.offsets.to_numpy()
+        count = size[at]
+        data = _laid(flat, (np.cumsum(size, dtype=np.int32) - size)[at], count).tobytes()
+        ends, offsets = np.concatenate([[0], np.cumsum(count, dtype=np.int64)]), lists.offsets.to_numpy()
         cuts = (4 * ends[offsets - offsets[0]]).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        """New different words. Arrow finds and lower-cases those of Latin-1 letters, with or
-        without a mark, at once; _letters judges the others."""
-        shown = pa.array(new, pa.binary()).view(pa.string())
-        latin, dotted = pc.match_substring_regex(shown, _LATIN), pc.match_substring_regex(shown, "[.,:;!?]$")
-        low = pc.utf8_lower(shown.filter(latin)).view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        is_latin, is_dotted = latin.to_numpy(zero_copy_only=False), dotted.to_numpy(zero_copy_only=False)
-        found, ending = list(itertools.compress(new, is_latin)), is_dotted[is_latin]
-        bare = ~ending
+        """New different words. Arrow finds those of Latin-1 letters, which are in lower case already, at once; _letters judges
+        the others."""
+        latin = pc.match_substring_regex(pa.array(new, pa.binary()).view(pa.string()), _LATIN).to_numpy(zero_copy_only=False)
         #: words of letters as the library is to see them
-        spelled: dict[bytes, bytes] = dict(zip(itertools.compress(found, bare), itertools.compress(low, bare), strict=True))
-        joined = list(itertools.compress(found, ending))
-        bases = [w[:-1] for w in joined]
-        spelled |= {b: k[:-1] for b, k in zip(bases, itertools.compress(low, ending), strict=True) if b not in self.known}
+        spelled: dict[bytes, bytes] = {w: w for w in itertools.compress(new, latin)}
         marked: dict[bytes, tuple[bytes, bytes]] = {}
-        others = {m for m in MARKS if m not in self.known}
-        for w in itertools.compress(new, ~is_latin):
-            if w.isalpha():  # ASCII letters
-                spelled[w] = w.lower()
-            elif (low := _letters(w)) is not None:
+        others: set[bytes] = set()
+        for w in itertools.compress(new, ~latin):
+            if (low := _letters(w)) is not None:
                 spelled[w] = low
             elif w[-1:] in MARKS and (low := _letters(w[:-1])) is not None:
                 marked[w] = base, mark = w[:-1], w[-1:]
@@ -114,27 +124,71 @@ class WordEncoder:
                     others.add(mark)
             else:
                 others.add(w)
-        for w, e in zip(others, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if others:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)]
+            self._add(others, np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int32))
         if spelled:
             letters = list(spelled.values())
             lines = [_SHOWN[np.frombuffer(b" ".join(letters[k : k + _LINE]), dtype=np.uint8)].tobytes().decode("utf-32-le") for k in range(0, len(letters), _LINE)]
             ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)])
-            data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.known |= zip(spelled, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True)
-        known = self.known
-        known |= {w: known[b] + known[w[-1:]] for w, b in zip(joined, bases, strict=True)}
-        for w, (base, mark) in marked.items():
-            self.known[w] = self.known[base] + self.known[mark]
-
-
+            self._add(spelled, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1).astype(np.int32))
+        if marked:
+            at = self._numbers(list(itertools.chain.from_iterable(marked.values())))
+            self._add(marked, _laid(self.flat, self.place[at], self.size[at]), self.size[at].reshape(-1, 2).sum(axis=1, dtype=np.int32))
+
+
+def _with_room(array: np.ndarray, n: int) -> np.ndarray:
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), dtype=array.dtype)])
+
+
+def _laid(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of flat, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int32)
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
+
+
+def _pieces(words: pa.StringArray) -> pa.StringArray:
+    """Two pieces of each word: Latin-1 letters, in lower case, and the ASCII punctuation after them, each of which may be
+    missing; any other word as it is and nothing."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int32, count=n + 1, offset=4 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8, count=offsets[-1])
+    kind = _KIND[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    kind[second[(data[second] == 0x97) | (data[second] == 0xB7)]] = _ODD
+    bad = kind == _ODD
+    again = (kind[1:] == _LETTER) & (kind[:-1] == _TAIL)  # letters after punctuation
+    again[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+    bad[1:] |= again
+    upto = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(bad, out=upto[1:])
+    simple = upto[offsets[1:]] == upto[offsets[:-1]]
+    np.cumsum(kind == _LETTER, out=upto[1:])
+    cuts = np.empty(2 * n + 1, dtype=np.int32)
+    cuts[0::2] = offsets
+    cuts[1::2] = np.where(simple, offsets[:-1] + upto[offsets[1:]] - upto[offsets[:-1]], offsets[1:])
+    lower = data.copy()
+    own = data[offsets[0] :]
+    lower[offsets[0] :] += _UPPER[own] * np.repeat(simple, np.diff(offsets))
+    return pa.StringArray.from_buffers(2 * n, pa.py_buffer(cuts), pa.py_buffer(lower))
+
+
+#: What a byte is in a word: a letter's byte (ASCII, or 0xC3 and the byte after it, which is Latin-1's upper quarter), ASCII
+#: punctuation, or else; and what makes the letter a small one.
+_ODD, _LETTER, _TAIL = 0, 1, 2
+_KIND, _UPPER = np.zeros(256, dtype=np.uint8), np.zeros(256, dtype=np.uint8)
+_KIND[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = _TAIL
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = _LETTER
+_UPPER[[*range(65, 91), *range(0x80, 0x9F)]] = 32
 #: The letter that byte-level tokenizers write for a byte: itself where Latin-1 has a visible sign, else one from 256 on in order.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _SHOWN = np.arange(256, dtype="<u4")
 _SHOWN[_HIDDEN] = np.arange(256, 256 + len(_HIDDEN))
 _SHOWN[32] = 32
-#: Words that are no more than letters of ASCII and Latin-1, which are composed and have a lower case of one letter each, and a mark.
-_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,:;!?]?$"
+#: Words of small letters of ASCII and Latin-1, which are composed.
+_LATIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 #: Words of letters that the library gets in one line.
 _LINE = 1024
 

@@ -228,3 +228,38 @@ def test_latin_words_are_learned_by_arrow(monkeypatch):
     for text in texts:
         assert np.frombuffer(encoder.ids(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert not {"Größe".encode(), "ÉTÉ".encode(), "perché".encode(), "straße".encode(), b"foo"} & set(looked)
+
+
+def test_punctuation_after_letters_is_encoded_apart(monkeypatch):
+    """The library gets letters and the punctuation after them once each, in whatever words they stand; ids are the library's,
+    also when the memory overflows."""
+    from noticeflow.llm import token_store
+    from noticeflow.llm.queries import WORD_TOKENIZER
+
+    path, rng = vocabulary(WORD_TOKENIZER), random.Random(12)
+    library, encoder = Tokenizer.from_file(path), token_store.WordEncoder(path)
+    asked = []
+    monkeypatch.setattr(encoder, "_learn", lambda new, learn=encoder._learn: asked.extend(new) or learn(new))
+    ids = lambda text: np.frombuffer(encoder.ids(text), dtype="<u4").tolist()
+    expected = lambda text: library.encode(text, add_special_tokens=False).ids
+    for text in ("größe$$$ word*** GRÖSSE*** Größe.... word$$$", "word.... größe*** WORD größe grösse$$$ ***"):
+        assert ids(text) == expected(text)
+    assert sorted(asked) == sorted(w.encode() for w in ("größe", "$$$", "word", "***", "grösse", "...."))
+    parts = [*"aZßÉéÿ×÷ªº́İ日9_'\"<|>.,!$`~\\ \n", "'s", "'LL", "don't", "<|endoftext|>", "<|EndOfText|>", "ÀB", "..."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    assert [ids(t) for t in texts] == [expected(t) for t in texts]
+    monkeypatch.setattr(token_store, "CACHE_WORDS", 50)
+    encoder = token_store.WordEncoder(path)
+    assert [ids(t) for t in texts[:300]] == [expected(t) for t in texts[:300]] and len(encoder.known) < 200
+
+
+def test_coded_block_of_another_format_is_refused():
+    import struct
+    import zlib
+
+    from noticeflow.llm import range_coder
+
+    block = range_coder.encode(np.arange(500), 500)
+    other = b"CMR1" + block[4:-4]
+    with pytest.raises(ValueError):
+        range_coder.decode(other + struct.pack("<I", zlib.crc32(other)))
