@@ -53,7 +53,7 @@ class _Mixer:
         self._fresh()
 
     def _weigh(self) -> None:
-        self.share = np.clip((self.hits << SCALE) // self.tries, 1, MOST)
+        self.share = np.minimum(np.maximum((self.hits << SCALE) // self.tries, 1), MOST)
         self.share[[EMPTY, 16 + EMPTY]] = 0
 
     def _fresh(self) -> None:
@@ -80,6 +80,9 @@ class _Mixer:
 
     def predict(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The shares of the interval that the predictions of orders 2 and 1 get after these ids."""
+        if self.steps == self.next_fresh:
+            self.next_fresh *= 2
+            self._fresh()
         if len(last) != self.at.shape[1]:
             self.at, self.conf, self.w = (np.empty((2, len(last)), dtype=np.int64) for _ in range(3))
             self.held = np.empty((2, len(last)), dtype=np.int32)
@@ -116,7 +119,7 @@ class _Mixer:
         if self.steps & 3 == 0:
             self.tries += np.bincount(self.conf.ravel(), minlength=32)
             self.hits += np.bincount(self.conf.ravel().compress(hit.ravel()), minlength=32)
-        self.conf += np.multiply(hit, 32, out=self.w)
+        self.conf += hit.view(np.uint8) << np.uint8(5)
         changed = _STEP.take(self.conf, mode="clip")
         changed += self.held
         self.places[self.at] = np.where(changed < 0, ids << 4, changed)
@@ -124,9 +127,6 @@ class _Mixer:
         self.steps += 1
         if self.steps & 3 == 1:
             self._weigh()
-        if self.steps == self.next_fresh:
-            self.next_fresh *= 2
-            self._fresh()
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -141,10 +141,9 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
     ids = np.asarray(ids)
     n = len(ids)
     lanes, steps = _lanes(n)
-    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid = np.zeros(lanes * steps, dtype=np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    narrow = grid.astype(np.int32)
     first = np.arange(lanes) * steps
     mix = _Mixer(vocab, lanes)
     low, rng = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << 56, dtype=np.int64)
@@ -154,10 +153,10 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
         k = int(np.searchsorted(first, n - t))  # runs that have an id at this step
         if k == 0:
             break
-        s = grid[t, :k]
+        s = grid[t, :k].astype(np.int64)
         w2, w1 = mix.predict(last[:k])
         lo, size = mix.parts(s, w2 + w1)
-        hit = mix.ids == narrow[t, :k]
+        hit = mix.ids == grid[t, :k]
         one, two = (hit[1] & (w1 > 0)).nonzero()[0], hit[0].nonzero()[0]
         lo[one], size[one] = w2.take(one), w1.take(one)
         lo[two], size[two] = 0, w2.take(two)
@@ -172,7 +171,7 @@ def encode(ids: np.ndarray, vocab: int) -> bytes:
             words.append(value >> 28)
             low[small] = (value & 0xFFFFFFF) << 28
             rng[small] = rng.take(small) << 28
-        mix.learn(narrow[t, :k], hit)
+        mix.learn(grid[t, :k], hit)
         last = s
     low += rng - 1
     runs.append(np.arange(lanes))

@@ -81,8 +81,10 @@ class WordEncoder:
         """Each text's little-endian 32-bit ids, nulls as empty texts. Arrow splits the texts and numbers the different words of
         all of them, so Python sees each word once a batch, and the library gets the new ones in a few calls."""
         texts = pc.fill_null(texts, "")
-        special = pc.match_substring(texts, "<|")  # special tokens are in lower case already
-        lists = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        lower = pc.ascii_lower(texts)
+        if b"<|" in lower.buffers()[2].to_pybytes():  # special tokens are in lower case already
+            lower = pc.if_else(pc.match_substring(texts, "<|"), texts, lower)
+        lists = pc.ascii_split_whitespace(lower)
         numbered = lists.flatten().dictionary_encode()
         if not len(numbered):
             return [b""] * len(texts)
