@@ -96,19 +96,31 @@ def windows_of(turns, budget: int = BUDGET, history: int = HISTORY):
 
 def _by_conversation(batches):
     """(conv_id, iterator of rows) for rows that come sorted by conversation."""
-    rows = (row for batch in batches for row in batch.to_pylist())
+    return _grouped(row for batch in batches for row in batch.to_pylist())
+
+
+def _grouped(rows):
     return itertools.groupby(rows, key=lambda r: r["conv_id"])
 
 
+def _sized(batches, words):
+    """(conv_id, role, text, tokens) of each turn as formatted; the turns of a batch are encoded together."""
+    for batch in batches:
+        rows = [{"conv_id": r["conv_id"], "role": r["role"] or "", "text": r["text"] or ""} for r in batch.to_pylist()]
+        shown = pa.array(["".join(turn_parts(r["role"], r["text"])).encode("utf-8", "surrogatepass") for r in rows], pa.binary()).view(pa.string())
+        for row, ids in zip(rows, words.batch_ids(shown), strict=True):
+            yield row | {"tokens": len(ids) // 4}
+
+
 _WINDOWS = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("own", pa.int64()), ("targets", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 
 
 def _formatter(tokenizer_path: str, budget: int, history: int):
     def rows(batches):
-        count = word_encoder(tokenizer_path).ids
+        words = word_encoder(tokenizer_path)
         held: list[dict] = []
-        for conv_id, turns in _by_conversation(batches):
-            sized = ((role, text, len(count("".join(turn_parts(role, text)))) // 4) for role, text in ((r["role"] or "", r["text"] or "") for r in turns))
+        for conv_id, turns in _grouped(_sized(batches, words)):
+            sized = ((r["role"], r["text"], r["tokens"]) for r in turns)
             for k, (window, own) in enumerate(windows_of(sized, budget, history)):
                 text, spans = formatted(window, own)
                 held.append({"conv_id": conv_id, "window": k, "text": text, "own": own, "targets": spans})

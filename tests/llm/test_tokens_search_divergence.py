@@ -263,3 +263,19 @@ def test_coded_block_of_another_format_is_refused():
     other = b"CMR1" + block[4:-4]
     with pytest.raises(ValueError):
         range_coder.decode(other + struct.pack("<I", zlib.crc32(other)))
+
+
+def test_turns_of_a_batch_are_sized_together(monkeypatch):
+    """Chat asks for the ids of a batch's turns once, and gets each turn's own number."""
+    import pyarrow as pa
+
+    from noticeflow.llm import chat, token_store
+    from noticeflow.llm.queries import WORD_TOKENIZER
+
+    encoder, asked = token_store.WordEncoder(vocabulary(WORD_TOKENIZER)), []
+    monkeypatch.setattr(encoder, "batch_ids", lambda texts, ids=encoder.batch_ids: asked.append(len(texts)) or ids(texts))
+    turns = [(1, "user", "Größe... </s>"), (1, None, None), (2, "assistant", "a b  c\n" * 40)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("conv_id", "role", "text"), t, strict=True)) for t in turns])
+    got = list(chat._sized([batch], encoder))
+    assert asked == [3] and [(r["conv_id"], r["role"], r["text"]) for r in got] == [(c, r or "", t or "") for c, r, t in turns]
+    assert [r["tokens"] for r in got] == [len(encoder.ids("".join(chat.turn_parts(r or "", t or "")))) // 4 for _, r, t in turns]
